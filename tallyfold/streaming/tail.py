@@ -114,8 +114,8 @@ class TranscriptTail(DataSource):
     def name(cls) -> str:
         return "transcript_tail"
 
-    def schema(self) -> StructType:
-        return StructType.fromDDL("path string, byte_offset long, value string, continuity string")
+    def schema(self) -> str:
+        return "path string, byte_offset long, value string, continuity string"
 
     def simpleStreamReader(self, schema: StructType) -> TailReader:
         return TailReader(self.options)
