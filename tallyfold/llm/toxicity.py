@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,17 +102,41 @@ def _sample(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return own.filter(F.pmod(F.xxhash64(F.lit("toxic"), "__id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """The sample without copies: of rows that share the least hash of their words' runs of three, by either of two hashes, the least id stays.
+
+    Words of one text that was copied often would otherwise look like evidence. The sample is bounded, and so are its groups.
+    """
+
+    def keys(batches):
+        for b in batches:
+            found = [[], []]
+            for text in b.column("__text").to_pylist():
+                w = _word.findall(text.lower())
+                runs = {" ".join(w[i : i + 3]).encode() for i in range(max(1, len(w) - 2))}
+                for k in (0, 1):
+                    found[k].append(min(xxhash.xxh3_64_intdigest(r, seed=k) for r in runs) >> 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(f, pa.int64()) for f in found]], names=[*b.schema.names, "__k0", "__k1"])
+
+    schema = common.T.StructType([*rows.schema.fields, common.T.StructField("__k0", common.T.LongType()), common.T.StructField("__k1", common.T.LongType())])
+    keyed = common.keep(common.arrow_rows(rows).mapInArrow(keys, schema), "toxicity-keyed")
+    for k in ("__k0", "__k1"):
+        keyed = keyed.join(keyed.groupBy(k).agg(F.min("__id").alias("__least")), k).filter("__id = __least").drop("__least")
+    return keyed.select(*rows.columns)
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from labelled rows whose crc32(id as text) mod 5 is not 0, on a bounded sample of them.
 
     A word or a word's first letters is evidence where toxic documents of the sample have it far likelier than
-    others; a token of a toxic document with evidence is labelled toxic, all others not. On those labelled tokens
+    others, copies apart; a token of a toxic document with evidence is labelled toxic, all others not. On those labelled tokens
     the field is fitted, then a logistic scale from the largest marginal to the document's label. Unlabelled rows,
     null ids and null texts are left out. Without a toxic or without another row, nothing is evidence.
     """
     ids = _sample(labels, id_col, label_col)
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
-    rows = common.keep(texts.join(F.broadcast(ids), "__id"), "toxicity-sample")  # a bounded number of ids
+    picked = texts.join(F.broadcast(ids), "__id")  # a bounded number of ids
+    rows = common.keep(_distinct(picked), "toxicity-sample")
     size = {r["__toxic"]: r["count"] for r in rows.groupBy("__toxic").count().collect()}
     n1, n0 = size.get(True, 0), size.get(False, 0)
     if not n1 or not n0:
