@@ -42,7 +42,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram Jaccard join, the document of the least id; of its repeated rows, one."""
     common.release(spark)
-    kept = jaccard.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = common.keep(jaccard.join(docs).filter("doc_id = component_id").select("doc_id").distinct(), "representatives")
+    common.release(spark, but="representatives")  # the sets are no longer needed when whole texts are joined
     return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select("doc_id", "text", "lang", "source", "n_chars")
 
 

@@ -7,6 +7,7 @@ document: repeated rows and repeated ids are kept as rows of their own.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,14 +45,22 @@ def keep(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that keep() wrote for this session; call it once what was read from them is stored."""
+def release(spark: SparkSession, but: str | None = None) -> None:
+    """Delete the tables that keep() wrote for this session, but those of one name; call it once what was read from them is stored."""
     global _written
-    own, _written = [p for s, p in _written if s is spark], [x for x in _written if x[0] is not spark]
+    mine = [(s, p) for s, p in _written if s is spark and not (but and p.rpartition("/")[2].startswith(f"{but}-"))]
+    _written = [x for x in _written if x not in mine]
     jvm = spark.sparkContext._jvm
-    for path in own:
+    for _, path in mine:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    settle(spark)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def arrow_rows(df: DataFrame) -> DataFrame:
