@@ -50,13 +50,17 @@ def release(spark: SparkSession, but: str | None = None) -> None:
     global _written
     mine = [(s, p) for s, p in _written if s is spark and not (but and p.rpartition("/")[2].startswith(f"{but}-"))]
     _written = [x for x in _written if x not in mine]
-    jvm = spark.sparkContext._jvm
     for _, path in mine:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, path)
     settle(spark)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder from the file system that holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settle(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -286,3 +286,16 @@ def test_queries_return_their_columns(spark, small):
         assert df.columns[: len(cols)] == cols and df.count() == 200
     r = queries.op1_byte_bpe(spark, small).join(spark.read.parquet(f"{small}/documents.parquet"), "doc_id").first()
     assert r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_quality_edge_cases(spark, table):
+    none = quality.fit(table, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int"))
+    got = quality.judge(docs(spark, ["w%d " % 3 * 30 + " ".join(f"w{i}" for i in range(80)), None]), none).collect()
+    assert [(r["kept"], r["base_failed"]) for r in got] == [(True, False), (False, True)]
+    assert quality.judge(docs(spark, []), none).count() == 0
+
+
+def test_encoding_an_empty_table_and_repeated_rows(spark):
+    assert tokenization.encode(docs(spark, []), RANKS, P.PATTERN).count() == 0
+    twice = docs(spark, ["one two"]).union(docs(spark, ["one two"])).union(docs(spark, ["x"]).withColumn("doc_id", F.lit(None).cast("long")))
+    assert [len(r["token_ids"]) for r in tokenization.encode(twice, RANKS, P.PATTERN).collect()] == [2, 2, 1]
