@@ -22,7 +22,7 @@ _own = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0
 #: A-Z to lower case; what is no word byte to a blank.
 _to = bytes(b if b in _own else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
-INDEX = "shard long, block int, ordinals array<int>, n_words array<long>, terms array<int>, term_ends array<long>, owners array<int>, places array<int>"
+INDEX = "shard long, block int, ordinals array<int>, n_words array<long>, terms array<int>, counts array<long>, term_ends array<long>, owners array<int>, places array<int>"
 
 
 def words(text: bytes) -> list[bytes]:
@@ -80,7 +80,7 @@ def index(df: DataFrame, parts: list[Block], id_col: str = "doc_id", text_col: s
     """Postings of the training tokens that the blocks' terms name: a row for each shard and block, stored in the shared folder.
 
     A shard holds consecutive documents of one task: `ids` and n_words by ordinal, and for each term its
-    postings (owners: ordinals, places: word positions), sorted; term_ends are their ends. Terms outside the
+    postings (owners: ordinals, places: word positions), sorted; counts are their numbers, term_ends their ends. Terms outside the
     benchmark can meet no query and have no postings.
     """
     src = common.texts(df, id_col, text_col)
@@ -104,7 +104,7 @@ def index(df: DataFrame, parts: list[Block], id_col: str = "doc_id", text_col: s
             idle = block > 0  # documents are listed once
             yield common.batch_of(
                 out, [number], [block], one(np.arange(0 if idle else len(ids), dtype=np.int32), pa.int32()), one(sizes, pa.int64()), one(own[ends - 1] if len(own) else own, pa.int32()),
-                one(ends, pa.int64()), one(owner[have], pa.int32()), one(place[have], pa.int32()), pa.array([ids], out.field("ids").type),
+                one(np.diff(ends, prepend=0), pa.int64()), one(ends, pa.int64()), one(owner[have], pa.int32()), one(place[have], pa.int32()), pa.array([ids], out.field("ids").type),
             )
 
     def work(batches):
@@ -166,7 +166,7 @@ def matches(stored: DataFrame, parts: list[Block], id_col: str = "doc_id", item_
     documents meet by shard and ordinal.
     """
     spark = stored.sparkSession
-    counted = stored.select("block", F.arrays_zip("terms", "term_ends").alias("z")).select("block", F.expr("transform(z, (x, i) -> named_struct('t', x.terms, 'n', x.term_ends - if(i = 0, 0L, z[i - 1].term_ends)))").alias("z")).select("block", F.inline("z")).groupBy("block", "t").agg(F.sum("n").alias("n"))
+    counted = stored.select("block", F.inline(F.arrays_zip(F.col("terms").alias("t"), F.col("counts").alias("n")))).toDF("block", "t", "n").groupBy("block", "t").agg(F.sum("n").alias("n"))
     seen = [np.zeros(len(b.terms), np.int64) for b in parts]
     for r in counted.toLocalIterator():
         seen[r["block"]][r["t"]] = r["n"]
