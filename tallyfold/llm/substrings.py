@@ -17,23 +17,25 @@ RUN, MIN_WORDS = 3, 10
 #: A sentence of more words is cut after words that their own hash picks, one in CUT_ONE_IN, so that cuts follow the content.
 LONG_SENTENCE, CUT_ONE_IN = 24, 8
 
-_sentence = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|\Z)")
-_word = re.compile(r"\w+")
+_sentence = re.compile(r"[^.!?\n]+[.!?]*")
+_word = re.compile(r"\S+")
 
 
 def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
     """(start, end, lower-case words joined by a blank, number of words) of each sentence with a word, in order.
 
-    A sentence ends after a run of `.`, `!` or `?`, or at a newline. Long ones fall into parts.
+    A sentence ends after a run of `.`, `!` or `?`, or before a newline; words are runs without white space. Long ones fall into parts.
     """
     out = []
     for m in _sentence.finditer(text):
-        at = [w.span() for w in _word.finditer(text, *m.span())]
-        if not at:
+        part = m[0]
+        own = part.split()
+        if not own:
             continue
-        if len(at) <= LONG_SENTENCE:
-            out.append((at[0][0], m.end(), " ".join(text[s:e] for s, e in at).lower().encode(), len(at)))
+        if len(own) <= LONG_SENTENCE:
+            out.append((m.end() - len(part.lstrip()), m.end(), " ".join(own).lower().encode(), len(own)))
             continue
+        at = [w.span() for w in _word.finditer(text, *m.span())]
         lo = 0
         for i, (s, e) in enumerate(at):
             last = i == len(at) - 1
@@ -61,22 +63,22 @@ def runs(found: list[tuple[int, int, bytes, int]], run: int, min_words: int) ->
     return first, later
 
 
-def cut(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
-    """The text without the sentences that runs from these starts cover; sentences in all, and removed."""
+def cut(text: str, starts: list[int], run: int) -> tuple[str, int]:
+    """The text without the sentences that runs from these starts cover, and how many those are."""
+    if not starts:
+        return text, 0
     found = sentences(text)
     gone = {i for s in starts for i in range(s, s + run)}
-    if not gone:
-        return text, len(found), 0
     out, at = [], 0
     for i in sorted(gone):
         s, e = found[i][0], found[i][1]
         out.append(text[at:s])
         at = e
-    return "".join([*out, text[at:]]), len(found), len(gone)
+    return "".join([*out, text[at:]]), len(gone)
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """id_col, text, n_sentences, n_removed: every document without the sentences of runs that occurred before.
+    """id_col, text, n_removed: every document without the sentences of runs that occurred before.
 
     Documents are ordered by id (nulls first), equal ids by an arbitrary but stored order. Of equal runs the first in the first
     document stays; every sentence covered by any other goes. Null texts stay null; texts of fewer than `run`
@@ -123,12 +125,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
     gone = shared.join(ties.hint("shuffle_hash"), ["h1", "h2"]).filter("rank <> first_rank or row <> first_row").select("row", "at").unionByName(likely.filter("local").select("row", "at"))
     starts = gone.groupBy("row").agg(F.collect_list("at").alias("starts"))
     joined = rows.join(starts.hint("shuffle_hash"), rows["__row"] == starts["row"], "left").select(F.col(id_col), "text", "starts")
-    schema = common.with_id(df.select(F.col(id_col)), id_col, "text string, n_sentences int, n_removed int")
+    schema = common.with_id(df.select(F.col(id_col)), id_col, "text string, n_removed int")
     out = common.arrow_schema(schema)
 
     def remove(batches):
         for b in batches:
             done = [cut(t or "", s or [], run) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield common.batch_of(out, b.column(0), pa.array([None if t is None else d[0] for t, d in zip(b.column(1).to_pylist(), done)], pa.string()), [d[1] for d in done], [d[2] for d in done])
+            yield common.batch_of(out, b.column(0), pa.array([None if t is None else d[0] for t, d in zip(b.column(1).to_pylist(), done)], pa.string()), [d[1] for d in done])
 
     return common.arrow_rows(joined).mapInArrow(remove, schema)
