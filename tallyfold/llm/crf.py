@@ -64,9 +64,8 @@ class Chain:
         return np.array(out[::-1])
 
 
-def fit(sequences: list[np.ndarray], labels: list[np.ndarray], states: int = 2, rounds: int = 200, rate: float = 0.1, l2: float = 1e-3) -> Chain:
-    """Maximum conditional likelihood by Adam over all sequences at once, padded to the longest."""
-    width = sequences[0].shape[1] if sequences else 1
+def fit(sequences: list[np.ndarray], labels: list[np.ndarray], width: int, states: int = 2, rounds: int = 200, rate: float = 0.1, l2: float = 1e-3) -> Chain:
+    """Maximum conditional likelihood by Adam over all sequences of `width` features at once, padded to the longest. Without any, all potentials are 0."""
     chain = Chain(np.zeros((width, states)), np.zeros((states, states)))
     if not sequences:
         return chain

@@ -107,7 +107,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     found = common.arrow_rows(rows.select(F.col("__id").cast("string"), "__text", "__good")).mapInArrow(lines, "key string, good boolean, x array<double>").orderBy(F.xxhash64("key"), "key").limit(FIT_DOCS).collect()
     sequences = [np.array(r["x"]).reshape(-1, 10) for r in found]
-    return crf.fit(sequences, [np.full(len(x), int(not r["good"])) for x, r in zip(sequences, found)])
+    return crf.fit(sequences, [np.full(len(x), int(not r["good"])) for x, r in zip(sequences, found)], 10)
 
 
 def judge(df: DataFrame, chain: crf.Chain, id_col: str = "doc_id", text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:

@@ -174,7 +174,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     sequences = [np.array(r["x"]).reshape(-1, 5) for r in found if r["x"]]
     tags = [((x[:, 1:3].max(axis=1) > 0) & r["toxic"]).astype(int) for r, x in zip([r for r in found if r["x"]], sequences)]
     short = [(x[i : i + 200], y[i : i + 200]) for x, y in zip(sequences, tags) for i in range(0, len(x), 200)]
-    model.chain = crf.fit([x for x, _ in short], [y for _, y in short])
+    model.chain = crf.fit([x for x, _ in short], [y for _, y in short], 5)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def tops(batches):
