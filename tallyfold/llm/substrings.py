@@ -1,8 +1,9 @@
-"""Operator 5: substring deduplication over sliding runs of sentences."""
+"""Operator 5: substring deduplication over sliding runs of sentences and parts of sentences."""
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -12,49 +13,120 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Consecutive sentences of a run, and the words that a run has at least.
+#: Consecutive parts of a run at least, and the words that a run has at least.
 RUN, MIN_WORDS = 3, 10
-#: A sentence of more words is cut after words that their own hash picks, one in CUT_ONE_IN, so that cuts follow the content.
-LONG_SENTENCE, CUT_ONE_IN = 24, 8
-
-_sentence = re.compile(r"[^.!?\n]+[.!?]*")
-_word = re.compile(r"\S+")
+#: A part ends after a word that comes first in the order among all words up to NEAR away. Where such words are two STEPs or more apart,
+#: one STEP and two from both sides as long as no part of fewer words is left, and in the middle of what then is still as long after every word.
+NEAR, STEP = 3, 5
+#: Words of a group of equal short parts.
+GROUP = 4
+
+_word = re.compile(r"(?:[^\s.!?]+[.!?]*|[.!?]+)(?:[^\S\n]*\n)?")
+_HASH = np.uint64((1 << 63) - 1)
+
+
+class _Keys(dict):
+    """Place in the order of each word: words that end a sentence first, then by hash of the lower-case word."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        key = self[word] = xxhash.xxh3_64_intdigest(word.rstrip().lower().encode()) >> 1 | (word[-1] not in ".!?\n") << 63
+        return key
+
+
+_keys = _Keys()
+
+
+def ends(key: np.ndarray) -> np.ndarray:
+    """Numbers of words before each part's end, ascending. They follow from the words around; the text's begin and end count as ends of sentences."""
+    x = np.full(len(key) + 1 + 2 * NEAR, (1 << 64) - 1, np.uint64)
+    x[NEAR] = 0
+    x[NEAR + 1 : -NEAR] = key
+    x[-NEAR - 1] &= _HASH
+    two = np.minimum(x[1:], x[:-1])
+    four = np.minimum(two[2:], two[:-2])
+    to = np.flatnonzero(x[NEAR:-NEAR] == np.minimum(four[NEAR:], four[:-NEAR]))
+    if to[-1] != len(key):
+        to = np.append(to, len(key))
+    lo, hi = to[:-1], to[1:]
+    gap = hi - lo
+    if (gap >= 2 * STEP).any():
+        more = [lo[gap >= 2 * STEP] + STEP, hi[gap >= 3 * STEP] - STEP, lo[gap >= 4 * STEP] + 2 * STEP, hi[gap >= 5 * STEP] - 2 * STEP]
+        more += [np.arange(lo[i] + 2 * STEP, hi[i] - 2 * STEP) for i in np.flatnonzero(gap >= 6 * STEP)]
+        to = np.unique(np.concatenate([to, *more]))
+    return grouped(key, to[1:])
+
+
+def grouped(key: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Ends of parts, where the same part of one or two words comes over and over in groups of GROUP words.
+
+    Groups are dealt from both ends of such a stretch, what is left lies in the middle: near an end of it they depend on that end only,
+    and all groups of a stretch are alike wherever it begins.
+    """
+    size = np.diff(to, prepend=0)
+    same = np.append(False, (size[1:] == size[:-1]) & (size[1:] <= 2) & (key[to[1:] - 1] == key[to[:-1] - 1]))
+    if not same.any():
+        return to
+    two = np.flatnonzero(same & (size == 2))
+    same[two] = key[to[two] - 2] == key[to[two - 1] - 2]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    out, at = [], 0
+    for i, j in zip(edge[::2] - 1, edge[1::2]):  # parts i to j - 1 are equal
+        lo, hi = int(to[i] - size[i]), int(to[j - 1])
+        left, rest = divmod(hi - lo, 2 * GROUP)
+        right = left
+        if rest == 1 and left:  # no part of one word alone
+            left -= 1
+        out += [to[at:i], lo + GROUP * np.arange(1, left + 1), hi - GROUP * np.arange(right, -1, -1)]
+        at = j
+    return np.unique(np.concatenate([*out, to[at:]]))
+
+
+def parts(words: list[str]) -> list[tuple[int, int, bytes]]:
+    """(first word, word after the last, hashes of the words) of each part, in order."""
+    if not words:
+        return []
+    key = np.fromiter(map(_keys.__getitem__, words), np.uint64, len(words))
+    raw = (key & _HASH).tobytes()
+    to = ends(key).tolist()
+    return [(lo, hi, raw[8 * lo : 8 * hi]) for lo, hi in zip([0, *to], to)]
 
 
 def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
-    """(start, end, lower-case words joined by a blank, number of words) of each sentence with a word, in order.
+    """(start, end, hashes of the lower-case words, number of words) of each part, in order.
 
-    A sentence ends after a run of `.`, `!` or `?`, or before a newline; words are runs without white space. Long ones fall into parts.
+    Words are runs without white space; one ends after a run of `.`, `!` or `?`, and with it, or before a newline, a sentence. Parts end
+    with sentences as far as these lie more than NEAR words apart: shorter ones share a part, longer ones fall into several. A part has
+    less than two STEPs of words and follows from the few words around it, so any 51 consecutive words hold a whole run, the same
+    one wherever they stand.
     """
-    out = []
-    for m in _sentence.finditer(text):
-        part = m[0]
-        own = part.split()
-        if not own:
-            continue
-        if len(own) <= LONG_SENTENCE:
-            out.append((m.end() - len(part.lstrip()), m.end(), " ".join(own).lower().encode(), len(own)))
-            continue
-        at = [w.span() for w in _word.finditer(text, *m.span())]
-        lo = 0
-        for i, (s, e) in enumerate(at):
-            last = i == len(at) - 1
-            if last or xxhash.xxh3_64_intdigest(text[s:e].lower()) % CUT_ONE_IN == 0:
-                own = at[lo : i + 1]
-                out.append((own[0][0], m.end() if last else e, " ".join(text[s:e] for s, e in own).lower().encode(), len(own)))
-                lo = i + 1
+    found = list(_word.finditer(text))
+    return [(found[lo].start(), found[hi - 1].start() + len(found[hi - 1][0].rstrip()), own, hi - lo) for lo, hi, own in parts([m[0] for m in found])]
+
+
+def stops(n_words: list[int], run: int, min_words: int) -> list[int]:
+    """For each part that a run begins with, the part after its last: it grows until it has `run` parts and `min_words` words."""
+    total = [0, *accumulate(n_words)]
+    out, j = [], 0
+    for i in range(len(n_words) - run + 1):
+        j = max(j, i + run)
+        while j < len(n_words) and total[j] - total[i] < min_words:
+            j += 1
+        if total[j] - total[i] < min_words:
+            break
+        out.append(j)
     return out
 
 
-def runs(found: list[tuple[int, int, bytes, int]], run: int, min_words: int) -> tuple[list[tuple[int, bytes]], list[int]]:
-    """(first sentence, 128-bit hash) of each run's first occurrence in the text; first sentences of its later ones."""
+def runs(text: str, run: int, min_words: int) -> tuple[list[tuple[int, bytes]], list[int]]:
+    """(first part, 128-bit hash) of each run's first occurrence in the text; first parts of its later ones."""
+    found = parts(_word.findall(text))
+    own = [x[2] for x in found]
     seen: set[bytes] = set()
     first, later = [], []
-    for i in range(len(found) - run + 1):
-        own = found[i : i + run]
-        if sum(x[3] for x in own) < min_words:
-            continue
-        h = xxhash.xxh3_128_digest(b"\n".join(x[2] for x in own))
+    for i, j in enumerate(stops([hi - lo for lo, hi, _ in found], run, min_words)):
+        h = xxhash.xxh3_128_digest(b"\n".join(own[i:j]))
         if h in seen:
             later.append(i)
         else:
@@ -63,12 +135,13 @@ def runs(found: list[tuple[int, int, bytes, int]], run: int, min_words: int) ->
     return first, later
 
 
-def cut(text: str, starts: list[int], run: int) -> tuple[str, int]:
-    """The text without the sentences that runs from these starts cover, and how many those are."""
+def cut(text: str, starts: list[int], run: int, min_words: int) -> tuple[str, int]:
+    """The text without the parts that runs from these starts cover, and how many those are."""
     if not starts:
         return text, 0
     found = sentences(text)
-    gone = {i for s in starts for i in range(s, s + run)}
+    stop = stops([x[3] for x in found], run, min_words)
+    gone = {i for s in starts for i in range(s, stop[s])}
     out, at = [], 0
     for i in sorted(gone):
         s, e = found[i][0], found[i][1]
@@ -78,11 +151,12 @@ def cut(text: str, starts: list[int], run: int) -> tuple[str, int]:
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
-    """id_col, text, n_removed: every document without the sentences of runs that occurred before.
+    """id_col, text, n_removed: every document without the parts (see sentences()) of runs that occurred before, and how many went.
 
     Documents are ordered by id (nulls first), equal ids by an arbitrary but stored order. Of equal runs the first in the first
-    document stays; every sentence covered by any other goes. Null texts stay null; texts of fewer than `run`
-    sentences or runs of fewer than `min_words` words are never cut. Documents left empty stay as rows.
+    document stays; every part covered by any other goes. A run has `run` parts, or as many more as give it `min_words`
+    words; texts of fewer parts or words are never cut. Any passage of over 50 words that occurred before loses a run at
+    least; at its two ends, words that share a part with other text stay. Null texts stay null; documents left empty stay as rows.
 
     Runs meet by hash in one aggregation that keeps only the first document of each (hot runs combine before the
     shuffle); a Bloom filter of bounded size lets only runs that are likely repeated move a second time, to a
@@ -99,7 +173,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
         for b in batches:
             row, rank_, at, high, low, local = [], [], [], [], [], []
             for r, k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                first, later = runs(sentences(text or ""), run, min_words)
+                first, later = runs(text or "", run, min_words)
                 row += [r] * (len(first) + len(later))
                 rank_ += [k] * (len(first) + len(later))
                 at += [i for i, _ in first] + later
@@ -130,7 +204,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
 
     def remove(batches):
         for b in batches:
-            done = [cut(t or "", s or [], run) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            done = [cut(t or "", s or [], run, min_words) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield common.batch_of(out, b.column(0), pa.array([None if t is None else d[0] for t, d in zip(b.column(1).to_pylist(), done)], pa.string()), [d[1] for d in done])
 
     return common.arrow_rows(joined).mapInArrow(remove, schema)

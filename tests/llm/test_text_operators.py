@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyfold.llm import common, decontamination, langid, lines, quality, substrings, tokenization, toxicity
@@ -213,6 +214,34 @@ def test_substrings_equal_brute_force(spark, table):
     assert got == brute_substrings(rows, substrings.RUN, substrings.MIN_WORDS)
 
 
+def repeats(k):
+    """A passage of 51 words, of a shape that depends on k."""
+    r = random.Random(k)
+    w = [f"p{k}x{r.randrange(10**6)}" for _ in range(51)]
+    if k % 5 == 0:
+        return "!! ".join(w)  # sentences of one word
+    if k % 5 == 1:
+        return "\n".join(" ".join(w[i : i + 3]) for i in range(0, 51, 3))  # short lines
+    if k % 5 == 2:
+        return " ".join(w)  # no mark at all
+    if k % 5 == 3:
+        return " ".join(sorted(w, key=lambda x: xxhash.xxh3_64_intdigest(x)))  # hashes in order: no word comes first but the last
+    return " ".join(x + "." * (r.random() < 0.06) for x in w)
+
+
+def test_substrings_see_every_repeat_of_over_50_words(spark):
+    own = lambda r, n: " ".join(f"o{r.randrange(10**9)}" + r.choice(["", "", "", ".", "\n"]) for _ in range(n))
+    texts = []
+    for copy in range(2):
+        r = random.Random(copy)
+        for k in range(300):
+            texts.append(f"{own(r, r.randint(1, 40))} {repeats(k)} {own(r, r.randint(1, 40))}")
+        texts.append(f"{own(r, 9)} {'again ' * 51}{own(r, 9)}")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substrings.dedup(docs(spark, texts)).collect()}
+    assert [i for i in range(300) if got[i] != (texts[i], 0)] == [] and [i for i in range(301, 602) if got[i][1] == 0] == []
+    assert all(w in got[i][0] for i in range(301, 601) for w in texts[i].split() if w.startswith("o"))
+
+
 def test_substrings_of_repeated_ids_keep_one(spark):
     df = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (None, PASSAGE)], "doc_id long, text string")
     got = substrings.dedup(df).collect()
