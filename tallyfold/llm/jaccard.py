@@ -10,8 +10,9 @@
    documents with fewer shared columns than the bound of the smallest size that they can link with. That repeats once.
 4. What is left of a column joins its documents into candidate groups: all links lie inside them. Documents of a group, in order of size,
    form blocks of rows; each pair of blocks whose sizes can link is one product, with exact overlap counts over whole sets.
-   Of its links a spanning forest is returned, so a group of m copies gives m links, not m * m.
-5. Components of those links are the classes' components.
+   All its links are counted, by class and by how many documents the other class has. A spanning forest of them is
+   returned with the counts, so a group of m near copies gives m links and m counts, not m * m.
+5. Components of the forests are the classes' components; a class's counts are summed over its products.
 """
 
 from __future__ import annotations
@@ -228,8 +229,11 @@ def shared_columns(packed: DataFrame, blocks: int) -> DataFrame:
     return common.arrow_rows(packed.repartition(blocks, "block").sortWithinPartitions("block")).mapInArrow(work, "gram long, class long, n long")
 
 
-def forest(names: np.ndarray, sizes: np.ndarray, grams: list[np.ndarray], split: int | None) -> list[tuple[int, int]]:
-    """Links that span the components of a block of documents: exact overlaps of all pairs, or of pairs across `split`."""
+def forest(names: np.ndarray, sizes: np.ndarray, grams: list[np.ndarray], copies: np.ndarray, split: int | None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that span the components of a block of documents, and for each row the documents that it links with.
+
+    Overlaps are exact, of all pairs, or of pairs across `split`; a row stands for `copies` documents.
+    """
     m = len(grams)
     gram = np.concatenate(grams)
     owner = np.repeat(np.arange(m), sizes)
@@ -255,6 +259,10 @@ def forest(names: np.ndarray, sizes: np.ndarray, grams: list[np.ndarray], split:
     ok = 100 * both >= PERCENT * (sizes[i] + sizes[j] - both)
     if split is not None:
         ok &= (i < split) & (j >= split)
+    i, j = i[ok], j[ok]
+    met = np.zeros(m, np.int64)
+    np.add.at(met, i, copies[j])
+    np.add.at(met, j, copies[i])
     root = list(range(m))
 
     def find(x: int) -> int:
@@ -264,16 +272,17 @@ def forest(names: np.ndarray, sizes: np.ndarray, grams: list[np.ndarray], split:
         return x
 
     out = []
-    for x, y in zip(i[ok].tolist(), j[ok].tolist()):
+    for x, y in zip(i.tolist(), j.tolist()):
         a, b = find(x), find(y)
         if a != b:
             root[max(a, b)] = min(a, b)
             out.append((int(names[x]), int(names[y])))
-    return out
+    return out, met
 
 
 def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = ROWS, most_frequent: int = FREQUENT) -> DataFrame:
-    """a, b: links between classes whose components are those of all links."""
+    """a, b, met: links between classes whose components are those of all links, with null met; and, with null b, how many
+    documents of other classes each document of class a links with, in parts that add up to all."""
     entries = stored.filter("grams is not null").agg(F.sum(prefix_column())).head()[0] or 0
     blocks = max(1, -(-entries // column_entries))
     found = common.keep(shared_columns(columns(stored, frequent(stored, most_frequent), blocks), blocks), "columns")
@@ -286,7 +295,7 @@ def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = R
     group = common.keep(found.select("class", "n").distinct().join(group.withColumnRenamed("node", "class"), "class"), "groups")
     count = group.count()
     if not count:
-        return found.select(F.col("class").alias("a"), F.col("least").alias("b"))
+        return found.select(F.col("class").alias("a"), F.col("least").alias("b"), F.lit(None).cast("long").alias("met"))
     # a large group is cut into bands of like size, and a band with too many documents or n-grams is dealt by hash
     fits = (F.col("size") <= rows) & (F.col("weight") <= rows * GRAMS)
     total = group.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.percentile_approx("n", F.array(*[F.lit(x / 64) for x in range(1, 64)]), F.lit(1000)).alias("q"))
@@ -306,7 +315,7 @@ def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = R
         for x in batches:
             yield x.filter(pa.array(active.value.has(x.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    whole = common.arrow_rows(stored.select("class", "grams").filter("grams is not null")).mapInArrow(pick, "class long, grams binary").groupBy("class").agg(F.first("grams").alias("grams"))
+    whole = common.arrow_rows(stored.select("class", "grams").filter("class is not null")).mapInArrow(pick, "class long, grams binary").groupBy("class").agg(F.first("grams", ignorenulls=True).alias("grams"), F.count(F.lit(1)).alias("copies"))
 
     def product(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
@@ -315,11 +324,14 @@ def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = R
         names = table.column("class").to_numpy()[order]
         raw = table.column("grams").to_pylist()
         grams = [np.frombuffer(raw[i], np.uint64) for i in order]
-        found = forest(names, np.array([len(g) for g in grams]), grams, int(first.sum()) if x != y else None)
-        return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+        copies = table.column("copies").to_numpy()[order]
+        found, met = forest(names, np.array([len(g) for g in grams]), grams, copies, int(first.sum()) if x != y else None)
+        some = np.flatnonzero(met)
+        a, b = [p for p, _ in found] + names[some].tolist(), [q for _, q in found] + [None] * len(some)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "met": pa.array([None] * len(found) + met[some].tolist(), pa.int64())})
 
     common.arrow_rows(stored)
-    return jobs.join(whole, "class").groupBy("root", "x", "y").applyInArrow(product, "a long, b long")
+    return jobs.join(whole, "class").groupBy("root", "x", "y").applyInArrow(product, "a long, b long, met long")
 
 
 def _no_block() -> F.Column:
@@ -331,19 +343,22 @@ def prefix_column() -> F.Column:
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
-    """id_col, n_shingles, class, component_id: every document with the least id of those it reaches over links.
+    """id_col, n_shingles, class, n_links, component_id: every document with the number of those it links with, and the least id of those it reaches.
 
     Words are runs without x20 and x09 to x0D, A-Z in lower case; shingles are runs of five words, or all words of a
     shorter text. Two documents link when 100 * intersection >= 80 * union. Null and empty texts have no shingle, no
-    class, and their own id. Repeated rows are rows of one class. Null ids are passed over as least id, unless a component
+    class, no link, and their own id. Rows of equal sets are of one class, and each links with all others of it. Null ids are passed over as least id, unless a component
     has no other.
     """
     stored = sets(df, id_col, text_col)
-    roots = components(links(stored, **bounds), "links")
-    ids = stored.filter("class is not null").groupBy("class").agg(F.min(id_col).alias("least"))
+    found = common.keep(links(stored, **bounds), "products")
+    roots = components(found.select("a", "b"), "links")
+    met = found.filter("met is not null").groupBy(F.col("a").alias("class")).agg(F.sum("met").alias("met"))
+    ids = stored.filter("class is not null").groupBy("class").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies"))
     rooted = ids.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = rooted.join(met, "class", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("met", F.lit(0)))
     rooted = common.keep(rooted, "rooted")
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = rooted.select("class", "root").join(best, "root").select("class", "component_id")
+    final = rooted.select("class", "root", "n_links").join(best, "root").select("class", "n_links", "component_id")
     out = stored.select(id_col, "n", "class").join(final, "class", "left")
-    return out.select(F.col(id_col), F.col("n").alias("n_shingles"), "class", F.when(F.col("class").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select(F.col(id_col), F.col("n").alias("n_shingles"), "class", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("class").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))

@@ -82,6 +82,26 @@ def test_links_at_the_bound_count(spark):
     assert got == brute(rows) and got[3][1] == 1
 
 
+@pytest.mark.parametrize("seed, bounds", [(0, {}), (1, {"column_entries": 50, "rows": 3}), (2, {"column_entries": 300, "rows": 8, "most_frequent": 5})])
+def test_all_links_are_counted(spark, seed, bounds):
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(200)]
+    near = [" ".join(x if i != k else f"own{k}" for i, x in enumerate(base)) for k in range(40)]  # each links with each
+    rows = list(enumerate([*corpus(seed), *near, *near[:7], " ".join(base[:180]), near[0].upper()]))
+    r.shuffle(rows)
+    sets = {i: shingle_set(t) for i, t in rows}
+    want = {i: sum(1 for j in sets if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in sets}
+    got = {x["doc_id"]: x for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **bounds).collect()}
+    assert {i: x["n_links"] for i, x in got.items()} == want and sum(want.values()) // 2 > 40 * 39 // 2
+    assert all((got[i]["class"] == got[j]["class"]) == (sets[i] == sets[j]) for i in sets for j in sets if sets[i] and sets[j])
+
+
+def test_the_query_returns_class_and_links(spark, small):
+    got = queries.op8_jaccard_join(spark, small)
+    assert got.columns == ["doc_id", "n_shingles", "class", "n_links", "component_id"]
+    assert got.filter("class is null and n_links <> 0").count() == 0 and got.filter("n_links > 0").count() > 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_connected_components(spark, seed):
     r = random.Random(seed)
