@@ -60,6 +60,30 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+# Digests (see digests()) of whole licence texts as Debian's base-files has them; of those that close their terms with
+# END OF TERMS AND CONDITIONS also up to there, without the appendix on how to apply them.
+WHOLE = [
+    ("Apache-2.0", "34c508ac7089932978b3a6f692aa3c4adfe5006150950885692bebd83c59a34f"),
+    ("Apache-2.0", "35e94baa4754da544fe27f4cc4eeebf9430709d08c5f93b21cf42331d9aa0b2b"),
+    ("Artistic-1.0-Perl", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "6e4a79b7eaf2cdc3879a899ef330c98026c9d697ee87d41a28ac5159e8e53348"),
+    ("GFDL-1.2", "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
+    ("GFDL-1.3", "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-1.0", "74d0cd23803c9754c36f6ca0e1af411b418ed6b6564e757472bf0d870a1b5d1b"),
+    ("GPL-2.0", "c230c00f329737cb7ce3d97a266318b4c9d4c1fd321335e592b2ce1112179b88"),
+    ("GPL-2.0", "ae49934a47b15ec36e1ce1eb7504b3439c29f0e9be2ed0f60ba20ad7124dcb7c"),
+    ("GPL-3.0", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
+    ("GPL-3.0", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.0", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-2.1", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "b54749b0c07bbeabddbddff412032a998968c1b883e5519575573024b2f1c421"),
+    ("MPL-2.0", "cdb5877b9b73b693216820ac5a0090510c6fd9df7c38876e551b865cce774ddd"),
+]
 
 
 def digests(df: DataFrame, text_col: str) -> DataFrame:
@@ -81,8 +105,9 @@ def digests(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """digest, license_id of the known texts: as many rows as KNOWN has."""
-    return digests(spark.createDataFrame(KNOWN, "license_id string, text string"), "text").select(F.col("__digest").alias("digest"), "license_id").distinct()
+    """digest, license_id of the known texts: as many rows as KNOWN and WHOLE have."""
+    own = digests(spark.createDataFrame(KNOWN, "license_id string, text string"), "text").select(F.col("__digest").alias("digest"), "license_id")
+    return own.unionByName(spark.createDataFrame(WHOLE, "license_id string, digest string")).distinct()
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: DataFrame | None = None) -> DataFrame:

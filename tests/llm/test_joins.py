@@ -1,5 +1,6 @@
 """Operators 6, 7 and 8, components and the pipeline against brute force and SQL."""
 
+import pathlib
 import random
 
 import pytest
@@ -138,6 +139,20 @@ def test_licences(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    at = pathlib.Path("/usr/share/common-licenses")
+    want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    found = {f: (at / f).read_text() for f in want if (at / f).exists()}
+    if not found:
+        pytest.skip("no licence texts on this machine")
+    end = "END OF TERMS AND CONDITIONS"
+    rows = [(f, t) for f, t in found.items()] + [(f, t.upper().replace("\n", "\n# ")) for f, t in found.items() if f == "MPL-2.0"] + [(f, t.partition(end)[0] + end) for f, t in found.items() if end in t]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"], r["license_id"]) for r in got) == sorted((f, want[f]) for f, _ in rows)
+    known = licenses.known(spark)
+    assert known.count() == known.select("digest").distinct().count() > len(licenses.KNOWN)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_queries_equal_their_sql(spark, small, name):
     import duckdb
