@@ -1,8 +1,7 @@
 """A corpus pipeline of five stages, each a function of (spark, docs, sf_dir); its operators are those of tallyfold.llm.
 
 A stage's result is written as Parquet and read again as the next one's docs. All but the last return the columns of
-documents, with n_chars that of the text. Rows without doc_id are judged like others where a stage judges by the row, and
-kept where it judges by id.
+documents, with n_chars that of the text. Every stage judges by the row, also where ids are null or repeated.
 """
 
 from __future__ import annotations
@@ -39,20 +38,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a stored key of their own: ids may be null or repeated."""
+    return common.keep(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text", "lang", "source", "n_chars"), "keyed")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the n-gram Jaccard join, the document of the least id; of its repeated rows, one."""
+    """Of each component of the n-gram Jaccard join, the row of the least id (null ids last); of its rows of that id, one."""
     common.release(spark)
-    kept = common.keep(jaccard.join(docs).filter("doc_id = component_id").select("doc_id").distinct(), "representatives")
-    common.release(spark, but="representatives")  # the sets are no longer needed when whole texts are joined
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select("doc_id", "text", "lang", "source", "n_chars")
+    rows = _keyed(docs)
+    found = jaccard.join(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
+    kept = common.keep(best.select(F.col("best.__row").alias("__row")), "representatives")
+    common.release(spark, "keyed", "representatives")  # the sets are no longer needed when whole texts are joined
+    return rows.join(kept, "__row").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Rows in which no window of a benchmark item occurs."""
     common.release(spark)
-    found = decontamination.phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.filter(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    rows = _keyed(docs)
+    found = decontamination.phrases(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
+    hit = found.filter(F.size("hits") > 0).select("__row")
+    return rows.join(hit, "__row", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

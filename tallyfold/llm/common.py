@@ -45,10 +45,10 @@ def keep(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, but: str | None = None) -> None:
-    """Delete the tables that keep() wrote for this session, but those of one name; call it once what was read from them is stored."""
+def release(spark: SparkSession, *but: str) -> None:
+    """Delete the tables that keep() wrote for this session, but those of the names given; call it once what was read from them is stored."""
     global _written
-    mine = [(s, p) for s, p in _written if s is spark and not (but and p.rpartition("/")[2].startswith(f"{but}-"))]
+    mine = [(s, p) for s, p in _written if s is spark and not p.rpartition("/")[2].startswith(tuple(f"{x}-" for x in but))]
     _written = [x for x in _written if x not in mine]
     for _, path in mine:
         delete(spark, path)

@@ -195,3 +195,15 @@ def test_pipeline_stages(spark, small):
     coded = cp.encode(spark, clean, small)
     assert coded.count() == clean.count() and coded.filter("n_tokens <> size(token_ids)").count() == 0
     assert cp.run(spark, small).count() > 0
+
+
+def test_pipeline_judges_rows_of_null_and_repeated_ids(spark, small):
+    import corpus_pipeline as cp
+
+    leak = spark.read.parquet(f"{small}/benchmark.parquet").filter("length(text) > 200").first()["text"]
+    rows = [(None, "a b c d e f g"), (None, "A b c d e f g"), (1, "one text of its own here"), (1, "another clean text with this id"), (3, "x y z u v w"), (2, "x y z u v w"), (None, leak), (7, leak), (7, "a clean row that shares its id")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"].lower()) for r in cp.near_duplicates(spark, df, small).collect())
+    assert got == sorted([(0, "a b c d e f g"), (1, rows[2][1]), (1, rows[3][1]), (2, "x y z u v w"), (7, leak.lower()), (7, rows[8][1])])
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in cp.decontaminate(spark, df, small).collect())
+    assert got == sorted((i or 0, t) for i, t in rows if t != leak)
