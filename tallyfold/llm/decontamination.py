@@ -249,7 +249,10 @@ def proximity(df: DataFrame, queries: list[str], within: int, id_col: str = "doc
                 for q, terms in enumerate(wanted):
                     if not terms or any(t not in lists for t in terms):
                         continue
-                    docs = set.intersection(*(set(owners[slice(*lists[t])].tolist()) for t in terms))  # from the rarest by count
+                    rare, *others = sorted(terms, key=lambda t: lists[t][1] - lists[t][0])
+                    docs = set(owners[slice(*lists[rare])].tolist())
+                    for t in others:  # in order of list length
+                        docs.intersection_update(owners[slice(*lists[t])].tolist())
                     for d in sorted(docs):
                         spots = sorted((int(p), t) for t in terms for p in places[slice(*lists[t])][owners[slice(*lists[t])] == d])
                         found += [(ids[d], q, s, e) for s, e in stretches(spots, len(terms), within)]
