@@ -11,15 +11,27 @@ from ..schema import EXTRACTED, LINE
 SYNTHETIC = "<synthetic>"
 
 
-def identify(lines: DataFrame, value_col: str = "value") -> DataFrame:
+def parse(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """lines with __j: the parsed line, null for one that is not one JSON object of the known types.
+
+    The object passes through a one-element explode: Spark moves no expression across it, so each line is parsed once and not
+    once for each column that is taken from it.
+    """
+    parsed = lines.select("*", F.explode(F.array(F.from_json(F.col(value_col), LINE, {"columnNameOfCorruptRecord": "_corrupt"}))).alias("__j"))
+    return parsed.withColumn("__j", F.when(F.col("__j._corrupt").isNull(), F.col("__j")))
+
+
+def identify(lines: DataFrame, value_col: str = "value", readable: bool = False) -> DataFrame:
     """lines with the columns of schema.EXTRACTED: null for what a line lacks, 0 for token counts.
 
     A line that is not one JSON object of the known types yields no columns at all. Request, model and tokens are filled
     on billable lines only: assistant lines with a model other than the synthetic one, a usage object and a request id.
+    With readable, a line without an object is left out instead.
     """
     j = F.col("__j")
-    parsed = lines.drop(*EXTRACTED).withColumn("__j", F.from_json(F.col(value_col), LINE, {"columnNameOfCorruptRecord": "_corrupt"}))
-    parsed = parsed.withColumn("__j", F.when(F.col("__j._corrupt").isNull(), F.col("__j")))
+    parsed = parse(lines.drop(*EXTRACTED), value_col)
+    if readable:
+        parsed = parsed.filter(j.isNotNull())
     usage = j["message"]["usage"]
     model = strip(j["message"]["model"])
     billable = F.coalesce((j["type"] == "assistant") & (model != "") & (model != SYNTHETIC) & usage.isNotNull() & (j["requestId"] != ""), F.lit(False))

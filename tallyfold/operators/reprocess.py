@@ -27,12 +27,11 @@ def unfinished(records: DataFrame, marks: DataFrame, version: int) -> DataFrame:
 def changed(records: DataFrame) -> DataFrame:
     """origin_id, seq and REWRITTEN as extracted now, where one differs from what is stored. Unreadable bodies are skipped."""
     old = records.select("origin_id", "seq", "sealed", F.struct(*REWRITTEN).alias("__old")).filter(F.col("sealed").isNotNull())
-    now = identify(old, "sealed")
-    readable = F.from_json("sealed", "type string, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    now = identify(old, "sealed", readable=True)
     differs = F.lit(False)
     for c in REWRITTEN:
         differs = differs | ~F.col(c).eqNullSafe(F.col(f"__old.{c}"))
-    return now.withColumn("__r", readable).filter(F.col("__r").isNotNull() & F.col("__r._corrupt").isNull()).filter(differs).select("origin_id", "seq", *REWRITTEN)
+    return now.filter(differs).select("origin_id", "seq", *REWRITTEN)
 
 
 def apply(records: DataFrame, changes: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .functions import versions
 from .operators import archive, fold, identify, peers, projects, replication, reprocess
-from .plans import daily, delivery, summary
+from .plans import daily, delivery, status, summary
+from .operators.pricing import dollars
+from .shared import keep, new_path
 from .sources import bundles, prices, surrogate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,19 +32,25 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-R = surrogate.records
+def R(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of sf_dir: surrogate records, stored once for each session, as an archive is."""
+    return surrogate.archive(spark, sf_dir)
 
 
 def _prices_sql() -> str:
+    """Rates in millionths of a dollar per million tokens: 1e-12 dollars a token."""
     d = prices.DEFAULT_RATES
-    rows = ", ".join(f"('{i}', {a}::DOUBLE, {b}::DOUBLE, {c if c is not None else f'{a}::DOUBLE * {d['cache_read']}::DOUBLE'}::DOUBLE, {a}::DOUBLE * {d['cache_write_5m']}::DOUBLE, {a}::DOUBLE * {d['cache_write_1h']}::DOUBLE)" for i, a, b, c in prices.RATES)
-    return f"SELECT * FROM (VALUES {rows}) t(id, input, output, p_read, p_5m, p_1h)"
+    unit = lambda x: round(x * 1e6)
+    rows = ", ".join(f"('{i}', {unit(a)}, {unit(b)}, {unit(c if c is not None else a * d['cache_read'])}, {unit(a * d['cache_write_5m'])}, {unit(a * d['cache_write_1h'])})" for i, a, b, c in prices.RATES)
+    return f"SELECT id, input::HUGEINT AS input, output::HUGEINT AS output, p_read::HUGEINT AS p_read, p_5m::HUGEINT AS p_5m, p_1h::HUGEINT AS p_1h FROM (VALUES {rows}) t(id, input, output, p_read, p_5m, p_1h)"
 
 
 _SUMS = "CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write5m) AS BIGINT) AS cache_write5m, CAST(sum(cache_write1h) AS BIGINT) AS cache_write1h"
 _NORM = "regexp_replace(split_part(trim(model), '[', 1), '-[0-9]{8}$', '')"
-_COST = "coalesce((input_tokens * p.input + output_tokens * p.output + cache_read * p.p_read + cache_write5m * p.p_5m + cache_write1h * p.p_1h) / 1e6, 0)"
-_UNCACHED = "coalesce(((input_tokens + cache_read + cache_write5m + cache_write1h) * p.input + output_tokens * p.output) / 1e6, 0)"
+_COST = "coalesce(input_tokens * p.input + output_tokens * p.output + cache_read * p.p_read + cache_write5m * p.p_5m + cache_write1h * p.p_1h, 0)"
+_UNCACHED = "coalesce((input_tokens + cache_read + cache_write5m + cache_write1h) * p.input + output_tokens * p.output, 0)"
+_USD = "CAST({} AS DOUBLE) / 1e12".format
+_PARTS = delivery.PARTS
 _BASE = f"""
 WITH records AS ({surrogate.sql(surrogate.DUCKDB)}),
 folded AS (SELECT request_id, unnest(arg_min(struct_pack(model := model, session_id := session_id, origin_id := origin_id, day := substr(coalesce(captured_at, ''), 1, 10), cwd := cwd, git_branch := git_branch,
@@ -52,27 +58,27 @@ folded AS (SELECT request_id, unnest(arg_min(struct_pack(model := model, session
              origin_id || ':' || lpad(CAST(seq AS VARCHAR), 20, '0'))) FROM records WHERE request_id IS NOT NULL GROUP BY request_id),
 prices AS ({_prices_sql()}),
 models AS (SELECT coalesce(model, 'unknown') AS model, count(*) AS requests, {_SUMS}, CAST(sum(think_tokens) AS BIGINT) AS think_tokens FROM folded GROUP BY ALL),
-priced AS (SELECT m.*, p.id IS NOT NULL AS priced, {_COST} AS cost_usd, {_UNCACHED} AS uncached_cost_usd FROM models m LEFT JOIN prices p ON {_NORM} = p.id),
+priced AS (SELECT m.*, p.id IS NOT NULL AS priced, {_COST} AS units, {_UNCACHED} AS uncached FROM models m LEFT JOIN prices p ON {_NORM} = p.id),
 grid AS (SELECT day, coalesce(model, 'unknown') AS model, coalesce(origin_id, '') AS origin_id, coalesce(session_id, '') AS session_id, coalesce(cwd, '') AS cwd, coalesce(git_branch, '') AS git_branch, count(*) AS requests, {_SUMS}
          FROM folded WHERE day <> '' GROUP BY ALL),
-cells AS (SELECT g.*, p.id IS NOT NULL AS priced, {_COST} AS cost_usd FROM grid g LEFT JOIN prices p ON {_NORM} = p.id),
+cells AS (SELECT g.*, p.id IS NOT NULL AS priced, {_COST} AS units FROM grid g LEFT JOIN prices p ON {_NORM} = p.id),
 links AS (SELECT DISTINCT session_id, pr_repo, pr_number FROM records WHERE pr_repo IS NOT NULL AND session_id IS NOT NULL),
 weights AS (SELECT session_id, count(*) AS pr_count FROM links GROUP BY session_id),
 per_session AS (SELECT session_id, model, count(*) AS requests, {_SUMS} FROM folded WHERE session_id IS NOT NULL GROUP BY session_id, model),
 split AS (SELECT pr_repo, pr_number, coalesce(model, 'unknown') AS model, CAST(sum(requests) AS BIGINT) AS requests, count(*) AS sessions, CAST(sum(CASE WHEN pr_count > 1 THEN requests ELSE 0 END) AS BIGINT) AS shared_requests,
-            CAST(sum(output_tokens) AS BIGINT) AS output_total, sum(input_tokens::DOUBLE / pr_count) AS i, sum(output_tokens::DOUBLE / pr_count) AS o, sum(cache_read::DOUBLE / pr_count) AS r, sum(cache_write5m::DOUBLE / pr_count) AS w5, sum(cache_write1h::DOUBLE / pr_count) AS w1
+            CAST(sum(output_tokens) AS BIGINT) AS output_total, {", ".join(f"sum({c} // pr_count) AS {c}_whole, sum(CAST({c} % pr_count * ({_PARTS} // pr_count) AS HUGEINT)) AS {c}_parts" for c in delivery.SPLIT)}
           FROM per_session JOIN links USING (session_id) JOIN weights USING (session_id) GROUP BY ALL),
 named(cwd, project) AS (VALUES ('/srv/repo0', 'repo0'), ('/srv/repo0/out/build/rel', 'repo0'), (replace('D:/repo1/.claude/worktrees/issue-12', '/', chr(92)), 'repo1'), ('/srv/repo2-issue-15', 'repo2'), ('/', ''), ('/srv/widget-shop', 'widget-shop'), ('', '')),
 prs AS (SELECT session_id, list_sort(list(DISTINCT pr_repo || '#' || CAST(pr_number AS VARCHAR))) AS pull_requests, list_sort(list(DISTINCT pr_repo)) AS repos FROM links GROUP BY session_id),
 wide AS (SELECT c.*, project, coalesce(pull_requests, []) AS pull_requests FROM cells c LEFT JOIN named USING (cwd) LEFT JOIN prs USING (session_id) WHERE priced),
-parts AS (SELECT day, cost_usd, unnest([{{'stack': 'model', 'keys': [model]}}, {{'stack': 'project', 'keys': [coalesce(nullif(project, ''), '__none__')]}}, {{'stack': 'branch', 'keys': [coalesce(nullif(git_branch, ''), '__none__')]}},
+parts AS (SELECT day, units, unnest([{{'stack': 'model', 'keys': [model]}}, {{'stack': 'project', 'keys': [coalesce(nullif(project, ''), '__none__')]}}, {{'stack': 'branch', 'keys': [coalesce(nullif(git_branch, ''), '__none__')]}},
             {{'stack': 'pull_request', 'keys': CASE WHEN len(pull_requests) = 0 THEN ['__none__'] ELSE pull_requests END}}, {{'stack': 'session', 'keys': [coalesce(nullif(session_id, ''), '__none__')]}}, {{'stack': 'peer', 'keys': [origin_id]}}]) AS d FROM wide),
-costs AS (SELECT stack, day, key, sum(c) AS cost_usd FROM (SELECT d.stack AS stack, day, unnest(d.keys) AS key, cost_usd / len(d.keys) AS c FROM parts) GROUP BY ALL),
-ranks AS (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY total_usd DESC, key) AS rank FROM (SELECT stack, key, round(sum(cost_usd), 8) AS total_usd FROM costs GROUP BY ALL)),
-segments AS (SELECT stack, rank, key, total_usd FROM ranks WHERE rank <= 6
-             UNION ALL SELECT stack, 7, '__other__', round(sum(total_usd), 6) FROM ranks WHERE rank > 6 GROUP BY stack HAVING round(sum(total_usd), 6) > 0),
+costs AS (SELECT stack, day, key, sum(c) AS units FROM (SELECT d.stack AS stack, day, unnest(d.keys) AS key, (2 * units + len(d.keys)) // (2 * len(d.keys)) AS c FROM parts) GROUP BY ALL),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY stack ORDER BY total DESC, key) AS rank FROM (SELECT stack, key, sum(units) AS total FROM costs GROUP BY ALL)),
+segments AS (SELECT stack, rank, key, total FROM ranks WHERE rank <= 6
+             UNION ALL SELECT stack, 7, '__other__', sum(total) FROM ranks WHERE rank > 6 GROUP BY stack HAVING sum(total) > 0),
 vector AS (SELECT origin_id, max(seq) AS seq FROM records GROUP BY origin_id),
-peer_records AS (SELECT origin_id, seq, CASE WHEN seq % 997 = 0 THEN sha256(content_hash) ELSE content_hash END AS content_hash FROM records WHERE seq <= 2000 OR origin_id = 'node1'),
+peer_records AS (SELECT origin_id, records.seq AS seq, CASE WHEN records.seq % 997 = 0 THEN sha256(content_hash) ELSE content_hash END AS content_hash FROM records JOIN vector v USING (origin_id) WHERE records.seq * 10 <= v.seq * 9 OR origin_id = 'node1'),
 peer_vector AS (SELECT origin_id, max(seq) AS seq FROM peer_records WHERE origin_id <> 'node3' GROUP BY origin_id)
 """
 
@@ -82,8 +88,10 @@ def _digest_sql(table: str) -> str:
 
 
 def _peer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A replica that lags behind and differs in some records."""
-    return R(spark, sf_dir).select("origin_id", "seq", F.when(F.col("seq") % 997 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")).alias("content_hash")).filter("seq <= 2000 or origin_id = 'node1'")
+    """A replica that lags behind by a tenth of each origin but one, and differs in some records."""
+    r = R(spark, sf_dir).select("origin_id", "seq", F.when(F.col("seq") % 997 == 0, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")).alias("content_hash"))
+    top = replication.version_vector(r).withColumnRenamed("seq", "__top")
+    return r.join(F.broadcast(top), "origin_id").filter("seq * 10 <= __top * 9 or origin_id = 'node1'").drop("__top")  # a row for each origin
 
 
 def _peer_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,26 +115,18 @@ def request_fold(spark, sf_dir):
     return fold.fold(R(spark, sf_dir))
 
 
-@query(f"{_BASE} SELECT * FROM priced")
+@query(f"{_BASE} SELECT * EXCLUDE (units, uncached), {_USD('units')} AS cost_usd, {_USD('uncached')} AS uncached_cost_usd FROM priced")
 def model_totals(spark, sf_dir):
     return summary.summary_models(R(spark, sf_dir), prices.load(spark))
 
 
 @query(
-    f"""{_BASE} SELECT CAST(sum(requests) AS BIGINT) AS requests, sum(cost_usd) AS total_cost_usd, sum(uncached_cost_usd) AS total_uncached_cost_usd, sum(cache_read)::DOUBLE / sum(cache_read + input_tokens + cache_write5m + cache_write1h) AS cache_hit_rate,
+    f"""{_BASE} SELECT CAST(sum(requests) AS BIGINT) AS requests, {_USD('sum(units)')} AS total_cost_usd, {_USD('sum(uncached)')} AS total_uncached_cost_usd, sum(cache_read)::DOUBLE / sum(cache_read + input_tokens + cache_write5m + cache_write1h) AS cache_hit_rate,
     list(model ORDER BY output_tokens DESC, model) FILTER (WHERE NOT priced) AS unpriced_models, (SELECT count(*) FROM records) AS lines, (SELECT count(request_id) FROM records) AS assistant_lines,
-    sum(uncached_cost_usd) - sum(cost_usd) AS cache_savings_usd, (SELECT count(request_id) FROM records)::DOUBLE / sum(requests) AS inflation FROM priced"""
+    {_USD('(sum(uncached) - sum(units))')} AS cache_savings_usd, (SELECT count(request_id) FROM records)::DOUBLE / sum(requests) AS inflation FROM priced"""
 )
 def summary_totals(spark, sf_dir):
-    out = summary.summary_totals(R(spark, sf_dir), prices.load(spark))
-    return _rounded(out, "total_cost_usd", "total_uncached_cost_usd", "cache_savings_usd")
-
-
-def _rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + 1e-9, digits) for c in cols})  # sums of halves differ in their last bits by order
-
-
-SQL["summary_totals"] = f"SELECT * REPLACE (round(total_cost_usd + 1e-9, 6) AS total_cost_usd, round(total_uncached_cost_usd + 1e-9, 6) AS total_uncached_cost_usd, round(cache_savings_usd + 1e-9, 6) AS cache_savings_usd) FROM ({SQL['summary_totals']})"
+    return summary.summary_totals(R(spark, sf_dir), prices.load(spark))
 
 
 @query(f"{_BASE} SELECT count(*) AS lines, count(request_id) AS assistant_lines FROM records")
@@ -139,9 +139,9 @@ def daily_grid(spark, sf_dir):
     return fold.daily_grid(fold.fold(R(spark, sf_dir)))
 
 
-@query(f"{_BASE} SELECT day, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost_usd) + 1e-9, 6) AS cost_usd FROM cells GROUP BY day")
+@query(f"{_BASE} SELECT day, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_USD('sum(units)')} AS cost_usd FROM cells GROUP BY day")
 def days(spark, sf_dir):
-    return _rounded(daily.days(R(spark, sf_dir), prices.load(spark)), "cost_usd")
+    return daily.days(daily.priced_grid(R(spark, sf_dir), prices.load(spark)))
 
 
 @query(f"{_BASE} SELECT * FROM per_session")
@@ -154,20 +154,20 @@ def link_weights(spark, sf_dir):
     return delivery.link_weights(R(spark, sf_dir))
 
 
-@query(f"{_BASE} SELECT pr_repo, pr_number, model, requests, sessions, shared_requests, output_total, round(i + 1e-9, 6) AS input_tokens_share, round(o + 1e-9, 6) AS output_tokens_share, round(r + 1e-9, 6) AS cache_read_share, round(w5 + 1e-9, 6) AS cache_write5m_share, round(w1 + 1e-9, 6) AS cache_write1h_share FROM split")
+@query(f"{_BASE} SELECT pr_repo, pr_number, model, requests, sessions, shared_requests, output_total, {', '.join(f'{c}_whole::DOUBLE + {c}_parts::DOUBLE / {_PARTS}::DOUBLE AS {c}_share' for c in delivery.SPLIT)} FROM split")
 def delivery_totals(spark, sf_dir):
-    return _rounded(delivery.delivery_totals(R(spark, sf_dir)), *[f"{c}_share" for c in delivery.SPLIT])
+    return delivery.delivery_totals(R(spark, sf_dir))
 
 
 @query(
-    f"""{_BASE}, whole AS (SELECT pr_repo, pr_number, model, requests, shared_requests, output_total, CAST(floor(i + 1e-9) AS BIGINT) AS input_tokens, CAST(floor(o + 1e-9) AS BIGINT) AS output_tokens, CAST(floor(r + 1e-9) AS BIGINT) AS cache_read, CAST(floor(w5 + 1e-9) AS BIGINT) AS cache_write5m, CAST(floor(w1 + 1e-9) AS BIGINT) AS cache_write1h FROM split),
-    c AS (SELECT pr_repo, pr_number, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(shared_requests) AS BIGINT) AS shared_requests, CAST(sum(output_total) AS BIGINT) AS output_tokens, round(sum({_COST}) + 1e-9, 4) AS cost_usd, bool_and(p.id IS NOT NULL) AS all_priced
+    f"""{_BASE}, whole AS (SELECT pr_repo, pr_number, model, requests, shared_requests, output_total, {', '.join(f'{c}_whole + {c}_parts // {_PARTS} AS {c}' for c in delivery.SPLIT)} FROM split),
+    c AS (SELECT pr_repo, pr_number, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(shared_requests) AS BIGINT) AS shared_requests, CAST(sum(output_total) AS BIGINT) AS output_tokens, {_USD(f'sum({_COST})')} AS cost_usd, bool_and(p.id IS NOT NULL) AS all_priced
           FROM whole LEFT JOIN prices p ON {_NORM} = p.id GROUP BY ALL),
     s AS (SELECT pr_repo, pr_number, count(*) AS sessions, count(*) FILTER (WHERE pr_count > 1) AS shared_sessions FROM links JOIN weights USING (session_id) WHERE session_id IN (SELECT session_id FROM per_session) GROUP BY ALL)
     SELECT * FROM c JOIN s USING (pr_repo, pr_number)"""
 )
 def pull_requests(spark, sf_dir):
-    return _rounded(delivery.pull_requests(R(spark, sf_dir), prices.load(spark)), "cost_usd", digits=4)
+    return delivery.pull_requests(R(spark, sf_dir), prices.load(spark))
 
 
 @query(f"{_BASE} SELECT count(*) FILTER (WHERE session_id IN (SELECT session_id FROM links)) AS attributed, count(*) AS total, count(*) FILTER (WHERE session_id IN (SELECT session_id FROM links))::DOUBLE / count(*) AS share FROM folded")
@@ -177,7 +177,8 @@ def attributed_share(spark, sf_dir):
 
 @query(f"{_BASE} SELECT cwd, project FROM named")
 def project_resolution(spark, sf_dir):
-    return daily.projects(R(spark, sf_dir))
+    r = R(spark, sf_dir)
+    return daily.projects(keep(fold.daily_grid(fold.fold(r)), "grid"), daily.session_links(r))
 
 
 @query(f"{_BASE} SELECT * FROM prs")
@@ -191,44 +192,55 @@ def session_links(spark, sf_dir):
     WHERE coalesce(CASE WHEN n = 1 THEN p END, CASE WHEN len(repos) = 1 THEN split_part(repos[1], '/', 2) END) IS NOT NULL"""
 )
 def session_projects(spark, sf_dir):
-    return daily.session_projects(R(spark, sf_dir))
+    r = R(spark, sf_dir)
+    return daily.session_projects(keep(fold.daily_grid(fold.fold(r)), "grid"), keep(daily.session_links(r), "links"))
+
 
+def _report(spark, sf_dir) -> daily.Report:
+    return daily.report(R(spark, sf_dir), prices.load(spark))
 
-@query(f"{_BASE} SELECT stack, day, key, round(cost_usd + 1e-9, 6) AS cost_usd FROM costs")
+
+@query(f"{_BASE} SELECT stack, day, key, {_USD('units')} AS cost_usd FROM costs")
 def stack_costs(spark, sf_dir):
-    return _rounded(daily.costs(R(spark, sf_dir), prices.load(spark)), "cost_usd")
+    return _report(spark, sf_dir).cost.withColumn("cost_usd", dollars("cost_usd"))
 
 
-@query(f"{_BASE} SELECT stack, CAST(rank AS INTEGER) AS rank, key, round(total_usd + 1e-9, 5) AS total_usd FROM segments")
+@query(f"{_BASE} SELECT stack, CAST(rank AS INTEGER) AS rank, key, {_USD('total')} AS total_usd FROM segments")
 def legend_segments(spark, sf_dir):
-    return _rounded(daily.legend(daily.costs(R(spark, sf_dir), prices.load(spark))), "total_usd", digits=5)
+    return _report(spark, sf_dir).segments
 
 
-@query(
-    f"""{_BASE} SELECT stack, day, CAST(rank AS INTEGER) AS rank, key, round(sum(cost_usd) + 1e-9, 5) AS cost_usd
-    FROM (SELECT c.stack, day, coalesce(s.rank, 7) AS rank, CASE WHEN s.key IS NULL THEN '__other__' ELSE c.key END AS key, cost_usd FROM costs c LEFT JOIN (SELECT * FROM segments WHERE key <> '__other__') s ON c.stack = s.stack AND c.key = s.key) GROUP BY ALL HAVING sum(cost_usd) <> 0"""
-)
+_SHARES = f"""SELECT stack, day, CAST(rank AS INTEGER) AS rank, key, {_USD('sum(units)')} AS cost_usd
+    FROM (SELECT c.stack, day, coalesce(s.rank, 7) AS rank, CASE WHEN s.key IS NULL THEN '__other__' ELSE c.key END AS key, units FROM costs c LEFT JOIN (SELECT * FROM segments WHERE key <> '__other__') s ON c.stack = s.stack AND c.key = s.key) GROUP BY ALL HAVING sum(units) <> 0"""
+
+
+@query(f"{_BASE} {_SHARES}")
 def day_shares(spark, sf_dir):
-    cost = daily.costs(R(spark, sf_dir), prices.load(spark))
-    return _rounded(daily.shares(cost, daily.legend(cost)), "cost_usd", digits=5)
+    made = _report(spark, sf_dir)
+    return daily.shares(made.cost, made.segments)
 
 
 @query(
     f"""{_BASE}, sp AS (SELECT session_id, coalesce(CASE WHEN n = 1 THEN p END, CASE WHEN len(repos) = 1 THEN split_part(repos[1], '/', 2) END) AS project
       FROM (SELECT session_id, count(DISTINCT project) AS n, min(project) AS p FROM grid JOIN named USING (cwd) WHERE session_id <> '' AND project <> '' GROUP BY 1) FULL JOIN prs USING (session_id))
-    SELECT stack, CAST(rank AS INTEGER) AS rank, key, round(total_usd + 1e-9, 5) AS total_usd, CASE WHEN key = '__none__' THEN CASE stack WHEN 'project' THEN 'No project' WHEN 'branch' THEN 'No branch' WHEN 'pull_request' THEN 'No pull request' WHEN 'session' THEN 'No session' ELSE 'Unattributed' END
+    SELECT stack, CAST(rank AS INTEGER) AS rank, key, {_USD('total')} AS total_usd, CASE WHEN key = '__none__' THEN CASE stack WHEN 'project' THEN 'No project' WHEN 'branch' THEN 'No branch' WHEN 'pull_request' THEN 'No pull request' WHEN 'session' THEN 'No session' ELSE 'Unattributed' END
       WHEN key = '__other__' THEN 'Other' WHEN stack = 'session' THEN substr(key, 1, 8) || coalesce(' · ' || project, '') WHEN stack = 'peer' THEN CASE WHEN key = 'node0' THEN 'this machine' WHEN key = 'node1' THEN 'alpha' WHEN key = 'node2' THEN 'beta.lan' ELSE substr(key, 1, 8) END ELSE key END AS label
     FROM segments s LEFT JOIN sp ON s.stack = 'session' AND s.key = sp.session_id"""
 )
 def labelled_segments(spark, sf_dir):
-    r = R(spark, sf_dir)
+    made = _report(spark, sf_dir)
     names = peers.peer_names(_peers(spark), _hostnames(spark))
-    return _rounded(daily.labelled(daily.legend(daily.costs(r, prices.load(spark))), daily.session_projects(r), names, _SELF), "total_usd", digits=5)
+    return daily.labelled(made.segments, keep(daily.session_projects(made.grid, made.links), "session-projects"), names, _SELF)
 
 
-@query()
+@query(
+    f"""{_BASE}, shares AS ({_SHARES}), nested AS (SELECT day, list(stack || ':' || key ORDER BY stack, rank, key) AS share_keys, list(cost_usd ORDER BY stack, rank, key) AS share_costs FROM shares GROUP BY day)
+    SELECT d.*, share_keys, share_costs FROM (SELECT day, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_USD('sum(units)')} AS cost_usd FROM cells GROUP BY day) d LEFT JOIN nested USING (day)"""
+)
 def activity(spark, sf_dir):
-    return daily.activity(R(spark, sf_dir), prices.load(spark))
+    """The nested shares of each day as two lists, so that SQL can say the same."""
+    each = lambda f: F.flatten(F.transform(F.map_entries("shares"), lambda e: F.transform(e.value, lambda p: f(e, p))))
+    return daily.activity(_report(spark, sf_dir)).withColumns({"share_keys": each(lambda e, p: F.concat(e.key, F.lit(":"), p.key)), "share_costs": each(lambda e, p: p.cost_usd)}).drop("shares")
 
 
 @query(f"{_BASE} SELECT origin_id, seq FROM vector UNION ALL SELECT 'node9', 0")
@@ -364,7 +376,8 @@ def _peers(spark):
         ("node2", ["10.0.0.4:7000", "[fe80::2]:7000", "10.0.0.2:7000"], "2026-01-01 10:00:00", False, "2026-01-01 09:00:00", "", {"node2": 7}, "", "v1.10.0"),
         ("node3", ["10.0.0.3:7000"], "2026-01-01 10:00:00", True, "2026-01-01 11:59:59", "dial: refused", {}, "", "dev"),
         ("static:10.0.0.3:7000", ["10.0.0.3:7000"], "2026-01-01 10:00:00", True, None, "", None, "", ""),
-        ("static:10.0.0.8:7000", ["10.0.0.8:7000"], "2026-01-01 10:00:00", True, None, "", None, "", ""),
+        ("static:10.0.0.8:7000", ["10.0.0.8:7000"], "2026-01-01 10:00:00", True, None, "dial: no route", None, "", ""),
+        ("node5", [], "2026-01-01 10:00:00", False, None, "", None, "", "v0.9.0"),
     ]
     df = spark.createDataFrame(rows, "peer_id string, addrs array<string>, last_seen string, static boolean, last_converged string, last_error string, last_vector map<string,long>, hostname string, version string")
     return df.withColumns({c: F.to_timestamp(c) for c in ("last_seen", "last_converged")})
@@ -374,7 +387,7 @@ def _hostnames(spark):
     return spark.createDataFrame([("10.0.0.2", "gamma.lan", "2026-01-01 11:00:00"), ("fe80::2", "beta.lan", "2025-12-31 11:00:00"), ("10.0.0.4", "", "2026-01-01 10:30:00")], "ip string, hostname string, resolved_at string").withColumn("resolved_at", F.to_timestamp("resolved_at"))
 
 
-@query("VALUES ('node0', NULL), ('node1', 'alpha'), ('node2', 'beta.lan'), ('node3', NULL), ('static:10.0.0.3:7000', NULL), ('static:10.0.0.8:7000', NULL)")
+@query("VALUES ('node0', NULL), ('node1', 'alpha'), ('node2', 'beta.lan'), ('node3', NULL), ('static:10.0.0.3:7000', NULL), ('static:10.0.0.8:7000', NULL), ('node5', NULL)")
 def peer_names(spark, sf_dir):
     return peers.peer_names(_peers(spark), _hostnames(spark))
 
@@ -382,18 +395,28 @@ def peer_names(spark, sf_dir):
 SQL["peer_names"] = f"SELECT * FROM ({SQL['peer_names']}) t(peer_id, name)"
 
 
+_HEALTH = f"""p(peer_id, label, reach, since, n0, n1, n2, known) AS (VALUES ('node1', 'alpha (node1)', 'current', 1800, 10, 5000, 0, true), ('node2', 'node2', 'stale', 10800, 0, 0, 7, true), ('node3', 'node3', 'failing', 1, 0, 0, 0, true),
+      ('static:10.0.0.8:7000', 'static:10.0.0.8:7000', 'never', NULL, 0, 0, 0, false), ('node5', 'node5', 'never', NULL, 0, 0, 0, false)),
+    l AS (SELECT p.*, v.seq AS m, CASE v.origin_id WHEN 'node0' THEN n0 WHEN 'node1' THEN n1 WHEN 'node2' THEN n2 ELSE 0 END AS t FROM p, vector v),
+    health AS (SELECT peer_id, label, reach, CAST(since AS BIGINT) AS since_converged, CAST(CASE WHEN known THEN sum(greatest(t - m, 0)) END AS BIGINT) AS behind, CAST(CASE WHEN known THEN sum(greatest(m - t, 0)) END AS BIGINT) AS ahead FROM l GROUP BY peer_id, label, reach, since, known)"""
+
+
+def _health(spark, sf_dir):
+    return peers.peer_health(_peers(spark), replication.version_vector(R(spark, sf_dir)), _SELF, F.expr(_NOW), _hostnames(spark))
+
+
 @query(
-    f"""{_BASE}, p(peer_id, reach, n0, n1, n2, known) AS (VALUES ('node1', 'current', 10, 5000, 0, true), ('node2', 'stale', 0, 0, 7, true), ('node3', 'failing', 0, 0, 0, true), ('static:10.0.0.8:7000', 'never', 0, 0, 0, false)),
-    l AS (SELECT peer_id, reach, known, v.seq AS m, CASE v.origin_id WHEN 'node0' THEN n0 WHEN 'node1' THEN n1 WHEN 'node2' THEN n2 ELSE 0 END AS t FROM p, vector v)
-    SELECT peer_id, reach, CAST(CASE WHEN known THEN sum(greatest(t - m, 0)) END AS BIGINT) AS behind, CAST(CASE WHEN known THEN sum(greatest(m - t, 0)) END AS BIGINT) AS ahead FROM l GROUP BY peer_id, reach, known"""
+    f"""{_BASE}, {_HEALTH}
+    SELECT h.*, a.addrs FROM health h JOIN (VALUES ('node1', ['10.0.0.1:7000=']), ('node2', ['10.0.0.4:7000=', '[fe80::2]:7000=beta.lan', '10.0.0.2:7000=gamma.lan']), ('node3', ['10.0.0.3:7000=']), ('static:10.0.0.8:7000', ['10.0.0.8:7000=']), ('node5', CAST([] AS VARCHAR[]))) a(peer_id, addrs) USING (peer_id)"""
 )
 def peer_health(spark, sf_dir):
-    return peers.peer_health(_peers(spark), replication.version_vector(R(spark, sf_dir)), _SELF, F.expr(_NOW))
+    addrs = F.transform("addrs", lambda a: F.concat(a.addr, F.lit("="), a.host))
+    return _health(spark, sf_dir).select("peer_id", peers.peer_label().alias("label"), "reach", "since_converged", "behind", "ahead", addrs.alias("addrs"))
 
 
 @query("SELECT 'degraded' AS status")
 def node_status(spark, sf_dir):
-    return peers.node_status(peer_health(spark, sf_dir), quarantine(spark, sf_dir))
+    return peers.node_status(_health(spark, sf_dir), quarantine(spark, sf_dir))
 
 
 @query("SELECT * FROM (VALUES ('10.0.0.2', true), ('fe80::2', false), ('10.0.0.4', false)) t(ip, fresh)")
@@ -406,16 +429,42 @@ def newest_release(spark, sf_dir):
     return versions.newest(_peers(spark), "v1.9.3")
 
 
-@query("SELECT * FROM (VALUES ('node1', ['10.0.0.7:7000'], true), ('node9', ['10.0.0.6:7000'], false), ('node3', ['10.0.0.3:7000'], true), ('node0', ['10.0.0.9:7000'], false), ('node2', ['10.0.0.4:7000', '[fe80::2]:7000', '10.0.0.2:7000'], false), ('static:10.0.0.3:7000', ['10.0.0.3:7000'], true), ('static:10.0.0.8:7000', ['10.0.0.8:7000'], true)) t(peer_id, addrs, static)")
+@query("SELECT * FROM (VALUES ('node1', ['10.0.0.7:7000'], true), ('node9', ['10.0.0.6:7000'], false), ('node3', ['10.0.0.3:7000'], true), ('node0', ['10.0.0.9:7000'], false), ('node2', ['10.0.0.4:7000', '[fe80::2]:7000', '10.0.0.2:7000'], false), ('static:10.0.0.3:7000', ['10.0.0.3:7000'], true), ('static:10.0.0.8:7000', ['10.0.0.8:7000'], true), ('node5', CAST([] AS VARCHAR[]), false)) t(peer_id, addrs, static)")
 def upsert_peers(spark, sf_dir):
     seen = spark.createDataFrame([("node1", ["10.0.0.7:7000"], "2026-01-01 11:45:00", True), ("node9", ["10.0.0.6:7000"], "2026-01-01 11:46:00", False)], "peer_id string, addrs array<string>, last_seen string, static boolean").withColumn("last_seen", F.to_timestamp("last_seen"))
     return peers.merge_peers(_peers(spark), seen).select("peer_id", "addrs", "static")
 
 
-@query("SELECT * FROM (VALUES ('node1', 'timeout', 2), ('node2', '', 1), ('node3', '', 0), ('node0', '', NULL), ('static:10.0.0.3:7000', '', NULL), ('static:10.0.0.8:7000', '', NULL)) t(peer_id, last_error, origins)")
+@query(
+    """SELECT * FROM (VALUES ('node1', 'timeout', 2, ['10.0.0.1:7000']), ('node2', '', 1, ['10.0.0.4:7000', '[fe80::2]:7000', '10.0.0.2:7000']), ('node3', '', 0, ['10.0.0.3:7000']), ('node0', '', NULL, ['10.0.0.9:7000']), ('static:10.0.0.3:7000', '', NULL, ['10.0.0.3:7000']),
+    ('static:10.0.0.8:7000', 'dial: no route', NULL, ['10.0.0.8:7000']), ('node5', '', NULL, CAST([] AS VARCHAR[])), ('node8', 'dial: refused', NULL, CAST([] AS VARCHAR[])), ('node9', '', 1, CAST([] AS VARCHAR[]))) t(peer_id, last_error, origins, addrs)"""
+)
 def convergence_record(spark, sf_dir):
-    told = spark.createDataFrame([("node1", "2026-01-01 11:50:00", None, "timeout"), ("node3", "2026-01-01 11:50:00", {}, None)], "peer_id string, at string, vector map<string,long>, error string").withColumn("at", F.to_timestamp("at"))
-    return peers.record_convergence(_peers(spark), told).select("peer_id", "last_error", F.when(F.col("last_vector").isNotNull(), F.size("last_vector")).alias("origins"))
+    """Outcomes of known peers, and of two that were not heard of before."""
+    at = "2026-01-01 11:50:00"
+    told = spark.createDataFrame([("node1", at, None, "timeout"), ("node3", at, {}, None), ("node8", at, None, "dial: refused"), ("node9", at, {"node9": 4}, None)], "peer_id string, at string, vector map<string,long>, error string").withColumn("at", F.to_timestamp("at"))
+    return peers.record_convergence(_peers(spark), told).select("peer_id", "last_error", F.when(F.col("last_vector").isNotNull(), F.size("last_vector")).alias("origins"), "addrs")
+
+
+@query(
+    f"""{_BASE}, {_HEALTH}, q AS (SELECT count(*) AS n FROM records WHERE seq % 2 = 0 AND seq % 10 <> 4 AND seq % 14 = 6),
+    pend AS (SELECT CAST(sum(seq - CASE origin_id WHEN 'node0' THEN 100 WHEN 'node1' THEN 10 ELSE 0 END) AS BIGINT) AS n FROM vector), pads(s) AS (VALUES (repeat(' ', 37)))
+    SELECT '1 counts' AS section, '' AS item, 0 AS n, 'origin   node0' AS line UNION ALL SELECT '1 counts', '', 1, 'version  v1.1.0' UNION ALL SELECT '1 counts', '', 2, 'records  ' || count(*) FROM records
+    UNION ALL SELECT '1 counts', '', 3, 'pending  ' || n || ' records to re-read for newly extracted columns' FROM pend
+    UNION ALL SELECT '2 origins', '', 0, 'origins  ' || count(*) FROM vector UNION ALL SELECT '3 peers', '', 0, 'peers    5'
+    UNION ALL SELECT '2 origins', origin_id, 1, '  ' || origin_id || '  up to ' || seq || CASE WHEN origin_id = 'node0' THEN '  (this node)' ELSE '' END FROM vector
+    UNION ALL SELECT '3 peers', peer_id, 1, '  ' || rpad(label, 34, ' ') || ' ' || a FROM health JOIN (VALUES ('node1', '10.0.0.1:7000'), ('node2', '10.0.0.4:7000, beta.lan ([fe80::2]:7000), gamma.lan (10.0.0.2:7000)'), ('node3', '10.0.0.3:7000'), ('static:10.0.0.8:7000', '10.0.0.8:7000'), ('node5', '(no address)')) t(peer_id, a) USING (peer_id)
+    UNION ALL SELECT '3 peers', peer_id, 2, s || reach || coalesce(a, '') FROM pads, health JOIN (VALUES ('node1', ', last converged 30m0s ago'), ('node2', ', last converged 3h0m0s ago'), ('node3', ', last converged 1s ago'), ('static:10.0.0.8:7000', NULL), ('node5', NULL)) t(peer_id, a) USING (peer_id)
+    UNION ALL SELECT '3 peers', peer_id, 3, s || 'running ' || v FROM pads, (VALUES ('node1', 'v1.2.0  (newer than this node)'), ('node2', 'v1.10.0  (newer than this node)'), ('node3', 'dev  (older than this node)'), ('node5', 'v0.9.0  (older than this node)')) t(peer_id, v)
+    UNION ALL SELECT '3 peers', peer_id, 4, s || 'behind ' || coalesce(behind, 0) || ', ahead ' || coalesce(ahead, 0) || ' as of that exchange' FROM pads, health WHERE behind > 0 OR ahead > 0
+    UNION ALL SELECT '3 peers', peer_id, 5, s || 'last error: ' || v FROM pads, (VALUES ('node3', 'dial: refused'), ('static:10.0.0.8:7000', 'dial: no route')) t(peer_id, v)
+    UNION ALL SELECT '4 warnings', 'converging', 0, 'WARNING: 2 peer(s) are not converging: node2, node3' UNION ALL SELECT '4 warnings', 'quarantine', 1, 'WARNING: ' || n || ' quarantined records: two machines issue records under one origin id' FROM q"""
+)
+def status_report(spark, sf_dir):
+    r = R(spark, sf_dir)
+    vector = keep(replication.version_vector(r), "vector")
+    health = keep(peers.peer_health(_peers(spark), vector, _SELF, F.expr(_NOW), _hostnames(spark)), "health")
+    return status.status(r, vector, health, quarantine(spark, sf_dir), reprocess.pending(r, _marks(spark), 2), _SELF, "v1.1.0")
 
 
 @query(f"{_BASE} SELECT origin_id, (seq - 1) // 5000 AS bundle, (seq - 1) // 5000 * 5000 + 1 AS first, max(seq) AS last FROM records GROUP BY ALL")
@@ -426,8 +475,7 @@ def bundle_ranges(spark, sf_dir):
 @query(f"{_BASE} SELECT r.origin_id, r.seq, content_hash FROM records r LEFT JOIN peer_vector p USING (origin_id) WHERE r.origin_id <> 'node2' AND r.seq > coalesce(p.seq, 0)")
 def bundle_exchange(spark, sf_dir):
     """S13-S15: every node publishes its ranges to a folder, and node2 fetches what it lacks."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="bundles-")
-    folder, rows = f"{base}/bundles-{uuid.uuid4().hex}", R(spark, sf_dir).select("origin_id", "seq", "content_hash")
+    folder, rows = new_path(spark, "bundles"), R(spark, sf_dir).select("origin_id", "seq", "content_hash")
     for node in ("node0", "node1", "node2", "node3"):
         bundles.publish(rows, folder, node)
     return bundles.fetch(bundles.read_folder(spark, folder), _peer_vector(spark, sf_dir), "node2").select("origin_id", "seq", "content_hash")

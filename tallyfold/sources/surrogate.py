@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import keep
+
 _TEMPLATE = """
 SELECT concat('node', CAST(user_id % 4 AS {S})) AS origin_id,
        CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS BIGINT) AS seq,
@@ -46,6 +48,18 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql(SPARK, "{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records(), made once for each application and folder and stored as an archive is: in order of origin and sequence."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        made = records(spark, sf_dir)
+        _stored[key] = keep(made.repartitionByRange("origin_id", "seq").sortWithinPartitions("origin_id", "seq"), "archive", "snappy")
+    return _stored[key]
+
+
 def bodies(records: DataFrame) -> DataFrame:
     """records with `sealed`: the JSON line that each would have been extracted from."""
     from pyspark.sql import functions as F
