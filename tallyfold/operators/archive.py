@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import keep
+
 #: The two partial keys: of lines with an id, and of lines without.
 _BY_UUID = ["origin_id", "session_id", "line_uuid"]
 _BY_PLACE = ["origin_id", "source", "path", "byte_offset", "content_hash"]
@@ -24,8 +26,8 @@ def append_local(existing: DataFrame, batch: DataFrame, origin: str, received_at
     """batch with status (`stored` or `duplicate`), and for stored rows origin_id, dense seq and received_at.
 
     The first of equal lines in order of `arrival` (source, path, byte_offset by default) is stored, unless existing has one.
-    Sequences continue the origin's; they come from one running count over the batch, which one writer appends
-    at a time: a batch is bounded by its trigger, not by the archive.
+    Sequences continue the origin's without a gap, in that order: the batch is dealt to ranges of it, each counts its rows, and
+    the sums of the counts before it are added. One writer appends at a time.
     """
     order = [F.col(c) for c in (arrival or ["source", "path", "byte_offset", "content_hash"])]
     rows = batch.withColumn("origin_id", F.lit(origin)).withColumn("__key", conflict_key(null_session_conflicts))
@@ -36,8 +38,13 @@ def append_local(existing: DataFrame, batch: DataFrame, origin: str, received_at
     free = rows.filter(F.col("__key").isNull()).withColumn("__new", F.lit(True))
     marked = keyed.unionByName(free)
     top = existing.filter(F.col("origin_id") == origin).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
-    numbered = marked.filter("__new").withColumn("__i", F.row_number().over(Window.partitionBy("origin_id").orderBy(*order))).crossJoin(F.broadcast(top))  # one row
-    stored = numbered.withColumn("seq", (F.col("__top") + F.col("__i")).cast("long")).withColumn("received_at", F.lit(received_at)).withColumn("status", F.lit("stored")).drop("__i", "__top", "__new", "__key")
+    # ranges of the order, each numbered by itself; stored, since ranges are dealt anew whenever they are computed
+    ranged = marked.filter("__new").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = keep(ranged.withColumn("__range", F.shiftright("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND((1 << 33) - 1) + 1), "numbered")
+    sizes = ranged.groupBy("__range").agg(F.max("__i").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
+    numbered = ranged.join(F.broadcast(before), "__range").crossJoin(F.broadcast(top))  # one row
+    stored = numbered.withColumn("seq", (F.col("__top") + F.col("__before") + F.col("__i")).cast("long")).withColumn("received_at", F.lit(received_at)).withColumn("status", F.lit("stored")).drop("__i", "__at", "__range", "__before", "__top", "__new", "__key")
     dup = marked.filter("not __new").withColumn("seq", F.lit(None).cast("long")).withColumn("received_at", F.lit(None).cast("string")).withColumn("status", F.lit("duplicate")).drop("__new", "__key")
     return stored.unionByName(dup)
 

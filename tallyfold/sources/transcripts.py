@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..streaming.tail import TranscriptTail
 
 EXTENSION = ".jsonl"
 
@@ -51,22 +54,17 @@ def present(spark: SparkSession, roots: list[str]) -> list[str]:
 
 
 def read_lines(spark: SparkSession, roots: list[str], exclusions: list[str] | None = None) -> DataFrame:
-    """path, byte_offset, value: every terminated line of the transcripts under roots.
+    """path, byte_offset, value: every terminated line of the transcripts under roots, which have one path on all machines.
 
-    Missing roots are skipped, files that vanish meanwhile too. A last line without a newline is withheld. Files are read
-    whole, one to a task's row, as offsets and the withheld end need; transcripts are append-only logs of some MB.
+    Missing roots are skipped, files that vanish meanwhile too. A last line without a newline is withheld. Large files
+    are read in several ranges of bytes.
     """
-    at = present(spark, outermost(roots))
-    if not at:
-        return spark.createDataFrame([], "path string, byte_offset long, value string")
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{EXTENSION}").option("ignoreMissingFiles", "true").format("binaryFile").load(at)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    rows = files.withColumn("path", path).filter(~excluded(F.col("path"), exclusions or [])).select("path", F.expr("cast(content as string)").alias("body"))
-    # a file that ends in a newline splits into its lines and '', another into its lines and the part to withhold
-    parts = rows.select("path", F.split("body", "\n", -1).alias("l")).select("path", F.slice("l", F.lit(1), F.size("l") - 1).alias("l"))
-    sized = parts.withColumn("ends", F.aggregate("l", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.octet_length(x) + 1))))
-    out = sized.select("path", F.posexplode("l").alias("i", "value"), "ends")
-    return out.select("path", F.element_at("ends", F.col("i") + 1).alias("byte_offset"), F.regexp_replace("value", "\r$", "").alias("value")).filter("value <> ''")
+    spark.dataSource.register(TranscriptTail)
+    out = spark.createDataFrame([], "path string, byte_offset long, value string")
+    for root in present(spark, outermost(roots)):
+        lines = spark.read.format("transcript_tail").option("exclude", os.pathsep.join(map(normalize, exclusions or []))).load(root)
+        out = out.unionByName(lines.select("path", "byte_offset", "value"))
+    return out
 
 
 def with_hash(lines: DataFrame) -> DataFrame:

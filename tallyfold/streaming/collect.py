@@ -1,17 +1,35 @@
-"""A collection pass: new lines into the archive, at least once and without repeats."""
+"""Collection: new lines into the archive, at least once and without repeats."""
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.archive import append_local
 from ..operators.identify import to_records
 from ..schema import RECORD_COLUMNS, RECORDS
+from ..shared import keep
 from .tail import TranscriptTail
 
 
+@dataclass
+class Stats:
+    """What passes did: files seen, lines read, records stored and found held, files restarted (truncated or replaced) and gone."""
+
+    streams: int = 0
+    lines: int = 0
+    stored: int = 0
+    duplicates: int = 0
+    restarted: int = 0
+    gone: int = 0
+
+
 def archive(spark: SparkSession, path: str) -> DataFrame:
-    """The stored records, none if nothing is stored yet."""
+    """The stored records, none if nothing is stored yet. Columns that older files lack read as null."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
@@ -19,19 +37,54 @@ def archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORDS).parquet(path)
 
 
-def append_batch(lines: DataFrame, path: str, origin: str, source: str, received_at: str) -> None:
-    """Store a batch's new records. Run again with the same lines, it stores nothing: the sink is idempotent."""
+def append_batch(lines: DataFrame, path: str, origin: str, source: str, received_at: str) -> dict[str, int]:
+    """Store a batch's new records; how many were stored and how many held. Run again with the same lines, it stores nothing: the sink is idempotent."""
     spark = lines.sparkSession
-    marked = append_local(archive(spark, path), to_records(lines, source), origin, received_at)
+    marked = keep(append_local(archive(spark, path), to_records(lines, source), origin, received_at), "appended")
     marked.filter("status = 'stored'").select(*RECORD_COLUMNS).write.mode("append").parquet(path)
+    return {r["status"]: r["count"] for r in marked.groupBy("status").count().collect()}  # two rows at most
 
 
-def collect_once(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str) -> None:
-    """Read what is new under root, append it, then let the checkpoint keep the cursors."""
+def _start(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str, stats: Stats, exclude: str, **trigger) -> StreamingQuery:
     spark.dataSource.register(TranscriptTail)
-    stream = spark.readStream.format("transcript_tail").load(root)
-    query = (
-        stream.writeStream.foreachBatch(lambda df, _: append_batch(df.select("path", "byte_offset", "value"), path, origin, source, received_at))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    stream = spark.readStream.format("transcript_tail").option("exclude", exclude).load(root)
+
+    def store(df: DataFrame, _: int) -> None:
+        own = keep(df, "batch")
+        done = append_batch(own.select("path", "byte_offset", "value"), path, origin, source, received_at)
+        stats.stored += done.get("stored", 0)
+        stats.duplicates += done.get("duplicate", 0)
+        stats.lines += own.count()
+        stats.restarted += own.filter("continuity <> 'appended'").select("path").distinct().count()
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _progress(query: StreamingQuery, stats: Stats) -> Stats:
+    """Streams and vanished files, from the cursors that the query's batches began and ended with."""
+    seen: Counter = Counter()
+    for p in query.recentProgress:
+        for own in json.loads(p.json)["sources"] if hasattr(p, "json") else p["sources"]:
+            end = _cursors(own["endOffset"])
+            stats.streams = len(end)
+            seen.update(set(_cursors(own.get("startOffset"))) - set(end))
+    stats.gone += len(seen)
+    return stats
+
+
+def _cursors(offset) -> dict:
+    offset = json.loads(offset) if isinstance(offset, str) else offset
+    return json.loads((offset or {}).get("cursors", "{}"))
+
+
+def collect_once(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str, exclude: str = "") -> Stats:
+    """Read all that is new under root when the pass begins, append it, then let the checkpoint keep the cursors."""
+    stats = Stats()
+    query = _start(spark, root, path, checkpoint, origin, source, received_at, stats, exclude, availableNow=True)
     query.awaitTermination()
+    return _progress(query, stats)
+
+
+def collect_polling(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str, every: str = "30 seconds", exclude: str = "", stats: Stats | None = None) -> StreamingQuery:
+    """The same on an interval, until the query that is returned is stopped. stats, if given, counts what its passes do."""
+    return _start(spark, root, path, checkpoint, origin, source, received_at, stats if stats is not None else Stats(), exclude, processingTime=every)

@@ -1,4 +1,8 @@
-"""A streaming source that tails growing files, which Spark's own file source takes as immutable."""
+"""A source of the lines of growing files, which Spark's own file source takes as immutable; for batches and for streams.
+
+The driver looks at each file's size, identity, first bytes and last newline. Ranges of bytes between two such looks are read on the
+executors, large files in several. Files have one path on all machines (a mounted folder, say).
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,12 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 HEAD = 4096
-#: Bytes of one file in one batch; a longer line makes the window grow.
-MOST = 4 << 20
+#: Bytes of one file that one task reads, about; and that are read at a time. A longer line makes either grow.
+SPLIT, WINDOW = 32 << 20, 1 << 20
 _BASIS, _PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
@@ -51,31 +55,98 @@ def whole_lines(data: bytes, offset: int) -> tuple[list[tuple[int, str]], int]:
     return out, offset + at
 
 
-def read_tail(path: str, cursor: dict | None, identify=None) -> tuple[list[tuple[int, str]], dict | None, str]:
-    """Lines beyond the cursor, the next cursor, and the continuity; a file that is gone has no lines and cursor None."""
+def last_newline(f, size: int) -> int:
+    """The offset after the last newline before size, looked for from the end."""
+    end, window = size, WINDOW
+    while end > 0:
+        begin = max(0, end - window)
+        f.seek(begin)
+        at = f.read(end - begin).rfind(b"\n")
+        if at >= 0:
+            return begin + at + 1
+        end, window = begin, 2 * window
+    return 0
+
+
+def look(path: str, identify=None) -> dict | None:
+    """A file's cursor as of now: offset (after its last whole line), size, identity, fingerprint of its first bytes; None if it is gone."""
     try:
         with open(path, "rb") as f:
             stat = os.fstat(f.fileno())
             identity = f"{stat.st_dev}:{stat.st_ino}" if identify is None else identify(path)
-            head = f.read(HEAD)
-            start, continuity = resume(stat.st_size, head, identity, cursor)
-            window = MOST
-            while True:
-                f.seek(start)
-                data = f.read(window)
-                lines, end = whole_lines(data, start)
-                if end > start or len(data) < window:
-                    break
-                window *= 2
+            end = last_newline(f, stat.st_size)
+            f.seek(0)
+            head = f.read(min(HEAD, end))
     except FileNotFoundError:
-        return [], None, "gone"
-    kept = min(HEAD, end)
-    return lines, {"offset": end, "identity": identity, "fingerprint": fingerprint(head[:kept]), "head": kept}, continuity
+        return None
+    return {"offset": end, "size": stat.st_size, "identity": identity, "fingerprint": fingerprint(head), "head": len(head)}
 
 
-class TailReader(SimpleDataSourceStreamReader):
-    """Offsets are a cursor for each file, which the query's checkpoint keeps."""
+def begin_at(path: str, cursor: dict | None, now: dict) -> tuple[int, str]:
+    """(offset to read from, continuity) of a file against where we stopped."""
+    head = b""
+    if cursor is not None and not (now["identity"] and cursor.get("identity")):
+        try:
+            with open(path, "rb") as f:
+                head = f.read(HEAD)
+        except FileNotFoundError:
+            pass
+    return resume(now.get("size", now["offset"]), head, now["identity"], cursor)
 
+
+def read_range(path: str, start: int, stop: int, first: bool = True) -> Iterator[tuple[int, str]]:
+    """(offset, line) of the lines that begin in a range of bytes, to their ends. Unless `first`, the range may begin inside a line, which is not its own.
+
+    A file that is gone meanwhile has no lines. Windows are read one after another, so memory holds one of them and one line.
+    """
+    try:
+        f = open(path, "rb")
+    except FileNotFoundError:
+        return
+    with f:
+        at = start
+        if not first:  # the line that holds the byte before the range belongs to the range before
+            f.seek(start - 1)
+            at = start - 1
+            while True:
+                part = f.readline(WINDOW)
+                at += len(part)
+                if not part or part.endswith(b"\n"):
+                    break
+        f.seek(at)
+        rest = b""
+        while at < stop:
+            data = f.read(WINDOW)
+            if not data:
+                return
+            lines, end = whole_lines(rest + data, at)
+            for offset, line in lines:
+                if offset >= stop:
+                    return
+                yield offset, line
+            rest = (rest + data)[end - at :]
+            at = end
+
+
+class Range(InputPartition):
+    """Bytes of one file."""
+
+    def __init__(self, path: str, start: int, stop: int, first: bool, continuity: str):
+        super().__init__((path, start))
+        self.path, self.start, self.stop, self.first, self.continuity = path, start, stop, first, continuity
+
+
+def ranges(begin: dict[str, dict], end: dict[str, dict]) -> list[Range]:
+    """What lies between two looks at the files, in ranges of about SPLIT bytes."""
+    out = []
+    for path, now in sorted(end.items()):
+        start, continuity = begin_at(path, begin.get(path), now)
+        for lo in range(start, now["offset"], SPLIT):
+            out.append(Range(path, lo, min(lo + SPLIT, now["offset"]), lo == start, continuity))
+    return out
+
+
+class _Files:
     def __init__(self, options: dict):
         self.root = options["path"]
         self.exclude = [x for x in options.get("exclude", "").split(os.pathsep) if x]
@@ -86,29 +157,37 @@ class TailReader(SimpleDataSourceStreamReader):
             found += [os.path.join(top, n) for n in names if n.endswith(".jsonl")]
         return sorted(p for p in found if not any(p == x or p.startswith(x.rstrip("/") + "/") for x in self.exclude))
 
+    def cursors(self) -> dict[str, dict]:
+        looks = ((p, look(p)) for p in self.files())
+        return {p: x for p, x in looks if x is not None}
+
+    def read(self, part: Range) -> Iterator[tuple]:
+        for offset, line in read_range(part.path, part.start, part.stop, part.first):
+            yield part.path, offset, line, part.continuity
+
+
+class BatchReader(_Files, DataSourceReader):
+    """Every whole line that is there."""
+
+    def partitions(self) -> list[Range]:
+        return ranges({}, self.cursors())
+
+
+class TailReader(_Files, DataSourceStreamReader):
+    """Offsets are a cursor for each file, which the query's checkpoint keeps. A batch reads all that is new, however much."""
+
     def initialOffset(self) -> dict:
         return {"cursors": "{}"}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        cursors = json.loads(start["cursors"])
-        rows, after = [], {}
-        for path in self.files():
-            lines, cursor, continuity = read_tail(path, cursors.get(path))
-            rows += [(path, o, line, continuity) for o, line in lines]
-            if cursor is not None:
-                after[path] = cursor
-        return iter(rows), {"cursors": json.dumps(after, sort_keys=True)}
+    def latestOffset(self, *_) -> dict:
+        return {"cursors": json.dumps(self.cursors(), sort_keys=True)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        """The same lines again, after a failure: up to where the batch ended."""
-        begin, stop = json.loads(start["cursors"]), json.loads(end["cursors"])
-        for path, cursor in sorted(stop.items()):
-            lines, _, continuity = read_tail(path, begin.get(path))
-            yield from ((path, o, line, continuity) for o, line in lines if o < cursor["offset"])
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        return ranges(json.loads(start["cursors"]), json.loads(end["cursors"]))
 
 
 class TranscriptTail(DataSource):
-    """`spark.readStream.format("transcript_tail").load(root)` after `spark.dataSource.register(TranscriptTail)`."""
+    """`spark.readStream.format("transcript_tail").load(root)`, or spark.read, after `spark.dataSource.register(TranscriptTail)`."""
 
     @classmethod
     def name(cls) -> str:
@@ -117,5 +196,8 @@ class TranscriptTail(DataSource):
     def schema(self) -> str:
         return "path string, byte_offset long, value string, continuity string"
 
-    def simpleStreamReader(self, schema: StructType) -> TailReader:
+    def reader(self, schema: StructType) -> BatchReader:
+        return BatchReader(self.options)
+
+    def streamReader(self, schema: StructType) -> TailReader:
         return TailReader(self.options)

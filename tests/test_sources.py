@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.sources import bundles, transcripts
-from tallyfold.streaming.collect import archive, collect_once
-from tallyfold.streaming.tail import fingerprint, read_tail, resume, whole_lines
+from tallyfold.streaming.collect import archive, collect_once, collect_polling
+from tallyfold.streaming import tail
+from tallyfold.streaming.tail import begin_at, fingerprint, look, ranges, read_range, resume, whole_lines
 
 
 def test_roots_and_exclusions(spark):
@@ -40,31 +41,84 @@ def test_where_to_resume(size, head, identity, cursor, want):
     assert resume(size, head, identity, cursor) == want
 
 
+def new_lines(path, cursor):
+    """(lines, cursor, continuity) of what a file has beyond a cursor."""
+    now = look(str(path))
+    if now is None:
+        return [], None, "gone"
+    parts = ranges({str(path): cursor} if cursor else {}, {str(path): now})
+    return [x for p in parts for x in read_range(p.path, p.start, p.stop, p.first)], now, begin_at(str(path), cursor, now)[1]
+
+
 def test_tail_withholds_and_continues(tmp_path):
     p = tmp_path / "t.jsonl"
     p.write_bytes(b"one\ntw")
-    lines, cursor, _ = read_tail(str(p), None)
+    lines, cursor, _ = new_lines(p, None)
     assert (lines, cursor["offset"]) == ([(0, "one")], 4)
-    assert read_tail(str(p), cursor)[0] == []
+    assert new_lines(p, cursor)[0] == []
     with p.open("ab") as f:
         f.write(b"o\nthree\n")
-    lines, after, how = read_tail(str(p), cursor)
+    lines, after, how = new_lines(p, cursor)
     assert (lines, how, after["offset"]) == ([(4, "two"), (8, "three")], "appended", 14)
     p.write_bytes(b"new\n")
-    assert read_tail(str(p), after)[::2] == ([(0, "new")], "truncated")
-    assert read_tail(str(p), {**after, "offset": 2, "identity": "other"})[2] == "replaced"
+    assert new_lines(p, after)[::2] == ([(0, "new")], "truncated")
+    assert new_lines(p, {**after, "offset": 2, "identity": "other"})[2] == "replaced"
+    assert new_lines(p, {**after, "offset": 2, "identity": None, "fingerprint": fingerprint(b"old"), "head": 3})[2] == "replaced"
     p.unlink()
-    assert read_tail(str(p), after) == ([], None, "gone")
+    assert new_lines(p, after) == ([], None, "gone") and list(read_range(str(p), 0, 9)) == []
     assert whole_lines(b"", 7) == ([], 7) and fingerprint(b"") == 0xCBF29CE484222325
 
 
-def test_a_line_longer_than_the_window_is_read(tmp_path, monkeypatch):
-    monkeypatch.setattr("tallyfold.streaming.tail.MOST", 8)
+@pytest.mark.parametrize("split, window", [(7, 3), (16, 8), (1000, 5)])
+def test_ranges_split_lines_among_them_once(tmp_path, monkeypatch, split, window):
+    monkeypatch.setattr(tail, "SPLIT", split)
+    monkeypatch.setattr(tail, "WINDOW", window)
     p = tmp_path / "t.jsonl"
-    p.write_bytes(b"x" * 100 + b"\nnext\n")
-    lines, cursor, _ = read_tail(str(p), None)
-    assert lines[0] == (0, "x" * 100)
-    assert read_tail(str(p), cursor)[0] in ([(101, "next")], []) and cursor["offset"] in (101, 106)
+    want = [b"x" * 100, b"next", b"", b"a\r", b"\xc3\xa4", b"y" * 7]
+    p.write_bytes(b"\n".join(want) + b"\nopen end")
+    lines, cursor, _ = new_lines(p, None)
+    starts = [sum(len(w) + 1 for w in want[:i]) for i in range(len(want))]
+    assert lines == [(o, w.decode().rstrip("\r")) for o, w in zip(starts, want) if w] and cursor["offset"] == sum(len(w) + 1 for w in want)
+
+
+def test_one_pass_drains_a_large_backlog(spark, tmp_path):
+    root, out = tmp_path / "logs", str(tmp_path / "archive")
+    root.mkdir()
+    with (root / "a.jsonl").open("w") as f:
+        for i in range(60_000):
+            f.write(json.dumps({"type": "user", "sessionId": "s", "uuid": f"u{i}", "cwd": "/p" * 90}) + "\n")
+    assert (root / "a.jsonl").stat().st_size > 12 << 20
+    (root / "b.jsonl").write_text("{}\n")
+    stats = collect_once(spark, str(root), out, str(tmp_path / "check"), "me", "test", "now")
+    assert (stats.streams, stats.lines, stats.stored, stats.duplicates, stats.restarted, stats.gone) == (2, 60_001, 60_001, 0, 0, 0)
+    rows = archive(spark, out)
+    assert rows.agg(F.min("seq"), F.max("seq"), F.countDistinct("seq")).first()[:] == (1, 60_001, 60_001)
+    (root / "b.jsonl").unlink()
+    (root / "a.jsonl").write_text('{"type":"user","sessionId":"s","uuid":"u1"}\n')
+    stats = collect_once(spark, str(root), out, str(tmp_path / "check"), "me", "test", "now")
+    assert (stats.streams, stats.lines, stats.stored, stats.duplicates, stats.restarted, stats.gone) == (1, 1, 0, 1, 1, 1)
+
+
+def test_polling_collects_until_stopped(spark, tmp_path):
+    root, out = tmp_path / "logs", str(tmp_path / "archive")
+    root.mkdir()
+    (root / "a.jsonl").write_text('{"type":"user","sessionId":"s","uuid":"u1"}\n')
+    query = collect_polling(spark, str(root), out, str(tmp_path / "check"), "me", "test", "now", "1 second")
+    try:
+        query.processAllAvailable()
+        with (root / "a.jsonl").open("a") as f:
+            f.write('{"type":"user","sessionId":"s","uuid":"u2"}\n')
+        query.processAllAvailable()
+        assert archive(spark, out).count() == 2
+    finally:
+        query.stop()
+
+
+def test_an_archive_of_older_columns_reads_with_nulls(spark, tmp_path):
+    old = spark.createDataFrame([("me", 1, "s")], "origin_id string, seq long, session_id string")
+    old.write.parquet(str(tmp_path / "old"))
+    row = archive(spark, str(tmp_path / "old")).first()
+    assert (row["origin_id"], row["seq"], row["session_id"], row["cwd"], row["git_branch"], row["sealed"]) == ("me", 1, "s", None, None, None)
 
 
 def test_collection_is_idempotent_and_continues(spark, tmp_path):
