@@ -7,10 +7,10 @@ document: repeated rows and repeated ids are kept as rows of their own.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
-import tempfile
-import uuid
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -19,30 +19,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import shared
+
 #: Rows of an Arrow batch, so that a Python worker holds a few MB of ordinary documents at a time.
 BATCH_ROWS = 512
 BATCH_BYTES = 8 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+shared_dir = shared.shared_dir
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "tallyfold-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def keep(df: DataFrame, name: str, codec: str = "zstd", partition_by: str | None = None) -> DataFrame:
+def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: this cuts the lineage and fixes every value in it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", codec)
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    path = shared.new_path(spark, name)
+    df.write.option("compression", codec).parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
 
 
 def release(spark: SparkSession, *but: str) -> None:
@@ -50,15 +45,26 @@ def release(spark: SparkSession, *but: str) -> None:
     global _written
     mine = [(s, p) for s, p in _written if s is spark and not p.rpartition("/")[2].startswith(tuple(f"{x}-" for x in but))]
     _written = [x for x in _written if x not in mine]
-    for _, path in mine:
-        delete(spark, path)
+    shared.delete(*[path for _, path in mine])
     settle(spark)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder from the file system that holds it."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that keep() returned, once nothing that is still to be read depends on them."""
+    global _written
+    gone = [t._kept for t in tables]
+    _written = [x for x in _written if x[1] not in gone]
+    shared.delete(*gone)
+
+
+#: Keys of rows to leave out that are sent to all executors, at most: 8 bytes each, some 64 MB as Spark holds them.
+BROADCAST_KEYS = 2_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """rows whose key, a long, is not in gone, a stored table. Up to BROADCAST_KEYS keys are sent to where the rows lie; more meet them by shuffle."""
+    gone = gone.select(key)
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, key, "left_anti")
 
 
 def settle(spark: SparkSession) -> None:
@@ -77,6 +83,71 @@ def arrow_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_owner: str | None = None
+
+
+def on_leave(owner: str, clear: Callable[[], None]) -> None:
+    """What a worker forgets when it begins a task of another operator."""
+    _caches[owner] = clear
+
+
+def tidy(work: Callable[[Iterable], Iterator], owner: str) -> Callable[[Iterable], Iterator]:
+    """work, in a worker that holds the caches of one operator at a time and gives memory back to the system when the task ends.
+
+    Spark uses a Python worker again for later tasks, of other stages too; else what each has left behind adds up.
+    """
+
+    def run(batches):
+        from tallyfold.llm import common as own  # the worker's module, not a copy that came with the task
+
+        own._enter(owner)
+        try:
+            yield from work(batches)
+        finally:
+            own.trim()
+
+    return run
+
+
+def _enter(owner: str) -> None:
+    global _owner
+    if _owner not in (None, owner):
+        _caches.get(_owner, lambda: None)()
+        trim()
+    _owner = owner
+
+
+def trim() -> None:
+    """Give freed memory back: Python's, Arrow's and the C library's (where it has a call for that)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterable], Iterator], schema: T.StructType | str, owner: str) -> DataFrame:
+    """df.mapInArrow of work in small batches and tidy workers."""
+    return arrow_rows(df).mapInArrow(tidy(work, owner), schema)
+
+
+def groups_in_arrow(grouped, work: Callable[[pa.Table], pa.Table], schema: T.StructType | str, owner: str) -> DataFrame:
+    """grouped.applyInArrow of work; a worker is tidied as it begins with another operator."""
+
+    def run(table: pa.Table) -> pa.Table:
+        from tallyfold.llm import common as own
+
+        own._enter(owner)
+        out = work(table)
+        if table.nbytes > 1 << 20:
+            own.trim()
+        return out
+
+    return grouped.applyInArrow(run, schema)
+
+
 def _importable(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, as far as they see that folder."""
     root = str(Path(__file__).resolve().parents[2])
@@ -176,7 +247,7 @@ def bloom(df: DataFrame, col: str, count: int) -> Bloom:
         return pa.table({"at": table.column("at")[:1], "bits": pa.array([data.tobytes()], pa.binary())})
 
     made = Bloom(bits)
-    for r in arrow_rows(df.select(F.col(col).cast("long"))).coalesce(64).mapInArrow(part, "at long, bits binary").groupBy("at").applyInArrow(merge, "at long, bits binary").collect():
+    for r in in_arrow(df.select(F.col(col).cast("long")).coalesce(64), part, "at long, bits binary", "bloom").groupBy("at").applyInArrow(merge, "at long, bits binary").collect():
         own = np.frombuffer(r["bits"], np.uint8)[: len(made.data) - r["at"]]
         made.data[r["at"] : r["at"] + len(own)] = own
     return made

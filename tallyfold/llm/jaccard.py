@@ -4,15 +4,17 @@
    the set; a task stores a class's set once. Sets stay in the shared folder.
 2. The n-grams most often repeated are counted over all documents. They come last in a global order of n-grams, the
    others in order of hash; any order gives the same links, this one keeps columns of common n-grams out of the product.
-3. With n n-grams, a document lacks at most n // 5 of any document that it links with. So of the first n // 5 + 1 + n // 10
-   in the order, it shares at least 1 + n // 10 (the smaller bound of the two) with it, all among the other's first. Only
-   these columns enter the product, in blocks of columns; columns of one document of fitting size are dropped, and so are
-   documents with fewer shared columns than the bound of the smallest size that they can link with. That repeats once.
-4. What is left of a column joins its documents into candidate groups: all links lie inside them. Documents of a group, in order of size,
+3. With n n-grams, a document lacks at most n // 5 of any document that it links with. Only its first n // 5 + 1 + n // 10
+   n-grams in the order enter the product, its prefix. Two documents of sizes m and n that link have at least
+   o = ceil(4 (m + n) / 9) n-grams in common, of which both prefixes hold at least needed(m, n).
+4. Each block of columns multiplies its narrow columns, of up to NARROW documents: overlap counts of pairs of fitting
+   size, which add up over the blocks. A pair goes on if its count, with the wide columns that both might share, reaches needed(m, n).
+   Pairs in wide columns are never listed: a document with enough wide columns is joined with the first of each of them.
+5. What is left ties documents into candidate groups; all links lie inside them. Documents of a group, in order of size,
    form blocks of rows; each pair of blocks whose sizes can link is one product, with exact overlap counts over whole sets.
-   All its links are counted, by class and by how many documents the other class has. A spanning forest of them is
-   returned with the counts, so a group of m near copies gives m links and m counts, not m * m.
-5. Components of the forests are the classes' components; a class's counts are summed over its products.
+   All its links are counted, by class and by how many documents the other class has. Of each component that they make, links to its
+   least class are returned with the counts, so a group of m near copies gives m links and m counts, not m * m.
+6. Components of those links are the classes' components; a class's counts are summed over its products.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from .components import components
 WORDS, PERCENT = 5, 80
 #: Repeated n-grams that are put last in the order, at most; sent to the executors (16 bytes each).
 FREQUENT = 500_000
-#: N-grams that a task counts at a time.
-CHUNK = 2_000_000
-#: Entries of the product in one block of columns, about; documents in a block of rows.
-COLUMN_ENTRIES, ROWS = 400_000, 384
-#: N-grams of a block of rows, as a mean of its documents if it is full.
-GRAMS = 2_000
+#: N-grams that a task counts, or deals to blocks of columns, at a time.
+CHUNK = 750_000
+#: Entries of the product in one block of columns, about.
+COLUMN_ENTRIES = 500_000
+#: Documents of a column whose pairs are listed, at most. A frequent n-gram in so many sets is wide without a look at its column.
+NARROW, SURELY_WIDE = 16, 5_000
+#: Documents in a block of rows, and n-grams of all of them.
+ROWS, GRAMS = 1_536, 768_000
 
 _mult = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 _upper = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -71,9 +75,14 @@ def prefix(n: np.ndarray | int):
     return n // 5 + 1 + n // 10
 
 
-def least_shared(n):
-    """The bound of the smallest size that n can link with: ceil(0.8 n)."""
-    return 1 + ((4 * n + 4) // 5) // 10
+def needed(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What the prefixes of linked documents of m and n n-grams share at least.
+
+    The k-th n-gram in common, in the order, comes after at most m - o others in the one document and n - o in the
+    other, so it lies in both prefixes for every k up to this.
+    """
+    o = (4 * (m + n) + 8) // 9
+    return np.minimum(prefix(m) - m + o, prefix(n) - n + o)
 
 
 def sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -98,11 +107,11 @@ def sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 seen.add(key)
             yield common.batch_of(out, b.column(0), n, pa.array(cls, pa.int64()), pa.array(grams, pa.binary()))
 
-    return common.keep(src.mapInArrow(work, schema), "sets", "none")
+    return common.keep(common.in_arrow(src, work, schema, "jaccard"), "sets", "none")
 
 
-def frequent(stored: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams most often repeated, by hash, and their rank among them (rarest first)."""
+def frequent(stored: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams most often repeated, by hash, their rank among them (rarest first), and whether they are surely wide."""
 
     def count(batches):
         held, size = [], 0
@@ -122,22 +131,24 @@ def frequent(stored: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nd
         if held:
             yield flush()
 
-    found = common.arrow_rows(stored.select("grams").filter("grams is not null")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "gram").limit(most).toPandas()
+    found = common.in_arrow(stored.select("grams").filter("grams is not null"), count, "gram long, n long", "jaccard").groupBy("gram").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "gram").limit(most).toPandas()
     grams, n = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     by_count = np.lexsort((grams, n))
-    rank = np.empty(len(grams), np.int64)
-    rank[by_count] = np.arange(len(grams))
+    rank = np.empty(len(grams), np.int32)
+    rank[by_count] = np.arange(len(grams), dtype=np.int32)
     order = np.argsort(grams)
-    return grams[order], rank[order]
+    return grams[order], rank[order], n[order] >= SURELY_WIDE
 
 
-def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray], blocks: int) -> DataFrame:
-    """block, grams, classes, places, sizes: each task's part of each block of columns, packed."""
+def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], blocks: int) -> DataFrame:
+    """block, grams, classes, places, sizes: each task's part of each block of columns, packed. Entries of surely wide columns are
+    dealt to the blocks from -blocks to -1 by their class, so that no task gets such a column whole."""
     sent = stored.sparkSession.sparkContext.broadcast(hot)
 
     def work(batches):
-        grams_hot, rank = sent.value
+        grams_hot, rank, surely = sent.value
         held: list[np.ndarray] = []
+        wide: list[np.ndarray] = []
         keys: list[int] = []
         full: list[int] = []
         total = 0
@@ -146,44 +157,61 @@ def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray], blocks: int)
             size = np.array([len(h) for h in held], np.int64)
             gram = np.concatenate(held)
             owner = np.repeat(np.arange(len(held), dtype=np.uint32), size)
+            cls, n = np.array(keys, np.int64), np.array(full, np.int64)
             block = ((gram >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+            far = np.concatenate(wide)
+            block[far] = -1 - cls[owner[far]] % blocks
             order = np.argsort(block, kind="stable")
-            cuts = np.searchsorted(block[order], np.arange(blocks + 1))
-            cls, n = np.array(keys, np.int64), np.array(full, np.int64)
-            rows = [[], [], [], [], []]
-            for k in range(blocks):
-                at = order[cuts[k] : cuts[k + 1]]
-                if len(at):
-                    who, place = np.unique(owner[at], return_inverse=True)
-                    for r, v in zip(rows, (k, gram[at].tobytes(), cls[who].tobytes(), place.astype(np.uint32).tobytes(), n[who].tobytes())):
-                        r.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["block", "grams", "classes", "places", "sizes"])
+            at, ends = np.unique(block[order], return_index=True)
+            for k, lo, hi in zip(at.tolist(), ends.tolist(), [*ends[1:].tolist(), len(order)]):
+                own = order[lo:hi]
+                who, place = np.unique(owner[own], return_inverse=True)
+                yield k, gram[own].tobytes(), cls[who].tobytes(), place.astype(np.uint32).tobytes(), n[who].tobytes()
+
+        def packed():
+            rows, size = [], 0
+            for row in flush():
+                rows.append(row)
+                size += sum(map(len, row[1:]))
+                if size > 2 << 20:
+                    yield rows
+                    rows, size = [], 0
+            if rows:
+                yield rows
 
         for b in batches:
             for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = np.frombuffer(raw, np.uint64)
-                p = prefix(len(own))
+                p = int(prefix(len(own)))
+                far = np.zeros(p, bool)
                 if len(grams_hot):
                     at = np.minimum(np.searchsorted(grams_hot, own), len(grams_hot) - 1)
                     is_hot = grams_hot[at] == own
-                    cold = own[~is_hot]
-                    take = cold[:p]
+                    take = own[~is_hot][:p].copy()
                     if len(take) < p:
-                        late = own[is_hot][np.argsort(rank[at[is_hot]])]
-                        take = np.concatenate([take, late[: p - len(take)]])
+                        late = np.flatnonzero(is_hot)
+                        late = late[np.argsort(rank[at[late]])][: p - len(take)]
+                        far[len(take) :] = surely[at[late]]
+                        take = np.concatenate([take, own[late]])
                 else:
-                    take = own[:p]
+                    take = own[:p].copy()
                 held.append(take)
+                wide.append(far)
                 keys.append(key)
                 full.append(len(own))
                 total += p
-                if total > CHUNK // 2:
-                    yield flush()
-                    held, keys, full, total = [], [], [], 0
+                if total > CHUNK:
+                    yield from map(_packed, packed())
+                    held, wide, keys, full, total = [], [], [], [], 0
         if held:
-            yield flush()
+            yield from map(_packed, packed())
+
+    return common.in_arrow(stored.select("class", "grams").filter("grams is not null"), work, "block long, grams binary, classes binary, places binary, sizes binary", "jaccard")
+
 
-    return common.arrow_rows(stored.select("class", "grams").filter("grams is not null")).mapInArrow(work, "block long, grams binary, classes binary, places binary, sizes binary")
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    each = list(zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(each[0], pa.int64()), *[pa.array(x, pa.binary()) for x in each[1:]]], names=["block", "grams", "classes", "places", "sizes"])
 
 
 def fitting(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -192,117 +220,182 @@ def fitting(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.append(ok, False) | np.append(False, ok)
 
 
-def shared_columns(packed: DataFrame, blocks: int) -> DataFrame:
-    """gram, class, n: entries of columns with more than one class of fitting size."""
+def shared_columns(packed: DataFrame, blocks: int, narrow: int = NARROW) -> DataFrame:
+    """a, b, m, n, shared, gram: of each block of columns, the overlap counts of pairs in its narrow columns (sizes m, n; gram null), and
+    the entries of its wide columns (class a of size m in column gram; b null). Columns of one document of fitting size are left out."""
+
+    def entries(held):
+        gram = np.concatenate([np.frombuffer(h[0], np.uint64) for h in held])
+        cls = np.concatenate([np.frombuffer(h[1], np.int64)[np.frombuffer(h[2], np.uint32)] for h in held])
+        n = np.concatenate([np.frombuffer(h[3], np.int64)[np.frombuffer(h[2], np.uint32)] for h in held])
+        return gram, cls, n
+
+    def batch(a, b, m, n, shared, gram):
+        gone = lambda x, kind: pa.nulls(len(a), kind) if x is None else pa.array(x, kind)
+        return pa.RecordBatch.from_arrays([pa.array(a), gone(b, pa.int64()), pa.array(m), gone(n, pa.int64()), gone(shared, pa.int64()), gone(gram, pa.int64())], names=["a", "b", "m", "n", "shared", "gram"])
+
+    def in_parts(*columns):
+        for i in range(0, len(columns[0]), 50_000):
+            yield batch(*[None if c is None else c[i : i + 50_000] for c in columns])
+
+    def flush(block, held):
+        if not held:
+            return
+        gram, cls, n = entries(held)
+        if block < 0:
+            yield from in_parts(cls, None, n, None, None, gram.view(np.int64))
+            return
+        order = np.argsort(gram, kind="stable")
+        many = gram[order[1:]] == gram[order[:-1]]
+        order = order[np.append(many, False) | np.append(False, many)]
+        gram, cls, n = gram[order], cls[order], n[order]
+        if not len(gram):
+            return
+        order = np.lexsort((cls, n, gram))
+        gram, cls, n = gram[order], cls[order], n[order]
+        new = np.append(True, (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1]))
+        gram, cls, n = gram[new], cls[new], n[new]
+        ok = fitting(gram, n)
+        gram, cls, n = gram[ok], cls[ok], n[ok]
+        if not len(gram):
+            return
+        edge = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        count = np.diff(np.append(edge, len(gram)))
+        wide = np.repeat(count > narrow, count)
+        if wide.any():
+            yield from in_parts(cls[wide], None, n[wide], None, None, gram[wide].view(np.int64))
+        left, right = [], []
+        for k in range(2, narrow + 1):
+            at = edge[count == k][:, None] + np.arange(k)
+            i, j = np.triu_indices(k, 1)
+            i, j = at[:, i].ravel(), at[:, j].ravel()
+            fit = 100 * n[i] >= PERCENT * n[j]  # sizes ascend in a column
+            left.append(i[fit])
+            right.append(j[fit])
+        i, j = np.concatenate(left), np.concatenate(right)
+        if not len(i):
+            return
+        swap = cls[i] > cls[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        order = np.lexsort((cls[j], cls[i]))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.append(True, (cls[i[1:]] != cls[i[:-1]]) | (cls[j[1:]] != cls[j[:-1]])))
+        shared = np.diff(np.append(first, len(i)))
+        i, j = i[first], j[first]
+        yield from in_parts(cls[i], cls[j], n[i], n[j], shared, None)
 
     def work(batches):
         now, held = None, []
-
-        def flush():
-            if not held:
-                return None
-            gram = np.concatenate([np.frombuffer(h[0], np.uint64) for h in held])
-            cls = np.concatenate([np.frombuffer(h[1], np.int64)[np.frombuffer(h[2], np.uint32)] for h in held])
-            n = np.concatenate([np.frombuffer(h[3], np.int64)[np.frombuffer(h[2], np.uint32)] for h in held])
-            order = np.argsort(gram, kind="stable")
-            gram, cls, n = gram[order], cls[order], n[order]
-            many = np.append(gram[1:] == gram[:-1], False)
-            many[1:] |= gram[1:] == gram[:-1]
-            gram, cls, n = gram[many], cls[many], n[many]
-            order = np.lexsort((cls, n, gram))
-            gram, cls, n = gram[order], cls[order], n[order]
-            new = np.append(True, (gram[1:] != gram[:-1]) | (cls[1:] != cls[:-1])) if len(gram) else np.zeros(0, bool)
-            gram, cls, n = gram[new], cls[new], n[new]
-            ok = fitting(gram, n) if len(gram) else new[:0]
-            return pa.RecordBatch.from_arrays([pa.array(gram[ok].view(np.int64)), pa.array(cls[ok]), pa.array(n[ok])], names=["gram", "class", "n"])
-
         for b in batches:
             for k, *rest in zip(*[c.to_pylist() for c in b.columns]):
                 if k != now:
-                    if (out := flush()) is not None:
-                        yield out
+                    yield from flush(now, held)
                     now, held = k, []
                 held.append(rest)
-        if (out := flush()) is not None:
-            yield out
+        yield from flush(now, held)
+
+    return common.in_arrow(packed.repartition(blocks, "block").sortWithinPartitions("block"), work, "a long, b long, m long, n long, shared long, gram long", "jaccard")
 
-    return common.arrow_rows(packed.repartition(blocks, "block").sortWithinPartitions("block")).mapInArrow(work, "gram long, class long, n long")
 
+def candidates(found: DataFrame) -> DataFrame:
+    """a, b: pairs of classes whose components hold all links; found is shared_columns' table."""
+    wide = common.keep(found.filter("b is null").select("gram", F.col("a").alias("class"), F.col("m").alias("n")).distinct(), "wide")
+    pairs = found.filter("b is not null").groupBy("a", "b").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.sum("shared").alias("shared"))
+    # with o = ceil(4 (m + n) / 9), what both prefixes hold at least
+    need = "least(m div 5 + 1 + m div 10 - m, n div 5 + 1 + n div 10 - n) + (4 * (m + n) + 8) div 9"
+    some = wide.groupBy("class").agg(F.count(F.lit(1)).alias("wide"))
+    sure = pairs.withColumn("need", F.expr(need))
+    sure = sure.join(some.select(F.col("class").alias("a"), F.col("wide").alias("wa")), "a", "left").join(some.select(F.col("class").alias("b"), F.col("wide").alias("wb")), "b", "left")
+    met = sure.filter("shared + least(coalesce(wa, 0), coalesce(wb, 0)) >= need").select("a", "b")
+    for _ in range(2):  # pairs that share wide columns only share as many as the smallest size that links with either needs
+        enough = common.keep(wide.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).filter("k >= 1 + ((4 * n + 4) div 5) div 10").select("class"), "wide-classes")
+        first = common.keep(wide.join(enough, "class").groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("least")).filter("k > 1").select("gram", "least"), "wide-columns")
+        wide = common.keep(wide.select("gram", "class", "n").join(enough, "class").join(first, "gram").select("gram", "class", "n", "least"), "wide")
+    return met.unionByName(wide.select(F.col("class").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct())
 
-def forest(names: np.ndarray, sizes: np.ndarray, grams: list[np.ndarray], copies: np.ndarray, split: int | None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links that span the components of a block of documents, and for each row the documents that it links with.
+
+def product(sizes: np.ndarray, grams: list[np.ndarray], copies: np.ndarray, split: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of a block of documents, the first row of its component (-1: none), and how many documents it links with.
 
     Overlaps are exact, of all pairs, or of pairs across `split`; a row stands for `copies` documents.
     """
     m = len(grams)
+    left, start = (m, 0) if split is None else (split, split)
     gram = np.concatenate(grams)
     owner = np.repeat(np.arange(m), sizes)
     order = np.argsort(gram, kind="stable")
     gram, owner = gram[order], owner[order]
     edge = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
     count = np.diff(np.append(edge, len(gram)))
-    overlap = np.zeros((m, m), np.int32)
+    overlap = np.zeros((left, m - start), np.float32)  # whole numbers below 2^24 are exact
+    found = []
     for k in np.unique(count[(count > 1) & (count < 12)]):  # columns of few documents: their pairs
         rows = owner[edge[count == k][:, None] + np.arange(k)]
         i, j = np.triu_indices(k, 1)
-        np.add.at(overlap, (rows[:, i].ravel(), rows[:, j].ravel()), 1)  # rows ascend: the sort is stable
+        i, j = rows[:, i].ravel(), rows[:, j].ravel()  # rows ascend: the sort is stable
+        if split is not None:
+            across = (i < split) & (j >= split)
+            i, j = i[across], j[across]
+        found.append(i * (m - start) + j - start)
+        if split is None:
+            found.append(j * m + i)
+    if found:
+        at, times = np.unique(np.concatenate(found), return_counts=True)
+        overlap.ravel()[at] += times
     wide = np.flatnonzero(count >= 12)
-    for at in range(0, len(wide), 2048):  # columns of many: a dense product
-        part = wide[at : at + 2048]
+    for at in range(0, len(wide), 1024):  # columns of many: a dense product
+        part = wide[at : at + 1024]
         a = np.zeros((m, len(part)), np.float32)
         column = np.repeat(np.arange(len(part)), count[part])
-        place = np.concatenate([np.arange(s, s + c) for s, c in zip(edge[part], count[part])])
+        place = np.repeat(edge[part] - np.cumsum(count[part]) + count[part], count[part]) + np.arange(count[part].sum())
         a[owner[place], column] = 1
-        overlap += np.triu(np.rint(a @ a.T).astype(np.int32), 1)
-    i, j = np.nonzero(overlap)
-    both = overlap[i, j].astype(np.int64)
-    ok = 100 * both >= PERCENT * (sizes[i] + sizes[j] - both)
-    if split is not None:
-        ok &= (i < split) & (j >= split)
-    i, j = i[ok], j[ok]
+        overlap += a[:left] @ a[start:].T
+    ok = np.zeros(overlap.shape, bool)
+    for i in range(0, left, 256):
+        both = overlap[i : i + 256].astype(np.int64)
+        ok[i : i + 256] = 100 * both >= PERCENT * (sizes[i : min(i + 256, left), None] + sizes[None, start:] - both)
+    if split is None:
+        np.fill_diagonal(ok, False)
     met = np.zeros(m, np.int64)
-    np.add.at(met, i, copies[j])
-    np.add.at(met, j, copies[i])
-    root = list(range(m))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for x, y in zip(i.tolist(), j.tolist()):
-        a, b = find(x), find(y)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((int(names[x]), int(names[y])))
-    return out, met
-
-
-def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = ROWS, most_frequent: int = FREQUENT) -> DataFrame:
+    met[:left] += ok @ copies[start:]
+    if split is not None:
+        met[start:] += ok.T @ copies[:left]
+    first = np.full(m, -1, np.int64)
+    for i in np.flatnonzero(met).tolist():
+        if first[i] >= 0:
+            continue
+        first[i], new = i, np.array([i])
+        while len(new):
+            seen = np.zeros(m, bool)
+            seen[start:] |= ok[new[new < left]].any(axis=0)
+            if split is not None:
+                seen[:left] |= ok[:, new[new >= start] - start].any(axis=1)
+            new = np.flatnonzero(seen & (first < 0))
+            first[new] = i
+    return first, met
+
+
+def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = ROWS, most_frequent: int = FREQUENT, narrow: int = NARROW, grams: int = GRAMS) -> DataFrame:
     """a, b, met: links between classes whose components are those of all links, with null met; and, with null b, how many
     documents of other classes each document of class a links with, in parts that add up to all."""
     entries = stored.filter("grams is not null").agg(F.sum(prefix_column())).head()[0] or 0
     blocks = max(1, -(-entries // column_entries))
-    found = common.keep(shared_columns(columns(stored, frequent(stored, most_frequent), blocks), blocks), "columns")
-    for _ in range(2):
-        enough = found.groupBy("class").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).filter("m >= 1 + ((4 * n + 4) div 5) div 10").select("class")
-        some = found.select("gram", "class", "n").join(enough, "class")
-        size = some.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("class").alias("least")).filter("m > 1")
-        found = common.keep(some.join(size, "gram").select("gram", "class", "n", "least"), "columns")
-    group = components(found.select(F.col("class").alias("a"), F.col("least").alias("b")), "candidates")
-    group = common.keep(found.select("class", "n").distinct().join(group.withColumnRenamed("node", "class"), "class"), "groups")
+    found = common.keep(shared_columns(columns(stored, frequent(stored, most_frequent), blocks), blocks, narrow), "overlaps")
+    close = common.keep(candidates(found), "candidates")
+    sizes = found.select(F.col("a").alias("class"), F.col("m").alias("n")).union(found.filter("b is not null").select("b", "n")).distinct()
+    group = common.keep(components(close, "candidates").withColumnRenamed("node", "class").join(sizes, "class"), "groups")
+    common.drop(found)
+    common.settle(stored.sparkSession)  # the columns' shuffle files go before sets are dealt out
     count = group.count()
     if not count:
-        return found.select(F.col("class").alias("a"), F.col("least").alias("b"), F.lit(None).cast("long").alias("met"))
+        return close.select("a", "b", F.lit(None).cast("long").alias("met")).limit(0)
     # a large group is cut into bands of like size, and a band with too many documents or n-grams is dealt by hash
-    fits = (F.col("size") <= rows) & (F.col("weight") <= rows * GRAMS)
+    fits = (F.col("size") <= rows) & (F.col("weight") <= grams)
     total = group.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.percentile_approx("n", F.array(*[F.lit(x / 64) for x in range(1, 64)]), F.lit(1000)).alias("q"))
-    total = common.keep(total.withColumn("whole", fits).withColumn("parts", F.least(F.lit(64), F.greatest(F.ceil(F.col("size") / rows), F.ceil(F.col("weight") / (rows * GRAMS)))).cast("int")).withColumn("q", F.when(~fits, F.col("q"))), "shapes")
+    total = common.keep(total.withColumn("whole", fits).withColumn("parts", F.least(F.lit(64), F.greatest(F.ceil(F.col("size") / rows), F.ceil(F.col("weight") / grams))).cast("int")).withColumn("q", F.when(~fits, F.col("q"))), "shapes")
     small = group.join(total.filter("whole").select("root"), "root").select("class", "root", _no_block().alias("x"), _no_block().alias("y"), F.lit(True).alias("first"))
     banded = group.join(total.filter("not whole"), "root").select("class", "root", "n", F.expr("size(filter(q, x -> x < n)) * parts div 64").cast("int").alias("band"))
-    dealt = banded.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("n") / (rows * GRAMS))).alias("deals"))
+    dealt = common.keep(banded.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("n") / grams)).alias("deals")), "bands")
     member = common.keep(banded.join(dealt, ["root", "band"]).select("class", "root", "n", F.struct("band", F.pmod(F.xxhash64("class"), F.col("deals")).alias("deal")).alias("block")), "members")
     many = common.keep(member.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
     a, b = many.alias("a"), many.alias("b")
@@ -315,23 +408,25 @@ def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = R
         for x in batches:
             yield x.filter(pa.array(active.value.has(x.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    whole = common.arrow_rows(stored.select("class", "grams").filter("class is not null")).mapInArrow(pick, "class long, grams binary").groupBy("class").agg(F.first("grams", ignorenulls=True).alias("grams"), F.count(F.lit(1)).alias("copies"))
+    whole = common.in_arrow(stored.select("class", "grams").filter("class is not null"), pick, "class long, grams binary", "jaccard").groupBy("class").agg(F.first("grams", ignorenulls=True).alias("grams"), F.count(F.lit(1)).alias("copies"))
 
-    def product(table: pa.Table) -> pa.Table:
+    def multiply(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
         first = table.column("first").to_numpy()
-        order = np.argsort(~first, kind="stable")
+        order = np.lexsort((table.column("class").to_numpy(), ~first))
         names = table.column("class").to_numpy()[order]
         raw = table.column("grams").to_pylist()
-        grams = [np.frombuffer(raw[i], np.uint64) for i in order]
-        copies = table.column("copies").to_numpy()[order]
-        found, met = forest(names, np.array([len(g) for g in grams]), grams, copies, int(first.sum()) if x != y else None)
-        some = np.flatnonzero(met)
-        a, b = [p for p, _ in found] + names[some].tolist(), [q for _, q in found] + [None] * len(some)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "met": pa.array([None] * len(found) + met[some].tolist(), pa.int64())})
-
-    common.arrow_rows(stored)
-    return jobs.join(whole, "class").groupBy("root", "x", "y").applyInArrow(product, "a long, b long, met long")
+        own = [np.frombuffer(raw[i], np.uint64) for i in order]
+        root, met = product(np.array([len(g) for g in own]), own, table.column("copies").to_numpy()[order], int(first.sum()) if x != y else None)
+        tied, some = np.flatnonzero((root >= 0) & (root != np.arange(len(root)))), np.flatnonzero(met)
+        none = pa.nulls
+        return pa.table({
+            "a": pa.array(np.concatenate([names[tied], names[some]]), pa.int64()),
+            "b": pa.chunked_array([pa.array(names[root[tied]], pa.int64()), none(len(some), pa.int64())], pa.int64()),
+            "met": pa.chunked_array([none(len(tied), pa.int64()), pa.array(met[some], pa.int64())], pa.int64()),
+        })
+
+    return common.groups_in_arrow(jobs.join(whole, "class").groupBy("root", "x", "y"), multiply, "a long, b long, met long", "jaccard")
 
 
 def _no_block() -> F.Column:
