@@ -122,7 +122,7 @@ def index(df: DataFrame, parts: list[Block], id_col: str = "doc_id", text_col: s
         if ids:
             yield from shard(number, ids, own)
 
-    return common.keep(src.mapInArrow(work, schema), "postings")
+    return common.keep(common.in_arrow(src, work, schema, "decontamination"), "postings")
 
 
 def _intersect(block: Block, ends: np.ndarray, terms: np.ndarray, owners: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +197,7 @@ def matches(stored: DataFrame, parts: list[Block], id_col: str = "doc_id", item_
                     pa.array([[{"start": s, "end": e} for s, e in r] for r in runs], out.field("hits").type), pa.array([[block.items[i] for i in sorted(set(x))] for x in items], out.field("items").type),
                 )
 
-    found = common.arrow_rows(stored).mapInArrow(work, schema)
+    found = common.in_arrow(stored, work, schema, "decontamination")
     if len(parts) > 1:
         found = found.groupBy("__shard", "__ordinal").agg(F.first(id_col).alias(id_col), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
         merged = "aggregate(array_sort(hits), array(named_struct('start', -1, 'end', -1)), (a, x) -> if(x.start <= element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))), a -> slice(a, 2, greatest(size(a) - 1, 0)))"
@@ -258,7 +258,7 @@ def proximity(df: DataFrame, queries: list[str], within: int, id_col: str = "doc
                         found += [(ids[d], q, s, e) for s, e in stretches(spots, len(terms), within)]
                 yield common.batch_of(out, pa.array([f[0] for f in found], out.field(0).type), [f[1] for f in found], [f[2] for f in found], [f[3] for f in found])
 
-    return common.arrow_rows(stored).mapInArrow(work, schema)
+    return common.in_arrow(stored, work, schema, "decontamination")
 
 
 def stretches(spots: list[tuple[int, int]], terms: int, within: int) -> list[tuple[int, int]]:

@@ -42,6 +42,9 @@ def vocabulary(path: str) -> tuple[dict[str, int], frozenset[str], object]:
     return pieces, frozenset(p[:k] for p in pieces for k in range(1, len(p))), model
 
 
+common.on_leave("langid", vocabulary.cache_clear)
+
+
 def spans(word: str, pieces: dict[str, int], prefixes: frozenset[str]) -> list[tuple[int, int, int]]:
     """(start, end, piece) of every piece inside the word; -1 stands for one character that no piece covers there."""
     out, n = [], len(word)
@@ -158,7 +161,7 @@ def fit(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
     reaches the driver. Rows without text or language are left out. Without any row the model has no language
     and predicts `und`.
     """
-    picked = common.arrow_rows(sample(df, id_col, text_col, lang_col, rows).select("__lang", "__text"))
+    picked = sample(df, id_col, text_col, lang_col, rows).select("__lang", "__text")
 
     def count(batches):
         pieces, prefixes, model = vocabulary(path)
@@ -176,7 +179,7 @@ def fit(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text"
                                 seen[lang, pieces.get(c, -1)] += n
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen], pa.string()), pa.array([x[1] for x in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["lang", "piece", "n"])
 
-    found = picked.mapInArrow(count, "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
+    found = common.in_arrow(picked, count, "lang string, piece long, n long", "langid").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
     pieces, _, _ = vocabulary(path)
     langs = sorted({r["lang"] for r in found})
     counts = np.zeros((len(pieces) + 1, len(langs)))
@@ -213,4 +216,4 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             score = np.where(any_letter, 1 / odds.sum(axis=1), 0.0) if len(many) else np.zeros(0)
             yield common.batch_of(out, b.column(0), pa.array([own.langs[k] if ok else UNDETERMINED for k, ok in zip(best, any_letter)], pa.string()), pa.array(score), *b.columns[2:])
 
-    return src.mapInArrow(work, schema)
+    return common.in_arrow(src, work, schema, "langid")

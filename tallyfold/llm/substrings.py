@@ -36,6 +36,7 @@ class _Keys(dict):
 
 
 _keys = _Keys()
+common.on_leave("substrings", _keys.clear)
 
 
 def ends(key: np.ndarray) -> np.ndarray:
@@ -167,7 +168,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
     numeric = dict(ordered.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
     # order of documents: (id, row) as two longs; other id types go by row
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) if numeric else F.lit(0).cast("long")
-    src = common.arrow_rows(rows.select("__row", rank.alias("__rank"), "text"))
+    src = rows.select("__row", rank.alias("__rank"), "text")
 
     def emit(batches, filter_=None):
         for b in batches:
@@ -189,10 +190,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
                 columns = columns[:2] + columns[3:5]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "rank", "h1", "h2"] if filter_ is None else ["row", "rank", "at", "h1", "h2", "local"])
 
-    met = src.mapInArrow(emit, "row long, rank long, h1 long, h2 long").groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("rank").alias("first_rank"))
+    met = common.in_arrow(src, emit, "row long, rank long, h1 long, h2 long", "substrings").groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("rank").alias("first_rank"))
     met = common.keep(met, "repeated-runs")
     sent = rows.sparkSession.sparkContext.broadcast(common.bloom(met, "h1", met.count()))
-    likely = common.keep(src.mapInArrow(lambda batches: emit(batches, sent), "row long, rank long, at int, h1 long, h2 long, local boolean"), "likely-runs")
+    likely = common.keep(common.in_arrow(src, lambda batches: emit(batches, sent), "row long, rank long, at int, h1 long, h2 long, local boolean", "substrings"), "likely-runs")
     # among documents of the first rank, the first row
     shared = likely.filter("not local").join(met, ["h1", "h2"])
     ties = shared.filter("rank = first_rank").groupBy("h1", "h2").agg(F.min("row").alias("first_row"))
@@ -207,4 +208,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
             done = [cut(t or "", s or [], run, min_words) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield common.batch_of(out, b.column(0), pa.array([None if t is None else d[0] for t, d in zip(b.column(1).to_pylist(), done)], pa.string()), [d[1] for d in done])
 
-    return common.arrow_rows(joined).mapInArrow(remove, schema)
+    return common.in_arrow(joined, remove, schema, "substrings")

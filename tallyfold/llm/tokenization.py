@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pieces whose ids a worker remembers; at about 200 bytes each. When full, the memory starts anew.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 120_000
 #: A long text is cut into runs of about so many characters, at places where no match can span the cut.
 RUN_CHARS = 1 << 16
 
@@ -44,12 +44,14 @@ class Codec:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         ranks = read_ranks(path)
-        self.pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
-        for piece, rank in ranks.items():
-            self.pieces[rank] = piece
-        self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        to, self.back = byte_chars()
+        to, back = byte_chars()
         write = lambda piece: "".join(map(to.__getitem__, piece))
+        self.chars = [""] * (max(ranks.values()) + 1)  # each id's bytes, a character for a byte
+        for piece, rank in ranks.items():
+            self.chars[rank] = write(piece)
+        self.lengths = np.array([len(p) for p in self.chars], np.int64)
+        self.back = np.zeros(max(map(ord, back)) + 1, np.uint8)
+        self.back[[ord(c) for c in back]] = list(back.values())
         self.bpe = Tokenizer(models.BPE(vocab={write(p): r for p, r in ranks.items()}, merges=[tuple(map(write, m)) for m in self._merges(ranks)]))
         self.bpe.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # \s of the rank files' users is the property White_Space; Python's has four control characters more
@@ -101,7 +103,9 @@ class Codec:
         return char_of[starts], char_of[ends - 1] + 1
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        """The bytes of ids: their characters joined, and each turned back by the byte table, so that parts of a split character meet again."""
+        written = "".join(map(self.chars.__getitem__, ids))
+        return self.back[np.frombuffer(written.encode("utf-16-le"), np.uint16)].tobytes()
 
 
 def runs(text: str) -> Iterator[str]:
@@ -131,6 +135,9 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+common.on_leave("tokenization", _codec.cache_clear)
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """Token ids of every whole text by the ranks in the file at path, each match of pattern separately, without special tokens.
 
@@ -158,7 +165,7 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
                 columns += [lists([s for s, _ in spans]), lists([e for _, e in spans])]
             yield common.batch_of(out, *columns)
 
-    return src.mapInArrow(work, schema)
+    return common.in_arrow(src, work, schema, "tokenization")
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -167,7 +174,7 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
     Bytes are exact, so parts of a split character join again. In decoded_text, a character of which ids hold
     only a part is U+FFFD. Null ids decode to nothing. An id outside the table is an error.
     """
-    src = common.arrow_rows(df.select(F.col(id_col), F.col(ids_col).alias("token_ids")))
+    src = df.select(F.col(id_col), F.col(ids_col).alias("token_ids"))
     schema = common.with_id(src, id_col, "token_ids array<int>, decoded binary")
     out = common.arrow_schema(schema)
 
@@ -177,4 +184,4 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
             column = b.column(1)
             yield common.batch_of(out, b.column(0), column, pa.array([codec.decode(x or ()) for x in column.to_pylist()], pa.binary()))
 
-    return src.mapInArrow(work, schema).withColumn("decoded_text", F.make_valid_utf8(F.col("decoded").cast("string")))
+    return common.in_arrow(src, work, schema, "tokenization").withColumn("decoded_text", F.make_valid_utf8(F.col("decoded").cast("string")))
