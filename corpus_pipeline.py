@@ -6,11 +6,10 @@ documents, with n_chars that of the text. Every stage judges by the row, also wh
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyfold import shared
 from tallyfold.llm import common, decontamination, jaccard, langid, lines, tokenization
 
 #: Documents go if no language is predicted, or with less than this probability.
@@ -47,11 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of the n-gram Jaccard join, the row of the least id (null ids last); of its rows of that id, one."""
     common.release(spark)
     rows = _keyed(docs)
-    found = jaccard.join(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
-    kept = common.keep(best.select(F.col("best.__row").alias("__row")), "representatives")
-    common.release(spark, "keyed", "representatives")  # the sets are no longer needed when whole texts are joined
-    return rows.join(kept, "__row").select("doc_id", "text", "lang", "source", "n_chars")
+    found = common.keep(jaccard.join(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row"), "members")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    best = common.keep(best.select("component_id", F.col("best.__row").alias("stays")), "representatives")
+    gone = common.keep(found.join(best, "component_id").filter("__row <> stays").select("__row"), "copies")
+    common.release(spark, "keyed", "copies")  # the sets are no longer needed when whole texts are read again
+    return common.without(rows, gone, "__row").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     common.release(spark)
     rows = _keyed(docs)
     found = decontamination.phrases(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
-    hit = found.filter(F.size("hits") > 0).select("__row")
-    return rows.join(hit, "__row", "left_anti").select("doc_id", "text", "lang", "source", "n_chars")
+    hit = common.keep(found.filter(F.size("hits") > 0).select("__row"), "hits")
+    common.release(spark, "keyed", "hits")
+    return common.without(rows, hit, "__row").select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,10 +82,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        path = f"{common.shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = shared.new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         if before:
-            common.delete(spark, before)
+            shared.delete(before)
         docs, before = spark.read.parquet(path), path
     common.release(spark)
     return docs
