@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import common, crf
 
-#: About so many labelled rows of each label are sampled, by hash, to fit the field, and the lines of a document used for it.
-SAMPLE_ROWS, FIT_DOCS = 1500, 2500
+#: About so many labelled rows of each label are sampled, by hash, to fit the field, on at most so many pieces of PIECE lines.
+SAMPLE_ROWS, FIT_PIECES, PIECE = 1500, 2500, 64
 #: A document whose words lie in content lines to less than this part is not kept.
 CONTENT_SHARE = 0.5
 MIN_WORDS, WINDOW = 20, 8
@@ -84,16 +84,42 @@ def read(text: str, hashes: Hashes) -> tuple[list[int], np.ndarray, np.ndarray]:
     return [len(words), chars, len(_symbols.findall(text)), dup, repeat_words(words, hashes)], np.array(rows), np.array(sizes)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> crf.Chain:
-    """Fit the field on lines of a bounded hash sample of labelled documents: those of label 1 are content, those of label 0 boilerplate.
+def line_tags(sequences: list[np.ndarray], good: list[bool]) -> list[np.ndarray]:
+    """0 or 1 (boilerplate) for each line, from the labels of whole documents.
 
-    Null ids, labels and texts are left out. Without labelled documents all potentials are 0 and every line is content.
+    A logistic model of single lines tells lines that bad documents have from those that good ones have; a bad document's
+    line is boilerplate where it says so, all other lines are content. A blank line goes with the line before it.
     """
-    own = labels.select(F.col(id_col).alias("__id"), (F.col(label_col).cast("int") == 1).alias("__good")).filter("__id is not null and __good is not null").groupBy("__id").agg(F.min("__good").alias("__good"))
+    x = np.concatenate(sequences)
+    bad = np.concatenate([np.full(len(s), not g) for s, g in zip(sequences, good)])
+    some = x[:, 1] > 0
+    w = np.zeros(x.shape[1])
+    for _ in range(30):  # Newton's method with a small ridge
+        p = 1 / (1 + np.exp(-np.clip(x[some] @ w, -30, 30)))
+        slope = x[some].T @ (bad[some] - p) - 1e-2 * w
+        bend = (x[some] * (p * (1 - p))[:, None]).T @ x[some] + 1e-2 * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(bend, slope), -5, 5)
+    out = []
+    for s, g in zip(sequences, good):
+        tag = ((s @ w > 0) & (s[:, 1] > 0) & (not g)).astype(int)
+        for k in np.flatnonzero(s[:, 1] == 0):
+            tag[k] = tag[k - 1] if k else 0
+        out.append(tag)
+    return out
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS, pieces: int = FIT_PIECES) -> crf.Chain:
+    """Fit the field on lines of a bounded hash sample of labelled documents, without the held-out ones (crc32(id as text) mod 5 is 0).
+
+    Labels are of documents, the field's of lines: line_tags() finds which lines of a bad document are boilerplate, so sequences
+    hold changes of state. Null ids, labels and texts are left out; an id labelled both ways counts as bad. Without labelled
+    documents all potentials are 0 and every line is content.
+    """
+    own = labels.select(F.col(id_col).alias("__id"), (F.col(label_col).cast("int") == 1).alias("__good")).filter("__id is not null and __good is not null").filter(~common.held_out("__id")).groupBy("__id").agg(F.min("__good").alias("__good"))
     size = {r["__good"]: r["count"] for r in own.groupBy("__good").count().collect()}
-    share = F.when(F.col("__good"), min(1.0, SAMPLE_ROWS / max(1, size.get(True, 0)))).otherwise(min(1.0, SAMPLE_ROWS / max(1, size.get(False, 0))))
+    share = F.when(F.col("__good"), min(1.0, rows / max(1, size.get(True, 0)))).otherwise(min(1.0, rows / max(1, size.get(False, 0))))
     ids = own.filter(F.pmod(F.xxhash64(F.lit("quality"), "__id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null").join(F.broadcast(ids), "__id")  # a bounded number of ids
+    texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null").join(F.broadcast(ids), "__id")  # a bounded number of ids
 
     def lines(batches):
         hashes = Hashes()
@@ -101,13 +127,14 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             got = []
             for i, text, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 x = read(text, hashes)[1]
-                for k in range(0, len(x), 64):
-                    got.append((f"{i}/{k}", good, x[k : k + 64].ravel().tolist()))
+                for k in range(0, len(x), PIECE):
+                    got.append((f"{i}/{k}", good, x[k : k + PIECE].ravel().tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.bool_()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["key", "good", "x"])
 
-    found = common.arrow_rows(rows.select(F.col("__id").cast("string"), "__text", "__good")).mapInArrow(lines, "key string, good boolean, x array<double>").orderBy(F.xxhash64("key"), "key").limit(FIT_DOCS).collect()
+    read_lines = common.in_arrow(texts.select(F.col("__id").cast("string"), "__text", "__good"), lines, "key string, good boolean, x array<double>", "quality")
+    found = read_lines.orderBy(F.xxhash64("key"), "key").limit(pieces).collect()
     sequences = [np.array(r["x"]).reshape(-1, 10) for r in found]
-    return crf.fit(sequences, [np.full(len(x), int(not r["good"])) for x, r in zip(sequences, found)], 10)
+    return crf.fit(sequences, line_tags(sequences, [r["good"] for r in found]) if found else [], 10, rate=0.3, l2=1e-4)
 
 
 def judge(df: DataFrame, chain: crf.Chain, id_col: str = "doc_id", text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
@@ -136,4 +163,4 @@ def judge(df: DataFrame, chain: crf.Chain, id_col: str = "doc_id", text_col: str
                 rows.append([*counts, failed, share, state.tolist(), not failed and share >= content_share])
             yield common.batch_of(out, b.column(0), *[pa.array([r[k] for r in rows], out.field(k + 1).type) for k in range(9)])
 
-    return src.mapInArrow(work, schema)
+    return common.in_arrow(src, work, schema, "quality")
