@@ -1,4 +1,4 @@
-"""A linear-chain conditional random field over dense features, in numpy."""
+"""A linear-chain conditional random field over dense features, or numbers of features that a place has, in numpy."""
 
 from __future__ import annotations
 
@@ -12,6 +12,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
+def unary(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Log potentials of each place: of dense features, or of whole numbers that name features (0: none)."""
+    return weights[x].sum(axis=-2) if x.dtype.kind == "i" else x @ weights
+
+
 @dataclass
 class Chain:
     """weights: features by states; moves: log potential of each state after each."""
@@ -21,14 +26,14 @@ class Chain:
 
     def marginals(self, x: np.ndarray) -> np.ndarray:
         """Forward-backward over one sequence: P(state) at each place."""
-        unary = x @ self.weights
-        n, k = unary.shape
+        own = unary(self.weights, x)
+        n, k = own.shape
         fore, back = np.empty((n, k)), np.zeros((n, k))
-        fore[0] = unary[0]
+        fore[0] = own[0]
         for t in range(1, n):
-            fore[t] = unary[t] + _lse(fore[t - 1][:, None] + self.moves, 0)
+            fore[t] = own[t] + _lse(fore[t - 1][:, None] + self.moves, 0)
         for t in range(n - 2, -1, -1):
-            back[t] = _lse(self.moves + unary[t + 1] + back[t + 1], 1)
+            back[t] = _lse(self.moves + own[t + 1] + back[t + 1], 1)
         both = fore + back
         both -= both.max(axis=1, keepdims=True)
         p = np.exp(both)
@@ -36,11 +41,11 @@ class Chain:
 
     def viterbi(self, x: np.ndarray) -> np.ndarray:
         """The likeliest states of one sequence; ties to the lower state."""
-        unary = x @ self.weights
-        n, k = unary.shape
+        own = unary(self.weights, x)
+        n, k = own.shape
         if k == 2:  # plain numbers are several times faster than arrays of two
             (m00, m01), (m10, m11) = self.moves.tolist()
-            rows = unary.tolist()
+            rows = own.tolist()
             a, b = rows[0]
             came = []
             for u, v in rows[1:]:
@@ -53,11 +58,11 @@ class Chain:
                 state = int(pair[state])
                 out.append(state)
             return np.array(out[::-1])
-        best, came = unary[0], []
+        best, came = own[0], []
         for t in range(1, n):
             step = best[:, None] + self.moves
             came.append(step.argmax(axis=0))
-            best = step.max(axis=0) + unary[t]
+            best = step.max(axis=0) + own[t]
         out = [int(best.argmax())]
         for c in reversed(came):
             out.append(int(c[out[-1]]))
@@ -65,7 +70,7 @@ class Chain:
 
 
 def fit(sequences: list[np.ndarray], labels: list[np.ndarray], width: int, states: int = 2, rounds: int = 200, rate: float = 0.1, l2: float = 1e-3) -> Chain:
-    """Maximum conditional likelihood by Adam over all sequences of `width` features at once, padded to the longest. Without any, all potentials are 0."""
+    """Maximum conditional likelihood by Adam over all sequences of `width` features (dense, or numbers below width) at once, padded to the longest. Without any, all potentials are 0."""
     chain = Chain(np.zeros((width, states)), np.zeros((states, states)))
     if not sequences:
         return chain
@@ -74,7 +79,7 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], width: int, state
     for i in range(0, len(order), 256):
         own = order[i : i + 256]
         n = max(len(sequences[j]) for j in own)
-        x, y, mask = np.zeros((len(own), n, width)), np.zeros((len(own), n), int), np.zeros((len(own), n), bool)
+        x, y, mask = np.zeros((len(own), n, sequences[0].shape[1]), sequences[0].dtype), np.zeros((len(own), n), int), np.zeros((len(own), n), bool)
         for r, j in enumerate(own):
             k = len(sequences[j])
             x[r, :k], y[r, :k], mask[r, :k] = sequences[j], labels[j], True
@@ -97,25 +102,85 @@ def fit(sequences: list[np.ndarray], labels: list[np.ndarray], width: int, state
 
 def _gradient(chain: Chain, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Observed minus expected feature and move counts."""
-    unary = x @ chain.weights
-    b, n, k = unary.shape
+    own = unary(chain.weights, x)
+    b, n, k = own.shape
     fore, back = np.zeros((b, n, k)), np.zeros((b, n, k))
-    fore[:, 0] = unary[:, 0]
+    fore[:, 0] = own[:, 0]
     for t in range(1, n):
-        step = unary[:, t] + _lse(fore[:, t - 1, :, None] + chain.moves, 1)
+        step = own[:, t] + _lse(fore[:, t - 1, :, None] + chain.moves, 1)
         fore[:, t] = np.where(mask[:, t, None], step, fore[:, t - 1])
     for t in range(n - 2, -1, -1):
-        step = _lse(chain.moves + (unary[:, t + 1] + back[:, t + 1])[:, None, :], 2)
+        step = _lse(chain.moves + (own[:, t + 1] + back[:, t + 1])[:, None, :], 2)
         back[:, t] = np.where(mask[:, t + 1, None], step, 0)
     z = _lse(fore[:, -1], 1)
     p = np.exp(fore + back - z[:, None, None]) * mask[..., None]
     seen = np.eye(k)[y] * mask[..., None]
-    gw = np.einsum("bnd,bnk->dk", x, seen - p)
+    if x.dtype.kind == "i":
+        off = (seen - p).reshape(-1, k)
+        gw = np.stack([np.bincount(x.ravel(), np.repeat(off[:, s], x.shape[2]), len(chain.weights)) for s in range(k)], axis=1)
+        gw[0] = 0
+    else:
+        gw = np.einsum("bnd,bnk->dk", x, seen - p)
     gm = np.zeros((k, k))
     for t in range(1, n):
         ok = mask[:, t]
         if not ok.any():
             break
-        pair = np.exp(fore[ok, t - 1, :, None] + chain.moves + (unary[ok, t] + back[ok, t])[:, None, :] - z[ok, None, None])
+        pair = np.exp(fore[ok, t - 1, :, None] + chain.moves + (own[ok, t] + back[ok, t])[:, None, :] - z[ok, None, None])
         gm += np.einsum("bi,bj->ij", seen[ok, t - 1], seen[ok, t]) - pair.sum(axis=0)
     return gw, gm
+
+
+def flat_runs(own: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """P(state 1) at each place of a chain of two states by forward-backward; own: log potential of state 1 over state 0 at each place.
+
+    Stretches of equal potentials are done in closed form: their messages are powers of one 2 by 2 matrix. So a long text with few
+    places that differ costs a few steps, and the result is that of the step-by-step pass.
+    """
+    n = len(own)
+    cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if n else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], n)
+    m = np.exp(moves - moves.max())
+
+    def messages(matrix: np.ndarray, start: np.ndarray, steps: int) -> np.ndarray:
+        """matrix^t start for t from 1 to steps, each up to a factor."""
+        if steps == 1:
+            out = matrix @ start
+            return (out / out.sum())[None]
+        (a, b), (c, d) = matrix
+        half, root = (a + d) / 2, np.sqrt(((a - d) / 2) ** 2 + b * c)  # all entries are positive: two real values
+        large, small = half + root, half - root
+        # start = x + y with matrix x = large x, matrix y = small y
+        x = (matrix @ start - small * start) / (2 * root)
+        y = start - x
+        out = x + np.power(small / large, np.arange(1, steps + 1))[:, None] * y
+        return out / out.sum(axis=1, keepdims=True)
+
+    fore, back = np.empty((n, 2)), np.empty((n, 2))
+    state = None
+    for lo, hi in zip(cuts, ends):
+        local = np.array([1.0, np.exp(own[lo])])
+        local /= local.sum()
+        if state is None:
+            fore[lo] = state = local
+            lo += 1
+        if hi > lo:
+            fore[lo:hi] = messages(local[:, None] * m.T, state, hi - lo)
+            state = fore[hi - 1]
+    state = None
+    for lo, hi in zip(cuts[::-1], ends[::-1]):
+        local = np.array([1.0, np.exp(own[lo])])
+        local /= local.sum()
+        if state is None:
+            back[hi - 1] = state = np.array([0.5, 0.5])
+            got = messages(m * local, state, hi - lo)
+        else:
+            got = messages(m * local, state, hi - lo)
+        # got[t - 1]: the message that leaves the stretch's t-th place from its end
+        if hi - lo > 1:
+            back[lo : hi - 1] = got[: hi - lo - 1][::-1]
+        state = got[-1]
+        if lo:
+            back[lo - 1] = state
+    p = fore * back
+    return p[:, 1] / p.sum(axis=1) if n else np.zeros(0)

@@ -16,89 +16,127 @@ from . import common, crf
 
 #: About so many labelled rows of each label are sampled, by hash, to fit the model.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 8000
-#: A word, or a word's first letters, is evidence if its log-likelihood ratio over the sample's documents is so high ...
-EVIDENCE_LLR = 50.0
-#: ... and documents with it are toxic at least so much likelier than the rest.
-EVIDENCE_ODDS = 3.0
+#: Words, and words' first letters, that the field has features of: those whose log-likelihood ratio over the sample's documents is so high, most first ...
+FEATURE_LLR, MOST_PARTS = 20.0, 1000
+#: ... and of them, evidence: documents with it are toxic at least so much likelier than the rest.
+EVIDENCE_ODDS = 2.0
 PREFIXES = (4, 5, 6)
-#: Lines that the field is fitted on, at most, and the longest run of words around evidence that is one sequence.
-FIT_LINES, CONTEXT = 6000, 12
-CACHE_WORDS = 300_000
+#: Sequences that the field is fitted on, at most, and the words on either side of a word with features that lie in its sequence.
+FIT_SEQUENCES, CONTEXT = 6000, 12
+CACHE_WORDS = 150_000
+#: A token whose marginal is below this adds nothing to a document's mass of toxic tokens.
+LEAST_MARGINAL = 0.1
+#: Numbers of the features that every token has one of: 0 is none, 1 the constant.
+CONSTANT, PLAIN, UPPER, DIGITS, FIRST_PART = 1, 2, 3, 4, 5
 
 _word = re.compile(r"[^\W_]+")
 
 
+class _Kinds(dict):
+    """The kind of each word, remembered: words of one shape and with the same parts are of one kind; 0 has no parts and no shape of note."""
+
+    def __init__(self, parts: dict[str, int]):
+        super().__init__()
+        self.parts, self.found, self.features = parts, {(PLAIN,): 0}, [(PLAIN,)]
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        low = word.lower()
+        shape = DIGITS if any(map(str.isdigit, word)) else UPPER if len(word) > 2 and word.isupper() else PLAIN
+        own = [self.parts.get(low), *[self.parts.get(f"{low[:k]}*") for k in PREFIXES if len(low) > k]]
+        key = (shape, *[k for k in own if k is not None])
+        if key not in self.found:
+            self.found[key] = len(self.features)
+            self.features.append(key)
+        kind = self[word] = self.found[key]
+        return kind
+
+
 @dataclass
 class Model:
-    evidence: dict[str, float] = field(default_factory=dict)  # log odds of words, and of first letters marked with *
+    """A field over words and first letters (parts), shapes, the parts of both neighbours, and a constant."""
+
+    parts: dict[str, int] = field(default_factory=dict)  # numbers from FIRST_PART on
+    evidence: frozenset[int] = frozenset()  # of parts
     chain: crf.Chain | None = None
-    scale: tuple[float, float] = (1.0, 0.0)  # of the calibration
-    known: dict[str, tuple[float, float]] = field(default_factory=dict)
-
-    def of(self, word: str) -> tuple[float, float]:
-        """Evidence in the word itself and in its first letters."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            ev = self.evidence
-            got = self.known[word] = (ev.get(word, 0.0), max((ev.get(f"{word[:k]}*", 0.0) for k in PREFIXES if len(word) > k), default=0.0))
-        return got
-
-    def sequences(self, text: str) -> list[tuple[list[tuple[int, int]], np.ndarray]]:
-        """Runs of tokens: each with evidence, and CONTEXT tokens on either side; (offsets, features). Elsewhere all features but the constant are 0."""
-        low = text.lower()
-        if len(low) != len(text):
-            low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-        if not any(self.of(w) != (0.0, 0.0) for w in set(_word.findall(low))):
-            return []
-        at, values = [], []
-        for m in _word.finditer(low):
-            at.append(m.span())
-            values.append(self.of(m[0]))
-        own = np.array(values)
-        hot = np.flatnonzero(own.any(axis=1))
-        cuts = np.flatnonzero(np.diff(hot) > 2 * CONTEXT) + 1
-        out = []
-        for group in np.split(hot, cuts):
-            lo, hi = max(0, group[0] - CONTEXT), min(len(at), group[-1] + CONTEXT + 1)
-            out.append((at[lo:hi], features(own[lo:hi])))
+    scale: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)  # of the calibration: weights of what tag() returns, and a constant
+
+    def __post_init__(self):
+        self.kinds, self.flat, self.table = _Kinds(self.parts), {}, np.zeros((0, 3))
+
+    def __getstate__(self):
+        return self.parts, self.evidence, self.chain, self.scale
+
+    def __setstate__(self, state):
+        self.parts, self.evidence, self.chain, self.scale = state
+        self.__post_init__()
+
+    def width(self) -> int:
+        return FIRST_PART + 3 * len(self.parts)
+
+    def features(self, kinds: np.ndarray) -> np.ndarray:
+        """Numbers of the features of each token: constant, shape, own parts, and parts of the token before and after."""
+        most, n = 1 + len(PREFIXES), len(self.parts)
+        own = np.zeros((len(kinds), most), np.int64)
+        shape = np.zeros((len(kinds), 1), np.int64)
+        for i, k in enumerate(kinds.tolist()):
+            s, *parts = self.kinds.features[k]
+            shape[i] = s
+            own[i, : len(parts)] = parts
+        before, after = np.zeros_like(own), np.zeros_like(own)
+        before[1:], after[:-1] = own[:-1], own[1:]
+        return np.concatenate([np.full((len(kinds), 1), CONSTANT), shape, own, np.where(before > 0, before + n, 0), np.where(after > 0, after + 2 * n, 0)], axis=1)
+
+    def potentials(self, kinds: np.ndarray) -> np.ndarray:
+        """Log potential of toxic over clean at each token: the sum over its features()."""
+        if len(self.table) < len(self.kinds.features):
+            w, n = self.chain.weights[:, 1] - self.chain.weights[:, 0], len(self.parts)
+            self.table = np.array([[w[CONSTANT] + w[list(f)].sum(), w[[k + n for k in f[1:]]].sum(), w[[k + 2 * n for k in f[1:]]].sum()] for f in self.kinds.features])
+        out = self.table[kinds, 0]
+        out[1:] += self.table[kinds[:-1], 1]
+        out[:-1] += self.table[kinds[1:], 2]
         return out
 
-    def tag(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        """The largest marginal of a toxic token, and the toxic spans with their largest marginal."""
-        top, found = 0.0, []
-        for at, x in self.sequences(text) if self.chain is not None else ():
-            p = self.chain.marginals(x)[:, 1]
-            top = max(top, float(p.max()))
-            last = -2
-            for i in np.flatnonzero(p >= 0.5):
-                if i == last + 1:
-                    s, _, q = found[-1]
-                    found[-1] = (s, at[i][1], max(q, float(p[i])))
-                else:
-                    found.append((*at[i], float(p[i])))
-                last = i
-        return top, found
-
-    def score(self, top: float) -> float:
-        a, b = self.scale
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * top + b))))
-
-
-def features(own: np.ndarray) -> np.ndarray:
-    """Constant, evidence of word and first letters, and the evidence before and after."""
-    any_ = own.max(axis=1)
-    zero = np.zeros(1)
-    return np.column_stack([np.ones(len(own)), own, np.concatenate([zero, any_[:-1]]), np.concatenate([any_[1:], zero])])
-
-
-def _sample(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """About SAMPLE_TOXIC and SAMPLE_CLEAN ids by hash, one row each; an id labelled both ways counts as toxic."""
+    def tag(self, text: str) -> tuple[tuple[float, float, float], list[tuple[int, int, float]]]:
+        """What the document's score is made of, and its toxic spans with their largest marginal.
+
+        The former: the largest marginal, log(1 + sum of marginals of LEAST_MARGINAL or more), log(1 + tokens). One word may be
+        toxic by chance in a long text; several are not.
+        """
+        words = _word.findall(text)
+        if not words or self.chain is None:
+            return (0.0, 0.0, 0.0), []
+        kinds = np.fromiter(map(self.kinds.__getitem__, words), np.int64, len(words))
+        if not kinds.any():  # all alike: the number of tokens says it all
+            if len(words) not in self.flat:
+                self.flat[len(words)] = self._inputs(crf.flat_runs(self.potentials(kinds), self.chain.moves))
+            return self.flat[len(words)], []
+        p = crf.flat_runs(self.potentials(kinds), self.chain.moves)
+        hot = np.flatnonzero(p >= 0.5)
+        found: list[tuple[int, int, float]] = []
+        if len(hot):
+            at = [m.span() for m in _word.finditer(text)]
+            for run in np.split(hot, np.flatnonzero(np.diff(hot) > 1) + 1):
+                found.append((at[run[0]][0], at[run[-1]][1], float(p[run].max())))
+        return self._inputs(p), found
+
+    @staticmethod
+    def _inputs(p: np.ndarray) -> tuple[float, float, float]:
+        return float(p.max()), math.log1p(float(p[p >= LEAST_MARGINAL].sum())), math.log1p(len(p))
+
+    def score(self, inputs: tuple[float, ...]) -> float:
+        """The probability of a toxic document."""
+        x = sum(a * b for a, b in zip(self.scale, (*inputs, 1.0)))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def _sample(labels: DataFrame, id_col: str, label_col: str, toxic: int, clean: int) -> DataFrame:
+    """About so many toxic and clean ids by hash, one row each; an id labelled both ways counts as toxic."""
     own = labels.select(F.col(id_col).alias("__id"), (F.col(label_col).cast("int") == 1).alias("__toxic")).filter("__id is not null and __toxic is not null and " + "crc32(cast(cast(__id as string) as binary)) % 5 <> 0")
     own = own.groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     size = {r["__toxic"]: r["count"] for r in own.groupBy("__toxic").count().collect()}
-    share = F.when(F.col("__toxic"), min(1.0, SAMPLE_TOXIC / max(1, size.get(True, 0)))).otherwise(min(1.0, SAMPLE_CLEAN / max(1, size.get(False, 0))))
+    share = F.when(F.col("__toxic"), min(1.0, toxic / max(1, size.get(True, 0)))).otherwise(min(1.0, clean / max(1, size.get(False, 0))))
     return own.filter(F.pmod(F.xxhash64(F.lit("toxic"), "__id"), F.lit(1 << 20)) / F.lit(float(1 << 20)) < share)
 
 
@@ -119,21 +157,21 @@ def _distinct(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(f, pa.int64()) for f in found]], names=[*b.schema.names, "__k0", "__k1"])
 
     schema = common.T.StructType([*rows.schema.fields, common.T.StructField("__k0", common.T.LongType()), common.T.StructField("__k1", common.T.LongType())])
-    keyed = common.keep(common.arrow_rows(rows).mapInArrow(keys, schema), "toxicity-keyed")
+    keyed = common.keep(common.in_arrow(rows, keys, schema, "toxicity"), "toxicity-keyed")
     for k in ("__k0", "__k1"):
         keyed = keyed.join(keyed.groupBy(k).agg(F.min("__id").alias("__least")), k).filter("__id = __least").drop("__least")
     return keyed.select(*rows.columns)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from labelled rows whose crc32(id as text) mod 5 is not 0, on a bounded sample of them.
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, sequences: int = FIT_SEQUENCES, llr_bar: float = FEATURE_LLR, odds_bar: float = EVIDENCE_ODDS) -> Model:
+    """Learn from labelled rows whose crc32(id as text) mod 5 is not 0, on a bounded sample of them: about `toxic` and `clean` rows.
 
-    A word or a word's first letters is evidence where toxic documents of the sample have it far likelier than
-    others, copies apart; a token of a toxic document with evidence is labelled toxic, all others not. On those labelled tokens
-    the field is fitted, then a logistic scale from the largest marginal to the document's label. Unlabelled rows,
-    null ids and null texts are left out. Without a toxic or without another row, nothing is evidence.
+    The field has features of words and words' first letters that toxic and clean documents of the sample have unlike often,
+    copies apart. Labelled tokens are those of the sample: one in a toxic document whose own parts are evidence is toxic, all others
+    are not. On sequences of them the field is fitted, then a logistic scale from the marginals (see Model.tag) to the document's
+    label. Unlabelled rows, null ids and null texts are left out. Without a toxic or without another row the model is empty.
     """
-    ids = _sample(labels, id_col, label_col)
+    ids = _sample(labels, id_col, label_col, toxic, clean)
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
     picked = texts.join(F.broadcast(ids), "__id")  # a bounded number of ids
     rows = common.keep(_distinct(picked), "toxicity-sample")
@@ -152,58 +190,70 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                 toxic += [t] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(toxic, pa.bool_())], names=["part", "toxic"])
 
-    seen = common.arrow_rows(rows.select("__text", "__toxic")).mapInArrow(parts, "part string, toxic boolean")
+    seen = common.in_arrow(rows.select("__text", "__toxic"), parts, "part string, toxic boolean", "toxicity")
     counted = seen.groupBy("part").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
     p1, p0 = (F.col("a") + 0.5) / (n1 + 1), (F.col("b") + 0.5) / (n0 + 1)
     p = (F.col("a") + F.col("b") + 1.0) / (n1 + n0 + 2)
     ll = lambda k, n, q: k * F.log(q) + (n - k) * F.log(1 - q)
     llr = 2 * (ll(F.col("a"), F.lit(n1), p1) + ll(F.col("b"), F.lit(n0), p0) - ll(F.col("a"), F.lit(n1), p) - ll(F.col("b"), F.lit(n0), p))
-    kept = counted.filter((p1 > p0) & (llr >= EVIDENCE_LLR)).select("part", (F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))).alias("odds")).filter(F.col("odds") >= EVIDENCE_ODDS)
-    model = Model(evidence={r["part"]: r["odds"] for r in kept.collect()})  # as many as the bounded sample holds
+    odds = F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))
+    kept = counted.select("part", llr.alias("llr"), odds.alias("odds")).filter(F.col("llr") >= llr_bar).orderBy(F.desc("llr"), "part").limit(MOST_PARTS).collect()  # a bounded list of features
+    numbered = {r["part"]: FIRST_PART + i for i, r in enumerate(kept)}
+    model = Model(numbered, frozenset(numbered[r["part"]] for r in kept if r["odds"] >= odds_bar))
     sent = rows.sparkSession.sparkContext.broadcast(model)
+    deep = 2 + 3 * (1 + len(PREFIXES))
 
-    def lines(batches):
+    def tokens(batches):
+        own = sent.value
         for b in batches:
             out = []
             for i, text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                for k, (_, x) in enumerate(sent.value.sequences(text)):
-                    out.append((f"{i}/{k}", t, x.ravel().tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["key", "toxic", "x"])
-
-    found = common.arrow_rows(rows.select(F.col("__id").cast("string"), "__text", "__toxic")).mapInArrow(lines, "key string, toxic boolean, x array<double>").orderBy(F.xxhash64("key"), "key").limit(FIT_LINES).collect()
-    sequences = [np.array(r["x"]).reshape(-1, 5) for r in found if r["x"]]
-    tags = [((x[:, 1:3].max(axis=1) > 0) & r["toxic"]).astype(int) for r, x in zip([r for r in found if r["x"]], sequences)]
-    short = [(x[i : i + 200], y[i : i + 200]) for x, y in zip(sequences, tags) for i in range(0, len(x), 200)]
-    model.chain = crf.fit([x for x, _ in short], [y for _, y in short], 5)
+                words = _word.findall(text)
+                kinds = np.fromiter(map(own.kinds.__getitem__, words), np.int64, len(words))
+                marked = np.array([bool(own.evidence & set(f[1:])) for f in own.kinds.features])
+                hot = np.flatnonzero(kinds)
+                if not len(hot) and len(words):  # one sequence of a text without any, somewhere in it
+                    hot = np.array([xxhash.xxh3_64_intdigest(text) % len(words)])
+                for k, group in enumerate(np.split(hot, np.flatnonzero(np.diff(hot) > 2 * CONTEXT) + 1) if len(hot) else ()):
+                    lo, hi = max(0, group[0] - CONTEXT), min(len(words), group[-1] + CONTEXT + 1)
+                    for j in range(lo, hi, 200):
+                        part = kinds[j : min(hi, j + 200)]
+                        out.append((f"{i}/{k}/{j}", own.features(part).ravel().tolist(), (marked[part] & t).astype(int).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=["key", "x", "y"])
+
+    cut = common.in_arrow(rows.select(F.col("__id").cast("string"), "__text", "__toxic"), tokens, "key string, x array<int>, y array<int>", "toxicity")
+    found = cut.orderBy(F.xxhash64("key"), "key").limit(sequences).collect()
+    model.chain = crf.fit([np.array(r["x"], np.int64).reshape(-1, deep) for r in found], [np.array(r["y"]) for r in found], model.width(), rounds=120, rate=0.2, l2=1e-4)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
-    def tops(batches):
+    def inputs(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sent.value.tag(t)[0] for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["top", "toxic"])
+            got = [sent.value.tag(t)[0] for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[pa.array([g[k] for g in got], pa.float64()) for k in range(3)], b.column(1)], names=["top", "mass", "size", "toxic"])
 
-    pairs = common.arrow_rows(rows.select("__text", "__toxic")).mapInArrow(tops, "top double, toxic boolean").groupBy(F.round("top", 3).alias("top"), "toxic").count().collect()  # at most 2002 rows
-    model.scale = _logistic(np.array([r["top"] for r in pairs]), np.array([float(r["toxic"]) for r in pairs]), np.array([float(r["count"]) for r in pairs]))
-    model.known = {}
+    pairs = common.in_arrow(rows.select("__text", "__toxic"), inputs, "top double, mass double, size double, toxic boolean", "toxicity").orderBy("top", "mass", "size", "toxic").collect()  # a row for each of the bounded sample
+    model.scale = _logistic(np.array([r[:3] for r in pairs]), np.array([float(r["toxic"]) for r in pairs]))
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a small penalty on the slope."""
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights and a constant by Newton's method, with a small penalty on the weights."""
     design = np.column_stack([x, np.ones(len(x))])
+    ridge = np.array([1e-2] * x.shape[1] + [1e-4])
+    w = np.zeros(len(ridge))
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        grad = design.T @ (n * (y - p)) - np.array([1e-2, 1e-4]) * w
-        hess = (design * (n * p * (1 - p))[:, None]).T @ design + np.diag([1e-2, 1e-4])
+        grad = design.T @ (y - p) - ridge * w
+        hess = (design * (p * (1 - p))[:, None]).T @ design + np.diag(ridge)
         w = w + np.clip(np.linalg.solve(hess, grad), -5, 5)
-    return float(w[0]), float(w[1])
+    return tuple(map(float, w))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score, spans array<struct<start, end, marginal>> of every whole text; the text is the only input.
 
-    score is the calibrated probability of the label given the largest marginal of a toxic token, so a null or
-    empty text has the score of a text without evidence. spans are character offsets of runs of tokens whose
+    Every token of a text goes through forward-backward (crf.flat_runs). score is the calibrated probability of the label given
+    what tag() makes of the marginals; a null or empty text has no token, and all of it is 0. spans are character offsets of runs of tokens whose
     marginal is 0.5 or more. No shuffle; the model has a bounded size and is sent once.
     """
     src = common.texts(df, id_col, text_col)
@@ -217,4 +267,4 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             spans = pa.array([[{"start": s, "end": e, "marginal": p} for s, e, p in found] for _, found in got], out.field("spans").type)
             yield common.batch_of(out, b.column(0), pa.array([sent.value.score(t) for t, _ in got], pa.float64()), spans)
 
-    return src.mapInArrow(work, schema)
+    return common.in_arrow(src, work, schema, "toxicity")

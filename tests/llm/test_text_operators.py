@@ -116,6 +116,39 @@ def toxic_corpus(spark, n=600):
     return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
 
 
+def brute_toxicity(model, text):
+    """Score and spans by the plain pass over the features of every token."""
+    found = list(re.finditer(r"[^\W_]+", text or ""))
+    if not found:
+        return pytest.approx(model.score((0.0, 0.0, 0.0))), []
+    import math
+
+    import numpy as np
+
+    p = model.chain.marginals(model.features(np.array([model.kinds[m[0]] for m in found])))[:, 1]
+    spans, last = [], -2
+    for i in np.flatnonzero(p >= 0.5):
+        if i == last + 1:
+            spans[-1] = (spans[-1][0], found[i].end(), max(spans[-1][2], p[i]))
+        else:
+            spans.append((found[i].start(), found[i].end(), p[i]))
+        last = i
+    return pytest.approx(model.score((p.max(), math.log1p(p[p >= 0.1].sum()), math.log1p(len(p))))), [(s, e, pytest.approx(q)) for s, e, q in spans]
+
+
+def test_scores_and_offsets_equal_the_plain_pass_over_every_token(spark, small):
+    big = small.replace("0.001", "0.01")
+    table, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = toxicity.fit(table, labels)
+    rows = toxicity.score(table.filter("doc_id % 4 = 1 and length(text) < 20000"), model).join(table.select("doc_id", "text"), "doc_id").collect()
+    assert len(rows) > 100
+    for r in rows:
+        assert (r["score"], [tuple(s) for s in r["spans"]]) == brute_toxicity(model, r["text"])
+    held = toxicity.score(table, model).join(labels, "doc_id").filter(common.held_out("doc_id")).collect()
+    toxic, clean = [r["score"] for r in held if r["toxic"]], [r["score"] for r in held if not r["toxic"]]
+    assert toxic and sum(x >= 0.5 for x in toxic) >= 0.6 * len(toxic) and sum(x >= 0.5 for x in clean) <= 0.02 * len(clean)  # 45 toxic rows to learn from
+
+
 def test_toxic_spans_and_scores(spark):
     df = toxic_corpus(spark)
     model = toxicity.fit(df, df.select("doc_id", "toxic"))
@@ -123,6 +156,7 @@ def test_toxic_spans_and_scores(spark):
     assert got and all((r["score"] >= 0.5) == bool(r["toxic"]) and 0 <= r["score"] <= 1 for r in got)
     for r in got:
         assert [r["text"][s["start"] : s["end"]].split()[0][:6] for s in r["spans"]] == (["zorkel"] if r["toxic"] else [])
+    assert [(r["score"], [tuple(s) for s in r["spans"]]) for r in got] == [brute_toxicity(model, r["text"]) for r in got]
     unseen = toxicity.score(docs(spark, ["a zorkelqqq person", "a person", *ODD]), model).orderBy("doc_id").collect()
     assert unseen[0]["score"] > 0.5 > unseen[1]["score"] and unseen[2]["score"] == unseen[3]["score"] < 0.5 and len(unseen) == len(ODD) + 2
 
@@ -278,12 +312,49 @@ def test_quality_counts_equal_brute_force(spark, table, small):
         assert len(r["labels"]) == (text[r["doc_id"]] or "").count("\n") + 1
 
 
-def test_quality_keeps_good_labels_and_drops_bad(spark, small):
+@pytest.fixture(scope="module")
+def judged(spark, small):
     big = small.replace("0.001", "0.01")
     table, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
-    rows = quality.judge(table, quality.fit(table, labels)).join(labels, "doc_id").collect()
-    good, bad = [r for r in rows if r["quality"] and not r["base_failed"]], [r for r in rows if not r["quality"]]
-    assert sum(r["kept"] for r in good) >= 0.99 * len(good) and sum(r["kept"] for r in bad) <= 0.2 * len(bad)
+    chain = quality.fit(table, labels)
+    return chain, quality.judge(table, chain).join(labels, "doc_id").withColumn("held", common.held_out("doc_id")).collect()
+
+
+def test_quality_keeps_good_labels_and_drops_bad(judged):
+    held = [r for r in judged[1] if r["held"]]
+    good, bad = [r for r in held if r["quality"] and not r["base_failed"]], [r for r in held if not r["quality"]]
+    assert len(good) > 40 and sum(r["kept"] for r in good) >= 0.98 * len(good) and sum(r["kept"] for r in bad) <= 0.2 * len(bad)
+
+
+def test_quality_labels_lines_within_a_document(spark, judged):
+    prose = "The house stands near the river and people walk there. In the evening the light falls on the old wall."
+    junk = ["| ".join(f"link{i}x{k} " for i in range(12)) for k in range(3)]
+    marks = " ".join(f"word{i}$$$ of### that***" for i in range(6))
+    text = "\n".join([prose, *junk, prose + " Nothing else happened.", "A second line of plain text follows it, as in any story.", marks, "Later they went home, and the rain began to fall again."])
+    row = quality.judge(docs(spark, [text]), judged[0]).first()
+    assert list(row["labels"]) == [0, 1, 1, 1, 0, 0, 1, 0]
+    words = [len(x.split()) for x in text.split("\n")]
+    assert row["content_share"] == pytest.approx(sum(n for n, s in zip(words, row["labels"]) if s == 0) / sum(words)) and 0 < row["content_share"] < 1
+    shares = [r["content_share"] for r in judged[1] if not r["quality"]]
+    assert sum(0 < s < 1 for s in shares) > 5 and sum(s == 0 for s in shares) > 5
+
+
+def test_quality_verdict_is_that_of_the_best_path(spark, judged, table):
+    """The query's kept and content_share against all paths of short texts, enumerated."""
+    import itertools
+
+    import numpy as np
+
+    chain = judged[0]
+    few = table.filter("length(text) - length(replace(text, '\n', '')) between 1 and 7").select("doc_id", "text")
+    rows = {r["doc_id"]: r for r in quality.judge(few.union(few.limit(2)), chain).collect()}
+    for i, text in map(tuple, few.collect()):
+        counted, x, sizes = quality.read(text, quality.Hashes())
+        u = x @ chain.weights
+        value = lambda p: sum(u[t, s] for t, s in enumerate(p)) + sum(chain.moves[a, b] for a, b in zip(p, p[1:]))
+        best = max(itertools.product((0, 1), repeat=len(u)), key=lambda p: (round(value(p), 9), [-s for s in p]))
+        share = float(sizes[np.array(best) == 0].sum() / counted[0]) if counted[0] else 0.0
+        assert rows[i]["content_share"] == pytest.approx(share) and rows[i]["kept"] == (not rows[i]["base_failed"] and share >= quality.CONTENT_SHARE)
 
 
 def test_viterbi_finds_the_best_path():
