@@ -205,7 +205,7 @@ def test_phrases_of_empty_tables_and_repeated_rows(spark):
 
 def test_proximity(spark):
     df = docs(spark, ["red x x blue y red", "blue red", "red " * 5, None, "red a a a a a a blue"])
-    got = sorted(tuple(r) for r in decontamination.proximity(df, ["red blue", ""], 4).collect())
+    got = sorted(tuple(r) for r in decontamination.proximity(decontamination.index(df), ["red blue", ""], 4).collect())
     assert got == [(0, 0, 0, 4), (0, 0, 3, 6), (1, 0, 0, 2)]
 
 
