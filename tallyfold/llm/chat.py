@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -17,16 +19,20 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     matter, repeated rows are turns of their own. Rows without conv_id belong to no conversation and are left
     out. An empty table gives no rows.
 
-    Prefixes are compared by rolling 256-bit hashes. All conversations' last hashes meet in an aggregation; the
-    hashes of proper prefixes are distinct before they meet, so common first turns combine before the shuffle.
+    Prefixes are compared by 128-bit hashes: a running exclusive-or over the turns' hashes, each with the turn's place. They
+    are stored once, without texts. All conversations' last hashes meet in an aggregation; the hashes of proper prefixes are
+    distinct before they meet, so common first turns combine before the shuffle. Only maximal conversations are rendered.
     """
-    turn = F.struct(F.col(turn_col).alias("t"), F.col(role_col).cast("string").alias("r"), F.col(text_col).cast("string").alias("x"))
-    chats = df.filter(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    piece = lambda x: F.concat(F.coalesce(F.concat(F.lit("+"), F.length(x.r).cast("string"), F.lit(":"), x.r), F.lit("-")), F.coalesce(F.concat(F.lit("+"), x.x), F.lit("-")))
-    roll = F.aggregate("turns", F.array().cast("array<string>"), lambda a, x: F.concat(a, F.array(F.sha2(F.concat(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit("")), piece(x)), 256))))
+    turns = df.filter(F.col(conv_col).isNotNull()).select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("t"), F.col(role_col).cast("string").alias("r"), F.col(text_col).cast("string").alias("x"))
+    order = Window.partitionBy("conv_id").orderBy("t", "r", "x")
+    piece = F.concat(F.coalesce(F.concat(F.lit("+"), F.length("r").cast("string"), F.lit(":"), F.col("r")), F.lit("-")), F.coalesce(F.concat(F.lit("+"), F.col("x")), F.lit("-")))
+    placed = turns.select("conv_id", "t", "r", "x", *[F.xxhash64(F.lit(seed), piece).alias(seed) for seed in ("p1", "p2")]).withColumn("k", F.row_number().over(order).cast("long"))
+    up_to = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolled = placed.withColumns({h: F.bit_xor(F.xxhash64("k", p)).over(up_to) for h, p in (("h1", "p1"), ("h2", "p2"))}).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+    hashes = common.keep(rolled.select("conv_id", "k", "n", "h1", "h2"), "turn-hashes")
+    prefixes = hashes.filter("k < n").select(F.col("k").alias("n"), "h1", "h2").distinct()
+    whole = hashes.filter("k = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    kept = whole.join(prefixes, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
+    said = turns.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("t", "r", "x"))).alias("turns"))
     rendered = F.concat_ws("", F.transform("turns", lambda x: F.concat(F.lit(START), F.coalesce(x.r, F.lit("")), F.lit("\n"), F.coalesce(x.x, F.lit("")), F.lit(END + "\n"))))
-    rows = chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), rendered.alias("rendered"), roll.alias("hashes"))
-    whole = rows.withColumn("last", F.element_at("hashes", -1))
-    prefixes = whole.filter("n_turns > 1").select(F.explode(F.slice("hashes", F.lit(1), F.col("n_turns").cast("int") - 1)).alias("last")).distinct()
-    kept = whole.groupBy("last").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")).join(prefixes, "last", "left_anti")
-    return whole.select("conv_id", "n_turns", "rendered").join(kept.select("conv_id", "n_copies"), "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
+    return said.select("conv_id", "n_turns", "n_copies", rendered.alias("rendered"))
