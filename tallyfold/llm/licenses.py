@@ -43,6 +43,13 @@ _ISC_TAIL = (
     "THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {license} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.\n\n"
+)
+_GNU_TAIL = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {license} for more details.\n\n"
+    "You should have received a copy of the {license} along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
 # Public licence texts and notices, by SPDX identifier.
 KNOWN = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
@@ -55,6 +62,26 @@ KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n"
                    "http://www.apache.org/licenses/LICENSE-2.0\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
                    "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") "
+                "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\n"
+                "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, "
+                "unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
+                'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. '
+                "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\n"
+             "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n"
+             "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n"
+             "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+                  "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+                  "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+                  'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, '
+                  "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org/>"),
+    ("GPL-2.0-or-later", _GNU.format(license="GNU General Public License", version="2") + _GNU_TAIL.format(license="GNU General Public License")),
+    ("GPL-3.0-or-later", _GNU.format(license="GNU General Public License", version="3") + _GNU_TAIL.format(license="GNU General Public License")),
+    ("AGPL-3.0-or-later", _GNU.format(license="GNU Affero General Public License", version="3") + _GNU_TAIL.format(license="GNU Affero General Public License")),
+    ("LGPL-3.0-or-later", _GNU.format(license="GNU Lesser General Public License", version="3") + _GNU_TAIL.format(license="GNU Lesser General Public License")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
@@ -113,8 +140,8 @@ def known(spark: SparkSession) -> DataFrame:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", licences: DataFrame | None = None) -> DataFrame:
     """id_col, digest, license_id: each whole text looked up among the known digests; license_id is null if none has it.
 
-    Without licences of the caller's own, the fixed list is broadcast; a caller's (digest, license_id, digests unique) is
-    joined as Spark sees fit by its measured size. Null and empty texts have a null digest and no licence. No shuffle of texts: only digests are joined.
+    Without licences of the caller's own, the fixed list is broadcast; a caller's (digest, license_id; the least id of a repeated
+    digest) is joined as Spark sees fit by its measured size. Null and empty texts have a null digest and no licence. No shuffle of texts: only digests are joined.
     """
-    table = F.broadcast(known(df.sparkSession)) if licences is None else licences.select("digest", "license_id")
+    table = F.broadcast(known(df.sparkSession)) if licences is None else licences.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     return digests(df.select(F.col(id_col), F.col(text_col)), text_col).select(F.col(id_col), F.col("__digest").alias("digest")).join(table, "digest", "left").select(id_col, "digest", "license_id")

@@ -104,6 +104,7 @@ FROM k
 def _license_sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in licenses.KNOWN)
+    whole = ", ".join(f"({quote(i)}, {quote(d)})" for i, d in licenses.WHOLE)
     single = {a: b for a, b in licenses.EQUIVALENT if " " not in a}
     table = f"map([{', '.join(map(quote, single))}], [{', '.join(map(quote, single.values()))}])"
     words = (
@@ -112,7 +113,7 @@ def _license_sql() -> str:
     spelt = f"trim(array_to_string(list_transform(string_split(replace({words}, ' sub license ', ' sublicense '), ' '), lambda w: coalesce({table}[w], w)), ' '))"
     digest = lambda t, key: f"SELECT {key}, CASE WHEN c <> '' THEN sha256(c) END AS digest FROM (SELECT {key}, {spelt} AS c FROM {t})"
     return f"""
-WITH known(license_id, text) AS (VALUES {rows}), k AS (SELECT DISTINCT * FROM ({digest('known', 'license_id')})), d AS ({digest('documents', 'doc_id')})
+WITH known(license_id, text) AS (VALUES {rows}), k AS (SELECT DISTINCT license_id, digest FROM ({digest('known', 'license_id')}) UNION SELECT * FROM (VALUES {whole}) w(license_id, digest)), d AS ({digest('documents', 'doc_id')})
 SELECT doc_id, d.digest, license_id FROM d LEFT JOIN k ON d.digest = k.digest
 """
 
