@@ -154,7 +154,7 @@ def cut(text: str, starts: list[int], run: int, min_words: int) -> tuple[str, in
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """id_col, text, n_removed: every document without the parts (see sentences()) of runs that occurred before, and how many went.
 
-    Documents are ordered by id (nulls first), equal ids by an arbitrary but stored order. Of equal runs the first in the first
+    Documents are ordered by id, of whatever type (nulls first), equal ids by an arbitrary but stored order. Of equal runs the first in the first
     document stays; every part covered by any other goes. A run has `run` parts, or as many more as give it `min_words`
     words; texts of fewer parts or words are never cut. Any passage of over 50 words that occurred before loses a run at
     least; at its two ends, words that share a part with other text stay. Null texts stay null; documents left empty stay as rows.
@@ -164,42 +164,48 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
     join whose hot keys Spark can split. Hashes have 128 bits.
     """
     rows = common.keep(df.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text")), "substrings")
-    ordered = rows.select("__row", id_col)
-    numeric = dict(ordered.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
-    # order of documents: (id, row) as two longs; other id types go by row
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) if numeric else F.lit(0).cast("long")
-    src = rows.select("__row", rank.alias("__rank"), "text")
+    src = rows.select("__row", F.col(id_col).alias("__rank"), "text")
+    kind = rows.schema[id_col].dataType
+    emitted = lambda *more: common.T.StructType([common.T.StructField("row", common.T.LongType()), common.T.StructField("rank", kind), *[common.T.StructField(n, t) for n, t in more]])
+    hashes = [("h1", common.T.LongType()), ("h2", common.T.LongType())]
 
     def emit(batches, filter_=None):
         for b in batches:
-            row, rank_, at, high, low, local = [], [], [], [], [], []
-            for r, k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            source, at, high, low, local = [], [], [], [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
                 first, later = runs(text or "", run, min_words)
-                row += [r] * (len(first) + len(later))
-                rank_ += [k] * (len(first) + len(later))
+                source += [i] * (len(first) + len(later))
                 at += [i for i, _ in first] + later
                 both = np.frombuffer(b"".join(h for _, h in first), np.int64).reshape(-1, 2)
                 high.append(np.append(both[:, 0], np.zeros(len(later), np.int64)))
                 low.append(np.append(both[:, 1], np.zeros(len(later), np.int64)))
                 local += [False] * len(first) + [True] * len(later)
             high, low, local = np.concatenate([*high, np.zeros(0, np.int64)]), np.concatenate([*low, np.zeros(0, np.int64)]), np.array(local, bool)
-            columns = [np.array(row, np.int64), np.array(rank_, np.int64), np.array(at, np.int32), high, low, local]
             ok = ~local if filter_ is None else local | filter_.value.has(high.view(np.uint64))
-            columns = [c[ok] for c in columns]
-            if filter_ is None:
-                columns = columns[:2] + columns[3:5]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "rank", "h1", "h2"] if filter_ is None else ["row", "rank", "at", "h1", "h2", "local"])
+            of = pa.array(np.array(source, np.int64)[ok])
+            columns = [b.column(0).take(of), b.column(1).take(of)] + [pa.array(c[ok]) for c in ([high, low] if filter_ is None else [np.array(at, np.int32), high, low, local])]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "rank", "h1", "h2"] if filter_ is None else ["row", "rank", "at", "h1", "h2", "local"])
 
-    met = common.in_arrow(src, emit, "row long, rank long, h1 long, h2 long", "substrings").groupBy("h1", "h2").agg(F.min("rank").alias("rank"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("rank").alias("first_rank"))
+    place = F.struct(F.col("rank").isNotNull().alias("known"), F.col("rank").alias("rank"))  # nulls first
+    met = common.in_arrow(src, emit, emitted(*hashes), "substrings").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.rank").alias("first_rank"))
     met = common.keep(met, "repeated-runs")
     sent = rows.sparkSession.sparkContext.broadcast(common.bloom(met, "h1", met.count()))
-    likely = common.keep(common.in_arrow(src, lambda batches: emit(batches, sent), "row long, rank long, at int, h1 long, h2 long, local boolean", "substrings"), "likely-runs")
+    likely = common.keep(common.in_arrow(src, lambda batches: emit(batches, sent), emitted(("at", common.T.IntegerType()), *hashes, ("local", common.T.BooleanType())), "substrings"), "likely-runs")
     # among documents of the first rank, the first row
     shared = likely.filter("not local").join(met, ["h1", "h2"])
-    ties = shared.filter("rank = first_rank").groupBy("h1", "h2").agg(F.min("row").alias("first_row"))
-    gone = shared.join(ties.hint("shuffle_hash"), ["h1", "h2"]).filter("rank <> first_rank or row <> first_row").select("row", "at").unionByName(likely.filter("local").select("row", "at"))
+    ties = shared.filter("rank <=> first_rank").groupBy("h1", "h2").agg(F.min("row").alias("first_row"))
+    gone = shared.join(ties.hint("shuffle_hash"), ["h1", "h2"]).filter("not (rank <=> first_rank) or row <> first_row").select("row", "at").unionByName(likely.filter("local").select("row", "at"))
     starts = gone.groupBy("row").agg(F.collect_list("at").alias("starts"))
-    joined = rows.join(starts.hint("shuffle_hash"), rows["__row"] == starts["row"], "left").select(F.col(id_col), "text", "starts")
+    starts = common.keep(starts, "starts")
+    touched = starts.select("row")
+    few = starts.count() <= common.BROADCAST_KEYS
+    if few:  # only texts that lose something move
+        touched = F.broadcast(touched)
+        joined = rows.join(touched, rows["__row"] == touched["row"], "left_semi").join(starts.hint("shuffle_hash"), F.col("__row") == starts["row"])
+        whole = rows.join(touched, rows["__row"] == touched["row"], "left_anti").select(F.col(id_col), "text", F.lit(0).alias("n_removed"))
+    else:
+        joined = rows.join(starts.hint("shuffle_hash"), rows["__row"] == starts["row"], "left")
+    joined = joined.select(F.col(id_col), "text", "starts")
     schema = common.with_id(df.select(F.col(id_col)), id_col, "text string, n_removed int")
     out = common.arrow_schema(schema)
 
@@ -208,4 +214,5 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
             done = [cut(t or "", s or [], run, min_words) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
             yield common.batch_of(out, b.column(0), pa.array([None if t is None else d[0] for t, d in zip(b.column(1).to_pylist(), done)], pa.string()), [d[1] for d in done])
 
-    return common.in_arrow(joined, remove, schema, "substrings")
+    less = common.in_arrow(joined, remove, schema, "substrings")
+    return less.unionByName(whole) if few else less

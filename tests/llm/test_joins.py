@@ -139,6 +139,27 @@ def test_licences(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_the_licence_query_equals_its_sql_where_licences_are_found(spark, tmp_path):
+    import duckdb
+
+    texts = [t for _, t in licenses.KNOWN] + [t.upper().replace("\n", "\n// ") for _, t in licenses.KNOWN] + ["Copyright 2020 me\n" + t for _, t in licenses.KNOWN[:4]] + ["Some prose.\n" + licenses.KNOWN[0][1], None, ""]
+    at = pathlib.Path("/usr/share/common-licenses")
+    texts += [p.read_text() for p in sorted(at.glob("*")) if at.exists() and not p.is_symlink()]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(map(str, con.execute(queries.SQL["op7_license_scan"]).fetchall()))
+    got = queries.op7_license_scan(spark, str(tmp_path)).select("doc_id", "digest", "license_id").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    found = {r["doc_id"]: r["license_id"] for r in got}
+    n = len(licenses.KNOWN)
+    assert [found[i] for i in range(n)] == [found[n + i] for i in range(n)] == [i for i, _ in licenses.KNOWN] and sum(x is not None for x in found.values()) >= 2 * n + 4
+    assert [found[i] for i in range(2 * n + 4, 2 * n + 7)] == [None] * 3
+    twice = licenses.known(spark).union(licenses.known(spark).withColumn("license_id", F.lit("zzz")))
+    assert licenses.scan(spark.createDataFrame(rows[:1], "doc_id long, text string"), licences=twice).collect()[0]["license_id"] == "MIT"
+
+
 def test_whole_licence_texts(spark):
     at = pathlib.Path("/usr/share/common-licenses")
     want = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}

@@ -283,6 +283,11 @@ def test_substrings_of_repeated_ids_keep_one(spark):
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
+def test_substrings_go_by_the_order_of_text_ids(spark):
+    df = spark.createDataFrame([("b", PASSAGE), ("a", PASSAGE), ("a10", PASSAGE)], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup(df.repartition(3)).collect()} == {"a": 0, "a10": 4, "b": 4}
+
+
 def test_lines_by_host_frequency(spark):
     rows = [(i, "h", f"own {i}\nnav\n\nnav") for i in range(10)] + [(20 + i, None, f"nav\nz{i}") for i in range(5)] + [(30, "one", "nav"), (31, "h", None), (32, "h", ""), (33, "h", "nav")]
     df = spark.createDataFrame(rows, "doc_id long, site string, text string").withColumns({"n_lines": F.lit("x"), "host": F.lit("y"), "__drop": F.lit(1)})
