@@ -29,12 +29,12 @@ def test_model_names(spark):
 )
 def test_rates(spark, usage, cost, uncached):
     row = price(spark.createDataFrame([usage], FIELDS), prices.load(spark), uncached=True).first()
-    assert row["priced"] and row["cost_usd"] == pytest.approx(cost, abs=1e-9) and row["uncached_cost_usd"] == pytest.approx(uncached, abs=1e-9)
+    assert row["priced"] and float(row["cost_usd"]) == cost and float(row["uncached_cost_usd"]) == uncached
 
 
 def test_an_unknown_model_is_told_apart_from_a_free_one(spark):
     row = price(spark.createDataFrame([("claude-from-the-future-9", 0, M, 0, 0, 0), (None, 1, 1, 1, 1, 1)], FIELDS), prices.load(spark)).collect()
-    assert [(r["priced"], r["cost_usd"]) for r in row] == [(False, 0.0)] * 2
+    assert [(r["priced"], r["cost_usd"]) for r in row] == [(False, 0)] * 2
 
 
 def test_a_price_file_fills_defaults(spark, tmp_path):
@@ -45,4 +45,15 @@ def test_a_price_file_fills_defaults(spark, tmp_path):
 
 def test_a_price_row_given_twice_does_not_double_usage(spark):
     twice = prices.load(spark).union(prices.load(spark))
-    assert price(spark.createDataFrame([("claude-opus-5", M, 0, 0, 0, 0)], FIELDS), twice).agg(F.sum("cost_usd")).first()[0] == pytest.approx(5.0)
+    assert price(spark.createDataFrame([("claude-opus-5", M, 0, 0, 0, 0)], FIELDS), twice).agg(F.sum("cost_usd")).first()[0] == 5
+
+
+def test_costs_are_exact(spark):
+    """Sums of decimals, against fractions."""
+    from fractions import Fraction
+
+    rows = [("claude-haiku-4-5", 1, 3, 7, 11, 13), ("claude-opus-5-5", 10**12 + 1, 10**12 + 3, 7, 10**12 + 9, 13), ("claude-fable-5-1", 0, 0, 1, 0, 0)]
+    rate = {r["id"]: r for r in prices.load(spark).collect()}
+    for row, got in zip(rows, price(spark.createDataFrame(rows, FIELDS).coalesce(1), prices.load(spark)).collect()):
+        want = sum(n * Fraction(str(round(rate[row[0]][c], 6))) for n, c in zip(row[1:], ("input", "output", "cache_read", "cache_write_5m", "cache_write_1h"))) / 10**6
+        assert Fraction(got["cost_usd"]) == want

@@ -14,20 +14,36 @@ def records(spark, small):
 
 
 @pytest.fixture(scope="module")
-def cost(spark, records):
-    return daily.costs(records, prices.load(spark)).cache()
+def made(spark, records):
+    return daily.report(records, prices.load(spark))
 
 
-def test_every_stack_sums_to_the_day(spark, records, cost):
-    want = {r["day"]: r["cost_usd"] for r in daily.days(records, prices.load(spark)).collect()}
-    shares = daily.shares(cost, daily.legend(cost))
-    for df in (cost, shares):
-        sums = df.groupBy("stack", "day").agg(F.sum("cost_usd").alias("c")).collect()
+@pytest.fixture(scope="module")
+def cost(made):
+    return made.cost
+
+
+def test_every_stack_sums_to_the_day(made):
+    want = {r["day"]: r["cost_usd"] for r in daily.days(made.grid).collect()}
+    for df in (made.cost, daily.shares(made.cost, made.segments)):
+        sums = df.groupBy("stack", "day").agg(F.sum(F.col("cost_usd").cast("double")).alias("c")).collect()
         assert len({r["stack"] for r in sums}) == 6
         for r in sums:
             assert r["c"] == pytest.approx(want[r["day"]], abs=1e-9)
 
 
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_reports_read_stored_tables_a_few_times_and_the_archive_twice(spark, small, made, tmp_path):
+    surrogate.records(spark, small).write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    assert scans(daily.shares(made.cost, made.segments)) <= 3 and scans(daily.activity(made)) <= 3 and scans(made.segments) == 1
+    assert scans(daily.labelled(made.segments, made.links.select("session_id", F.lit("p").alias("project")), made.links.select(F.col("session_id").alias("peer_id"), F.lit("n").alias("name")), "node0")) <= 4
+    assert scans(delivery.pull_requests(stored, prices.load(spark))) == 2
+
+
 def test_a_legend_has_six_names_and_the_rest_last(cost):
     rows = daily.legend(cost).collect()
     for stack in {r["stack"] for r in rows}:
@@ -52,27 +68,46 @@ def test_a_session_of_three_pull_requests_splits_in_thirds(spark):
     assert delivery.attribution(df).first()["share"] == 1.0
 
 
-def test_replicas_in_any_order_agree(spark, records):
+def test_replicas_in_any_order_agree_to_the_last_bit(spark, records):
     p = prices.load(spark)
-    a, b = (sorted(map(str, daily.days(df, p).collect())) for df in (records, records.orderBy(F.rand(3))))
-    assert a == b
+    reports = [lambda r: daily.days(daily.priced_grid(r, p)), lambda r: delivery.delivery_totals(r), lambda r: delivery.pull_requests(r, p), lambda r: summary.summary_totals(r, p)]
+    for report in reports:
+        a, b, c = (sorted(map(str, report(df).collect())) for df in (records, records.orderBy(F.rand(3)), records.repartition(7, "seq")))
+        assert a == b == c
+
+
+def test_thirds_of_a_token_add_up_to_whole_ones(spark):
+    """A pull request that shares sessions with two, five and six others: 1/3 + 2/3 + 1/6 + 5/6 is 2, whatever the order."""
+    from fractions import Fraction
+
+    rows, links = [], []
+    for s, (n, tokens) in enumerate([(3, 1), (3, 2), (6, 1), (6, 5), (7, 3), (41, 1)]):
+        rows.append(("a", len(rows) + 1, f"s{s}", f"r{s}", "claude-opus-5", tokens))
+        links += [(f"s{s}", "o/x", k) for k in range(1, n + 1)]
+    base = spark.createDataFrame(rows, "origin_id string, seq long, session_id string, request_id string, model string, input_tokens long").withColumns({"pr_repo": F.lit(None).cast("string"), "pr_number": F.lit(None).cast("long")})
+    more = spark.createDataFrame([("b", i + 1, *x) for i, x in enumerate(links)], "origin_id string, seq long, session_id string, pr_repo string, pr_number long").withColumns({"request_id": F.lit(None).cast("string"), "model": F.lit(None).cast("string"), "input_tokens": F.lit(0).cast("long")})
+    df = base.unionByName(more).withColumns({c: F.lit(0).cast("long") for c in ("output_tokens", "think_tokens", "cache_read", "cache_write5m", "cache_write1h")}).withColumns({c: F.lit(None).cast("string") for c in ("captured_at", "cwd", "git_branch")})
+    got = {r["pr_number"]: r["input_tokens_share"] for r in delivery.delivery_totals(df).collect()}
+    want = {1: Fraction(1) + Fraction(1) + Fraction(3, 7) + Fraction(1, 41), 5: Fraction(1) + Fraction(3, 7) + Fraction(1, 41), 41: Fraction(1, 41)}
+    assert all(got[k] == pytest.approx(float(v), abs=1e-12) for k, v in want.items())
+    whole = {r["pr_number"]: r["sessions"] for r in delivery.pull_requests(df, prices.load(spark)).collect()}
+    assert (whole[1], whole[5], whole[7], whole[41]) == (6, 4, 2, 1)
 
 
 def test_an_empty_archive_has_empty_reports(spark, records):
     none, p = records.limit(0), prices.load(spark)
     assert summary.summary_totals(none, p).first()["requests"] == 0
-    assert daily.activity(none, p).count() == 0 and delivery.pull_requests(none, p).count() == 0
+    assert daily.activity(daily.report(none, p)).count() == 0 and delivery.pull_requests(none, p).count() == 0
     assert delivery.attribution(none).first()["share"] == 0.0
 
 
-def test_activity_nests_what_shares_have(spark, records, cost):
-    flat = {(r["day"], r["stack"], r["key"]): r["cost_usd"] for r in daily.shares(cost, daily.legend(cost)).collect()}
-    nested = {(r["day"], s, p["key"]): p["cost_usd"] for r in daily.activity(records, prices.load(spark)).collect() for s, parts in r["shares"].items() for p in parts}
-    assert nested.keys() == flat.keys() and all(nested[k] == pytest.approx(flat[k]) for k in flat)
+def test_activity_nests_what_shares_have(made):
+    flat = {(r["day"], r["stack"], r["key"]): r["cost_usd"] for r in daily.shares(made.cost, made.segments).collect()}
+    assert flat == {(r["day"], s, p["key"]): p["cost_usd"] for r in daily.activity(made).collect() for s, parts in r["shares"].items() for p in parts}
 
 
-def test_every_query_has_sql_but_the_nested_one():
-    assert set(queries.QUERIES) - set(queries.SQL) == {"activity"}
+def test_every_query_has_sql():
+    assert set(queries.QUERIES) == set(queries.SQL)
 
 
 def test_usage_is_aggregated_before_it_meets_links(records):
@@ -81,7 +116,7 @@ def test_usage_is_aggregated_before_it_meets_links(records):
     assert depth and "Aggregate [session_id" in plan
 
 
-@pytest.mark.parametrize("name", ["model_totals", "pull_requests", "bucket_digests", "append_local", "append_remote", "reprocess_pass", "peer_health", "bundle_exchange", "labelled_segments"])
+@pytest.mark.parametrize("name", ["model_totals", "pull_requests", "bucket_digests", "append_local", "append_remote", "reprocess_pass", "peer_health", "status_report", "convergence_record", "bundle_exchange", "labelled_segments", "activity"])
 def test_queries_equal_their_sql(spark, small, name):
     import duckdb
 
