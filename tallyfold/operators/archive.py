@@ -22,6 +22,19 @@ def conflict_key(null_session_conflicts: bool = False):
     return F.when(F.col("line_uuid").isNotNull(), uuid).otherwise(place)
 
 
+def _with_key(rows: DataFrame, null_session_conflicts: bool) -> DataFrame:
+    """rows with __key, their conflict key as text; a row that conflicts with nothing has one of its own, so that no window or join gathers them."""
+    key = conflict_key(null_session_conflicts)
+    own = F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string"))
+    return rows.withColumn("__key", F.coalesce(F.concat(key["kind"], key["key"]), own))
+
+
+def _keys(existing: DataFrame, null_session_conflicts: bool) -> DataFrame:
+    """__key, __held: the conflict keys of an archive, each once."""
+    key = conflict_key(null_session_conflicts)
+    return existing.select(F.concat(key["kind"], key["key"]).alias("__key")).filter(F.col("__key").isNotNull()).distinct().withColumn("__held", F.lit(True))
+
+
 def append_local(existing: DataFrame, batch: DataFrame, origin: str, received_at: str, arrival: list[str] | None = None, null_session_conflicts: bool = False) -> DataFrame:
     """batch with status (`stored` or `duplicate`), and for stored rows origin_id, dense seq and received_at.
 
@@ -30,46 +43,41 @@ def append_local(existing: DataFrame, batch: DataFrame, origin: str, received_at
     the sums of the counts before it are added. One writer appends at a time.
     """
     order = [F.col(c) for c in (arrival or ["source", "path", "byte_offset", "content_hash"])]
-    rows = batch.withColumn("origin_id", F.lit(origin)).withColumn("__key", conflict_key(null_session_conflicts))
-    held = existing.filter(F.col("origin_id") == origin).withColumn("__key", conflict_key(null_session_conflicts)).filter(F.col("__key").isNotNull()).select("__key").distinct().withColumn("__held", F.lit(True))
+    own = existing.filter(F.col("origin_id") == origin)
+    rows = _with_key(batch.withColumn("origin_id", F.lit(origin)), null_session_conflicts)
     first = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
-    # a null key conflicts with nothing: its rows bypass the window, all in one partition otherwise
-    keyed = rows.filter(F.col("__key").isNotNull()).withColumn("__n", first).join(held, "__key", "left").withColumn("__new", (F.col("__n") == 1) & F.col("__held").isNull()).drop("__n", "__held")
-    free = rows.filter(F.col("__key").isNull()).withColumn("__new", F.lit(True))
-    marked = keyed.unionByName(free)
-    top = existing.filter(F.col("origin_id") == origin).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
-    # ranges of the order, each numbered by itself; stored, since ranges are dealt anew whenever they are computed
-    ranged = marked.filter("__new").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    ranged = keep(ranged.withColumn("__range", F.shiftright("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND((1 << 33) - 1) + 1), "numbered")
-    sizes = ranged.groupBy("__range").agg(F.max("__i").alias("__n"))
+    marked = rows.withColumn("__n", first).join(_keys(own, null_session_conflicts), "__key", "left").withColumn("__new", (F.col("__n") == 1) & F.col("__held").isNull()).drop("__n", "__held", "__key")
+    # ranges of the order, new rows first, each numbered by itself; stored, since ranges are dealt anew whenever they are computed
+    ranged = marked.withColumn("__old", ~F.col("__new")).repartitionByRange("__old", *order).sortWithinPartitions("__old", *order).withColumn("__at", F.monotonically_increasing_id()).drop("__old")
+    ranged = keep(ranged.withColumn("__range", F.shiftright("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at"), "numbered")
+    sizes = ranged.filter("__new").groupBy("__range").agg(F.max("__i").alias("__n"))
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
-    numbered = ranged.join(F.broadcast(before), "__range").crossJoin(F.broadcast(top))  # one row
-    stored = numbered.withColumn("seq", (F.col("__top") + F.col("__before") + F.col("__i")).cast("long")).withColumn("received_at", F.lit(received_at)).withColumn("status", F.lit("stored")).drop("__i", "__at", "__range", "__before", "__top", "__new", "__key")
-    dup = marked.filter("not __new").withColumn("seq", F.lit(None).cast("long")).withColumn("received_at", F.lit(None).cast("string")).withColumn("status", F.lit("duplicate")).drop("__new", "__key")
-    return stored.unionByName(dup)
+    top = own.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
+    numbered = ranged.join(F.broadcast(before), "__range", "left").crossJoin(F.broadcast(top))  # one row
+    new = lambda x: F.when(F.col("__new"), x)
+    out = numbered.withColumns({"seq": new(F.col("__top") + F.col("__before") + F.col("__i")).cast("long"), "received_at": new(F.lit(received_at)), "status": F.when(F.col("__new"), "stored").otherwise("duplicate")})
+    return out.drop("__new", "__range", "__i", "__before", "__top")
 
 
 def append_remote(existing: DataFrame, batch: DataFrame, null_session_conflicts: bool = False) -> DataFrame:
     """batch (with its own origin_id and seq) with status: `stored`, `duplicate`, `forked`.
 
     The same origin and seq with the same content is a duplicate, with other content a fork, whose row is evidence for
-    quarantine. A new place whose conflict key is held, by the archive or an earlier row of the batch, is a duplicate and leaves a hole.
+    quarantine. A new place whose conflict key the archive holds is a duplicate and leaves a hole, which a later row of the batch with
+    another key may fill. Of the rest, the first row of a place stands for it, and the first place of a key; what such a
+    row displaces is compared with it even where the key's first place lies elsewhere.
     """
     place = existing.select("origin_id", "seq", F.col("content_hash").alias("__held_hash"))
-    rows = batch.withColumn("__key", conflict_key(null_session_conflicts))
-    first = F.first(F.struct("content_hash")).over(Window.partitionBy("origin_id", "seq").orderBy("content_hash", "source", "path", "byte_offset"))
-    nth = F.row_number().over(Window.partitionBy("origin_id", "seq").orderBy("content_hash", "source", "path", "byte_offset"))
-    rows = rows.withColumn("__first", first["content_hash"]).withColumn("__nth", nth).join(place, ["origin_id", "seq"], "left")
-    here = F.coalesce("__held_hash", F.when(F.col("__nth") > 1, F.col("__first")))
-    rows = rows.withColumn("status", F.when(here.isNull(), "new").when(here == F.col("content_hash"), "duplicate").otherwise("forked"))
-    held = existing.withColumn("__key", conflict_key(null_session_conflicts)).filter(F.col("__key").isNotNull()).select("__key").distinct().withColumn("__held", F.lit(True))
-    new = rows.filter("status = 'new'")
-    turn = F.row_number().over(Window.partitionBy("__key").orderBy("origin_id", "seq"))
-    keyed = new.filter(F.col("__key").isNotNull()).withColumn("__turn", turn).join(held, "__key", "left")
-    keyed = keyed.withColumn("status", F.when((F.col("__turn") == 1) & F.col("__held").isNull(), "stored").otherwise("duplicate")).drop("__turn", "__held")
-    free = new.filter(F.col("__key").isNull()).withColumn("status", F.lit("stored"))
-    extra = ["__key", "__first", "__nth", "__held_hash"]
-    return keyed.unionByName(free).unionByName(rows.filter("status <> 'new'")).drop(*extra)
+    rows = _with_key(batch, null_session_conflicts).join(_keys(existing, null_session_conflicts), "__key", "left").join(place, ["origin_id", "seq"], "left")
+    rows = rows.withColumn("__open", F.col("__held_hash").isNull() & F.col("__held").isNull())
+    here = Window.partitionBy("origin_id", "seq").orderBy(F.desc("__open"), "content_hash", "source", "path", "byte_offset")
+    rows = rows.withColumn("__nth", F.row_number().over(here)).withColumn("__first", F.first("content_hash").over(here))
+    held = F.coalesce("__held_hash", F.when(F.col("__open") & (F.col("__nth") > 1), F.col("__first")))
+    status = F.when(held.isNotNull(), F.when(held == F.col("content_hash"), "duplicate").otherwise("forked")).when(F.col("__open"), "new").otherwise("duplicate")
+    rows = rows.withColumn("status", status)
+    turn = F.row_number().over(Window.partitionBy("__key").orderBy(F.col("status") != "new", "origin_id", "seq"))
+    rows = rows.withColumn("__turn", turn).withColumn("status", F.when(F.col("status") != "new", F.col("status")).when(F.col("__turn") == 1, "stored").otherwise("duplicate"))
+    return rows.drop("__key", "__held", "__held_hash", "__open", "__nth", "__first", "__turn")
 
 
 def quarantine(marked: DataFrame, noticed_at: str) -> DataFrame:

@@ -47,6 +47,20 @@ def test_remote_append_tells_duplicates_forks_and_holes(spark):
     assert tuple(archive.accounting(marked).first()) == (1, 4, 1, 4)
 
 
+def test_a_hole_is_filled_by_another_row_of_its_place(spark):
+    held = rec(spark, [("a", 9, "s", "u1", 0, "h9")])
+    sent = rec(spark, [("a", 1, "s", "u1", 0, "h1"), ("a", 1, "s", "u2", 0, "h2"), ("a", 1, "s", "u3", 0, "h3"), ("a", 2, None, "u4", 0, "h4"), ("a", 3, None, "u4", 0, "h4")])
+    marked = archive.append_remote(held, sent)
+    assert sorted((r["seq"], r["line_uuid"], r["status"]) for r in marked.collect()) == [(1, "u1", "duplicate"), (1, "u2", "stored"), (1, "u3", "forked"), (2, "u4", "stored"), (3, "u4", "stored")]
+
+
+def test_appends_read_the_archive_twice(spark, tmp_path):
+    rec(spark, [("a", 1, "s", "u1", 0, "h1")]).write.parquet(str(tmp_path / "e"))
+    held = spark.read.parquet(str(tmp_path / "e"))
+    plan = archive.append_remote(held, rec(spark, [("a", 2, "s", "u2", 0, "h2")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2
+
+
 def test_vectors_and_digests(spark):
     df = rec(spark, [("a", i, "s", f"u{i}", 0, f"h{i}") for i in range(1, 1003)])
     assert {r["origin_id"]: r["seq"] for r in replication.version_vector(df, "me").collect()} == {"a": 1002, "me": 0}
