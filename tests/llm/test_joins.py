@@ -53,7 +53,7 @@ def corpus(seed, n=120):
     return [*texts, None, "", " \n", "One two", "ONE  TWO", "one"]
 
 
-@pytest.mark.parametrize("seed, bounds", [(0, {}), (1, {"column_entries": 50, "rows": 3}), (2, {"column_entries": 300, "rows": 8, "most_frequent": 5}), (3, {"rows": 2, "most_frequent": 0})])
+@pytest.mark.parametrize("seed, bounds", [(0, {}), (1, {"column_entries": 50, "rows": 3}), (2, {"column_entries": 300, "rows": 8, "most_frequent": 5, "narrow": 3}), (3, {"rows": 2, "most_frequent": 0, "narrow": 2})])
 def test_components_of_all_links(spark, seed, bounds):
     rows = [(i * 3 + 7, t) for i, t in enumerate(corpus(seed))]
     random.Random(seed).shuffle(rows)
@@ -75,6 +75,36 @@ def test_join_edge_cases(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
+def test_surely_wide_columns_are_dealt_by_class(spark, monkeypatch):
+    """N-grams of the most frequent list that count as wide without a look at their column."""
+    monkeypatch.setattr(jaccard, "SURELY_WIDE", 8)
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    near = [" ".join(x if i not in (k, 3 * k) else f"own{k}" for i, x in enumerate(base)) for k in range(30)]
+    rows = list(enumerate([*near, *corpus(5, 60)]))
+    r.shuffle(rows)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), column_entries=200).collect()}
+    assert got == brute(rows)
+
+
+def test_prefixes_of_linked_sets_share_what_is_needed():
+    """The bound of the pair counts, on random pairs of linked sets in a random order of n-grams."""
+    import numpy as np
+
+    r = random.Random(0)
+    for _ in range(3000):
+        both = r.randint(1, 60)
+        a, b = r.randint(0, both // 4), r.randint(0, both // 4)
+        x, y = [*range(both), *range(100, 100 + a)], [*range(both), *range(200, 200 + b)]
+        if 100 * both < 80 * (both + a + b):
+            continue
+        order = list(range(300))
+        r.shuffle(order)
+        first = lambda s: set(sorted(s, key=order.__getitem__)[: jaccard.prefix(len(s))])
+        need = int(jaccard.needed(np.array(len(x)), np.array(len(y))))
+        assert len(first(x) & first(y)) >= need >= 1
+
+
 def test_links_at_the_bound_count(spark):
     w = [f"w{i}" for i in range(94)]  # 90 shingles; ten less on one side: 80 of 100
     a, b = " ".join(w), " ".join([f"v{i}" for i in range(10)] + w[10:])
@@ -83,7 +113,7 @@ def test_links_at_the_bound_count(spark):
     assert got == brute(rows) and got[3][1] == 1
 
 
-@pytest.mark.parametrize("seed, bounds", [(0, {}), (1, {"column_entries": 50, "rows": 3}), (2, {"column_entries": 300, "rows": 8, "most_frequent": 5})])
+@pytest.mark.parametrize("seed, bounds", [(0, {}), (1, {"column_entries": 50, "rows": 3}), (2, {"column_entries": 300, "rows": 8, "most_frequent": 5, "narrow": 2}), (3, {"grams": 400, "narrow": 40})])
 def test_all_links_are_counted(spark, seed, bounds):
     r = random.Random(seed)
     base = [f"b{i}" for i in range(200)]
@@ -128,6 +158,12 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_very_long_conversations(spark):
+    rows = [(c, t, "user", f"turn {t}") for c, n in ((1, 3000), (2, 2999), (3, 3000), (4, 2999)) for t in range(n)] + [(4, 2999, "user", "another")]
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"], r["rendered"].count(chat.END)) for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    assert got == {1: (3000, 2, 3000), 4: (3000, 1, 3000)}
+
+
 def test_licences(spark):
     mit = dict(licenses.KNOWN[:1])["MIT"]
     texts = [mit, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace('"', "``"), "/* " + mit.replace("sublicense", "sub-license").replace("\n", "\n * ") + " */\n# (C) me", mit.replace("Software", "Thing"), None, "", "...", "Released under the MIT Licence", "© 2021 x\nAll rights reserved."]
@@ -214,10 +250,40 @@ def test_pipeline_stages(spark, small):
     clean = keep(cp.decontaminate(spark, single, small))
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(r["doc_id"] for r in single.collect() if not hit_words(r["text"], items)[1])
     coded = cp.encode(spark, clean, small)
-    assert coded.count() == clean.count() and coded.filter("n_tokens <> size(token_ids)").count() == 0
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from tallyfold.llm import common, langid
+    from tests.llm.test_text_operators import brute_language
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    tik = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert {r["doc_id"]: list(r["token_ids"]) for r in coded.collect()} == {i: tik.encode_ordinary(t) for i, t in texts.items()} and coded.filter("n_tokens <> size(token_ids)").count() == 0
+    model = langid.fit(docs.filter(~common.held_out("doc_id")), public_tokenizers.path("piece_bpe_32k.model"))
+    stays = {r["doc_id"] for r in now.collect()}
+    for r in docs.filter("length(text) < 600").collect():
+        lang, score = brute_language(model, r["text"])
+        assert (r["doc_id"] in stays) == (lang != "und" and float(getattr(score, "expected", score)) >= cp.LEAST_LANGUAGE_SCORE)
     assert cp.run(spark, small).count() > 0
 
 
+def test_pipeline_of_empty_tables(spark, small, tmp_path):
+    import corpus_pipeline as cp
+
+    docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    bench.limit(0).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
+    some = docs.limit(12).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    some.write.parquet(str(tmp_path / "some" / "documents.parquet"))
+    bench.limit(0).write.parquet(str(tmp_path / "some" / "benchmark.parquet"))
+    got = cp.run(spark, str(tmp_path / "some"))
+    assert 0 < got.count() <= 12 and got.filter("decoded_sha256 is null or n_tokens is null").count() == 0
+
+
 def test_pipeline_judges_rows_of_null_and_repeated_ids(spark, small):
     import corpus_pipeline as cp
 

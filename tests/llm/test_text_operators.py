@@ -94,6 +94,43 @@ def test_languages_of_held_out_rows(spark, table):
     assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.97 * len(got)
 
 
+def brute_language(model, text):
+    """Prediction and score by the plain recursion over all segmentations of each word."""
+    from functools import lru_cache
+
+    import numpy as np
+
+    pieces, _, _ = langid.vocabulary(PIECES)
+
+    @lru_cache(None)
+    def total(word):
+        if not word:
+            return np.ones(len(model.langs))
+        out = np.zeros(len(model.langs))
+        for k in range(1, min(len(word), langid.LONGEST + 1) + 1):
+            p = pieces.get(word[:k], -1 if k == 1 else None)
+            if p is not None:
+                out = out + model.prob[p] * total(word[k:])
+        return out
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not any(c.isalpha() for w in words for c in w):
+        return "und", 0.0
+    log = sum(np.log(total("▁" + w)) for w in words)
+    odds = np.exp(log - log.max())
+    return model.langs[int(log.argmax())], pytest.approx(1 / odds.sum())
+
+
+def test_predictions_equal_the_plain_recursion(spark, table, small):
+    from tallyfold.llm import queries
+
+    model = langid.fit(table.filter(~common.held_out("doc_id")), PIECES)
+    rows = queries.op2_language(spark, small).join(table.select("doc_id", "text"), "doc_id").filter("length(text) < 3000").collect()
+    assert len(rows) > 50
+    for r in rows[:80]:
+        assert (r["lang_pred"], r["score"]) == brute_language(model, r["text"])
+
+
 def test_language_edge_cases(spark, table):
     model = langid.fit(table, PIECES)
     got = {r["doc_id"]: r for r in langid.predict(docs(spark, [*ODD, "12 34 ²", "!!"]), model).collect()}
@@ -161,6 +198,19 @@ def test_toxic_spans_and_scores(spark):
     assert unseen[0]["score"] > 0.5 > unseen[1]["score"] and unseen[2]["score"] == unseen[3]["score"] < 0.5 and len(unseen) == len(ODD) + 2
 
 
+def test_toxicity_of_repeated_rows_and_a_tie(spark, monkeypatch):
+    df = toxic_corpus(spark, 200)
+    model = toxicity.fit(df, df.select("doc_id", "toxic").union(df.select("doc_id", "toxic")))
+    same = toxicity.score(df.union(df).withColumn("doc_id", F.lit(None).cast("long")), model).groupBy("score").count().collect()
+    assert sum(r["count"] for r in same) == 400 and all(r["count"] % 2 == 0 for r in same)
+    assert toxicity.Model().score((0.0, 0.0, 0.0)) == 0.5  # an empty model ties, and a tie counts as toxic in the query
+    from tallyfold.llm import queries
+
+    monkeypatch.setattr(queries.toxicity, "fit", lambda *_: toxicity.Model())
+    monkeypatch.setattr(queries, "_table", lambda *_: df)
+    assert {(r["score"], r["predicted"]) for r in queries.op3_toxicity(spark, "").collect()} == {(0.5, 1)}
+
+
 def test_toxicity_without_labels_finds_nothing(spark):
     df = toxic_corpus(spark, 20)
     none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")
@@ -288,6 +338,23 @@ def test_substrings_go_by_the_order_of_text_ids(spark):
     assert {r["doc_id"]: r["n_removed"] for r in substrings.dedup(df.repartition(3)).collect()} == {"a": 0, "a10": 4, "b": 4}
 
 
+def test_a_very_long_sentence_keeps_what_is_its_own(spark):
+    """Two texts of 20,000 words without a mark, which share the middle third."""
+    own = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    shared = own("s", 7000)
+    texts = [f"{own(i, 6500)} {shared} {own(i + 9, 6500)}" for i in range(2)]
+    got = {r["doc_id"]: r["text"] for r in substrings.dedup(docs(spark, texts)).collect()}
+    assert got[0] == texts[0] and all(w in got[1] for w in (own(1, 6480), own(10, 6500)[20:]))
+    assert 0 <= sum(f"wsx{i} " in got[1] for i in range(7000)) <= 40
+
+
+def test_lines_of_very_long_and_repeated_texts(spark):
+    long = "\n".join(f"line {i}" for i in range(50_000))
+    rows = [(i, "h", f"menu\nown {i}") for i in range(20)] + [(100, "h", f"menu\n{long}\nmenu"), (100, "h", f"menu\n{long}\nmenu")]
+    got = [r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, site string, text string"), "site", ratio=0.5, out_cols=["doc_id"]).collect() if r["doc_id"] == 100]
+    assert [(r["text"] == long, r["n_lines"], r["n_dropped"]) for r in got] == [(True, 50_002, 2)] * 2
+
+
 def test_lines_by_host_frequency(spark):
     rows = [(i, "h", f"own {i}\nnav\n\nnav") for i in range(10)] + [(20 + i, None, f"nav\nz{i}") for i in range(5)] + [(30, "one", "nav"), (31, "h", None), (32, "h", ""), (33, "h", "nav")]
     df = spark.createDataFrame(rows, "doc_id long, site string, text string").withColumns({"n_lines": F.lit("x"), "host": F.lit("y"), "__drop": F.lit(1)})
@@ -385,7 +452,10 @@ def test_viterbi_finds_the_best_path():
 def test_queries_return_their_columns(spark, small):
     from tallyfold.llm import queries
 
-    want = {"op1_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op2_language": ["doc_id", "held_out", "lang_pred", "score"]}
+    want = {
+        "op1_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op2_language": ["doc_id", "held_out", "lang_pred", "score"], "op3_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op5_substring_dedup": ["doc_id", "text", "n_removed"], "op10_quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    }
     for name, cols in want.items():
         df = queries.QUERIES[name](spark, small)
         assert df.columns[: len(cols)] == cols and df.count() == 200
