@@ -19,10 +19,10 @@ def segments(path: Column | str) -> Column:
     return F.filter(F.split(F.coalesce(col(path), F.lit("")), r"[/\\]"), lambda x: (x != "") & (x != "."))
 
 
-def strip_worktree(segs: Column) -> Column:
+def strip_worktree(segs: Column, worktrees: list[tuple[str, str]] | None = None) -> Column:
     """What lies above the first worktree marker that has a segment before and after it."""
     found = F.lit(None).cast("int")
-    for marker, child in WORKTREES:
+    for marker, child in WORKTREES if worktrees is None else worktrees:
         hits = F.filter(F.transform(segs, lambda x, i: F.when((x == marker) & (F.try_element_at(segs, i + 2) == child) & (i >= 1), i)), lambda i: i.isNotNull())
         found = F.least(found, F.array_min(hits))
     return F.when(found.isNotNull(), F.slice(segs, F.lit(1), F.coalesce(found, F.lit(0)))).otherwise(segs)
@@ -68,9 +68,9 @@ def shipped_project(segs: Column, repos: Column) -> Column:
     return F.when(F.size(hits) == 1, F.element_at(hits, 1)).otherwise("")
 
 
-def project_of(cwd: Column | str, repos: Column, suffixes: list[str] | None = None) -> Column:
+def project_of(cwd: Column | str, repos: Column, suffixes: list[str] | None = None, worktrees: list[tuple[str, str]] | None = None) -> Column:
     """One directory's project from its own evidence and name alone."""
-    segs = strip_worktree(segments(cwd))
+    segs = strip_worktree(segments(cwd), worktrees)
     shipped = shipped_project(segs, repos)
     return F.when(F.size(segs) == 0, "").when(shipped != "", shipped).otherwise(name_project(segs, suffixes))
 
@@ -79,7 +79,7 @@ def segment_key(segs: Column) -> Column:
     return F.array_join(F.transform(segs, F.lower), "\0")
 
 
-def resolve(dirs: DataFrame, shipped: DataFrame | None = None, suffixes: list[str] | None = None) -> DataFrame:
+def resolve(dirs: DataFrame, shipped: DataFrame | None = None, suffixes: list[str] | None = None, worktrees: list[tuple[str, str]] | None = None) -> DataFrame:
     """cwd, project of a set of directories, each decided with knowledge of the others.
 
     dirs: cwd. shipped: cwd, repos array<string>. A directory takes its own evidence; else that of its nearest enclosing
@@ -89,7 +89,7 @@ def resolve(dirs: DataFrame, shipped: DataFrame | None = None, suffixes: list[st
     """
     base = dirs.select("cwd").distinct()
     base = base.join(shipped, "cwd", "left") if shipped is not None else base.withColumn("repos", F.array().cast("array<string>"))
-    base = base.withColumn("segs", strip_worktree(segments("cwd")))
+    base = base.withColumn("segs", strip_worktree(segments("cwd"), worktrees))
     own = base.select("cwd", "segs", F.size("segs").alias("depth"), shipped_project(F.col("segs"), F.col("repos")).alias("evidence"), name_project(F.col("segs"), suffixes).alias("name"))
     own = own.withColumn("key", segment_key(F.col("segs")))
     # the spelling that comes first stands for all: what it is called is the same for every one, up to case

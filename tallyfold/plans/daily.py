@@ -58,10 +58,10 @@ def priced_grid(records: DataFrame, prices: DataFrame) -> DataFrame:
     return keep(price(daily_grid(fold(records)), prices), "grid")
 
 
-def report(records: DataFrame, prices: DataFrame, suffixes: list[str] | None = None) -> Report:
+def report(records: DataFrame, prices: DataFrame, suffixes: list[str] | None = None, dimensions: list[Dimension] | None = None) -> Report:
     """Fold once, then derive costs and legend from the grid; each is stored before the next needs it several times."""
     grid, links = priced_grid(records, prices), keep(session_links(records), "links")
-    cost = keep(costs(grid, links, suffixes), "costs")
+    cost = keep(costs(grid, links, suffixes, dimensions), "costs")
     return Report(grid, links, cost, keep(legend(cost), "legend"))
 
 

@@ -156,3 +156,32 @@ def test_batch_codec(spark, tmp_path):
     df = spark.createDataFrame([("s", "/p", 0, "h", "line")], "source string, path string, byte_offset long, content_hash string, value string")
     bundles.write_batch(df, str(tmp_path / "j"))
     assert bundles.read_batch(spark, str(tmp_path / "j")).collect() == df.collect()
+
+
+def test_blobs(spark, tmp_path):
+    from tallyfold.sources.blobs import Blobs
+
+    b = Blobs(spark, f"file://{tmp_path}/blobs")
+    assert b.list() == [] and b.get("a/one") is None
+    b.put("a/one", b"1\x00")
+    b.put("a/two", b"")
+    b.put("b", b"x")
+    b.put("a/one", b"again")
+    assert b.list() == ["a/one", "a/two", "b"] and b.list("a/") == ["a/one", "a/two"] and (b.get("a/one"), b.get("a/two")) == (b"again", b"")
+    b.delete("b")
+    b.delete("b")
+    assert sorted(r["key"] for r in b.read().collect()) == ["a/one"]
+    for key in ("", "../x", "a//b", "/a"):
+        with pytest.raises(ValueError):
+            b.put(key, b"")
+
+
+def test_reports_as_json_lines(spark, tmp_path):
+    from tallyfold.plans import edge
+
+    df = spark.createDataFrame([("2026-01-01", 1, None), ("2026-01-02", 2, 0.5)], "day string, requests long, cost_usd double")
+    edge.write(df, "daily", str(tmp_path))
+    edge.write(df, "daily", str(tmp_path))
+    assert sorted(r[0] for r in spark.read.text(f"{tmp_path}/daily").collect()) == ['{"day":"2026-01-01","requests":1,"cost_usd":null}', '{"day":"2026-01-02","requests":2,"cost_usd":0.5}']
+    with pytest.raises(ValueError):
+        edge.documents(df, "weekly")
