@@ -169,34 +169,49 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
     emitted = lambda *more: common.T.StructType([common.T.StructField("row", common.T.LongType()), common.T.StructField("rank", kind), *[common.T.StructField(n, t) for n, t in more]])
     hashes = [("h1", common.T.LongType()), ("h2", common.T.LongType())]
 
-    def emit(batches, filter_=None):
+    found_schema = common.T.StructType([common.T.StructField("row", common.T.LongType()), common.T.StructField("rank", kind), *common.T.StructType.fromDDL("hashes binary, at binary, later binary").fields])
+
+    def find(batches):
         for b in batches:
-            source, at, high, low, local = [], [], [], [], []
-            for i, text in enumerate(b.column(2).to_pylist()):
+            hashes, at, late = [], [], []
+            for text in b.column(2).to_pylist():
                 first, later = runs(text or "", run, min_words)
-                source += [i] * (len(first) + len(later))
-                at += [i for i, _ in first] + later
-                both = np.frombuffer(b"".join(h for _, h in first), np.int64).reshape(-1, 2)
-                high.append(np.append(both[:, 0], np.zeros(len(later), np.int64)))
-                low.append(np.append(both[:, 1], np.zeros(len(later), np.int64)))
-                local += [False] * len(first) + [True] * len(later)
-            high, low, local = np.concatenate([*high, np.zeros(0, np.int64)]), np.concatenate([*low, np.zeros(0, np.int64)]), np.array(local, bool)
-            ok = ~local if filter_ is None else local | filter_.value.has(high.view(np.uint64))
-            of = pa.array(np.array(source, np.int64)[ok])
-            columns = [b.column(0).take(of), b.column(1).take(of)] + [pa.array(c[ok]) for c in ([high, low] if filter_ is None else [np.array(at, np.int32), high, low, local])]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "rank", "h1", "h2"] if filter_ is None else ["row", "rank", "at", "h1", "h2", "local"])
+                hashes.append(b"".join(h for _, h in first))
+                at.append(np.array([i for i, _ in first], np.int32).tobytes())
+                late.append(np.array(later, np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(x, pa.binary()) for x in (hashes, at, late)]], names=found_schema.names)
+
+    # texts are cut into runs once; hashes do not compress
+    found = common.keep(common.in_arrow(src, find, found_schema, "substrings"), "runs", "none")
+
+    def emit(batches, filter_=None):
+        for b in batches:
+            first, later = [len(x) // 16 for x in b.column(2).to_pylist()], [len(x) // 4 for x in b.column(4).to_pylist()]
+            both = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64).reshape(-1, 2)
+            of = np.repeat(np.arange(len(first)), first)
+            if filter_ is None:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["row", "rank", "h1", "h2"])
+                continue
+            ok = np.flatnonzero(filter_.value.has(np.ascontiguousarray(both[:, 0]).view(np.uint64)))
+            n = sum(later)
+            of = pa.array(np.concatenate([of[ok], np.repeat(np.arange(len(later)), later)]))
+            at = np.concatenate([np.frombuffer(b"".join(b.column(3).to_pylist()), np.int32)[ok], np.frombuffer(b"".join(b.column(4).to_pylist()), np.int32)])
+            high, low = (np.append(both[ok, k], np.zeros(n, np.int64)) for k in (0, 1))
+            local = np.append(np.zeros(len(ok), bool), np.ones(n, bool))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *[pa.array(c) for c in (at, high, low, local)]], names=["row", "rank", "at", "h1", "h2", "local"])
 
     place = F.struct(F.col("rank").isNotNull().alias("known"), F.col("rank").alias("rank"))  # nulls first
-    met = common.in_arrow(src, emit, emitted(*hashes), "substrings").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.rank").alias("first_rank"))
+    met = common.in_arrow(found, emit, emitted(*hashes), "substrings").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.rank").alias("first_rank"))
     met = common.keep(met, "repeated-runs")
     sent = rows.sparkSession.sparkContext.broadcast(common.bloom(met, "h1", met.count()))
-    likely = common.keep(common.in_arrow(src, lambda batches: emit(batches, sent), emitted(("at", common.T.IntegerType()), *hashes, ("local", common.T.BooleanType())), "substrings"), "likely-runs")
+    likely = common.keep(common.in_arrow(found, lambda batches: emit(batches, sent), emitted(("at", common.T.IntegerType()), *hashes, ("local", common.T.BooleanType())), "substrings"), "likely-runs")
     # among documents of the first rank, the first row
     shared = likely.filter("not local").join(met, ["h1", "h2"])
     ties = shared.filter("rank <=> first_rank").groupBy("h1", "h2").agg(F.min("row").alias("first_row"))
     gone = shared.join(ties.hint("shuffle_hash"), ["h1", "h2"]).filter("not (rank <=> first_rank) or row <> first_row").select("row", "at").unionByName(likely.filter("local").select("row", "at"))
     starts = gone.groupBy("row").agg(F.collect_list("at").alias("starts"))
     starts = common.keep(starts, "starts")
+    common.drop(found, likely, met)
     touched = starts.select("row")
     few = starts.count() <= common.BROADCAST_KEYS
     if few:  # only texts that lose something move
