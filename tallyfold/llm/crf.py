@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -131,56 +132,57 @@ def _gradient(chain: Chain, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> t
     return gw, gm
 
 
+#: Stretches of equal potentials from this length on are done in closed form.
+LONG_RUN = 24
+
+
 def flat_runs(own: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """P(state 1) at each place of a chain of two states by forward-backward; own: log potential of state 1 over state 0 at each place.
 
-    Stretches of equal potentials are done in closed form: their messages are powers of one 2 by 2 matrix. So a long text with few
-    places that differ costs a few steps, and the result is that of the step-by-step pass.
+    Messages are kept as ratios of the two states. Long stretches of equal potentials are done in closed form, by powers of one 2 by 2
+    matrix; so a long text with few places that differ costs a few steps, and the result is that of the step-by-step pass.
     """
     n = len(own)
-    cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if n else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], n)
-    m = np.exp(moves - moves.max())
-
-    def messages(matrix: np.ndarray, start: np.ndarray, steps: int) -> np.ndarray:
-        """matrix^t start for t from 1 to steps, each up to a factor."""
-        if steps == 1:
-            out = matrix @ start
-            return (out / out.sum())[None]
-        (a, b), (c, d) = matrix
-        half, root = (a + d) / 2, np.sqrt(((a - d) / 2) ** 2 + b * c)  # all entries are positive: two real values
+    if not n:
+        return np.zeros(0)
+    (m00, m01), (m10, m11) = np.exp(moves - moves.max()).tolist()
+    cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
+    stretches = list(zip(cuts, [*cuts[1:], n]))
+    local = np.exp(own[cuts]).tolist()
+
+    def powers(a: float, b: float, c: float, d: float, ratio: float, steps: int) -> np.ndarray:
+        """Ratios of [[a, b], [c, d]]^t (1, ratio) for t from 1 to steps."""
+        half, root = (a + d) / 2, math.sqrt(((a - d) / 2) ** 2 + b * c)  # all entries are positive: two real values
         large, small = half + root, half - root
-        # start = x + y with matrix x = large x, matrix y = small y
-        x = (matrix @ start - small * start) / (2 * root)
-        y = start - x
-        out = x + np.power(small / large, np.arange(1, steps + 1))[:, None] * y
-        return out / out.sum(axis=1, keepdims=True)
-
-    fore, back = np.empty((n, 2)), np.empty((n, 2))
-    state = None
-    for lo, hi in zip(cuts, ends):
-        local = np.array([1.0, np.exp(own[lo])])
-        local /= local.sum()
-        if state is None:
-            fore[lo] = state = local
+        # (1, ratio) = x + y with matrix x = large x, matrix y = small y
+        x0, x1 = (a + b * ratio - small) / (2 * root), (c + d * ratio - small * ratio) / (2 * root)
+        shrunk = np.power(small / large, np.arange(1, steps + 1))
+        return (x1 + shrunk * (ratio - x1)) / (x0 + shrunk * (1 - x0))
+
+    fore = np.empty(n)
+    ratio = -1.0
+    for (lo, hi), e in zip(stretches, local):
+        if ratio < 0:
+            fore[lo] = ratio = e
             lo += 1
-        if hi > lo:
-            fore[lo:hi] = messages(local[:, None] * m.T, state, hi - lo)
-            state = fore[hi - 1]
-    state = None
-    for lo, hi in zip(cuts[::-1], ends[::-1]):
-        local = np.array([1.0, np.exp(own[lo])])
-        local /= local.sum()
-        if state is None:
-            back[hi - 1] = state = np.array([0.5, 0.5])
-            got = messages(m * local, state, hi - lo)
+        if hi - lo >= LONG_RUN:
+            fore[lo:hi] = powers(m00, m10, e * m01, e * m11, ratio, hi - lo)
+            ratio = float(fore[hi - 1])
+        else:
+            for t in range(lo, hi):
+                ratio = e * (m01 + m11 * ratio) / (m00 + m10 * ratio)
+                fore[t] = ratio
+    back = np.empty(n)  # the message that comes from what follows
+    ratio = 1.0
+    for (lo, hi), e in zip(reversed(stretches), reversed(local)):
+        back[hi - 1] = ratio
+        if hi - lo >= LONG_RUN:
+            got = powers(m00, m01 * e, m10, m11 * e, ratio, hi - lo)
+            back[lo : hi - 1] = got[-2::-1]
+            ratio = float(got[-1])
         else:
-            got = messages(m * local, state, hi - lo)
-        # got[t - 1]: the message that leaves the stretch's t-th place from its end
-        if hi - lo > 1:
-            back[lo : hi - 1] = got[: hi - lo - 1][::-1]
-        state = got[-1]
-        if lo:
-            back[lo - 1] = state
-    p = fore * back
-    return p[:, 1] / p.sum(axis=1) if n else np.zeros(0)
+            for t in range(hi - 1, lo - 1, -1):
+                back[t] = ratio
+                ratio = (m10 + m11 * e * ratio) / (m00 + m01 * e * ratio)
+    odds = fore * back
+    return odds / (1 + odds)

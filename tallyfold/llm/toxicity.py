@@ -16,14 +16,15 @@ from . import common, crf
 
 #: About so many labelled rows of each label are sampled, by hash, to fit the model.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 8000
-#: Words, and words' first letters, that the field has features of: those whose log-likelihood ratio over the sample's documents is so high, most first ...
-FEATURE_LLR, MOST_PARTS = 20.0, 1000
-#: ... and of them, evidence: documents with it are toxic at least so much likelier than the rest.
-EVIDENCE_ODDS = 2.0
+#: Words, and words' first letters, that the field has features of: those whose log-likelihood ratio over the sample's documents is so high, the
+#: highest first, and whose log odds of a toxic document differ so much from the rest's. They are evidence if the odds are higher.
+FEATURE_LLR, MOST_PARTS, EVIDENCE_ODDS = 20.0, 1000, 2.0
 PREFIXES = (4, 5, 6)
-#: Sequences that the field is fitted on, at most, and the words on either side of a word with features that lie in its sequence.
-FIT_SEQUENCES, CONTEXT = 6000, 12
-CACHE_WORDS = 150_000
+#: Sequences that the field is fitted on, at most, of so many tokens at most; and the words on either side of a word with features that lie in its sequence.
+FIT_SEQUENCES, FIT_TOKENS, CONTEXT = 3000, 60, 10
+#: A fitted weight that is smaller becomes 0: the fewer words differ from others, the longer the stretches that are done in closed form.
+LEAST_WEIGHT = 0.25
+CACHE_WORDS = 250_000
 #: A token whose marginal is below this adds nothing to a document's mass of toxic tokens.
 LEAST_MARGINAL = 0.1
 #: Numbers of the features that every token has one of: 0 is none, 1 the constant.
@@ -197,9 +198,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     ll = lambda k, n, q: k * F.log(q) + (n - k) * F.log(1 - q)
     llr = 2 * (ll(F.col("a"), F.lit(n1), p1) + ll(F.col("b"), F.lit(n0), p0) - ll(F.col("a"), F.lit(n1), p) - ll(F.col("b"), F.lit(n0), p))
     odds = F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))
-    kept = counted.select("part", llr.alias("llr"), odds.alias("odds")).filter(F.col("llr") >= llr_bar).orderBy(F.desc("llr"), "part").limit(MOST_PARTS).collect()  # a bounded list of features
+    kept = counted.select("part", llr.alias("llr"), odds.alias("odds")).filter((F.col("llr") >= llr_bar) & (F.abs("odds") >= odds_bar)).orderBy(F.desc("llr"), "part").limit(MOST_PARTS).collect()  # a bounded list of features
     numbered = {r["part"]: FIRST_PART + i for i, r in enumerate(kept)}
-    model = Model(numbered, frozenset(numbered[r["part"]] for r in kept if r["odds"] >= odds_bar))
+    model = Model(numbered, frozenset(numbered[r["part"]] for r in kept if r["odds"] > 0))
     sent = rows.sparkSession.sparkContext.broadcast(model)
     deep = 2 + 3 * (1 + len(PREFIXES))
 
@@ -216,14 +217,17 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                     hot = np.array([xxhash.xxh3_64_intdigest(text) % len(words)])
                 for k, group in enumerate(np.split(hot, np.flatnonzero(np.diff(hot) > 2 * CONTEXT) + 1) if len(hot) else ()):
                     lo, hi = max(0, group[0] - CONTEXT), min(len(words), group[-1] + CONTEXT + 1)
-                    for j in range(lo, hi, 200):
-                        part = kinds[j : min(hi, j + 200)]
-                        out.append((f"{i}/{k}/{j}", own.features(part).ravel().tolist(), (marked[part] & t).astype(int).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.int32()))], names=["key", "x", "y"])
+                    for j in range(lo, hi, FIT_TOKENS):
+                        part = kinds[j : min(hi, j + FIT_TOKENS)]
+                        out.append((f"{i}/{k}/{j}", own.features(part).astype(np.int16).tobytes(), (marked[part] & t).astype(np.int8).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2)]], names=["key", "x", "y"])
 
-    cut = common.in_arrow(rows.select(F.col("__id").cast("string"), "__text", "__toxic"), tokens, "key string, x array<int>, y array<int>", "toxicity")
+    cut = common.in_arrow(rows.select(F.col("__id").cast("string"), "__text", "__toxic"), tokens, "key string, x binary, y binary", "toxicity")
     found = cut.orderBy(F.xxhash64("key"), "key").limit(sequences).collect()
-    model.chain = crf.fit([np.array(r["x"], np.int64).reshape(-1, deep) for r in found], [np.array(r["y"]) for r in found], model.width(), rounds=120, rate=0.2, l2=1e-4)
+    x, y = [np.frombuffer(r["x"], np.int16).astype(np.int64).reshape(-1, deep) for r in found], [np.frombuffer(r["y"], np.int8) for r in found]
+    model.chain = crf.fit(x, y, model.width(), rounds=80, rate=0.3, l2=1e-4)
+    w = model.chain.weights
+    w[FIRST_PART:][np.abs(w[FIRST_PART:, 1] - w[FIRST_PART:, 0]) < LEAST_WEIGHT] = 0
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def inputs(batches):
