@@ -164,8 +164,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
     join whose hot keys Spark can split. Hashes have 128 bits.
     """
     rows = common.keep(df.select(F.monotonically_increasing_id().alias("__row"), F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text")), "substrings")
-    src = rows.select("__row", F.col(id_col).alias("__rank"), "text")
-    kind = rows.schema[id_col].dataType
+    whole_number = isinstance(rows.schema[id_col].dataType, common.T.IntegralType)
+    # nulls first; Spark combines the least of a long by hash, that of other types by sorting
+    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))) if whole_number else F.col(id_col)
+    src = rows.select("__row", rank.alias("__rank"), "text")
+    kind = src.schema["__rank"].dataType
     emitted = lambda *more: common.T.StructType([common.T.StructField("row", common.T.LongType()), common.T.StructField("rank", kind), *[common.T.StructField(n, t) for n, t in more]])
     hashes = [("h1", common.T.LongType()), ("h2", common.T.LongType())]
 
@@ -200,8 +203,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: in
             local = np.append(np.zeros(len(ok), bool), np.ones(n, bool))
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *[pa.array(c) for c in (at, high, low, local)]], names=["row", "rank", "at", "h1", "h2", "local"])
 
-    place = F.struct(F.col("rank").isNotNull().alias("known"), F.col("rank").alias("rank"))  # nulls first
-    met = common.in_arrow(found, emit, emitted(*hashes), "substrings").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first.rank").alias("first_rank"))
+    place = F.col("rank") if whole_number else F.struct(F.col("rank").isNotNull().alias("known"), F.col("rank").alias("rank"))
+    met = common.in_arrow(found, emit, emitted(*hashes), "substrings").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", F.col("first" if whole_number else "first.rank").alias("first_rank"))
     met = common.keep(met, "repeated-runs")
     sent = rows.sparkSession.sparkContext.broadcast(common.bloom(met, "h1", met.count()))
     likely = common.keep(common.in_arrow(found, lambda batches: emit(batches, sent), emitted(("at", common.T.IntegerType()), *hashes, ("local", common.T.BooleanType())), "substrings"), "likely-runs")
