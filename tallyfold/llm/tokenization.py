@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Pieces whose ids a worker remembers; at about 200 bytes each. When full, the memory starts anew.
-CACHE_PIECES = 120_000
+CACHE_PIECES = 250_000
 #: A long text is cut into runs of about so many characters, at places where no match can span the cut.
 RUN_CHARS = 1 << 16
 
@@ -182,6 +182,9 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
         codec = _codec(path, pattern)
         for b in batches:
             column = b.column(1)
-            yield common.batch_of(out, b.column(0), column, pa.array([codec.decode(x or ()) for x in column.to_pylist()], pa.binary()))
+            ids, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            here = column.is_valid().to_numpy(zero_copy_only=False)
+            decoded = [codec.decode(ids[lo:hi].tolist()) if ok else b"" for lo, hi, ok in zip(ends[:-1], ends[1:], here)]
+            yield common.batch_of(out, b.column(0), column, pa.array(decoded, pa.binary()))
 
     return common.in_arrow(src, work, schema, "tokenization").withColumn("decoded_text", F.make_valid_utf8(F.col("decoded").cast("string")))
