@@ -28,8 +28,8 @@ _words = re.compile(r"[^\W\d_]+").findall
 
 
 @lru_cache(2)
-def vocabulary(path: str) -> tuple[dict[str, int], frozenset[str], object]:
-    """The pieces of letters in a sentencepiece model, lower case, with the mark of a word's start; their proper prefixes; the model."""
+def vocabulary(path: str) -> tuple[dict[str, int], dict[str, int], object]:
+    """The pieces of letters in a sentencepiece model, lower case, with the mark of a word's start; the same with -2 for what only begins a piece; the model."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -39,27 +39,47 @@ def vocabulary(path: str) -> tuple[dict[str, int], frozenset[str], object]:
         if len(piece) <= LONGEST and (body := piece.removeprefix("▁")) and body.isalpha():
             pieces.setdefault(piece, len(pieces))
     pieces.setdefault("▁", len(pieces))
-    return pieces, frozenset(p[:k] for p in pieces for k in range(1, len(p))), model
+    return pieces, {p[:k]: -2 for p in pieces for k in range(1, len(p))} | pieces, model
 
 
-common.on_leave("langid", vocabulary.cache_clear)
+_used: list[Model] = []
 
 
-def spans(word: str, pieces: dict[str, int], prefixes: frozenset[str]) -> list[tuple[int, int, int]]:
-    """(start, end, piece) of every piece inside the word; -1 stands for one character that no piece covers there."""
-    out, n = [], len(word)
+def _remember(model: Model) -> None:
+    """Note a model that this worker scores with, to empty its memory of words when another operator's task begins."""
+    if not any(m is model for m in _used):
+        _used.append(model)
+
+
+def _forget() -> None:
+    vocabulary.cache_clear()
+    for m in _used:
+        m.known.clear()
+        m.rows = None
+    _used.clear()
+
+
+common.on_leave("langid", _forget)
+
+
+def spans(number: int, word: str, table: dict[str, int], add) -> None:
+    """Add every piece inside a word as one whole number: the word's number, start (24 bits), length (5 bits), piece + 1 (17 bits).
+
+    Piece -1 stands for one character that no piece covers there. table has -2 for beginnings of pieces that are none themselves.
+    """
+    get, n = table.get, len(word)
     for i in range(n):
+        base = (number << 24 | i) << 5
         single = False
         for j in range(i + 1, n + 1):
-            part = word[i:j]
-            if (k := pieces.get(part)) is not None:
-                out.append((i, j, k))
-                single |= j == i + 1
-            if part not in prefixes:
+            k = get(word[i:j])
+            if k is None:
                 break
+            if k >= 0:
+                add((base | j - i) << 17 | k + 1)
+                single |= j == i + 1
         if not single:
-            out.append((i, i + 1, -1))
-    return out
+            add((base | 1) << 17)
 
 
 @dataclass
@@ -74,18 +94,14 @@ class Model:
 
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | language), summed over all segmentations, for many words at once: the forward algorithm by end position."""
-        pieces, prefixes, _ = vocabulary(self.path)
-        at, start, end, piece = [], [], [], []
-        longest = 1
+        table = vocabulary(self.path)[1]
+        codes: list[int] = []
         for w, word in enumerate(words):
-            found = spans("▁" + word, pieces, prefixes)
-            longest = max(longest, len(word) + 1)
-            for i, j, k in found:
-                at.append(w)
-                start.append(i)
-                end.append(j)
-                piece.append(k)
-        at, start, end, piece = (np.array(x, np.int64) for x in (at, start, end, piece))
+            spans(w, "▁" + word, table, codes.append)
+        longest = max(map(len, words)) + 1
+        code = np.array(codes, np.int64)
+        at, start, piece = code >> 46, code >> 22 & (1 << 24) - 1, (code & (1 << 17) - 1) - 1
+        end = start + (code >> 17 & 31)
         order = np.argsort(end, kind="stable")
         at, start, end, piece = at[order], start[order], end[order], piece[order]
         bounds = np.searchsorted(end, np.arange(1, longest + 2))
@@ -208,6 +224,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def work(batches):
         own = sent.value
+        _remember(own)
         for b in batches:
             many = [x or "" for x in b.column(1).to_pylist()]
             total, any_letter = own.texts(many)
