@@ -29,11 +29,26 @@ _written: list[tuple[SparkSession, str]] = []
 shared_dir = shared.shared_dir
 
 
-def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: this cuts the lineage and fixes every value in it."""
+#: Tables are written in files of about so many bytes, by Spark's estimate, if that leaves work for every core.
+FILE_BYTES = 64 << 20
+
+
+def few_files(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """df in no more partitions than its estimated size needs, and twice as many as there are cores at least (as many, for a narrow table
+    of a few numbers a row). To create a file costs more than to write some thousand rows."""
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    size = 0 if narrow else int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(min(1 << 30, max(cores if narrow else 2 * cores, -(-size // FILE_BYTES))))
+
+
+def keep(df: DataFrame, name: str, codec: str = "zstd", narrow: bool = False, as_dealt: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: this cuts the lineage and fixes every value in it.
+
+    as_dealt: in the partitions that it has, for a table whose making looks at the number of its task.
+    """
     spark = df.sparkSession
     path = shared.new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    (df if as_dealt else few_files(df, narrow)).write.option("compression", codec).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path
@@ -196,6 +211,13 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions, a long that repartition(n, column) deals to it: n things dealt by these keys never share a partition by chance."""
+    keys = spark.range(0, 20 * n + 100).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("key")).collect()  # n rows
+    found = {r["at"]: r["key"] for r in keys}
+    return [found.get(i, i) for i in range(n)]
+
+
 #: Bits of a Bloom filter at most: its size stays bounded whatever the number of keys, only its use fades.
 BLOOM_BITS = 1 << 27
 _SEGMENT = 1 << 16  # bytes

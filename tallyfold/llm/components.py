@@ -17,7 +17,7 @@ def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     if large:
-        out = both.join(common.keep(least, name), "u")
+        out = both.join(common.keep(least, name, narrow=True), "u")
         return out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
     out = both.join(least, "u")
     return out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").distinct()
@@ -36,9 +36,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Each round is stored in the shared folder, and the one before deleted. Stars of hot nodes combine before the shuffle, and the number
     of rounds grows with the logarithm of the longest path.
     """
-    now = common.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    now = common.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name, narrow=True)
     while not _are_stars(now):
-        after = common.keep(_star(_star(now, True, name), False, name), name)
+        after = common.keep(_star(_star(now, True, name), False, name), name, narrow=True)
         common.drop(now)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -127,7 +127,7 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_c
         if ids:
             yield shard(number, ids, sizes, terms)
 
-    return common.keep(common.in_arrow(src, work, schema, "decontamination"), "postings")
+    return common.keep(common.in_arrow(src, work, schema, "decontamination"), "postings", as_dealt=True)
 
 
 class Shard:

@@ -141,9 +141,10 @@ def frequent(stored: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nd
 
 
 def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], blocks: int) -> DataFrame:
-    """block, grams, classes, places, sizes: each task's part of each block of columns, packed. Entries of surely wide columns are
-    dealt to the blocks from -blocks to -1 by their class, so that no task gets such a column whole."""
+    """part, block, grams, classes, places, sizes: each task's part of each block of columns, packed. Entries of surely wide columns are
+    dealt to the blocks from -blocks to -1 by their class, so that no task gets such a column whole. Blocks k and -1 - k have one part."""
     sent = stored.sparkSession.sparkContext.broadcast(hot)
+    keys_of = common.partition_keys(stored.sparkSession, blocks)
 
     def work(batches):
         grams_hot, rank, surely = sent.value
@@ -166,13 +167,13 @@ def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], b
             for k, lo, hi in zip(at.tolist(), ends.tolist(), [*ends[1:].tolist(), len(order)]):
                 own = order[lo:hi]
                 who, place = np.unique(owner[own], return_inverse=True)
-                yield k, gram[own].tobytes(), cls[who].tobytes(), place.astype(np.uint32).tobytes(), n[who].tobytes()
+                yield keys_of[k if k >= 0 else -1 - k], k, gram[own].tobytes(), cls[who].tobytes(), place.astype(np.uint32).tobytes(), n[who].tobytes()
 
         def packed():
             rows, size = [], 0
             for row in flush():
                 rows.append(row)
-                size += sum(map(len, row[1:]))
+                size += sum(map(len, row[2:]))
                 if size > 2 << 20:
                     yield rows
                     rows, size = [], 0
@@ -206,12 +207,12 @@ def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], b
         if held:
             yield from map(_packed, packed())
 
-    return common.in_arrow(stored.select("class", "grams").filter("grams is not null"), work, "block long, grams binary, classes binary, places binary, sizes binary", "jaccard")
+    return common.in_arrow(stored.select("class", "grams").filter("grams is not null"), work, "part long, block long, grams binary, classes binary, places binary, sizes binary", "jaccard")
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     each = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(each[0], pa.int64()), *[pa.array(x, pa.binary()) for x in each[1:]]], names=["block", "grams", "classes", "places", "sizes"])
+    return pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in each[:2]], *[pa.array(x, pa.binary()) for x in each[2:]]], names=["part", "block", "grams", "classes", "places", "sizes"])
 
 
 def fitting(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -287,19 +288,19 @@ def shared_columns(packed: DataFrame, blocks: int, narrow: int = NARROW) -> Data
     def work(batches):
         now, held = None, []
         for b in batches:
-            for k, *rest in zip(*[c.to_pylist() for c in b.columns]):
+            for k, *rest in zip(*[c.to_pylist() for c in b.columns[1:]]):
                 if k != now:
                     yield from flush(now, held)
                     now, held = k, []
                 held.append(rest)
         yield from flush(now, held)
 
-    return common.in_arrow(packed.repartition(blocks, "block").sortWithinPartitions("block"), work, "a long, b long, m long, n long, shared long, gram long", "jaccard")
+    return common.in_arrow(packed.repartition(blocks, "part").sortWithinPartitions("block"), work, "a long, b long, m long, n long, shared long, gram long", "jaccard")
 
 
 def candidates(found: DataFrame) -> DataFrame:
     """a, b: pairs of classes whose components hold all links; found is shared_columns' table."""
-    wide = common.keep(found.filter("b is null").select("gram", F.col("a").alias("class"), F.col("m").alias("n")).distinct(), "wide")
+    wide = common.keep(found.filter("b is null").select("gram", F.col("a").alias("class"), F.col("m").alias("n")).distinct(), "wide", narrow=True)
     pairs = found.filter("b is not null").groupBy("a", "b").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.sum("shared").alias("shared"))
     # with o = ceil(4 (m + n) / 9), what both prefixes hold at least
     need = "least(m div 5 + 1 + m div 10 - m, n div 5 + 1 + n div 10 - n) + (4 * (m + n) + 8) div 9"
@@ -307,10 +308,10 @@ def candidates(found: DataFrame) -> DataFrame:
     sure = pairs.withColumn("need", F.expr(need))
     sure = sure.join(some.select(F.col("class").alias("a"), F.col("wide").alias("wa")), "a", "left").join(some.select(F.col("class").alias("b"), F.col("wide").alias("wb")), "b", "left")
     met = sure.filter("shared + least(coalesce(wa, 0), coalesce(wb, 0)) >= need").select("a", "b")
-    for _ in range(2):  # pairs that share wide columns only share as many as the smallest size that links with either needs
-        enough = common.keep(wide.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).filter("k >= 1 + ((4 * n + 4) div 5) div 10").select("class"), "wide-classes")
-        first = common.keep(wide.join(enough, "class").groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("least")).filter("k > 1").select("gram", "least"), "wide-columns")
-        wide = common.keep(wide.select("gram", "class", "n").join(enough, "class").join(first, "gram").select("gram", "class", "n", "least"), "wide")
+    # pairs that share wide columns only share as many as the smallest size that links with either needs
+    enough = common.keep(wide.groupBy("class").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).filter("k >= 1 + ((4 * n + 4) div 5) div 10").select("class"), "wide-classes", narrow=True)
+    first = common.keep(wide.join(enough, "class").groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("class").alias("least")).filter("k > 1").select("gram", "least"), "wide-columns", narrow=True)
+    wide = common.keep(wide.select("gram", "class", "n").join(enough, "class").join(first, "gram").select("gram", "class", "n", "least"), "wide", narrow=True)
     return met.unionByName(wide.select(F.col("class").alias("a"), F.col("least").alias("b")).filter("a <> b").distinct())
 
 
@@ -381,9 +382,9 @@ def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = R
     entries = stored.filter("grams is not null").agg(F.sum(prefix_column())).head()[0] or 0
     blocks = max(1, -(-entries // column_entries))
     found = common.keep(shared_columns(columns(stored, frequent(stored, most_frequent), blocks), blocks, narrow), "overlaps")
-    close = common.keep(candidates(found), "candidates")
+    close = common.keep(candidates(found), "candidates", narrow=True)
     sizes = found.select(F.col("a").alias("class"), F.col("m").alias("n")).union(found.filter("b is not null").select("b", "n")).distinct()
-    group = common.keep(components(close, "candidates").withColumnRenamed("node", "class").join(sizes, "class"), "groups")
+    group = common.keep(components(close, "candidates").withColumnRenamed("node", "class").join(sizes, "class"), "groups", narrow=True)
     common.drop(found)
     common.settle(stored.sparkSession)  # the columns' shuffle files go before sets are dealt out
     count = group.count()
@@ -392,16 +393,18 @@ def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = R
     # a large group is cut into bands of like size, and a band with too many documents or n-grams is dealt by hash
     fits = (F.col("size") <= rows) & (F.col("weight") <= grams)
     total = group.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"), F.percentile_approx("n", F.array(*[F.lit(x / 64) for x in range(1, 64)]), F.lit(1000)).alias("q"))
-    total = common.keep(total.withColumn("whole", fits).withColumn("parts", F.least(F.lit(64), F.greatest(F.ceil(F.col("size") / rows), F.ceil(F.col("weight") / grams))).cast("int")).withColumn("q", F.when(~fits, F.col("q"))), "shapes")
+    total = common.keep(total.withColumn("whole", fits).withColumn("parts", F.least(F.lit(64), F.greatest(F.ceil(F.col("size") / rows), F.ceil(F.col("weight") / grams))).cast("int")).withColumn("q", F.when(~fits, F.col("q"))), "shapes", narrow=True)
     small = group.join(total.filter("whole").select("root"), "root").select("class", "root", _no_block().alias("x"), _no_block().alias("y"), F.lit(True).alias("first"))
-    banded = group.join(total.filter("not whole"), "root").select("class", "root", "n", F.expr("size(filter(q, x -> x < n)) * parts div 64").cast("int").alias("band"))
-    dealt = common.keep(banded.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("n") / grams)).alias("deals")), "bands")
-    member = common.keep(banded.join(dealt, ["root", "band"]).select("class", "root", "n", F.struct("band", F.pmod(F.xxhash64("class"), F.col("deals")).alias("deal")).alias("block")), "members")
-    many = common.keep(member.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "blocks")
-    a, b = many.alias("a"), many.alias("b")
-    pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.block") <= F.col("b.block"))).filter(f"100 * a.high >= {PERCENT} * b.low and 100 * b.high >= {PERCENT} * a.low").select(F.col("a.root").alias("root"), F.col("a.block").alias("x"), F.col("b.block").alias("y"))
-    twice = pairs.select("root", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    jobs = member.join(twice, ["root", "block"]).select("class", "root", "x", "y", (F.col("block") == F.col("x")).alias("first")).unionByName(small)
+    jobs = small
+    if not total.filter("not whole").isEmpty():
+        banded = group.join(total.filter("not whole"), "root").select("class", "root", "n", F.expr("size(filter(q, x -> x < n)) * parts div 64").cast("int").alias("band"))
+        dealt = common.keep(banded.groupBy("root", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("n") / grams)).alias("deals")), "bands", narrow=True)
+        member = common.keep(banded.join(dealt, ["root", "band"]).select("class", "root", "n", F.struct("band", F.pmod(F.xxhash64("class"), F.col("deals")).alias("deal")).alias("block")), "members", narrow=True)
+        many = common.keep(member.groupBy("root", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")), "blocks", narrow=True)
+        a, b = many.alias("a"), many.alias("b")
+        pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.block") <= F.col("b.block"))).filter(f"100 * a.high >= {PERCENT} * b.low and 100 * b.high >= {PERCENT} * a.low").select(F.col("a.root").alias("root"), F.col("a.block").alias("x"), F.col("b.block").alias("y"))
+        twice = pairs.select("root", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+        jobs = jobs.unionByName(member.join(twice, ["root", "block"]).select("class", "root", "x", "y", (F.col("block") == F.col("x")).alias("first")))
     active = stored.sparkSession.sparkContext.broadcast(common.bloom(group, "class", count))
 
     def pick(batches):
@@ -452,7 +455,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds
     ids = stored.filter("class is not null").groupBy("class").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies"))
     rooted = ids.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rooted = rooted.join(met, "class", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("met", F.lit(0)))
-    rooted = common.keep(rooted, "rooted")
+    rooted = common.keep(rooted, "rooted", narrow=True)
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     final = rooted.select("class", "root", "n_links").join(best, "root").select("class", "n_links", "component_id")
     out = stored.select(id_col, "n", "class").join(final, "class", "left")
