@@ -34,7 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
     common.release(spark)
     out = lines.dedup_lines(docs, "source", out_cols=["doc_id", "lang", "source"], count_cols=False)
-    return out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    return common.few_files(out.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars")))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,12 +46,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each component of the n-gram Jaccard join, the row of the least id (null ids last); of its rows of that id, one."""
     common.release(spark)
     rows = _keyed(docs)
-    found = common.keep(jaccard.join(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row"), "members")
+    found = common.keep(jaccard.join(rows, "__row").select("__row", "component_id").join(rows.select("__row", "doc_id"), "__row"), "members", narrow=True)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    best = common.keep(best.select("component_id", F.col("best.__row").alias("stays")), "representatives")
-    gone = common.keep(found.join(best, "component_id").filter("__row <> stays").select("__row"), "copies")
+    best = common.keep(best.select("component_id", F.col("best.__row").alias("stays")), "representatives", narrow=True)
+    gone = common.keep(found.join(best, "component_id").filter("__row <> stays").select("__row"), "copies", narrow=True)
     common.release(spark, "keyed", "copies")  # the sets are no longer needed when whole texts are read again
-    return common.without(rows, gone, "__row").select("doc_id", "text", "lang", "source", "n_chars")
+    return common.few_files(common.without(rows, gone, "__row").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,9 +59,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     common.release(spark)
     rows = _keyed(docs)
     found = decontamination.phrases(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__row")
-    hit = common.keep(found.filter(F.size("hits") > 0).select("__row"), "hits")
+    hit = common.keep(found.filter(F.size("hits") > 0).select("__row"), "hits", narrow=True)
     common.release(spark, "keyed", "hits")
-    return common.without(rows, hit, "__row").select("doc_id", "text", "lang", "source", "n_chars")
+    return common.few_files(common.without(rows, hit, "__row").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
