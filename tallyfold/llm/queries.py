@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, jaccard, langid, licenses, lines, quality, substrings, tokenization, toxicity
+from . import chat, common, decontamination, filters, jaccard, langid, licenses, lines, quality, substrings, tokenization, toxicity
 
 
 def _tokenizer(name: str) -> tuple[str, str]:
@@ -72,7 +72,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, chain).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_license_scan, op8_jaccard_join, op9_line_dedup, op10_quality)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_license_scan, op8_jaccard_join, op9_line_dedup, op10_quality, op12_filter_audit)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD4 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,4 +131,25 @@ r AS (SELECT doc_id, p.source, text, l, list_filter(l, lambda x: NOT list_contai
 SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - len(kept), 0) AS BIGINT) AS n_dropped FROM r
 """
 
-SQL: dict[str, str] = {"op4_decontamination": _OP4, "op6_chat_format": _OP6, "op7_license_scan": _license_sql(), "op9_line_dedup": _OP9}
+_OP12 = r"""
+WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        concat(CASE WHEN len(w) < 50 THEN 'A' ELSE '' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END,
+               CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 5 * length(x) THEN 'C' ELSE '' END, CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END,
+               CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END) AS failed
+      FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+f(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT concat(a.c, b.c, c.c, d.c, e.c) AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+g AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM d GROUP BY part, failed),
+s AS (SELECT g.*, filter_order, step, filter_order[step] AS own, len(translate(filter_order[1:step - 1], failed, '')) < step - 1 AS gone, contains(failed, filter_order[step]) AS hit FROM g, o, range(1, 6) r(step)),
+m AS (SELECT part, filter_order, step, own, sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept, sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failed = own THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN hit AND NOT gone THEN n_good ELSE 0 END) AS good_lost, sum(CASE WHEN hit AND NOT gone THEN n_toxic ELSE 0 END) AS toxic_lost
+      FROM s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM m
+"""
+
+SQL: dict[str, str] = {"op4_decontamination": _OP4, "op6_chat_format": _OP6, "op7_license_scan": _license_sql(), "op9_line_dedup": _OP9, "op12_filter_audit": _OP12}
