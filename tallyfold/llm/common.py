@@ -29,11 +29,11 @@ _written: list[tuple[SparkSession, str]] = []
 shared_dir = shared.shared_dir
 
 
-def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: this cuts the lineage and fixes every value in it."""
+def keep(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """Write df to the shared folder, in a folder for each value of a column if one is named, and read it back: this cuts the lineage and fixes every value in it."""
     spark = df.sparkSession
     path = shared.new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", codec).parquet(path, partitionBy=by)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontamination, filters, jaccard, langid, licenses, lines, quality, substrings, tokenization, toxicity
+from . import chat, common, decontamination, filters, jaccard, langid, licenses, lines, packing, quality, substrings, tokenization, toxicity, trie
 
 
 def _tokenizer(name: str) -> tuple[str, str]:
@@ -72,11 +72,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, chain).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_license_scan, op8_jaccard_join, op9_line_dedup, op10_quality, op12_filter_audit)}
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = _tokenizer("byte_bpe_50k.json")
+    return packing.best_fit(_table(spark, sf_dir, "documents"), path, pattern)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_language, op3_toxicity, op4_decontamination, op5_substring_dedup, op6_chat_format, op7_license_scan, op8_jaccard_join, op9_line_dedup, op10_quality, op11_conversation_trie, op12_filter_audit, op13_best_fit_packing)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD4 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -131,6 +140,22 @@ r AS (SELECT doc_id, p.source, text, l, list_filter(l, lambda x: NOT list_contai
 SELECT doc_id, source, array_to_string(kept, chr(10)) AS text, CAST(coalesce(len(l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(l) - len(kept), 0) AS BIGINT) AS n_dropped FROM r
 """
 
+_OP11 = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+c AS (SELECT conv_id, conv_id - conv_id % {trie.FAMILY} AS base,
+        xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % {trie.LEADS} AS h
+      FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS said FROM conversations),
+s AS (SELECT c.conv_id, 0 AS own, k, said FROM c JOIN o ON o.conv_id = base AND k <= h UNION ALL SELECT c.conv_id, 1, k, said FROM c JOIN o ON o.conv_id = c.conv_id AND k > h),
+w AS (SELECT c.conv_id, coalesce(l, []) AS l FROM c LEFT JOIN (SELECT conv_id, list(said ORDER BY own, k) AS l FROM s GROUP BY conv_id) USING (conv_id)),
+n AS (SELECT d, l[1:d] AS key, count(*) AS n_convs, min(conv_id) AS conv_id, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(l) = d), '') AS ends FROM w, unnest(range(len(l) + 1)) r(d) GROUP BY ALL),
+k AS (SELECT d - 1 AS d, key[1:d - 1] AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, key)),
+u AS (SELECT r.d, key[1:r.d] AS key, count(*) FILTER (n_children = 0) AS n_leaves, sum(CASE WHEN f.d = 0 THEN 0 ELSE (n_convs - 1) * length(key[f.d].x) END) AS saved FROM f, unnest(range(f.d + 1)) r(d) GROUP BY ALL)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u USING (d, key) LEFT JOIN n p ON p.d = f.d - 1 AND p.key = f.key[1:f.d - 1]
+"""
+
 _OP12 = r"""
 WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
 t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -152,4 +177,4 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
 FROM m
 """
 
-SQL: dict[str, str] = {"op4_decontamination": _OP4, "op6_chat_format": _OP6, "op7_license_scan": _license_sql(), "op9_line_dedup": _OP9, "op12_filter_audit": _OP12}
+SQL: dict[str, str] = {"op4_decontamination": _OP4, "op6_chat_format": _OP6, "op7_license_scan": _license_sql(), "op9_line_dedup": _OP9, "op11_conversation_trie": _OP11, "op12_filter_audit": _OP12}
