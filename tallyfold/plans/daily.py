@@ -53,14 +53,14 @@ class Report:
     segments: DataFrame  # legend()
 
 
-def priced_grid(records: DataFrame, prices: DataFrame) -> DataFrame:
-    """The daily grid with costs: the one fold of a report. Stored, as every part is made of it; far smaller than the archive."""
-    return keep(price(daily_grid(fold(records)), prices), "grid")
+def priced_grid(records: DataFrame, prices: DataFrame, folding: DataFrame | None = None) -> DataFrame:
+    """The daily grid with costs: the one fold of a report, over the archive or its stored copy. Stored, as every part is made of it."""
+    return keep(price(daily_grid(fold(records if folding is None else folding)), prices), "grid")
 
 
-def report(records: DataFrame, prices: DataFrame, suffixes: list[str] | None = None, dimensions: list[Dimension] | None = None) -> Report:
+def report(records: DataFrame, prices: DataFrame, suffixes: list[str] | None = None, dimensions: list[Dimension] | None = None, folding: DataFrame | None = None) -> Report:
     """Fold once, then derive costs and legend from the grid; each is stored before the next needs it several times."""
-    grid, links = priced_grid(records, prices), keep(session_links(records), "links")
+    grid, links = priced_grid(records, prices, folding), keep(session_links(records), "links")
     cost = keep(costs(grid, links, suffixes, dimensions), "costs")
     return Report(grid, links, cost, keep(legend(cost), "legend"))
 

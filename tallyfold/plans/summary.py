@@ -9,9 +9,9 @@ from ..operators.fold import fold, model_totals
 from ..operators.pricing import dollars, less, price
 
 
-def summary_models(records: DataFrame, prices: DataFrame) -> DataFrame:
-    """model, requests, tokens, priced, cost_usd, uncached_cost_usd; the most output first, ties by model."""
-    out = price(model_totals(fold(records)), prices, uncached=True)
+def summary_models(records: DataFrame, prices: DataFrame, folding: DataFrame | None = None) -> DataFrame:
+    """model, requests, tokens, priced, cost_usd, uncached_cost_usd; the most output first, ties by model. folding: the stored copy of records, if there is one."""
+    out = price(model_totals(fold(records if folding is None else folding)), prices, uncached=True)
     return out.withColumns({c: dollars(c) for c in ("cost_usd", "uncached_cost_usd")}).orderBy(F.desc("output_tokens"), "model")
 
 
@@ -19,9 +19,9 @@ def line_counts(records: DataFrame) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("lines"), F.count("request_id").alias("assistant_lines"))
 
 
-def summary_totals(records: DataFrame, prices: DataFrame) -> DataFrame:
+def summary_totals(records: DataFrame, prices: DataFrame, folding: DataFrame | None = None) -> DataFrame:
     """One row of totals: costs over priced models only; the hit rate over all; unpriced models by output."""
-    models = price(model_totals(fold(records)), prices, uncached=True)
+    models = price(model_totals(fold(records if folding is None else folding)), prices, uncached=True)
     fresh = F.sum(F.col("input_tokens") + F.col("cache_write5m") + F.col("cache_write1h"))
     unpriced = F.array_sort(F.collect_list(F.when(~F.col("priced"), F.struct((-F.col("output_tokens")).alias("o"), F.col("model").alias("m")))))
     totals = models.agg(

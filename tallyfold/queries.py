@@ -37,6 +37,11 @@ def R(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogate.archive(spark, sf_dir)
 
 
+def N(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive's copy for folds."""
+    return surrogate.folding(spark, sf_dir)
+
+
 def _prices_sql() -> str:
     """Rates in millionths of a dollar per million tokens: 1e-12 dollars a token."""
     d = prices.DEFAULT_RATES
@@ -112,12 +117,12 @@ def identify_lines(spark, sf_dir):
 
 @query(f"{_BASE} SELECT * FROM folded")
 def request_fold(spark, sf_dir):
-    return fold.fold(R(spark, sf_dir))
+    return fold.fold(N(spark, sf_dir))
 
 
 @query(f"{_BASE} SELECT * EXCLUDE (units, uncached), {_USD('units')} AS cost_usd, {_USD('uncached')} AS uncached_cost_usd FROM priced")
 def model_totals(spark, sf_dir):
-    return summary.summary_models(R(spark, sf_dir), prices.load(spark))
+    return summary.summary_models(R(spark, sf_dir), prices.load(spark), N(spark, sf_dir))
 
 
 @query(
@@ -126,7 +131,7 @@ def model_totals(spark, sf_dir):
     {_USD('(sum(uncached) - sum(units))')} AS cache_savings_usd, (SELECT count(request_id) FROM records)::DOUBLE / sum(requests) AS inflation FROM priced"""
 )
 def summary_totals(spark, sf_dir):
-    return summary.summary_totals(R(spark, sf_dir), prices.load(spark))
+    return summary.summary_totals(R(spark, sf_dir), prices.load(spark), N(spark, sf_dir))
 
 
 @query(f"{_BASE} SELECT count(*) AS lines, count(request_id) AS assistant_lines FROM records")
@@ -136,17 +141,17 @@ def line_counts(spark, sf_dir):
 
 @query(f"{_BASE} SELECT * FROM grid")
 def daily_grid(spark, sf_dir):
-    return fold.daily_grid(fold.fold(R(spark, sf_dir)))
+    return fold.daily_grid(fold.fold(N(spark, sf_dir)))
 
 
 @query(f"{_BASE} SELECT day, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, {_USD('sum(units)')} AS cost_usd FROM cells GROUP BY day")
 def days(spark, sf_dir):
-    return daily.days(daily.priced_grid(R(spark, sf_dir), prices.load(spark)))
+    return daily.days(daily.priced_grid(R(spark, sf_dir), prices.load(spark), N(spark, sf_dir)))
 
 
 @query(f"{_BASE} SELECT * FROM per_session")
 def session_model_totals(spark, sf_dir):
-    return delivery.session_model_totals(fold.fold(R(spark, sf_dir)))
+    return delivery.session_model_totals(fold.fold(N(spark, sf_dir)))
 
 
 @query(f"{_BASE} SELECT * FROM weights")
@@ -156,7 +161,7 @@ def link_weights(spark, sf_dir):
 
 @query(f"{_BASE} SELECT pr_repo, pr_number, model, requests, sessions, shared_requests, output_total, {', '.join(f'{c}_whole::DOUBLE + {c}_parts::DOUBLE / {_PARTS}::DOUBLE AS {c}_share' for c in delivery.SPLIT)} FROM split")
 def delivery_totals(spark, sf_dir):
-    return delivery.delivery_totals(R(spark, sf_dir))
+    return delivery.delivery_totals(R(spark, sf_dir), N(spark, sf_dir))
 
 
 @query(
@@ -167,18 +172,18 @@ def delivery_totals(spark, sf_dir):
     SELECT * FROM c JOIN s USING (pr_repo, pr_number)"""
 )
 def pull_requests(spark, sf_dir):
-    return delivery.pull_requests(R(spark, sf_dir), prices.load(spark))
+    return delivery.pull_requests(R(spark, sf_dir), prices.load(spark), N(spark, sf_dir))
 
 
 @query(f"{_BASE} SELECT count(*) FILTER (WHERE session_id IN (SELECT session_id FROM links)) AS attributed, count(*) AS total, count(*) FILTER (WHERE session_id IN (SELECT session_id FROM links))::DOUBLE / count(*) AS share FROM folded")
 def attributed_share(spark, sf_dir):
-    return delivery.attribution(R(spark, sf_dir))
+    return delivery.attribution(R(spark, sf_dir), N(spark, sf_dir))
 
 
 @query(f"{_BASE} SELECT cwd, project FROM named")
 def project_resolution(spark, sf_dir):
     r = R(spark, sf_dir)
-    return daily.projects(keep(fold.daily_grid(fold.fold(r)), "grid"), daily.session_links(r))
+    return daily.projects(keep(fold.daily_grid(fold.fold(N(spark, sf_dir))), "grid"), daily.session_links(r))
 
 
 @query(f"{_BASE} SELECT * FROM prs")
@@ -193,11 +198,11 @@ def session_links(spark, sf_dir):
 )
 def session_projects(spark, sf_dir):
     r = R(spark, sf_dir)
-    return daily.session_projects(keep(fold.daily_grid(fold.fold(r)), "grid"), keep(daily.session_links(r), "links"))
+    return daily.session_projects(keep(fold.daily_grid(fold.fold(N(spark, sf_dir))), "grid"), keep(daily.session_links(r), "links"))
 
 
 def _report(spark, sf_dir) -> daily.Report:
-    return daily.report(R(spark, sf_dir), prices.load(spark))
+    return daily.report(R(spark, sf_dir), prices.load(spark), folding=N(spark, sf_dir))
 
 
 @query(f"{_BASE} SELECT stack, day, key, {_USD('units')} AS cost_usd FROM costs")

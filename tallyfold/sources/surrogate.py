@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shared import keep
+from ..operators.fold import store_copy
+from ..shared import keep, new_path
 
 _TEMPLATE = """
 SELECT concat('node', CAST(user_id % 4 AS {S})) AS origin_id,
@@ -60,6 +61,17 @@ def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored[key]
 
 
+_copies: dict[tuple[str, str], DataFrame] = {}
+
+
+def folding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy of archive() that folds are made of, in as many buckets as there are shuffle partitions; made once, when the archive is first folded."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _copies:
+        _copies[key] = store_copy(archive(spark, sf_dir), new_path(spark, "folding"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _copies[key]
+
+
 def bodies(records: DataFrame) -> DataFrame:
     """records with `sealed`: the JSON line that each would have been extracted from."""
     from pyspark.sql import functions as F

@@ -130,3 +130,23 @@ def test_queries_equal_their_sql(spark, small, name):
     assert sorted(df.columns) == sorted(names)
     show = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     assert sorted([show(r[c]) for c in names] for r in df.collect()) == sorted([show(v) for v in r] for r in rows)
+
+
+def test_a_fold_of_the_stored_copy_moves_and_sorts_nothing(spark, records, tmp_path):
+    from tallyfold.operators import fold
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        copy = fold.store_copy(records, str(tmp_path / "copy"), 4)
+        plan = fold.fold(copy)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan and "sealed" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+        key = lambda df: sorted(map(str, df.collect()))
+        want = key(fold.fold(records))
+        assert key(fold.fold(copy)) == want
+        spark.sql(f"DROP TABLE {fold._table(str(tmp_path / 'copy'))}")
+        again = fold.open_copy(spark, str(tmp_path / "copy"), 4)
+        assert key(fold.fold(again)) == want and "Exchange" not in fold.fold(again)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    p = prices.load(spark)
+    assert key(delivery.pull_requests(records, p, copy)) == key(delivery.pull_requests(records, p)) and key(summary.summary_totals(records, p, copy)) == key(summary.summary_totals(records, p))
