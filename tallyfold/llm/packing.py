@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -12,15 +13,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenization import CACHE_PIECES, runs
+from .tokenization import runs
 
 CAPACITY = 2048
-#: Documents and gaps that one task sweeps: some 10 MB.
-SWEEP_ROWS = 1 << 17
+#: Matches of the pattern that a worker remembers at least, twice as many at most; at about 200 bytes each.
+KNOWN_PIECES = 150_000
+#: Documents and gaps that one task sweeps: some 10 MB. Fewer, of LEAST_ROWS on, while there are less than MANY_RANGES tasks.
+SWEEP_ROWS, LEAST_ROWS, MANY_RANGES = 1 << 17, 1 << 14, 4096
+
+
+#: Texts of these characters alone are matched by PLAIN, in the standard library's faster patterns; there it says what the tokenizer's pattern says.
+PLAIN_TEXT = r"[\x00-\x1b\x20-\u02c1\u2010-\u2027\u2030-\u205e]*"
+_LETTERS, _DIGITS = "A-Za-zªµºÀ-ÖØ-öø-\u02c1", "0-9²³¹¼½¾"
+PLAIN = rf" ?[{_LETTERS}]+| ?[{_DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+"
 
 
 class FileCodec:
-    """Ids by a tokenizers file of a byte-level BPE. Matches of its pattern are remembered, so each distinct one is encoded once."""
+    """Ids by a tokenizers file of a byte-level BPE. Matches of its pattern are remembered, so each distinct one is encoded once while it is in use."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -31,7 +40,9 @@ class FileCodec:
         self.piece = Tokenizer.from_file(path)
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.match = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.is_plain, self.match_plain = re.compile(PLAIN_TEXT).fullmatch, re.compile(PLAIN).findall
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as 32-bit integers. A text that names a special token is left to the tokenizer as a whole."""
@@ -39,18 +50,22 @@ class FileCodec:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         out = []
         for run in runs(text):
-            found = self.match(run)
-            try:
-                out.append(b"".join(map(self.known.__getitem__, found)))
-            except KeyError:
-                if len(self.known) > CACHE_PIECES:
-                    self.known.clear()
-                new = [p for p in dict.fromkeys(found) if p not in self.known]
-                for piece, x in zip(new, self.piece.encode_batch_fast(new, add_special_tokens=False)):
-                    self.known[piece] = np.array(x.ids, "<u4").tobytes()
-                out.append(b"".join(map(self.known.__getitem__, found)))
+            found = self.match_plain(run) if self.is_plain(run) else self.match(run)
+            if new := set(found).difference(self.known):
+                self._learn(new)
+            out.append(b"".join(map(self.known.__getitem__, found)))
+            if len(self.known) > KNOWN_PIECES:
+                self.known, self.before = {}, self.known
         return b"".join(out)
 
+    def _learn(self, new: set[str]) -> None:
+        """Remember these matches. A full memory stays beside the next one, from which what is in use is taken over."""
+        for p in new & self.before.keys():
+            self.known[p] = self.before[p]
+        rest = list(new.difference(self.known))
+        for p, x in zip(rest, self.piece.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[p] = np.array(x.ids, "<u4").tobytes()
+
 
 @lru_cache(1)
 def _codec(path: str, pattern: str) -> FileCodec:
@@ -145,13 +160,42 @@ def _across(parts: list) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
+def _finish(capacity: int, opened: int):
+    """Best fit of the last documents, the largest first: each takes the smallest gap that holds it, or opens a sequence."""
+
+    def work(batches):
+        got = [b.to_pydict() for b in batches]
+        rows = sorted(zip(*([x for b in got for x in b[c]] for c in ("kind", "size", "id"))), reverse=True)
+        room: dict[int, list[int]] = {}
+        sizes, n, out = 0, opened, []  # sizes: a bit for each size of which there is a gap
+        for kind, size, name in rows:
+            if kind:
+                room.setdefault(size, []).append(name)
+                sizes |= 1 << size
+                continue
+            if fits := sizes >> size:
+                gap = size + (fits & -fits).bit_length() - 1
+                seq = room[gap].pop()
+                if not room[gap]:
+                    sizes ^= 1 << gap
+            else:
+                n += 1
+                gap, seq = capacity, -n
+            out.append((name, seq, capacity - gap))
+            room.setdefault(gap - size, []).append(seq)
+            sizes |= 1 << gap - size
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else ((), (), ()))], names=["id", "sequence_id", "at"])
+
+    return work
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, sweep_rows: int = SWEEP_ROWS, least_rows: int = LEAST_ROWS) -> DataFrame:
     """id, sequence_id, at: where each document (id, size; ids distinct and not negative, sizes 1 to capacity) goes. At most `capacity` in a sequence, without holes.
 
     Documents of over half the capacity open a sequence each. Then, in rounds that all tasks finish together: documents and gaps are range-sorted by size;
     each range is swept for the successor of its documents, the larger ones first; what ranges have left is matched between them by rank, as counts
     of ranges tell; gaps shrink, and the next round begins. New sequences open only for tokens that are more than all gaps. A gap that takes anything
-    loses half of itself or meets no further document, so rounds are few. Equal sizes are told apart by id, so a size that many documents share is dealt
+    loses half of itself or meets no further document, so rounds are few; what fits one sweep of least_rows is finished in one task. Equal sizes are told apart by id, so a size that many documents share is dealt
     to several ranges. Every round's state is a stored table of two numbers a row. The driver sees a count for each size, of `capacity` at most,
     and for each range.
     """
@@ -168,31 +212,34 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, sweep_rows: int = SWEEP_ROWS
             break
         least, tokens = min(want)[0], sum(s * n for s, n in want)
         room = [(s, n) for k, s, n in counts if k and s >= least]
+        items, rows = state.filter((F.col("kind") == 0) | (F.col("size") >= least)), sum(n for _, n in (*want, *room))
+        if rows <= least_rows:
+            placed.append(common.keep(common.in_arrow(items.coalesce(1), _finish(capacity, opened), "id long, sequence_id long, at long", "packing"), "finished"))
+            break
         new = max(0, -(-(tokens - sum(s * n for s, n in room)) // capacity))
-        items = state.filter((F.col("kind") == 0) | (F.col("size") >= least))
         if new:
             items = items.unionByName(spark.range(opened + 1, opened + new + 1).select(F.lit(1).alias("kind"), (-F.col("id")).alias("id"), F.lit(capacity).cast("long").alias("size")))
-            opened += new
-        n_ranges = -(-(sum(n for _, n in want) + sum(n for _, n in room) + new) // sweep_rows)
+            opened, rows = opened + new, rows + new
+        n_ranges = max(-(-rows // sweep_rows), min(-(-rows // least_rows), MANY_RANGES))
         order = ("size", "kind", "id")
         swept = common.keep(common.in_arrow(items.repartitionByRange(n_ranges, *order).sortWithinPartitions(*order), _sweep(capacity), "part int, kind int, id long, size long, rank long, seq long, at long", "packing"), "swept")
         placed.append(swept.filter("seq is not null").select("id", F.col("seq").alias("sequence_id"), "at"))
-        left_docs, left_gaps = swept.filter("kind = 0 and seq is null"), swept.filter("kind = 1 and size > 0")
-        blocks = []
-        if n_ranges > 1:
-            left = swept.filter("rank >= 0").groupBy("part").agg(*[F.coalesce(x, F.lit(0)).alias(c) for c, x in (("d", F.count_if(F.col("kind") == 0)), ("most", F.max(F.when(F.col("kind") == 0, F.col("size")))), ("g", F.count_if(F.col("kind") == 1)), ("least", F.min(F.when(F.col("kind") == 1, F.col("size")))))])
-            blocks = _across(sorted(map(tuple, left.collect())))  # a row for each range
+        left = swept.filter("rank >= 0").groupBy("part").agg(*[F.coalesce(x, F.lit(0)).alias(c) for c, x in (("d", F.count_if(F.col("kind") == 0)), ("most", F.max(F.when(F.col("kind") == 0, F.col("size")))), ("g", F.count_if(F.col("kind") == 1)), ("least", F.min(F.when(F.col("kind") == 1, F.col("size")))))])
+        blocks = _across(sorted(map(tuple, left.collect())))  # a row for each range
+        left_docs, left_gaps = swept.filter("kind = 0 and seq is null").select("kind", "id", "size", "part", "rank"), swept.filter("kind = 1 and size > 0")
         if blocks:
             dealt = spark.createDataFrame(blocks, "p int, lo long, hi long, q int, first long, each long")
+            used = dealt.groupBy(F.col("q").alias("part")).agg(F.max(F.col("first") + F.ceil((F.col("hi") - F.col("lo")) / F.col("each"))).alias("used"))
             slot = F.col("hi") - 1 - F.col("rank")
-            left_docs = left_docs.join(F.broadcast(dealt), (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left").select("kind", "id", "size", "q", (F.col("first") + F.floor(slot / F.col("each"))).alias("j"), slot.alias("slot"))
-            to = left_gaps.filter("rank >= 0").select(F.col("part").alias("q"), F.col("rank").alias("j"), F.col("id").alias("seq"), F.col("size").alias("room"))
-            before = F.coalesce(F.sum("size").over(Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            matched = common.keep(left_docs.filter("q is not null").join(to, ["q", "j"]).select("id", "size", "seq", (capacity - F.col("room") + before).alias("at")), "matched")
+            left_docs = left_docs.join(F.broadcast(dealt), (F.col("part") == F.col("p")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left").select("kind", "id", "size", F.col("q").alias("part"), (F.col("first") + F.floor(slot / F.col("each"))).alias("rank"), slot.alias("slot"))
+            left_gaps = left_gaps.join(F.broadcast(used), "part", "left").withColumn("meets", F.coalesce((F.col("rank") >= 0) & (F.col("rank") < F.col("used")), F.lit(False)))
+            here = Window.partitionBy("part", "rank").orderBy("slot")
+            before = F.coalesce(F.sum("size").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            met = left_docs.filter("part is not null").join(left_gaps.filter("meets").select("part", "rank", F.col("id").alias("seq"), F.col("size").alias("room")), ["part", "rank"])
+            matched = common.keep(met.withColumns({"before": before, "last": F.lead("id").over(here).isNull()}).select("id", "seq", (capacity - F.col("room") + F.col("before")).alias("at"), F.when(F.col("last"), F.col("room") - F.col("before") - F.col("size")).alias("rest")), "matched")
             placed.append(matched.select("id", F.col("seq").alias("sequence_id"), "at"))
-            used = matched.groupBy(F.col("seq").alias("id")).agg(F.sum("size").alias("used"))
-            left_gaps = left_gaps.join(used, "id", "left").withColumn("size", F.col("size") - F.coalesce("used", F.lit(0))).filter("size > 0")
-            left_docs = left_docs.filter("q is null")
+            left_docs = left_docs.filter("part is null")
+            left_gaps = left_gaps.filter("not meets").select("kind", "id", "size").unionByName(matched.filter("rest > 0").select(F.lit(1).alias("kind"), F.col("seq").alias("id"), F.col("rest").alias("size")))
         after = common.keep(left_docs.select("kind", "id", "size").unionByName(left_gaps.select("kind", "id", "size")), "packing")
         common.drop(state)
         state = after
@@ -202,12 +249,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, sweep_rows: int = SWEEP_ROWS
     return out
 
 
-def best_fit(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", sweep_rows: int = SWEEP_ROWS) -> DataFrame:
+def best_fit(df: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", sweep_rows: int = SWEEP_ROWS, least_rows: int = LEAST_ROWS) -> DataFrame:
     """id_col, piece, start, length, ids_crc32, sequence_id, offset: every piece of every text (see `pieces`) and its place in a sequence (see `pack`).
 
     Null and empty texts are one token. Null and repeated ids and repeated rows are documents of their own; sequences are numbered by rows, not
     by ids. A text that is cut fills a sequence with each piece but the first. Texts of equal length are placed in any order. An empty table gives no rows.
     """
     cut = common.keep(pieces(df, path, pattern, capacity, end_id, id_col, text_col).withColumn("__piece", F.monotonically_increasing_id()), "pieces")
-    where = pack(cut.select(F.col("__piece").alias("id"), F.col("length").alias("size")), capacity, sweep_rows)
+    where = pack(cut.select(F.col("__piece").alias("id"), F.col("length").alias("size")), capacity, sweep_rows, least_rows)
     return cut.join(where.select(F.col("id").alias("__piece"), "sequence_id", F.col("at").alias("offset")), "__piece").drop("__piece")

@@ -196,7 +196,7 @@ def test_packing_is_as_tight_as_best_fit(spark, name, sweep_rows):
     sizes = {"even": [rng.randint(1, 256) for _ in range(700)], "small": [rng.randint(1, 30) for _ in range(600)], "equal": [85] * 200, "ones": [1] * 700 + [rng.randint(1, 256) for _ in range(60)], "full": [256] * 50 + [128] * 20 + [129, 127]}[name]
     sizes = dict(enumerate(sizes))
     df = spark.createDataFrame(list(sizes.items()), "id long, size long")
-    n = packed_rightly([tuple(r) for r in packing.pack(df, 256, sweep_rows).collect()], sizes, 256)
+    n = packed_rightly([tuple(r) for r in packing.pack(df, 256, sweep_rows, min(sweep_rows, 50)).collect()], sizes, 256)
     assert n <= 1.02 * best_fit_decreasing(sizes.values(), 256) + 1
 
 
@@ -213,7 +213,7 @@ def test_pieces_and_places_of_whole_texts(spark, small):
     odd = [None, "", " ", "it's <|endoftext|> x", "naïve 😀 \x1c\x85 東京", "x" * 30_000, "word " * 9_000, "word " * 2047, "word " * 2046 + "word", "word " * 2045 + "word"]
     rows = [(i, t) for i, t in enumerate(odd)] + [(None, "no id"), (1, ""), (6, "again")] + [(100 + i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{small}/documents.parquet").collect())]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"piece": F.lit("clash"), "length": F.lit(0), "id": F.lit("x"), "size": F.lit(1), "kind": F.lit(2), "__piece": F.lit(0)})
-    found = packing.best_fit(df, PATH, P.PATTERN, sweep_rows=64).collect()
+    found = packing.best_fit(df, PATH, P.PATTERN, sweep_rows=64, least_rows=32).collect()
     assert found[0].__fields__ == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     want = []
     for d, t in rows:
@@ -228,6 +228,16 @@ def test_pieces_and_places_of_whole_texts(spark, small):
     assert n <= 1.02 * best_fit_decreasing(sizes.values(), 2048) + 1
 
 
+def test_plain_texts_match_as_the_pattern_says():
+    """Every character that counts as plain, among others and at either end."""
+    codec = packing.FileCodec(PATH, P.PATTERN)
+    chars = [chr(c) for c in range(0x2100) if codec.is_plain(chr(c))]
+    assert len(chars) > 700 and not codec.is_plain("東") and not codec.is_plain("\x1c")
+    for c in chars:
+        for text in (f"a{c}b 1{c}2 .{c}!\n{c}{c} ", f"{c}'s {c}ll 'll{c} \n {c}", f" {c}  {c}\t{c}"):
+            assert codec.match_plain(text) == codec.match(text)
+
+
 def test_packing_of_nothing(spark):
     assert packing.best_fit(spark.createDataFrame([], "doc_id string, text string"), PATH, P.PATTERN).count() == 0
     common.release(spark)
