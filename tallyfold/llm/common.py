@@ -73,13 +73,13 @@ def settle(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def arrow_rows(df: DataFrame) -> DataFrame:
+def arrow_rows(df: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Keep the Arrow batches of this session small: so many rows and so many bytes at most (one row at least)."""
     _importable(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     return df
 
 
@@ -128,9 +128,9 @@ def trim() -> None:
         pass
 
 
-def in_arrow(df: DataFrame, work: Callable[[Iterable], Iterator], schema: T.StructType | str, owner: str) -> DataFrame:
+def in_arrow(df: DataFrame, work: Callable[[Iterable], Iterator], schema: T.StructType | str, owner: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """df.mapInArrow of work in small batches and tidy workers."""
-    return arrow_rows(df).mapInArrow(tidy(work, owner), schema)
+    return arrow_rows(df, batch_bytes).mapInArrow(tidy(work, owner), schema)
 
 
 def groups_in_arrow(grouped, work: Callable[[pa.Table], pa.Table], schema: T.StructType | str, owner: str) -> DataFrame:

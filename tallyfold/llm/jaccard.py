@@ -33,6 +33,8 @@ WORDS, PERCENT = 5, 80
 FREQUENT = 500_000
 #: N-grams that a task counts, or deals to blocks of columns, at a time.
 CHUNK = 750_000
+#: Bytes of an Arrow batch that goes to Python or comes from it: the JVM holds such a batch several times over, outside its heap, for each task.
+BATCH_BYTES, PACK_BYTES = 1 << 20, 256 << 10
 #: Entries of the product in one block of columns, about.
 COLUMN_ENTRIES = 500_000
 #: Documents of a column whose pairs are listed, at most. A frequent n-gram in so many sets is wide without a look at its column.
@@ -58,6 +60,10 @@ def _finish(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _in_arrow(df: DataFrame, work, schema) -> DataFrame:
+    return common.in_arrow(df, work, schema, "jaccard", BATCH_BYTES)
+
+
 def shingles(text: bytes, known: dict) -> np.ndarray:
     """Sorted distinct hashes of the runs of WORDS words; of all words together if they are fewer; none without words."""
     words = text.translate(_upper).split()
@@ -107,7 +113,7 @@ def sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 seen.add(key)
             yield common.batch_of(out, b.column(0), n, pa.array(cls, pa.int64()), pa.array(grams, pa.binary()))
 
-    return common.keep(common.in_arrow(src, work, schema, "jaccard"), "sets", "none")
+    return common.keep(_in_arrow(src, work, schema), "sets", "none")
 
 
 def frequent(stored: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +137,7 @@ def frequent(stored: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nd
         if held:
             yield flush()
 
-    found = common.in_arrow(stored.select("grams").filter("grams is not null"), count, "gram long, n long", "jaccard").groupBy("gram").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "gram").limit(most).toPandas()
+    found = _in_arrow(stored.select("grams").filter("grams is not null"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "gram").limit(most).toPandas()
     grams, n = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     by_count = np.lexsort((grams, n))
     rank = np.empty(len(grams), np.int32)
@@ -173,7 +179,7 @@ def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], b
             for row in flush():
                 rows.append(row)
                 size += sum(map(len, row[1:]))
-                if size > 2 << 20:
+                if size > PACK_BYTES:
                     yield rows
                     rows, size = [], 0
             if rows:
@@ -206,7 +212,7 @@ def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], b
         if held:
             yield from map(_packed, packed())
 
-    return common.in_arrow(stored.select("class", "grams").filter("grams is not null"), work, "block long, grams binary, classes binary, places binary, sizes binary", "jaccard")
+    return _in_arrow(stored.select("class", "grams").filter("grams is not null"), work, "block long, grams binary, classes binary, places binary, sizes binary")
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -294,7 +300,7 @@ def shared_columns(packed: DataFrame, blocks: int, narrow: int = NARROW) -> Data
                 held.append(rest)
         yield from flush(now, held)
 
-    return common.in_arrow(packed.repartition(blocks, "block").sortWithinPartitions("block"), work, "a long, b long, m long, n long, shared long, gram long", "jaccard")
+    return _in_arrow(packed.repartition(blocks, "block").sortWithinPartitions("block"), work, "a long, b long, m long, n long, shared long, gram long")
 
 
 def candidates(found: DataFrame) -> DataFrame:
@@ -408,7 +414,7 @@ def links(stored: DataFrame, column_entries: int = COLUMN_ENTRIES, rows: int = R
         for x in batches:
             yield x.filter(pa.array(active.value.has(x.column(0).to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    whole = common.in_arrow(stored.select("class", "grams").filter("class is not null"), pick, "class long, grams binary", "jaccard").groupBy("class").agg(F.first("grams", ignorenulls=True).alias("grams"), F.count(F.lit(1)).alias("copies"))
+    whole = _in_arrow(stored.select("class", "grams").filter("class is not null"), pick, "class long, grams binary").groupBy("class").agg(F.first("grams", ignorenulls=True).alias("grams"), F.count(F.lit(1)).alias("copies"))
 
     def multiply(table: pa.Table) -> pa.Table:
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
