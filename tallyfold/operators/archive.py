@@ -10,6 +10,8 @@ from ..shared import keep
 #: The two partial keys: of lines with an id, and of lines without.
 _BY_UUID = ["origin_id", "session_id", "line_uuid"]
 _BY_PLACE = ["origin_id", "source", "path", "byte_offset", "content_hash"]
+#: The order in which equal lines count as first.
+ARRIVAL = ["source", "path", "byte_offset", "content_hash"]
 
 
 def conflict_key(null_session_conflicts: bool = False):
@@ -22,7 +24,7 @@ def conflict_key(null_session_conflicts: bool = False):
     return F.when(F.col("line_uuid").isNotNull(), uuid).otherwise(place)
 
 
-def _with_key(rows: DataFrame, null_session_conflicts: bool) -> DataFrame:
+def with_key(rows: DataFrame, null_session_conflicts: bool) -> DataFrame:
     """rows with __key, their conflict key as text; a row that conflicts with nothing has one of its own, so that no window or join gathers them."""
     key = conflict_key(null_session_conflicts)
     own = F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string"))
@@ -35,30 +37,42 @@ def _keys(existing: DataFrame, null_session_conflicts: bool) -> DataFrame:
     return existing.select(F.concat(key["kind"], key["key"]).alias("__key")).filter(F.col("__key").isNotNull()).distinct().withColumn("__held", F.lit(True))
 
 
-def append_local(existing: DataFrame, batch: DataFrame, origin: str, received_at: str, arrival: list[str] | None = None, null_session_conflicts: bool = False) -> DataFrame:
-    """batch with status (`stored` or `duplicate`), and for stored rows origin_id, dense seq and received_at.
+def mark_new(rows: DataFrame, held: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """rows (from with_key) with __new: whether a row is the first of its key, in order, and held (the columns `on`, and __held) lacks that key."""
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
+    return rows.withColumn("__n", first).join(held, on, "left").withColumn("__new", (F.col("__n") == 1) & F.col("__held").isNull()).drop("__n", "__held", "__key")
+
+
+def number(marked: DataFrame, order: list[str], top: DataFrame | int, received_at: str) -> DataFrame:
+    """marked rows with status, and on new ones received_at and seq: dense from top on, in order.
 
-    The first of equal lines in order of `arrival` (source, path, byte_offset by default) is stored, unless existing has one.
-    Sequences continue the origin's without a gap, in that order: the batch is dealt to ranges of it, each counts its rows, and
-    the sums of the counts before it are added. One writer appends at a time.
+    The rows are dealt to ranges of the order, each counts its rows, and the sums of the counts before it are added. top: a number, or one row of __top.
     """
-    order = [F.col(c) for c in (arrival or ["source", "path", "byte_offset", "content_hash"])]
-    own = existing.filter(F.col("origin_id") == origin)
-    rows = _with_key(batch.withColumn("origin_id", F.lit(origin)), null_session_conflicts)
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(*order))
-    marked = rows.withColumn("__n", first).join(_keys(own, null_session_conflicts), "__key", "left").withColumn("__new", (F.col("__n") == 1) & F.col("__held").isNull()).drop("__n", "__held", "__key")
-    # ranges of the order, new rows first, each numbered by itself; stored, since ranges are dealt anew whenever they are computed
+    # new rows first, each range numbered by itself; stored, since ranges are dealt anew whenever they are computed
     ranged = marked.withColumn("__old", ~F.col("__new")).repartitionByRange("__old", *order).sortWithinPartitions("__old", *order).withColumn("__at", F.monotonically_increasing_id()).drop("__old")
     ranged = keep(ranged.withColumn("__range", F.shiftright("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at"), "numbered")
     sizes = ranged.filter("__new").groupBy("__range").agg(F.max("__i").alias("__n"))
     before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each range
-    top = own.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
-    numbered = ranged.join(F.broadcast(before), "__range", "left").crossJoin(F.broadcast(top))  # one row
+    numbered = ranged.join(F.broadcast(before), "__range", "left")
+    numbered = numbered.withColumn("__top", F.lit(top)) if isinstance(top, int) else numbered.crossJoin(F.broadcast(top))  # one row
     new = lambda x: F.when(F.col("__new"), x)
     out = numbered.withColumns({"seq": new(F.col("__top") + F.col("__before") + F.col("__i")).cast("long"), "received_at": new(F.lit(received_at)), "status": F.when(F.col("__new"), "stored").otherwise("duplicate")})
     return out.drop("__new", "__range", "__i", "__before", "__top")
 
 
+def append_local(existing: DataFrame, batch: DataFrame, origin: str, received_at: str, arrival: list[str] | None = None, null_session_conflicts: bool = False) -> DataFrame:
+    """batch with status (`stored` or `duplicate`), and for stored rows origin_id, dense seq and received_at.
+
+    The first of equal lines in order of `arrival` (ARRIVAL by default) is stored, unless existing has one. Sequences continue the origin's without a gap, in
+    that order. One writer appends at a time; existing is read whole, see sources.ledger for an archive whose keys are stored by range.
+    """
+    order = arrival or ARRIVAL
+    own = existing.filter(F.col("origin_id") == origin)
+    rows = with_key(batch.withColumn("origin_id", F.lit(origin)), null_session_conflicts)
+    top = own.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("__top"))
+    return number(mark_new(rows, _keys(own, null_session_conflicts), ["__key"], order), order, top, received_at)
+
+
 def append_remote(existing: DataFrame, batch: DataFrame, null_session_conflicts: bool = False) -> DataFrame:
     """batch (with its own origin_id and seq) with status: `stored`, `duplicate`, `forked`.
 
@@ -68,7 +82,12 @@ def append_remote(existing: DataFrame, batch: DataFrame, null_session_conflicts:
     row displaces is compared with it even where the key's first place lies elsewhere.
     """
     place = existing.select("origin_id", "seq", F.col("content_hash").alias("__held_hash"))
-    rows = _with_key(batch, null_session_conflicts).join(_keys(existing, null_session_conflicts), "__key", "left").join(place, ["origin_id", "seq"], "left")
+    return mark_remote(with_key(batch, null_session_conflicts), _keys(existing, null_session_conflicts), ["__key"], place)
+
+
+def mark_remote(rows: DataFrame, keys: DataFrame, on: list[str], place: DataFrame) -> DataFrame:
+    """append_remote of rows from with_key, against keys (the columns `on`, and __held) and places (origin_id, seq, __held_hash)."""
+    rows = rows.join(keys, on, "left").join(place, ["origin_id", "seq"], "left")
     rows = rows.withColumn("__open", F.col("__held_hash").isNull() & F.col("__held").isNull())
     here = Window.partitionBy("origin_id", "seq").orderBy(F.desc("__open"), "content_hash", "source", "path", "byte_offset")
     rows = rows.withColumn("__nth", F.row_number().over(here)).withColumn("__first", F.first("content_hash").over(here))

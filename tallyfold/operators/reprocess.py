@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .identify import identify
+from .identify import identify, parse
 
 #: The only columns that a pass may rewrite: none of them is part of a key or of usage.
 REWRITTEN = ["cwd", "git_branch", "pr_repo", "pr_number"]
@@ -34,10 +34,19 @@ def changed(records: DataFrame) -> DataFrame:
     return now.filter(differs).select("origin_id", "seq", *REWRITTEN)
 
 
+def readable(records: DataFrame) -> DataFrame:
+    """Records whose body is one JSON object of the known types."""
+    return parse(records.select("origin_id", "seq", "sealed").filter(F.col("sealed").isNotNull()), "sealed").filter(F.col("__j").isNotNull()).drop("__j")
+
+
 def apply(records: DataFrame, changes: DataFrame) -> DataFrame:
     """records with the changes; keys, usage and bodies are untouched."""
-    new = changes.select("origin_id", "seq", F.struct(*REWRITTEN).alias("__new"))
-    out = records.join(new, ["origin_id", "seq"], "left")
+    return merge(records, changes.select("origin_id", "seq", F.struct(*REWRITTEN).alias("__new")))
+
+
+def merge(records: DataFrame, new: DataFrame) -> DataFrame:
+    """records with the columns of new (origin_id, seq, __new) where it has a row."""
+    out = records.join(new.select("origin_id", "seq", "__new"), ["origin_id", "seq"], "left")
     return out.withColumns({c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)) for c in REWRITTEN}).select(*records.columns)
 
 

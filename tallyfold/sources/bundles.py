@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +39,45 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(folder).withColumn("origin_id", F.col("origin_id").cast("string"))
 
 
-def fetch(stored: DataFrame, vector: DataFrame, self_origin: str) -> DataFrame:
-    """Records of other origins above what we hold. The vector has a row for each origin; ranges below it are pruned by bundle."""
-    have = vector.select("origin_id", F.col("seq").alias("__have"))
-    rows = stored.filter(F.col("origin_id") != self_origin).join(have, "origin_id", "left")
-    return rows.filter((F.col("bundle") >= F.expr(f"coalesce(__have, 0) div {RANGE}")) & (F.col("seq") > F.coalesce("__have", F.lit(0)))).drop("__have", "bundle")
+def wanted(spark: SparkSession, folder: str, vector: dict[str, int], self_origin: str) -> list[str]:
+    """The folders of other origins' bundles that can hold something above the vector: from a listing of folders, no file is opened."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda p: [s.getPath() for s in fs.listStatus(p) if "=" in s.getPath().getName()] if fs.exists(p) else []
+    out = []
+    for o in names(at):
+        origin = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(o.getName().split("=", 1)[1])
+        if origin != self_origin:
+            out += [b.toString() for b in names(o) if (int(b.getName().split("=")[1]) + 1) * RANGE > vector.get(origin, 0)]
+    return sorted(out)
+
+
+def _open(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
+    """These bundles; files that cannot be read are skipped. The schema is that of the first that can be."""
+    for skip in range(len(paths)):
+        try:
+            return spark.read.option("basePath", folder).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").parquet(*paths[skip:], *paths[:skip]).withColumn("origin_id", F.col("origin_id").cast("string"))
+        except AnalysisException:  # no schema in the first file
+            continue
+    raise ValueError(f"no bundle of {folder} can be read")
+
+
+def fetch(spark: SparkSession, folder: str, vector: dict[str, int], self_origin: str) -> DataFrame:
+    """Records of other origins above the vector. Only the bundles that wanted() lists are read."""
+    paths = wanted(spark, folder, vector, self_origin)
+    if not paths:
+        return read_folder(spark, folder).limit(0).drop("bundle")
+    above = F.col("seq") > F.coalesce(*[F.when(F.col("origin_id") == o, n) for o, n in vector.items()], F.lit(0))
+    return _open(spark, folder, paths).filter(above).drop("bundle")
+
+
+def unreadable(spark: SparkSession, paths: list[str]) -> int:
+    """How many files in these folders cannot be read: those whose footers executors cannot open."""
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+:)/+", "/")  # noqa: E731  Spark writes a local path with one slash or three
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths).select(plain("path").alias("path"))
+    seen = spark.read.option("ignoreCorruptFiles", "true").schema("seq long").parquet(*paths).select(plain("_metadata.file_path").alias("path")).distinct()
+    return files.join(seen, "path", "left_anti").count()
 
 
 def write_batch(bronze: DataFrame, path: str) -> None:
