@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import keep
+
 BUCKET = 1000
+#: Origins that are sent to where the records lie, at most: a machine each.
+BROADCAST_ORIGINS = 100_000
+
+
+def by_origin(records: DataFrame, facts: DataFrame, how: str = "left") -> DataFrame:
+    """records joined with a row for each origin. That side is stored and counted, and sent to the records unless it is large: origins are few and their records many, so a shuffle by origin would gather them."""
+    facts = keep(facts, "by-origin")
+    return records.join(F.broadcast(facts) if facts.count() <= BROADCAST_ORIGINS else facts, "origin_id", how)
 
 
 def version_vector(records: DataFrame, self_origin: str | None = None) -> DataFrame:
@@ -47,4 +57,4 @@ def resend_plan(vector: DataFrame, peer_vector: DataFrame, differing: DataFrame)
 
 def to_resend(records: DataFrame, plan: DataFrame) -> DataFrame:
     """The records of a plan, which has a row for each origin."""
-    return records.join(plan, "origin_id").filter("seq > after").drop("after", "upto")
+    return by_origin(records, plan, "inner").filter("seq > after").drop("after", "upto")

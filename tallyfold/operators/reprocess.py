@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .identify import identify, parse
+from .replication import by_origin
 
 #: The only columns that a pass may rewrite: none of them is part of a key or of usage.
 REWRITTEN = ["cwd", "git_branch", "pr_repo", "pr_number"]
@@ -21,7 +22,7 @@ def pending(records: DataFrame, marks: DataFrame, version: int) -> DataFrame:
 def unfinished(records: DataFrame, marks: DataFrame, version: int) -> DataFrame:
     """Records above their origin's mark. Marks have a row for each origin and version."""
     mark = marks.filter(F.col("version") == version).groupBy("origin_id").agg(F.max("seq").alias("__mark"))
-    return records.join(mark, "origin_id", "left").filter(F.col("seq") > F.coalesce("__mark", F.lit(0))).drop("__mark")
+    return by_origin(records, mark).filter(F.col("seq") > F.coalesce("__mark", F.lit(0))).drop("__mark")
 
 
 def changed(records: DataFrame) -> DataFrame:

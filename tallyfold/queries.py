@@ -13,6 +13,8 @@ from .plans import daily, delivery, status, summary
 from .operators.pricing import dollars
 from .shared import keep, new_path
 from .sources import bundles, prices, surrogate
+from .sources.ledger import Ledger
+from .streaming import exchange
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -483,7 +485,77 @@ def bundle_exchange(spark, sf_dir):
     folder, rows = new_path(spark, "bundles"), R(spark, sf_dir).select("origin_id", "seq", "content_hash")
     for node in ("node0", "node1", "node2", "node3"):
         bundles.publish(rows, folder, node)
-    return bundles.fetch(bundles.read_folder(spark, folder), _peer_vector(spark, sf_dir), "node2").select("origin_id", "seq", "content_hash")
+    vector = {r["origin_id"]: r["seq"] for r in _peer_vector(spark, sf_dir).collect()}  # a row for each origin
+    return bundles.fetch_listed(spark, folder, vector, "node2").select("origin_id", "seq", "content_hash")
+
+
+def _ledger(spark) -> Ledger:
+    return Ledger(spark, new_path(spark, "ledger"), buckets=32, span=10_000)
+
+
+@query(f"{_BASE} SELECT r.origin_id, r.seq, content_hash FROM records r JOIN vector v USING (origin_id) WHERE origin_id <> 'node2' OR r.seq * 10 <= v.seq * 9")
+def bundle_fetch(spark, sf_dir):
+    """S14, J15: a node's archive takes from the folder what it lacks of others; bundles that it holds are not opened."""
+    folder, rows, book = new_path(spark, "bundles"), R(spark, sf_dir), _ledger(spark)
+    for node in ("node0", "node1", "node2", "node3"):
+        bundles.publish(rows, folder, node)
+    top = replication.version_vector(rows).withColumnRenamed("seq", "__top")
+    book.append_remote(rows.join(F.broadcast(top), "origin_id").filter("origin_id <> 'node3' and seq * 10 <= __top * 9").drop("__top"), "2026-01-01T00:00:00Z")  # a row for each origin
+    exchange.fetch_into(book, folder, "node2", "2026-01-01T00:00:00Z")
+    return book.records().select("origin_id", "seq", "content_hash")
+
+
+@query(
+    f"""{_BASE}, own AS (SELECT * FROM records WHERE origin_id = 'node0'), batch AS (SELECT path, byte_offset, line_uuid FROM own UNION ALL SELECT path || '.copy', byte_offset, line_uuid FROM own WHERE byte_offset % 300 = 0),
+    m AS (SELECT *, row_number() OVER (PARTITION BY line_uuid ORDER BY path) = 1 AND byte_offset % 200 <> 0 AS isnew FROM batch)
+    SELECT 'node0' AS origin_id, seq, path, byte_offset, line_uuid FROM own WHERE byte_offset % 200 = 0
+    UNION ALL SELECT 'node0', (SELECT max(seq) FROM own WHERE byte_offset % 200 = 0) + row_number() OVER (ORDER BY path, byte_offset), path, byte_offset, line_uuid FROM m WHERE isnew"""
+)
+def ledger_append(spark, sf_dir):
+    """D1, J13: a stored archive after a batch that holds half of it again; only the batch's key buckets are read."""
+    held, batch = _local_batch(spark, sf_dir)
+    book = _ledger(spark)
+    book.append_remote(held, "2026-01-01T00:00:00Z")
+    book.append(batch, "node0", "2026-01-01T00:00:00Z")
+    return book.records().select("origin_id", "seq", "path", "byte_offset", "line_uuid")
+
+
+@query(f"{_BASE} {_digest_sql('records')}")
+def ledger_digests(spark, sf_dir):
+    """A13: the digests kept with an archive of several batches, of which the later ones touch buckets of the earlier."""
+    book, rows = _ledger(spark), R(spark, sf_dir)
+    for part in ("seq % 1700 < 900", "seq % 1700 >= 900"):
+        book.append_remote(rows.filter(part), "2026-01-01T00:00:00Z")
+    return book.digests()
+
+
+@query(
+    f"""{_BASE}, halves AS (SELECT r.*, r.seq * 2 <= v.seq AS low FROM records r JOIN vector v USING (origin_id)), forged AS (SELECT origin_id, seq, content_hash, sha256(content_hash) AS other FROM halves WHERE origin_id = 'node1' AND low AND seq % 97 = 0)
+    SELECT 'a' AS side, 'record' AS kind, origin_id, seq, content_hash FROM records
+    UNION ALL SELECT 'b', 'record', origin_id, seq, coalesce(other, r.content_hash) FROM records r LEFT JOIN forged f USING (origin_id, seq)
+    UNION ALL SELECT 'a', 'fork', origin_id, seq, other FROM forged UNION ALL SELECT 'b', 'fork', origin_id, seq, content_hash FROM forged"""
+)
+def exchange_round(spark, sf_dir):
+    """Two archives with other halves of the records, some of them forged, exchange until nothing moves: all records on both sides, each other's forks in quarantine."""
+    rows, now = R(spark, sf_dir), "2026-01-01T00:00:00Z"
+    top = replication.version_vector(rows).withColumnRenamed("seq", "__top")
+    low = keep(rows.join(F.broadcast(top), "origin_id").withColumn("__low", F.col("seq") * 2 <= F.col("__top")).drop("__top"), "halves")  # a row for each origin
+    a, b = _ledger(spark), _ledger(spark)
+    a.append_remote(low.filter("origin_id in ('node0', 'node1') or origin_id = 'node2' and __low").drop("__low"), now)
+    forged = F.when((F.col("origin_id") == "node1") & (F.col("seq") % 97 == 0), F.sha2("content_hash", 256)).otherwise(F.col("content_hash"))
+    b.append_remote(low.filter("origin_id in ('node2', 'node3') or origin_id = 'node1' and __low").drop("__low").withColumn("content_hash", forged), now)
+    exchange.exchange(a, b, now)
+    parts = [x.select(F.lit(side).alias("side"), F.lit(kind).alias("kind"), "origin_id", "seq", "content_hash") for side, book in (("a", a), ("b", b)) for kind, x in (("record", book.records()), ("fork", book.quarantined()))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query(f"{_BASE} SELECT origin_id, seq, CASE WHEN seq % 30 <> 0 THEN cwd END AS cwd, CASE WHEN seq % 30 <> 0 THEN git_branch ELSE 'HEAD' END AS git_branch, pr_repo, pr_number FROM records")
+def ledger_reprocess(spark, sf_dir):
+    """D7, T7: a stored archive after its columns were extracted again, a few parts at a time; its files of records are as they were."""
+    book = _ledger(spark)
+    book.append_remote(_stale(spark, sf_dir), "2026-01-01T00:00:00Z")
+    book.reprocess(2, most=1_000_000)
+    return book.records().select("origin_id", "seq", "cwd", "git_branch", "pr_repo", "pr_number")
 
 
 @query("SELECT CASE doc_id % 6 WHEN 0 THEN 'alpha' WHEN 1 THEN 'alpha' WHEN 2 THEN 'my-2fa-service' WHEN 3 THEN '' WHEN 4 THEN 'issue-124' ELSE 'beta' END AS project, doc_id FROM documents")

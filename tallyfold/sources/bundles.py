@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.replication import by_origin
+
 RANGE = 5000
 
 
@@ -63,7 +65,13 @@ def _open(spark: SparkSession, folder: str, paths: list[str]) -> DataFrame:
     raise ValueError(f"no bundle of {folder} can be read")
 
 
-def fetch(spark: SparkSession, folder: str, vector: dict[str, int], self_origin: str) -> DataFrame:
+def fetch(stored: DataFrame, vector: DataFrame, self_origin: str) -> DataFrame:
+    """Records of other origins above what we hold, of bundles that are read already. The vector has a row for each origin. fetch_listed() does not read what lies below it."""
+    rows = by_origin(stored.filter(F.col("origin_id") != self_origin), vector.select("origin_id", F.col("seq").alias("__have")))
+    return rows.filter(F.col("seq") > F.coalesce("__have", F.lit(0))).drop("__have", "bundle")
+
+
+def fetch_listed(spark: SparkSession, folder: str, vector: dict[str, int], self_origin: str) -> DataFrame:
     """Records of other origins above the vector. Only the bundles that wanted() lists are read."""
     paths = wanted(spark, folder, vector, self_origin)
     if not paths:

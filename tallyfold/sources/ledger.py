@@ -48,6 +48,7 @@ class Batch:
     top: dict[str, int] = field(default_factory=dict)
     buckets: int = BUCKETS
     span: int = SPAN
+    steps: list[str] = field(default_factory=list)  # migrations that it has had
     marks: dict[str, dict[str, int]] = field(default_factory=dict)  # of each extraction version, each origin's sequence that it has come to
 
 
@@ -85,14 +86,14 @@ class Ledger:
     def _at(self, generation: int) -> str:
         return f"{self.root}/batches/generation={generation}"
 
-    def _folders(self, at: str) -> list[str]:
+    def folders(self, at: str) -> list[str]:
         """The names in a folder; none where there is no folder."""
         path = self._path(at)
         return [s.getPath().getName() for s in self._fs.listStatus(path)] if self._fs.exists(path) else []
 
     def newest(self) -> Batch:
         """The state as the newest batch tells it: one listing and one small file."""
-        found = max((int(n.split("=")[1]) for n in self._folders(f"{self.root}/batches") if n.startswith("generation=")), default=None)
+        found = max((int(n.split("=")[1]) for n in self.folders(f"{self.root}/batches") if n.startswith("generation=")), default=None)
         if found is None:
             return Batch(buckets=self._new.buckets, span=self._new.span)
         source = self._fs.open(self._path(f"{self._at(found)}/_batch.json"))
@@ -107,7 +108,7 @@ class Ledger:
         """A table of the live batches; with parts, only these folders (such as `origin_id=a/span=3`) of these generations are listed and read."""
         state = state or self.newest()
         if parts is None:
-            paths = [f"{self._at(g)}/table={name}" for g in state.live if f"table={name}" in self._folders(self._at(g))]
+            paths = [f"{self._at(g)}/table={name}" for g in state.live if f"table={name}" in self.folders(self._at(g))]
         else:
             paths = [f"{self._at(int(g))}/table={name}/{p}" for g, own in parts.items() for p in own]
         if not paths:
@@ -122,7 +123,7 @@ class Ledger:
 
     def _patches(self, state: Batch) -> DataFrame | None:
         """origin_id, seq and the columns of the latest extraction; None where nothing was extracted anew."""
-        if not any("table=patches" in self._folders(self._at(g)) for g in state.live):
+        if not any("table=patches" in self.folders(self._at(g)) for g in state.live):
             return None
         found = self._table("patches", _PATCHES, state=state)
         return found.groupBy("origin_id", "seq").agg(F.max_by(F.struct(*reprocess.REWRITTEN), "version").alias("__new"), F.max("version").alias("version"))
@@ -142,12 +143,12 @@ class Ledger:
         """(origin, span) to the live generations that hold some of it, by listing folders."""
         out: dict[tuple[str, int], list[int]] = {}
         for g in state.live:
-            for o in self._folders(f"{self._at(g)}/table=records"):
+            for o in self.folders(f"{self._at(g)}/table=records"):
                 if not o.startswith("origin_id="):
                     continue
                 name = self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(o.split("=", 1)[1])
                 if origins is None or name in origins:
-                    for s in self._folders(f"{self._at(g)}/table=records/{o}"):
+                    for s in self.folders(f"{self._at(g)}/table=records/{o}"):
                         if s.startswith("span="):
                             out.setdefault((name, int(s.split("=")[1])), []).append(g)
         return out
@@ -185,7 +186,7 @@ class Ledger:
     # writing
 
     def _keys(self, state: Batch, buckets: set[int]) -> DataFrame:
-        parts = {str(g): [p for p in self._folders(f"{self._at(g)}/table=keys") if p.startswith("bucket=") and int(p.split("=")[1]) in buckets] for g in state.live}
+        parts = {str(g): [p for p in self.folders(f"{self._at(g)}/table=keys") if p.startswith("bucket=") and int(p.split("=")[1]) in buckets] for g in state.live}
         return self._table("keys", "k1 long, k2 long, bucket int", parts, state).select("k1", "k2").withColumn("__held", F.lit(True))
 
     def _keyed(self, rows: DataFrame, state: Batch, null_session_conflicts: bool) -> DataFrame:
@@ -333,25 +334,35 @@ class Ledger:
 
     def compact(self, after: int = -1) -> int:
         """Replace the live batches above `after` by one batch of the same content: a file for each span and each key bucket. Readers of the state before go on until vacuum()."""
+        return self._merge(self.newest(), after)
+
+    def rewrite(self, step, name: str) -> int:
+        """Replace all records by step(records), which keeps keys and sequences, and note its name, in one published batch."""
         state = self.newest()
+        return self._merge(state, -1, step, steps=[*state.steps, name])
+
+    def _merge(self, state: Batch, after: int, step=None, **new_state) -> int:
         merged = [g for g in state.live if g > after]
         part = replace(state, live=merged)
         at = f"{self.root}/staging/{uuid.uuid4().hex}"
         rows = self._table("records", f"{RECORDS}, span long", state=part)
         whole = merged == state.live
-        self._write_records(self._patched(rows, part).select(*rows.columns) if whole else rows, at)
+        rows = self._patched(rows, part).select(*rows.columns) if whole else rows
+        if step is not None:
+            rows = step(rows.drop("span")).withColumn("span", F.expr(f"(seq - 1) div {state.span}"))
+        self._write_records(rows, at)
         if not whole and (new := self._patches(part)) is not None:  # what they patch may lie in batches that stay
             new.select("origin_id", "seq", "version", "__new.*").write.parquet(f"{at}/table=patches")
         self._table("keys", "k1 long, k2 long, bucket int", state=part).repartition("bucket").sortWithinPartitions("bucket", "k1", "k2").write.partitionBy("bucket").parquet(f"{at}/table=keys")
         self._table("quarantine", QUARANTINE, state=part).write.parquet(f"{at}/table=quarantine")
         kept = self._table("digests", "origin_id string, bucket long, digest string, made long", state=part)
         kept.groupBy("origin_id", "bucket").agg(F.max_by("digest", "made").alias("digest"), F.max("made").alias("made")).write.parquet(f"{at}/table=digests")
-        return self.publish((at, self._state(at, state, live=[*[g for g in state.live if g <= after], state.generation + 1])))
+        return self.publish((at, self._state(at, state, live=[*[g for g in state.live if g <= after], state.generation + 1], **new_state)))
 
     def vacuum(self) -> list[int]:
         """Delete batches that the newest one no longer counts as live; call it once nothing reads an older state. Staged folders of lost writers go too, so no writer may be at work."""
         live = self.newest().live
-        gone = [int(n.split("=")[1]) for n in self._folders(f"{self.root}/batches") if n.startswith("generation=") and int(n.split("=")[1]) not in live]
+        gone = [int(n.split("=")[1]) for n in self.folders(f"{self.root}/batches") if n.startswith("generation=") and int(n.split("=")[1]) not in live]
         for g in gone:
             self._fs.delete(self._path(self._at(g)), True)
         self._fs.delete(self._path(f"{self.root}/staging"), True)

@@ -9,9 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.archive import append_local
 from ..operators.identify import to_records
-from ..schema import RECORD_COLUMNS, RECORDS
+from ..sources import migrations
+from ..sources.ledger import Ledger
 from ..shared import keep
 from .tail import TranscriptTail
 
@@ -30,19 +30,20 @@ class Stats:
 
 def archive(spark: SparkSession, path: str) -> DataFrame:
     """The stored records, none if nothing is stored yet. Columns that older files lack read as null."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], RECORDS)
-    return spark.read.schema(RECORDS).parquet(path)
-
-
-def append_batch(lines: DataFrame, path: str, origin: str, source: str, received_at: str) -> dict[str, int]:
-    """Store a batch's new records; how many were stored and how many held. Run again with the same lines, it stores nothing: the sink is idempotent."""
-    spark = lines.sparkSession
-    marked = keep(append_local(archive(spark, path), to_records(lines, source), origin, received_at), "appended")
-    marked.filter("status = 'stored'").select(*RECORD_COLUMNS).write.mode("append").parquet(path)
-    return {r["status"]: r["count"] for r in marked.groupBy("status").count().collect()}  # two rows at most
+    book = Ledger(spark, path)
+    return migrations.flat(spark, path) if migrations.is_flat(book) else book.records()
+
+
+def append_batch(lines: DataFrame, path: str, origin: str, source: str, received_at: str, compact_every: int = 32) -> dict[str, int]:
+    """Store a batch's new records; how many were stored and how many held. Run again with the same lines, it stores nothing: the sink is idempotent, and
+    a batch is published whole or not at all. After so many batches they are merged into one. A folder of plain files becomes an archive of batches first."""
+    book = Ledger(lines.sparkSession, path)
+    if migrations.is_flat(book):
+        migrations.migrate(book, received_at)
+    done = book.append(to_records(lines, source), origin, received_at)
+    if len(live := book.newest().live) > compact_every:
+        book.compact(after=live[0])  # the first is the large one
+    return {"stored": done.stored, "duplicate": done.duplicates}
 
 
 def _start(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str, stats: Stats, exclude: str, **trigger) -> StreamingQuery:

@@ -87,6 +87,6 @@ def fetch_into(ledger: Ledger, folder: str, self_origin: str, now: str) -> Fetch
     if not paths:
         return Fetched()
     unreadable = bundles.unreadable(ledger.spark, paths)
-    rows = bundles.fetch(ledger.spark, folder, ledger.vector(), self_origin)
+    rows = bundles.fetch_listed(ledger.spark, folder, ledger.vector(), self_origin)
     moved = _append(ledger, rows, now)
     return Fetched(moved.sent, moved.stored, moved.duplicates, moved.forked, unreadable)

@@ -228,9 +228,9 @@ def test_a_fetch_opens_the_bundles_above_the_vector_alone(spark, book, tmp_path)
     for origin, n in (("a", 12_000), ("b", 6000), ("me", 5001)):
         df = spark.range(1, n + 1).select(F.lit(origin).alias("origin_id"), F.col("id").alias("seq"), F.concat(F.lit(origin), F.col("id")).alias("content_hash"), F.lit("t").alias("source"), F.lit("/f").alias("path"), F.col("id").alias("byte_offset"), F.lit("s").alias("session_id"), F.concat(F.lit(origin), F.col("id")).alias("line_uuid"))
         bundles.publish(df, folder, origin)
-    found = bundles.fetch(spark, folder, {"a": 9000, "b": 10_000}, "me")
+    found = bundles.fetch_listed(spark, folder, {"a": 9000, "b": 10_000}, "me")
     assert found.count() == 3000 and len(found.inputFiles()) == 2
-    assert bundles.fetch(spark, folder, {"a": 15_000, "b": 10_000}, "me").count() == 0
+    assert bundles.fetch_listed(spark, folder, {"a": 15_000, "b": 10_000}, "me").count() == 0
     bad = next(p for p in (tmp_path / "bundles" / "origin_id=b" / "bundle=1").iterdir() if p.name.endswith(".parquet"))
     bad.write_bytes(b"PAR1 torn")
     done = exchange.fetch_into(book, folder, "me", "now")
@@ -243,3 +243,35 @@ def test_a_span_holds_whole_buckets(spark, tmp_path):
     with pytest.raises(ValueError):
         Ledger(spark, str(tmp_path), span=1500)
     assert ledger.SPAN % replication.BUCKET == 0
+
+
+def test_archives_of_two_ages_are_brought_forward(spark, tmp_path):
+    from tallyfold.sources import migrations
+    from tallyfold.streaming.collect import append_batch, archive
+
+    old = [("me", 1, "s", "u1", json.dumps({"type": "user", "sessionId": "s", "uuid": "u1", "cwd": "/p", "gitBranch": "main"})), ("me", 2, "s", "u2", "torn")]
+    spark.createDataFrame(old, "origin_id string, seq long, session_id string, line_uuid string, sealed string").write.parquet(str(tmp_path / "old"))
+    spark.createDataFrame([(*r, "/kept") for r in old], "origin_id string, seq long, session_id string, line_uuid string, sealed string, cwd string").write.parquet(str(tmp_path / "newer"))
+    for name, cwd in (("old", [("/p"), None]), ("newer", ["/p", "/kept"])):
+        book = Ledger(spark, str(tmp_path / name))
+        assert migrations.is_flat(book) and archive(spark, book.root).count() == 2
+
+        def fails(records):
+            raise ValueError("step")
+
+        with pytest.raises(ValueError):
+            migrations.migrate(book, "now", {**migrations.STEPS, "0002-fails": fails})
+        assert book.newest().steps == ["0001-workspace"] and [r["cwd"] for r in book.records().orderBy("seq").collect()] == cwd
+        assert migrations.migrate(book, "now") == [] and book.newest().generation == 1
+        assert [(r["seq"], r["git_branch"]) for r in book.records().orderBy("seq").collect()] == [(1, "main"), (2, None)]
+        lines = spark.createDataFrame([("/f", 0, '{"type":"user","sessionId":"s","uuid":"u1"}'), ("/f", 9, '{"type":"user","sessionId":"s","uuid":"u3"}')], "path string, byte_offset long, value string")
+        assert append_batch(lines, book.root, "me", "t", "now") == {"stored": 1, "duplicate": 1} and book.vector() == {"me": 3}
+
+
+def test_batches_are_merged_as_they_add_up(spark, tmp_path):
+    from tallyfold.streaming.collect import append_batch, archive
+
+    for k in range(5):
+        lines = spark.createDataFrame([("/f", k, f'{{"type":"user","sessionId":"s","uuid":"u{k}"}}')], "path string, byte_offset long, value string")
+        append_batch(lines, str(tmp_path / "a"), "me", "t", "now", compact_every=2)
+    assert len(Ledger(spark, str(tmp_path / "a")).newest().live) <= 3 and sorted(r["seq"] for r in archive(spark, str(tmp_path / "a")).collect()) == [1, 2, 3, 4, 5]
