@@ -16,15 +16,18 @@ from . import common, crf
 
 #: About so many labelled rows of each label are sampled, by hash, to fit the model.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 8000
-#: Words, and words' first letters, that the field has features of: those whose log-likelihood ratio over the sample's documents is so high, the
-#: highest first, and whose log odds of a toxic document differ so much from the rest's. They are evidence if the odds are higher.
-FEATURE_LLR, MOST_PARTS, EVIDENCE_ODDS = 20.0, 1000, 2.0
+#: Words, and words' first letters, that the field has features of: those found more often in toxic or in other documents of the sample, of which this share at most
+#: is so by chance (Benjamini and Hochberg's rule over the log-likelihood ratios of all parts of SEEN or more documents, so that the bar follows the
+#: number of labelled rows), and whose log odds of a toxic document differ so much from the rest's. They are evidence if the odds are higher.
+FALSE_FEATURES, SEEN, EVIDENCE_ODDS = 0.05, 3, 2.0
+#: Features at most, those of the highest ratio: 8 bytes each in the model. At 10,000 labelled rows there are some hundreds.
+MOST_PARTS = 4000
 PREFIXES = (4, 5, 6)
 #: Sequences that the field is fitted on, at most, of so many tokens at most; and the words on either side of a word with features that lie in its sequence.
-FIT_SEQUENCES, FIT_TOKENS, CONTEXT = 3000, 60, 10
-#: A fitted weight that is smaller becomes 0: the fewer words differ from others, the longer the stretches that are done in closed form.
-LEAST_WEIGHT = 0.25
+FIT_SEQUENCES, FIT_TOKENS, CONTEXT, ROUNDS = 6000, 200, 10, 120
 CACHE_WORDS = 250_000
+#: Log odds of a toxic document where nothing could be learnt: a model without labels of both kinds marks none.
+EMPTY = -math.log(3)
 #: A token whose marginal is below this adds nothing to a document's mass of toxic tokens.
 LEAST_MARGINAL = 0.1
 #: Numbers of the features that every token has one of: 0 is none, 1 the constant.
@@ -61,7 +64,7 @@ class Model:
     parts: dict[str, int] = field(default_factory=dict)  # numbers from FIRST_PART on
     evidence: frozenset[int] = frozenset()  # of parts
     chain: crf.Chain | None = None
-    scale: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0)  # of the calibration: weights of what tag() returns, and a constant
+    scale: tuple[float, ...] = (0.0, 0.0, 0.0, EMPTY)  # of the calibration: weights of what tag() returns, and a constant
 
     def __post_init__(self):
         self.kinds, self.flat, self.table = _Kinds(self.parts), {}, np.zeros((0, 3))
@@ -164,13 +167,14 @@ def _distinct(rows: DataFrame) -> DataFrame:
     return keyed.select(*rows.columns)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, sequences: int = FIT_SEQUENCES, llr_bar: float = FEATURE_LLR, odds_bar: float = EVIDENCE_ODDS) -> Model:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, sequences: int = FIT_SEQUENCES, tokens_each: int = FIT_TOKENS, rounds: int = ROUNDS, false_features: float = FALSE_FEATURES, odds_bar: float = EVIDENCE_ODDS, most_parts: int = MOST_PARTS) -> Model:
     """Learn from labelled rows whose crc32(id as text) mod 5 is not 0, on a bounded sample of them: about `toxic` and `clean` rows.
 
     The field has features of words and words' first letters that toxic and clean documents of the sample have unlike often,
     copies apart. Labelled tokens are those of the sample: one in a toxic document whose own parts are evidence is toxic, all others
     are not. On sequences of them the field is fitted, then a logistic scale from the marginals (see Model.tag) to the document's
-    label. Unlabelled rows, null ids and null texts are left out. Without a toxic or without another row the model is empty.
+    label. Unlabelled rows, null ids and null texts are left out. Without a toxic or without another row the model is empty
+    and marks no document. All bounds are parameters.
     """
     ids = _sample(labels, id_col, label_col, toxic, clean)
     texts = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter("__text is not null")
@@ -198,7 +202,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     ll = lambda k, n, q: k * F.log(q) + (n - k) * F.log(1 - q)
     llr = 2 * (ll(F.col("a"), F.lit(n1), p1) + ll(F.col("b"), F.lit(n0), p0) - ll(F.col("a"), F.lit(n1), p) - ll(F.col("b"), F.lit(n0), p))
     odds = F.log(p1 / (1 - p1)) - F.log(p0 / (1 - p0))
-    kept = counted.select("part", llr.alias("llr"), odds.alias("odds")).filter((F.col("llr") >= llr_bar) & (F.abs("odds") >= odds_bar)).orderBy(F.desc("llr"), "part").limit(MOST_PARTS).collect()  # a bounded list of features
+    rated = common.keep(counted.filter(F.col("a") + F.col("b") >= SEEN).select("part", llr.alias("llr"), odds.alias("odds")), "toxicity-parts")
+    tests = rated.count()
+    best = rated.orderBy(F.desc("llr"), "part").limit(most_parts).collect()  # a bounded list of features
+    passed = max((k for k, r in enumerate(best, 1) if math.erfc(math.sqrt(max(0.0, r["llr"]) / 2)) <= false_features * k / tests), default=0)
+    kept = [r for r in best[:passed] if abs(r["odds"]) >= odds_bar]
     numbered = {r["part"]: FIRST_PART + i for i, r in enumerate(kept)}
     model = Model(numbered, frozenset(numbered[r["part"]] for r in kept if r["odds"] > 0))
     sent = rows.sparkSession.sparkContext.broadcast(model)
@@ -217,17 +225,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
                     hot = np.array([xxhash.xxh3_64_intdigest(text) % len(words)])
                 for k, group in enumerate(np.split(hot, np.flatnonzero(np.diff(hot) > 2 * CONTEXT) + 1) if len(hot) else ()):
                     lo, hi = max(0, group[0] - CONTEXT), min(len(words), group[-1] + CONTEXT + 1)
-                    for j in range(lo, hi, FIT_TOKENS):
-                        part = kinds[j : min(hi, j + FIT_TOKENS)]
+                    for j in range(lo, hi, tokens_each):
+                        part = kinds[j : min(hi, j + tokens_each)]
                         out.append((f"{i}/{k}/{j}", own.features(part).astype(np.int16).tobytes(), (marked[part] & t).astype(np.int8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), *[pa.array([o[k] for o in out], pa.binary()) for k in (1, 2)]], names=["key", "x", "y"])
 
     cut = common.in_arrow(rows.select(F.col("__id").cast("string"), "__text", "__toxic"), tokens, "key string, x binary, y binary", "toxicity")
     found = cut.orderBy(F.xxhash64("key"), "key").limit(sequences).collect()
     x, y = [np.frombuffer(r["x"], np.int16).astype(np.int64).reshape(-1, deep) for r in found], [np.frombuffer(r["y"], np.int8) for r in found]
-    model.chain = crf.fit(x, y, model.width(), rounds=80, rate=0.3, l2=1e-4)
-    w = model.chain.weights
-    w[FIRST_PART:][np.abs(w[FIRST_PART:, 1] - w[FIRST_PART:, 0]) < LEAST_WEIGHT] = 0
+    model.chain = crf.fit(x, y, model.width(), rounds=rounds, rate=0.3, l2=1e-4)
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def inputs(batches):

@@ -203,19 +203,19 @@ def test_toxicity_of_repeated_rows_and_a_tie(spark, monkeypatch):
     model = toxicity.fit(df, df.select("doc_id", "toxic").union(df.select("doc_id", "toxic")))
     same = toxicity.score(df.union(df).withColumn("doc_id", F.lit(None).cast("long")), model).groupBy("score").count().collect()
     assert sum(r["count"] for r in same) == 400 and all(r["count"] % 2 == 0 for r in same)
-    assert toxicity.Model().score((0.0, 0.0, 0.0)) == 0.5  # an empty model ties, and a tie counts as toxic in the query
+    assert abs(toxicity.Model().score((0.0, 0.0, 0.0)) - 0.25) < 1e-12  # an empty model marks nothing
     from tallyfold.llm import queries
 
     monkeypatch.setattr(queries.toxicity, "fit", lambda *_: toxicity.Model())
     monkeypatch.setattr(queries, "_table", lambda *_: df)
-    assert {(r["score"], r["predicted"]) for r in queries.op3_toxicity(spark, "").collect()} == {(0.5, 1)}
+    assert {(r["score"], r["predicted"]) for r in queries.op3_toxicity(spark, "").collect()} == {(0.25, 0)}
 
 
 def test_toxicity_without_labels_finds_nothing(spark):
     df = toxic_corpus(spark, 20)
     none = spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.fit(df, none)
-    assert {(r["score"], len(r["spans"])) for r in toxicity.score(df, model).collect()} == {(0.5, 0)}
+    assert {(round(r["score"], 12), len(r["spans"])) for r in toxicity.score(df, model).collect()} == {(0.25, 0)}
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
