@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import versions
 from .operators import archive, fold, identify, peers, projects, replication, reprocess
 from .plans import daily, delivery, status, summary
+from .plans.kept import KeptGrid
 from .operators.pricing import dollars
 from .shared import keep, new_path
 from .sources import bundles, prices, surrogate
@@ -549,6 +550,16 @@ def exchange_round(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query(f"{_BASE} SELECT * FROM grid")
+def kept_grid(spark, sf_dir):
+    """Late data: the grid kept with an archive whose later batches hold the earlier lines of the same requests."""
+    kept, rows = KeptGrid(), R(spark, sf_dir)
+    book = Ledger(spark, new_path(spark, "ledger"), buckets=32, span=10_000, derivations=[kept])
+    for part in ("seq % 3 = 2", "seq % 3 = 0", "seq % 3 = 1"):
+        book.append_remote(rows.filter(part), "2026-01-01T00:00:00Z")
+    return kept.grid(book)
+
+
 @query(f"{_BASE} SELECT origin_id, seq, CASE WHEN seq % 30 <> 0 THEN cwd END AS cwd, CASE WHEN seq % 30 <> 0 THEN git_branch ELSE 'HEAD' END AS git_branch, pr_repo, pr_number FROM records")
 def ledger_reprocess(spark, sf_dir):
     """D7, T7: a stored archive after its columns were extracted again, a few parts at a time; its files of records are as they were."""

@@ -70,10 +70,11 @@ class Appended:
 class Ledger:
     """The archive in the folder root."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, span: int = SPAN):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, span: int = SPAN, derivations: tuple | list = ()):
+        """derivations: objects that keep tables of their own with the records (see plans.kept); an archive is always opened with the same ones."""
         if span % replication.BUCKET:
             raise ValueError(f"span must be a multiple of {replication.BUCKET}")
-        self.spark, self.root, self._new = spark, root.rstrip("/"), Batch(buckets=buckets, span=span)
+        self.spark, self.root, self._new, self.derivations = spark, root.rstrip("/"), Batch(buckets=buckets, span=span), derivations
         self._jvm = spark.sparkContext._jvm
         self._fs = self._path(self.root).getFileSystem(self._conf())
 
@@ -104,7 +105,7 @@ class Ledger:
 
     # reading
 
-    def _table(self, name: str, schema: str, parts: dict[str, list[str]] | None = None, state: Batch | None = None) -> DataFrame:
+    def table(self, name: str, schema: str, parts: dict[str, list[str]] | None = None, state: Batch | None = None) -> DataFrame:
         """A table of the live batches; with parts, only these folders (such as `origin_id=a/span=3`) of these generations are listed and read."""
         state = state or self.newest()
         if parts is None:
@@ -119,13 +120,13 @@ class Ledger:
     def records(self, state: Batch | None = None) -> DataFrame:
         """All records; columns that older batches lack read as null."""
         state = state or self.newest()
-        return self._patched(self._table("records", f"{RECORDS}, span long", state=state).select(*RECORD_COLUMNS), state)
+        return self._patched(self.table("records", f"{RECORDS}, span long", state=state).select(*RECORD_COLUMNS), state)
 
     def _patches(self, state: Batch) -> DataFrame | None:
         """origin_id, seq and the columns of the latest extraction; None where nothing was extracted anew."""
         if not any("table=patches" in self.folders(self._at(g)) for g in state.live):
             return None
-        found = self._table("patches", _PATCHES, state=state)
+        found = self.table("patches", _PATCHES, state=state)
         return found.groupBy("origin_id", "seq").agg(F.max_by(F.struct(*reprocess.REWRITTEN), "version").alias("__new"), F.max("version").alias("version"))
 
     def _patched(self, rows: DataFrame, state: Batch) -> DataFrame:
@@ -133,7 +134,7 @@ class Ledger:
         return rows if new is None else reprocess.merge(rows, new)
 
     def quarantined(self) -> DataFrame:
-        return self._table("quarantine", QUARANTINE)
+        return self.table("quarantine", QUARANTINE)
 
     def vector(self, state: Batch | None = None) -> dict[str, int]:
         """The top sequence of each origin, without reading a record."""
@@ -160,14 +161,14 @@ class Ledger:
             if (origin, span) in wanted:
                 for g in generations:
                     parts.setdefault(str(g), []).append(f"origin_id={self._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(origin)}/span={span}")
-        return self._patched(self._table("records", f"{RECORDS}, span long", parts, state).select(*RECORD_COLUMNS), state)
+        return self._patched(self.table("records", f"{RECORDS}, span long", parts, state).select(*RECORD_COLUMNS), state)
 
     def between(self, after: dict[str, int], upto: dict[str, int], state: Batch | None = None) -> DataFrame:
         """Records of each origin in upto that lie above after and not above upto; only the spans between are read."""
         state = state or self.newest()
         wanted = {(o, s) for o, hi in upto.items() if hi > after.get(o, 0) for s in range(after.get(o, 0) // state.span, (hi - 1) // state.span + 1)}
         if not wanted:
-            return self._table("records", f"{RECORDS}, span long", {}, state).select(*RECORD_COLUMNS)
+            return self.table("records", f"{RECORDS}, span long", {}, state).select(*RECORD_COLUMNS)
         inside = reduce(lambda a, b: a | b, [(F.col("origin_id") == o) & (F.col("seq") > after.get(o, 0)) & (F.col("seq") <= upto[o]) for o in {o for o, _ in wanted}])
         return self.spans_read(state, wanted).filter(inside)
 
@@ -185,9 +186,13 @@ class Ledger:
 
     # writing
 
+    def bucketed(self, name: str, schema: str, buckets: set[int], state: Batch) -> DataFrame:
+        """Some buckets of a table that is stored by bucket."""
+        parts = {str(g): [p for p in self.folders(f"{self._at(g)}/table={name}") if p.startswith("bucket=") and int(p.split("=")[1]) in buckets] for g in state.live}
+        return self.table(name, schema, parts, state)
+
     def _keys(self, state: Batch, buckets: set[int]) -> DataFrame:
-        parts = {str(g): [p for p in self.folders(f"{self._at(g)}/table=keys") if p.startswith("bucket=") and int(p.split("=")[1]) in buckets] for g in state.live}
-        return self._table("keys", "k1 long, k2 long, bucket int", parts, state).select("k1", "k2").withColumn("__held", F.lit(True))
+        return self.bucketed("keys", "k1 long, k2 long, bucket int", buckets, state).select("k1", "k2").withColumn("__held", F.lit(True))
 
     def _keyed(self, rows: DataFrame, state: Batch, null_session_conflicts: bool) -> DataFrame:
         """rows with __key, k1 and k2 (its hashes, null for a row that conflicts with nothing) and bucket: rows of one session, or of one file, share it."""
@@ -248,6 +253,8 @@ class Ledger:
         if noticed_at is not None:
             archive.quarantine(marked, noticed_at).write.parquet(f"{at}/table=quarantine")
         self._digests_of(rows, state).write.parquet(f"{at}/table=digests")
+        for d in self.derivations:
+            d.derive(self, state, rows, at)
         tops = {r["origin_id"]: r["seq"] for r in replication.version_vector(rows).collect()}  # a row for each origin
         top = state.top | {o: max(n, state.top.get(o, 0)) for o, n in tops.items()}
         return at, self._state(at, state, top=top)
@@ -263,6 +270,9 @@ class Ledger:
         """In order of sequence, so that row groups' statistics bound a page; a span is written by one task, which its size allows."""
         rows.repartition("origin_id", "span").sortWithinPartitions("origin_id", "span", "seq").write.partitionBy("origin_id", "span").parquet(f"{at}/table=records")
 
+    def _staged(self, at: str) -> DataFrame:
+        return self.spark.read.schema(f"{RECORDS}, span long").parquet(f"{at}/table=records")
+
     def _put(self, path: str, text: str) -> None:
         out = self._fs.create(self._path(path), True)
         try:
@@ -297,7 +307,7 @@ class Ledger:
 
     def digests(self, state: Batch | None = None) -> DataFrame:
         """origin_id, bucket, digest: of each bucket, the one that the last batch to touch it has made. No record is read."""
-        kept = self._table("digests", "origin_id string, bucket long, digest string, made long", state=state)
+        kept = self.table("digests", "origin_id string, bucket long, digest string, made long", state=state)
         return kept.groupBy("origin_id", "bucket").agg(F.max_by("digest", "made").alias("digest"))
 
     # extraction
@@ -319,6 +329,8 @@ class Ledger:
             readable = reprocess.readable(rows).count()
             at = f"{self.root}/staging/{uuid.uuid4().hex}"
             changes.select("origin_id", "seq", F.lit(version).alias("version"), *reprocess.REWRITTEN).write.parquet(f"{at}/table=patches")
+            for d in self.derivations:
+                d.derive(self, state, reprocess.apply(rows.join(changes.select("origin_id", "seq"), ["origin_id", "seq"], "left_semi"), changes), at)
             try:
                 self.publish((at, self._state(at, state, marks=state.marks | {str(version): marks | {origin: high}})))
             except Refused:  # the part is done anew, after what the other writer has published
@@ -345,7 +357,7 @@ class Ledger:
         merged = [g for g in state.live if g > after]
         part = replace(state, live=merged)
         at = f"{self.root}/staging/{uuid.uuid4().hex}"
-        rows = self._table("records", f"{RECORDS}, span long", state=part)
+        rows = self.table("records", f"{RECORDS}, span long", state=part)
         whole = merged == state.live
         rows = self._patched(rows, part).select(*rows.columns) if whole else rows
         if step is not None:
@@ -353,10 +365,15 @@ class Ledger:
         self._write_records(rows, at)
         if not whole and (new := self._patches(part)) is not None:  # what they patch may lie in batches that stay
             new.select("origin_id", "seq", "version", "__new.*").write.parquet(f"{at}/table=patches")
-        self._table("keys", "k1 long, k2 long, bucket int", state=part).repartition("bucket").sortWithinPartitions("bucket", "k1", "k2").write.partitionBy("bucket").parquet(f"{at}/table=keys")
-        self._table("quarantine", QUARANTINE, state=part).write.parquet(f"{at}/table=quarantine")
-        kept = self._table("digests", "origin_id string, bucket long, digest string, made long", state=part)
+        self.table("keys", "k1 long, k2 long, bucket int", state=part).repartition("bucket").sortWithinPartitions("bucket", "k1", "k2").write.partitionBy("bucket").parquet(f"{at}/table=keys")
+        self.table("quarantine", QUARANTINE, state=part).write.parquet(f"{at}/table=quarantine")
+        kept = self.table("digests", "origin_id string, bucket long, digest string, made long", state=part)
         kept.groupBy("origin_id", "bucket").agg(F.max_by("digest", "made").alias("digest"), F.max("made").alias("made")).write.parquet(f"{at}/table=digests")
+        for d in self.derivations:
+            if step is None:
+                d.merge(self, part, at)
+            else:
+                d.derive(self, replace(state, live=[]), self._staged(at), at)
         return self.publish((at, self._state(at, state, live=[*[g for g in state.live if g <= after], state.generation + 1], **new_state)))
 
     def vacuum(self) -> list[int]:

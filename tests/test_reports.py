@@ -116,7 +116,7 @@ def test_usage_is_aggregated_before_it_meets_links(records):
     assert depth and "Aggregate [session_id" in plan
 
 
-@pytest.mark.parametrize("name", ["model_totals", "pull_requests", "bucket_digests", "append_local", "append_remote", "reprocess_pass", "peer_health", "status_report", "convergence_record", "bundle_exchange", "bundle_fetch", "ledger_append", "ledger_digests", "exchange_round", "ledger_reprocess", "labelled_segments", "activity"])
+@pytest.mark.parametrize("name", ["model_totals", "pull_requests", "bucket_digests", "append_local", "append_remote", "reprocess_pass", "peer_health", "status_report", "convergence_record", "bundle_exchange", "bundle_fetch", "ledger_append", "ledger_digests", "exchange_round", "ledger_reprocess", "kept_grid", "labelled_segments", "activity"])
 def test_queries_equal_their_sql(spark, small, name):
     import duckdb
 
