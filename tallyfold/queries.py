@@ -395,12 +395,39 @@ def _hostnames(spark):
     return spark.createDataFrame([("10.0.0.2", "gamma.lan", "2026-01-01 11:00:00"), ("fe80::2", "beta.lan", "2025-12-31 11:00:00"), ("10.0.0.4", "", "2026-01-01 10:30:00")], "ip string, hostname string, resolved_at string").withColumn("resolved_at", F.to_timestamp("resolved_at"))
 
 
-@query("VALUES ('node0', NULL), ('node1', 'alpha'), ('node2', 'beta.lan'), ('node3', NULL), ('static:10.0.0.3:7000', NULL), ('static:10.0.0.8:7000', NULL), ('node5', NULL)")
-def peer_names(spark, sf_dir):
-    return peers.peer_names(_peers(spark), _hostnames(spark))
+def _machines(spark, sf_dir) -> DataFrame:
+    """What a network of machines, one for each user of events, says of itself: e (number and order of what is said), peer_id, addr, k, kind, at."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.expr(surrogate.SPARK["K"]))
+    return rows.select(
+        F.col("event_id").alias("e"), F.col("user_id").alias("u"), F.concat(F.lit("m"), "user_id").alias("peer_id"), F.concat(F.lit("10.0."), F.col("user_id") % 200, F.lit("."), F.col("k") % 200, F.lit(":7000")).alias("addr"),
+        "k", F.col("event_type").alias("kind"), F.timestamp_seconds(F.lit(1_767_000_000) + F.col("event_id")).alias("at"),
+    )
+
+
+_MACHINES = f"m AS (SELECT event_id AS e, user_id AS u, 'm' || user_id AS peer_id, '10.0.' || (user_id % 200) || '.' || ({surrogate.DUCKDB['K']} % 200) || ':7000' AS addr, {surrogate.DUCKDB['K']} AS k, event_type AS kind FROM events)"
+_PEER = "peer_id string, addrs array<string>, last_seen timestamp, static boolean, last_converged timestamp, last_error string, last_vector map<string,long>, hostname string, version string"
+
+
+def _known(spark, said: DataFrame) -> DataFrame:
+    """The peers that these sightings make known."""
+    return peers.merge_peers(spark.createDataFrame([], _PEER), _sightings(said)).withColumn("last_error", F.coalesce("last_error", F.lit("")))
 
 
-SQL["peer_names"] = f"SELECT * FROM ({SQL['peer_names']}) t(peer_id, name)"
+def _sightings(said: DataFrame) -> DataFrame:
+    return said.select("peer_id", F.array("addr").alias("addrs"), F.col("at").alias("last_seen"), (F.col("kind") == "signup").alias("static"))
+
+
+@query(
+    f"""WITH {_MACHINES}, named AS (SELECT * FROM (SELECT '10.0.0.' || (k % 200) AS ip, arg_max(CASE WHEN e % 3 = 0 THEN '' ELSE 'h' || e END, e) AS name FROM m GROUP BY ALL) WHERE name <> ''),
+    p AS (SELECT DISTINCT u, peer_id FROM m)
+    SELECT peer_id, coalesce(CASE WHEN u % 4 = 0 THEN 'own' || u END, a.name, b.name) AS name FROM p LEFT JOIN named a ON a.ip = '10.0.0.' || (u % 200) LEFT JOIN named b ON b.ip = '10.0.0.' || ((u + 1) % 200)"""
+)
+def peer_names(spark, sf_dir):
+    m = _machines(spark, sf_dir)
+    answers = m.select(F.concat(F.lit("10.0.0."), F.col("k") % 200).alias("ip"), F.when(F.col("e") % 3 == 0, "").otherwise(F.concat(F.lit("h"), "e")).alias("hostname"), F.col("at").alias("resolved_at"))
+    at = lambda n: F.concat(F.lit("10.0.0."), (F.col("u") + n) % 200, F.lit(":7000"))
+    known = m.select("u", "peer_id").distinct().select("peer_id", F.array(at(0), at(1)).alias("addrs"), F.when(F.col("u") % 4 == 0, F.concat(F.lit("own"), "u")).otherwise("").alias("hostname"))
+    return peers.peer_names(known, peers.merge_hostnames(answers.limit(0), answers))
 
 
 _HEALTH = f"""p(peer_id, label, reach, since, n0, n1, n2, known) AS (VALUES ('node1', 'alpha (node1)', 'current', 1800, 10, 5000, 0, true), ('node2', 'node2', 'stale', 10800, 0, 0, 7, true), ('node3', 'node3', 'failing', 1, 0, 0, 0, true),
@@ -427,31 +454,36 @@ def node_status(spark, sf_dir):
     return peers.node_status(_health(spark, sf_dir), quarantine(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('10.0.0.2', true), ('fe80::2', false), ('10.0.0.4', false)) t(ip, fresh)")
+@query(f"WITH {_MACHINES} SELECT e, e * 7 % 90000 < CASE WHEN k % 3 = 0 THEN 3600 ELSE 43200 END AS fresh FROM m")
 def hostname_freshness(spark, sf_dir):
-    return _hostnames(spark).select("ip", peers.fresh_hostname(F.expr(_NOW)).alias("fresh"))
+    now = F.expr(_NOW)
+    asked = _machines(spark, sf_dir).select("e", F.when(F.col("k") % 3 == 0, "").otherwise("name").alias("hostname"), F.timestamp_seconds(F.unix_timestamp(now) - F.col("e") * 7 % 90000).alias("resolved_at"))
+    return asked.select("e", peers.fresh_hostname(now).alias("fresh"))
 
 
-@query("SELECT 'v1.10.0' AS target")
+@query(f"WITH {_MACHINES} SELECT 'v' || e % 5 || '.' || k % 30 || '.' || u % 7 AS target FROM m WHERE e % 10 <> 0 ORDER BY e % 5 DESC, k % 30 DESC, u % 7 DESC LIMIT 1")
 def newest_release(spark, sf_dir):
-    return versions.newest(_peers(spark), "v1.9.3")
+    release = F.concat(F.lit(" v"), F.col("e") % 5, F.lit("."), F.col("k") % 30, F.lit("."), F.col("u") % 7)
+    return versions.newest(_machines(spark, sf_dir).select(F.when(F.col("e") % 10 == 0, "dev").otherwise(release).alias("version")), "v0.0.1")
 
 
-@query("SELECT * FROM (VALUES ('node1', ['10.0.0.7:7000'], true), ('node9', ['10.0.0.6:7000'], false), ('node3', ['10.0.0.3:7000'], true), ('node0', ['10.0.0.9:7000'], false), ('node2', ['10.0.0.4:7000', '[fe80::2]:7000', '10.0.0.2:7000'], false), ('static:10.0.0.3:7000', ['10.0.0.3:7000'], true), ('static:10.0.0.8:7000', ['10.0.0.8:7000'], true), ('node5', CAST([] AS VARCHAR[]), false)) t(peer_id, addrs, static)")
+@query(f"WITH {_MACHINES} SELECT peer_id, [coalesce(arg_max(addr, e) FILTER (e % 2 = 1), arg_max(addr, e))] AS addrs, bool_or(kind = 'signup') AS static FROM m GROUP BY peer_id")
 def upsert_peers(spark, sf_dir):
-    seen = spark.createDataFrame([("node1", ["10.0.0.7:7000"], "2026-01-01 11:45:00", True), ("node9", ["10.0.0.6:7000"], "2026-01-01 11:46:00", False)], "peer_id string, addrs array<string>, last_seen string, static boolean").withColumn("last_seen", F.to_timestamp("last_seen"))
-    return peers.merge_peers(_peers(spark), seen).select("peer_id", "addrs", "static")
+    m = _machines(spark, sf_dir)
+    return peers.merge_peers(_known(spark, m.filter("e % 2 = 0")), _sightings(m.filter("e % 2 = 1"))).select("peer_id", "addrs", "static")
 
 
 @query(
-    """SELECT * FROM (VALUES ('node1', 'timeout', 2, ['10.0.0.1:7000']), ('node2', '', 1, ['10.0.0.4:7000', '[fe80::2]:7000', '10.0.0.2:7000']), ('node3', '', 0, ['10.0.0.3:7000']), ('node0', '', NULL, ['10.0.0.9:7000']), ('static:10.0.0.3:7000', '', NULL, ['10.0.0.3:7000']),
-    ('static:10.0.0.8:7000', 'dial: no route', NULL, ['10.0.0.8:7000']), ('node5', '', NULL, CAST([] AS VARCHAR[])), ('node8', 'dial: refused', NULL, CAST([] AS VARCHAR[])), ('node9', '', 1, CAST([] AS VARCHAR[]))) t(peer_id, last_error, origins, addrs)"""
+    f"""WITH {_MACHINES}, p AS (SELECT peer_id, arg_max(addr, e) FILTER (e % 3 = 0) AS addr, arg_max(kind = 'error', e) FILTER (e % 3 = 1) AS failed, arg_max(k, e) FILTER (e % 3 = 1) AS k FROM m WHERE e % 3 < 2 GROUP BY peer_id)
+    SELECT peer_id, CASE WHEN failed THEN 'timeout after ' || k ELSE '' END AS last_error, CAST(CASE WHEN NOT failed THEN 1 + k % 2 END AS INTEGER) AS origins, CASE WHEN addr IS NULL THEN [] ELSE [addr] END AS addrs FROM p"""
 )
 def convergence_record(spark, sf_dir):
-    """Outcomes of known peers, and of two that were not heard of before."""
-    at = "2026-01-01 11:50:00"
-    told = spark.createDataFrame([("node1", at, None, "timeout"), ("node3", at, {}, None), ("node8", at, None, "dial: refused"), ("node9", at, {"node9": 4}, None)], "peer_id string, at string, vector map<string,long>, error string").withColumn("at", F.to_timestamp("at"))
-    return peers.record_convergence(_peers(spark), told).select("peer_id", "last_error", F.when(F.col("last_vector").isNotNull(), F.size("last_vector")).alias("origins"), "addrs")
+    """Outcomes of peers that are known by then, and of some that are first heard of through theirs."""
+    m = _machines(spark, sf_dir)
+    failed = F.col("kind") == "error"
+    vector = F.when(F.col("k") % 2 == 0, F.create_map("peer_id", "k")).otherwise(F.create_map("peer_id", "k", F.lit("self"), F.lit(1).cast("long")))
+    told = m.filter("e % 3 = 1").select("peer_id", "at", F.when(~failed, vector).alias("vector"), F.when(failed, F.concat(F.lit("timeout after "), "k")).alias("error"))
+    return peers.record_convergence(_known(spark, m.filter("e % 3 = 0")), told).select("peer_id", "last_error", F.when(F.col("last_vector").isNotNull(), F.size("last_vector")).alias("origins"), "addrs")
 
 
 @query(
@@ -569,9 +601,10 @@ def ledger_reprocess(spark, sf_dir):
     return book.records().select("origin_id", "seq", "cwd", "git_branch", "pr_repo", "pr_number")
 
 
-@query("SELECT CASE doc_id % 6 WHEN 0 THEN 'alpha' WHEN 1 THEN 'alpha' WHEN 2 THEN 'my-2fa-service' WHEN 3 THEN '' WHEN 4 THEN 'issue-124' ELSE 'beta' END AS project, doc_id FROM documents")
+@query(f"WITH {_MACHINES} SELECT e, CASE e % 5 WHEN 4 THEN '' ELSE 'unit' || u % 50 END AS project FROM m")
 def project_names(spark, sf_dir):
-    """F7-F15 over a column of paths."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    paths = F.array(*map(F.lit, ["D:\\alpha-issue-154", "/home/u/alpha/.claude/worktrees/x", "D:\\my-2fa-service", "D:\\", "/srv/issue-124", "/srv/beta_wt-7"]))
-    return docs.select("doc_id", projects.project_of(F.element_at(paths, (F.col("doc_id") % 6 + 1).cast("int")), F.array().cast("array<string>")).alias("project"))
+    """F7-F15 over a column of paths: a checkout, a worktree in it, issues and worktrees beside it, a root."""
+    unit = F.concat(F.lit("unit"), F.col("u") % 50)
+    tree = [F.concat(F.lit("/work/"), unit), F.concat(F.lit("/work/"), unit, F.lit("/.claude/worktrees/w"), "e"), F.concat(F.lit("D:\\"), unit, F.lit("-issue-"), "k"), F.concat(F.lit("/work/"), unit, F.lit("_wt-"), "k"), F.lit("/")]
+    paths = F.element_at(F.array(*tree), (F.col("e") % 5 + 1).cast("int"))
+    return _machines(spark, sf_dir).select("e", projects.project_of(paths, F.array().cast("array<string>")).alias("project"))
