@@ -13,7 +13,7 @@ from ..operators.identify import to_records
 from ..sources import migrations
 from ..sources.ledger import Ledger
 from ..shared import keep
-from .tail import TranscriptTail
+from .tail import TranscriptTail, load_cursors, stored_cursors
 
 
 @dataclass
@@ -46,11 +46,19 @@ def append_batch(lines: DataFrame, path: str, origin: str, source: str, received
     return {"stored": done.stored, "duplicate": done.duplicates}
 
 
-def _start(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str, stats: Stats, exclude: str, **trigger) -> StreamingQuery:
+def _start(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str, stats: Stats, exclude: str, counts_gone: bool = False, **trigger) -> StreamingQuery:
     spark.dataSource.register(TranscriptTail)
-    stream = spark.readStream.format("transcript_tail").option("exclude", exclude).load(root)
+    stream, folder = spark.readStream.format("transcript_tail").option("exclude", exclude), _cursor_folder(checkpoint)
+    stream = (stream.option("cursors", folder) if folder else stream).load(root)
+    last: set[str] = set()
 
     def store(df: DataFrame, _: int) -> None:
+        if folder and (found := stored_cursors(folder)):  # what this batch has looked at
+            now = set(load_cursors({"stored": found[-1]}))
+            stats.streams = len(now)
+            stats.gone += len(last - now) if counts_gone else 0
+            last.clear()
+            last.update(now)
         own = keep(df, "batch")
         done = append_batch(own.select("path", "byte_offset", "value"), path, origin, source, received_at)
         stats.stored += done.get("stored", 0)
@@ -74,8 +82,12 @@ def _progress(query: StreamingQuery, stats: Stats) -> Stats:
 
 
 def _cursors(offset) -> dict:
-    offset = json.loads(offset) if isinstance(offset, str) else offset
-    return json.loads((offset or {}).get("cursors", "{}"))
+    return load_cursors(json.loads(offset) if isinstance(offset, str) else offset)
+
+
+def _cursor_folder(checkpoint: str) -> str | None:
+    """Beside the checkpoint, where that is a folder that the driver's Python can open; else cursors are in the offsets."""
+    return f"{checkpoint.removeprefix('file://').rstrip('/')}/tail-cursors" if "://" not in checkpoint.removeprefix("file://") else None
 
 
 def collect_once(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str, exclude: str = "") -> Stats:
@@ -88,4 +100,4 @@ def collect_once(spark: SparkSession, root: str, path: str, checkpoint: str, ori
 
 def collect_polling(spark: SparkSession, root: str, path: str, checkpoint: str, origin: str, source: str, received_at: str, every: str = "30 seconds", exclude: str = "", stats: Stats | None = None) -> StreamingQuery:
     """The same on an interval, until the query that is returned is stopped. stats, if given, counts what its passes do."""
-    return _start(spark, root, path, checkpoint, origin, source, received_at, stats if stats is not None else Stats(), exclude, processingTime=every)
+    return _start(spark, root, path, checkpoint, origin, source, received_at, stats if stats is not None else Stats(), exclude, counts_gone=True, processingTime=every)

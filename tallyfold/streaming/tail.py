@@ -1,13 +1,15 @@
 """A source of the lines of growing files, which Spark's own file source takes as immutable; for batches and for streams.
 
-The driver looks at each file's size, identity, first bytes and last newline. Ranges of bytes between two such looks are read on the
-executors, large files in several. Files have one path on all machines (a mounted folder, say).
+The driver asks for each file's size, time and identity, and opens those that changed since it last did, for their last newline. Ranges of
+bytes between two such looks are read on the executors, large files in several. Files have one path on all machines (a mounted folder, say).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -79,7 +81,7 @@ def look(path: str, identify=None) -> dict | None:
             head = f.read(min(HEAD, end))
     except FileNotFoundError:
         return None
-    return {"offset": end, "size": stat.st_size, "identity": identity, "fingerprint": fingerprint(head), "head": len(head)}
+    return {"offset": end, "size": stat.st_size, "mtime": stat.st_mtime_ns, "identity": identity, "fingerprint": fingerprint(head), "head": len(head)}
 
 
 def begin_at(path: str, cursor: dict | None, now: dict) -> tuple[int, str]:
@@ -146,6 +148,55 @@ def ranges(begin: dict[str, dict], end: dict[str, dict]) -> list[Range]:
     return out
 
 
+def _as_known(path: str, cursor: dict | None) -> dict | None:
+    if cursor is None:
+        return None
+    try:
+        stat = os.stat(path)
+    except FileNotFoundError:
+        return None
+    same = (stat.st_size, stat.st_mtime_ns, f"{stat.st_dev}:{stat.st_ino}") == (cursor.get("size"), cursor.get("mtime"), cursor["identity"])
+    return cursor if same else None
+
+
+#: Files of cursors that stay: Spark goes back to the last one or two of them.
+KEPT_CURSORS = 20
+
+
+def store_cursors(folder: str, cursors: dict[str, dict]) -> str:
+    """Write cursors to a file named by its content, whole or not at all; its path."""
+    text = json.dumps(cursors, sort_keys=True)
+    path = os.path.join(folder, f"{hashlib.sha256(text.encode()).hexdigest()[:32]}.json")
+    if os.path.exists(path):
+        os.utime(path)  # it is the newest again
+        return path
+    os.makedirs(folder, exist_ok=True)
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with open(part, "w") as f:
+        f.write(text)
+    os.replace(part, path)
+    for old in stored_cursors(folder)[:-KEPT_CURSORS]:
+        os.remove(old)
+    return path
+
+
+def stored_cursors(folder: str) -> list[str]:
+    """The files of cursors in a folder, the newest last."""
+    try:
+        names = [os.path.join(folder, n) for n in os.listdir(folder) if n.endswith(".json")]
+    except FileNotFoundError:
+        return []
+    return sorted(names, key=lambda p: os.stat(p).st_mtime_ns)
+
+
+def load_cursors(offset: dict | None) -> dict[str, dict]:
+    """The cursors of an offset: those in it, or in the file that it names."""
+    if offset and "stored" in offset:
+        with open(offset["stored"]) as f:
+            return json.load(f)
+    return json.loads((offset or {}).get("cursors", "{}"))
+
+
 class _Files:
     def __init__(self, options: dict):
         self.root = options["path"]
@@ -157,8 +208,9 @@ class _Files:
             found += [os.path.join(top, n) for n in names if n.endswith(".jsonl")]
         return sorted(p for p in found if not any(p == x or p.startswith(x.rstrip("/") + "/") for x in self.exclude))
 
-    def cursors(self) -> dict[str, dict]:
-        looks = ((p, look(p)) for p in self.files())
+    def cursors(self, known: dict[str, dict] | None = None) -> dict[str, dict]:
+        """A cursor for each file; of a file that has the size, time and identity of a known cursor, that one, without opening it."""
+        looks = ((p, _as_known(p, (known or {}).get(p)) or look(p)) for p in self.files())
         return {p: x for p, x in looks if x is not None}
 
     def read(self, part: Range) -> Iterator[tuple]:
@@ -174,16 +226,25 @@ class BatchReader(_Files, DataSourceReader):
 
 
 class TailReader(_Files, DataSourceStreamReader):
-    """Offsets are a cursor for each file, which the query's checkpoint keeps. A batch reads all that is new, however much."""
+    """A batch reads all that is new, however much. Offsets are a cursor for each file, which the query's checkpoint keeps; or, with the option `cursors`, a
+    folder, each names a file there with the cursors, and is as short for a million files as for one."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.folder, self.known = options.get("cursors"), None
 
     def initialOffset(self) -> dict:
         return {"cursors": "{}"}
 
     def latestOffset(self, *_) -> dict:
-        return {"cursors": json.dumps(self.cursors(), sort_keys=True)}
+        if self.known is None:
+            last = stored_cursors(self.folder)[-1:] if self.folder else []
+            self.known = load_cursors({"stored": last[0]}) if last else {}
+        self.known = self.cursors(self.known)
+        return {"stored": store_cursors(self.folder, self.known)} if self.folder else {"cursors": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        return ranges(json.loads(start["cursors"]), json.loads(end["cursors"]))
+        return ranges(load_cursors(start), load_cursors(end))
 
 
 class TranscriptTail(DataSource):

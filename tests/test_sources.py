@@ -114,6 +114,50 @@ def test_polling_collects_until_stopped(spark, tmp_path):
         query.stop()
 
 
+def test_only_changed_files_are_opened_and_offsets_stay_short(tmp_path, monkeypatch):
+    root, folder = tmp_path / "logs", str(tmp_path / "cursors")
+    root.mkdir()
+    for i in range(2000):
+        (root / f"{i}.jsonl").write_text('{"x":1}\n')
+    reader = tail.TailReader({"path": str(root), "cursors": folder})
+    first = reader.latestOffset()
+    assert len(reader.partitions(reader.initialOffset(), first)) == 2000
+    opened, plain = [], tail.look
+    monkeypatch.setattr(tail, "look", lambda p: opened.append(p) or plain(p))
+    for i in range(10):
+        with (root / f"{i}.jsonl").open("a") as f:
+            f.write('{"x":2}\n')
+    again = tail.TailReader({"path": str(root), "cursors": folder})  # a driver that starts anew
+    for r in (reader, again):
+        opened.clear()
+        second = r.latestOffset()
+        parts = r.partitions(first, second)
+        assert len(opened) <= 10 and len(parts) == 10 and all((p.start, p.stop) == (8, 16) for p in parts)
+    assert len(json.dumps(second)) < 300 and again.latestOffset() == second
+    for i in range(40):
+        (root / "0.jsonl").write_text("{}\n" * (i + 5))
+        last = again.latestOffset()
+    assert len(os.listdir(folder)) <= tail.KEPT_CURSORS + 1 and tail.load_cursors(last)[str(root / "0.jsonl")]["offset"] == 44 * 3
+
+
+def test_polling_counts_files_that_came_and_went(spark, tmp_path):
+    from tallyfold.streaming.collect import Stats
+
+    root, stats = tmp_path / "logs", Stats()
+    root.mkdir()
+    for n in "ab":
+        (root / f"{n}.jsonl").write_text(f'{{"type":"user","sessionId":"s","uuid":"{n}"}}\n')
+    query = collect_polling(spark, str(root), str(tmp_path / "archive"), str(tmp_path / "check"), "me", "test", "now", "1 second", stats=stats)
+    try:
+        query.processAllAvailable()
+        (root / "a.jsonl").unlink()
+        (root / "c.jsonl").write_text('{"type":"user","sessionId":"s","uuid":"c"}\n')
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert (stats.streams, stats.gone, stats.stored) == (2, 1, 3)
+
+
 def test_an_archive_of_older_columns_reads_with_nulls(spark, tmp_path):
     old = spark.createDataFrame([("me", 1, "s")], "origin_id string, seq long, session_id string")
     old.write.parquet(str(tmp_path / "old"))
