@@ -116,8 +116,10 @@ def peer_health(peers: DataFrame, vector: DataFrame, self_id: str, now: Column,
     return out.join(gaps, "peer_id", "left").orderBy("peer_id")
 
 
-def node_status(health: DataFrame, quarantined: DataFrame) -> DataFrame:
-    """One row, status: `degraded` with any quarantine, failing or stale peer, else `ok`."""
+def node_status(health: DataFrame | None, quarantined: DataFrame) -> DataFrame:
+    """One row, status: `degraded` with any quarantine, failing or stale peer, else `ok`; `no-peering` for a node that has no peers set up (None)."""
+    if health is None:
+        return quarantined.sparkSession.range(1).select(F.lit("no-peering").alias("status"))
     q = quarantined.agg((F.count(F.lit(1)) > 0).alias("q"))
     bad = health.agg(F.coalesce(F.bool_or(F.col("reach").isin("failing", "stale")), F.lit(False)).alias("bad"))
     return q.crossJoin(bad).select(F.when(F.col("q") | F.col("bad"), "degraded").otherwise("ok").alias("status"))  # one row each

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ class Blobs:
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._local = self._fs.getUri().getScheme() == "file"
+        if self._local:  # without checksum files, which cannot be replaced together with a blob
+            self._fs = self._fs.getRawFileSystem()
 
     def _at(self, key: str):
         if any(part in ("", ".", "..") for part in key.split("/")):
@@ -23,17 +28,24 @@ class Blobs:
         return self._path(f"{self.folder}/{key}")
 
     def put(self, key: str, data: bytes) -> None:
-        """Write under another name, then rename, so that no reader sees half of it."""
+        """Write under a name of its own, then put it in the blob's place in one step: a reader finds the old blob or the new one, never none and never half of one."""
         to = self._at(key)
-        part = self._path(f"{self.folder}/{key}.part")
+        part = self._path(f"{self.folder}/{key}.{uuid.uuid4().hex}.part")
         out = self._fs.create(part, True)
         try:
             out.write(bytearray(data))
         finally:
             out.close()
-        self._fs.delete(to, False)
-        if not self._fs.rename(part, to):
-            raise OSError(f"could not store {key!r}")
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        if self._local:
+            how = gateway.new_array(jvm.java.nio.file.CopyOption, 1)
+            how[0] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+            place = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.move(place(part), place(to), how)
+        else:
+            how = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(part, to, how)
 
     def get(self, key: str) -> bytes | None:
         """The blob, None if there is none."""

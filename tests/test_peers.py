@@ -75,3 +75,8 @@ def test_a_first_outcome_makes_a_peer(spark):
     assert (got["b"]["addrs"], got["b"]["static"], got["b"]["last_converged"], got["b"]["last_error"], got["b"]["last_vector"]) == ([], False, None, "refused", None)
     assert got["c"]["last_converged"] is not None and (got["c"]["last_error"], got["c"]["last_vector"]) == ("", {"c": 3})
     assert {r["peer_id"]: r["x"] for r in peers.record_convergence(known, told).select("peer_id", peers.reach(F.expr(NOW)).alias("x")).collect()} == {"a": "never", "b": "never", "c": "current"}
+
+
+def test_a_node_without_peers_says_so(spark):
+    none = spark.createDataFrame([], "origin_id string")
+    assert peers.node_status(None, none).first()["status"] == "no-peering"

@@ -220,6 +220,31 @@ def test_blobs(spark, tmp_path):
             b.put(key, b"")
 
 
+def test_a_reader_always_finds_a_blob_that_is_replaced(spark, tmp_path):
+    import threading
+
+    from tallyfold.sources.blobs import Blobs
+
+    b = Blobs(spark, f"file://{tmp_path}/blobs")
+    b.put("k", b"0" * 1000)
+    seen, done = [], threading.Event()
+
+    def read():
+        while not done.is_set():
+            try:
+                seen.append((tmp_path / "blobs" / "k").read_bytes())
+            except FileNotFoundError:
+                seen.append(None)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for i in range(30):
+        b.put("k", str(i % 10).encode() * 1000)
+    done.set()
+    reader.join()
+    assert seen and all(x is not None and len(x) == 1000 and len(set(x)) == 1 for x in seen) and b.list() == ["k"]
+
+
 def test_reports_as_json_lines(spark, tmp_path):
     from tallyfold.plans import edge
 
