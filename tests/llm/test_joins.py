@@ -215,7 +215,7 @@ def test_queries_equal_their_sql(spark, small, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     got = con.execute(queries.SQL[name])
     names = [d[0] for d in got.description]
