@@ -306,9 +306,11 @@ def append_local(spark, sf_dir):
 
 
 def _remote(spark, sf_dir):
-    """A peer's records against an archive that holds part of them, some at other places, some with other content."""
+    """A peer's records against an archive that holds part of them, some at other places (beyond the origin's last, so that they displace nothing), some with other content."""
     r = R(spark, sf_dir).withColumn("sealed", F.lit("{}"))
-    held = r.filter("seq % 2 = 0").withColumn("seq", F.when(F.col("seq") % 10 == 4, F.col("seq") + 1_000_000).otherwise(F.col("seq")))
+    top = replication.version_vector(r).withColumnRenamed("seq", "__top")
+    held = r.filter("seq % 2 = 0").join(F.broadcast(top), "origin_id")  # a row for each origin
+    held = held.withColumn("seq", F.when(F.col("seq") % 10 == 4, F.col("seq") + F.col("__top")).otherwise(F.col("seq"))).drop("__top")
     batch = r.withColumn("content_hash", F.when(F.col("seq") % 14 == 6, F.sha2("content_hash", 256)).otherwise(F.col("content_hash")))
     return held, batch
 

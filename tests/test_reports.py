@@ -150,3 +150,25 @@ def test_a_fold_of_the_stored_copy_moves_and_sorts_nothing(spark, records, tmp_p
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     p = prices.load(spark)
     assert key(delivery.pull_requests(records, p, copy)) == key(delivery.pull_requests(records, p)) and key(summary.summary_totals(records, p, copy)) == key(summary.summary_totals(records, p))
+
+
+@pytest.fixture
+def long_archive(spark, small, monkeypatch):
+    """The small archive with its later sequences beyond a million, as a large one has; answers an SQL text of the library's over it."""
+    import duckdb
+
+    rows = surrogate.archive(spark, small).withColumn("seq", F.when(F.col("seq") > 120, F.col("seq") + 999_880).otherwise(F.col("seq")))
+    monkeypatch.setattr(queries, "R", lambda *_: rows)
+    con = duckdb.connect()
+    held = rows.toArrow()  # noqa: F841
+    con.execute("CREATE TABLE archive AS SELECT * FROM held")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{small}/events.parquet'")
+    yield lambda name: con.execute(queries.SQL[name].replace(surrogate.sql(surrogate.DUCKDB), "SELECT * FROM archive"))
+    con.close()
+
+
+@pytest.mark.parametrize("name", ["append_accounting", "append_remote", "archive_counts", "quarantine", "status_report"])
+def test_records_held_elsewhere_displace_none_of_a_long_archive(name, spark, small, long_archive):
+    said = long_archive(name)
+    columns = [c[0] for c in said.description]
+    assert sorted(map(tuple, queries.QUERIES[name](spark, small).select(*columns).collect())) == sorted(said.fetchall())
