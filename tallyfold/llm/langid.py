@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ SAMPLE_ROWS = 400
 SMOOTH = 50.0
 #: Longest piece in characters; longer ones of the vocabulary hold no words.
 LONGEST = 16
-#: Words whose log probabilities a worker remembers. When full, the memory starts anew.
+#: Words whose log probabilities a worker remembers at least, twice as many at most. A full memory stays beside the next one, which takes over what is in use.
 CACHE_WORDS = 200_000
 UNDETERMINED = "und"
 
@@ -53,33 +54,71 @@ def _remember(model: Model) -> None:
 
 def _forget() -> None:
     vocabulary.cache_clear()
+    steps.cache_clear()
     for m in _used:
-        m.known.clear()
-        m.rows = None
+        m.known, m.rows, m.before, m.rows_before = {}, None, {}, None
     _used.clear()
 
 
 common.on_leave("langid", _forget)
 
 
-def spans(number: int, word: str, table: dict[str, int], add) -> None:
-    """Add every piece inside a word as one whole number: the word's number, start (24 bits), length (5 bits), piece + 1 (17 bits).
+@lru_cache(2)
+def steps(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary's beginnings of pieces, numbered from 1, as tables to be walked by many words at once.
 
-    Piece -1 stands for one character that no piece covers there. table has -2 for beginnings of pieces that are none themselves.
+    The beginning that is each character by itself (0: none); each character's column (0: no piece goes on with it); each beginning's row
+    (0: it ends there); the longer beginning by row and column (0: none); the piece that each beginning is (-1: none).
+    """
+    table = vocabulary(path)[1]
+    number = {x: i for i, x in enumerate(table, 1)}
+    inner = {c: i for i, c in enumerate(sorted({x[-1] for x in table if len(x) > 1}), 1)}
+    first, column = np.zeros(0x110000, np.int32), np.zeros(0x110000, np.int16)
+    column[[ord(c) for c in inner]] = list(inner.values())
+    piece = np.array([-1, *(max(k, -1) for k in table.values())], np.int32)
+    row, at = np.zeros(len(piece), np.int32), {}
+    for x in table:
+        if len(x) == 1:
+            first[ord(x)] = number[x]
+        else:
+            row[number[x[:-1]]] = at.setdefault(x[:-1], len(at) + 1)
+    after = np.zeros((len(at) + 1, len(inner) + 1), np.int32)
+    for x, i in number.items():
+        if len(x) > 1:
+            after[at[x[:-1]], inner[x[-1]]] = i
+    return first, column, row, after, piece
+
+
+def spans(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every piece inside each word: the word's number, where the piece starts and ends, its number; ordered by end, then word.
+
+    Piece -1 stands for one character that no piece is. All words go on by one character at a time, from each place from which a piece may still begin.
     """
-    get, n = table.get, len(word)
-    for i in range(n):
-        base = (number << 24 | i) << 5
-        single = False
-        for j in range(i + 1, n + 1):
-            k = get(word[i:j])
-            if k is None:
-                break
-            if k >= 0:
-                add((base | j - i) << 17 | k + 1)
-                single |= j == i + 1
-        if not single:
-            add((base | 1) << 17)
+    first, column, row, after, piece = steps(path)
+    text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+    size = np.array([len(w) for w in words])
+    word = np.repeat(np.arange(len(words)), size)
+    start = np.arange(len(text)) - (np.cumsum(size) - size)[word]
+    left = size[word] - start  # characters from here to the word's end
+    place, state, columns = np.arange(len(text)), first[text], column[text]
+    places, lengths, found = [place], [np.ones(len(text), np.int64)], [piece[state]]
+    length = 1
+    while len(place):
+        on = (row[state] > 0) & (left[place] > length)
+        place, state = place[on], state[on]
+        state = after[row[state], columns[place + length]]
+        length += 1
+        on = state > 0
+        place, state = place[on], state[on]
+        whole = piece[state] >= 0
+        places.append(place[whole])
+        lengths.append(np.full(len(places[-1]), length))
+        found.append(piece[state[whole]])
+    place = np.concatenate(places)
+    at, begin = word[place], start[place]
+    end = begin + np.concatenate(lengths)
+    order = np.argsort(end * len(words) + at, kind="stable")
+    return at[order], begin[order], end[order], np.concatenate(found)[order]
 
 
 @dataclass
@@ -91,59 +130,57 @@ class Model:
     prob: np.ndarray  # pieces + 1, languages
     known: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
+    before: dict[str, int] = field(default_factory=dict)  # the memory that was full, from which words in use are taken over
+    rows_before: np.ndarray | None = None
 
     def words(self, words: list[str]) -> np.ndarray:
         """log P(word | language), summed over all segmentations, for many words at once: the forward algorithm by end position."""
-        table = vocabulary(self.path)[1]
-        codes: list[int] = []
-        for w, word in enumerate(words):
-            spans(w, "▁" + word, table, codes.append)
-        longest = max(map(len, words)) + 1
-        code = np.array(codes, np.int64)
-        at, start, piece = code >> 46, code >> 22 & (1 << 24) - 1, (code & (1 << 17) - 1) - 1
-        end = start + (code >> 17 & 31)
-        order = np.argsort(end, kind="stable")
-        at, start, end, piece = at[order], start[order], end[order], piece[order]
+        by_length = sorted(range(len(words)), key=lambda i: -len(words[i]))  # so that the words that reach a position come first
+        lens = np.array([len(words[i]) + 1 for i in by_length])
+        at, start, end, piece = spans(["▁" + words[i] for i in by_length], self.path)
+        longest = int(lens[0])
         bounds = np.searchsorted(end, np.arange(1, longest + 2))
-        lens = np.array([len(w) + 1 for w in words])
         result = np.full((len(words), len(self.langs)), -np.inf)
         # alpha is kept scaled: scale[w] is the log of what has been taken out so far
         alpha = np.zeros((longest + 1, len(words), len(self.langs)))
         alpha[0] = 1
         scale = np.zeros((longest + 1, len(words)))
         for e in range(1, longest + 1):
-            lo, hi = bounds[e - 1], bounds[e]
-            if lo == hi:
-                continue
-            a, s, p = at[lo:hi], start[lo:hi], piece[lo:hi]
-            np.maximum.at(top := np.full(len(words), -np.inf), a, scale[s, a])
-            part = alpha[s, a] * self.prob[p] * np.exp(scale[s, a] - top[a])[:, None]
-            for c in range(len(self.langs)):
-                alpha[e, :, c] = np.bincount(a, part[:, c], len(words))
-            peak = alpha[e].max(axis=1)
+            here = slice(bounds[e - 1], bounds[e])
+            a, s, p = at[here], start[here], piece[here]
+            many = np.flatnonzero(np.diff(a, prepend=-1))  # each word that reaches e has a piece that ends there
+            n, taken = len(many), scale[s, a]
+            top = np.maximum.reduceat(taken, many)
+            part = alpha[s, a] * self.prob[p] * np.exp(taken - top[a])[:, None]
+            sums = np.add.reduceat(part, many, axis=0)
+            peak = sums.max(axis=1)
             safe = np.where(peak > 0, peak, 1)
-            alpha[e] /= safe[:, None]
-            scale[e] = np.where(np.isfinite(top), top, 0) + np.log(safe)
-            done = lens == e
+            alpha[e, :n] = sums / safe[:, None]
+            scale[e, :n] = top + np.log(safe)
+            done = lens[:n] == e
             if done.any():
-                with np.errstate(divide="ignore"):
-                    result[done] = np.log(np.maximum(alpha[e, done], 1e-300)) + scale[e, done, None]
-        return result
+                result[:n][done] = np.log(np.maximum(alpha[e, :n][done], 1e-300)) + scale[e, :n][done, None]
+        out = np.empty_like(result)
+        out[by_length] = result
+        return out
 
     def texts(self, many: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Total log probability of each text by language, and whether it has a letter."""
         counts = [Counter(_words(x.lower())) for x in many]
-        new = [w for w in dict.fromkeys(w for c in counts for w in c) if w not in self.known]
+        words = list(dict.fromkeys(chain.from_iterable(counts)))
+        new = [w for w in words if w not in self.known]
         if self.rows is None or len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            self.rows = np.zeros((0, len(self.langs)), np.float64)
-            new = list(dict.fromkeys(w for c in counts for w in c))
+            none = np.zeros((0, len(self.langs)), np.float64)
+            self.known, self.rows, self.before, self.rows_before = {}, none, self.known, none if self.rows is None else self.rows
+            new = words
         if new:
+            held = [w for w in new if w in self.before]
+            new = [w for w in new if w not in self.before]
             base = len(self.rows)
             groups: dict[int, list[str]] = {}
             for w in new:  # words of like length together, so that one long word costs no others memory
                 groups.setdefault(len(w).bit_length(), []).append(w)
-            found, order = [], []
+            found, order = [self.rows_before[[self.before[w] for w in held]]], held
             for g in groups.values():
                 size = max(1, 200_000 // (max(map(len, g)) + 1))
                 for i in range(0, len(g), size):

@@ -88,6 +88,29 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(model.words(["y" * 500])).all()
 
 
+def test_pieces_of_many_words_at_once():
+    pieces, _, _ = langid.vocabulary(PIECES)
+    words = ["▁the", "▁x", "▁straße", "▁" + "été" * 30, "▁中文", "▁𝒜b", "▁", "▁ﬁnd", "▁internationalization"]
+    want = sorted((w, i, j, pieces.get(x[i:j], -1)) for w, x in enumerate(words) for i in range(len(x)) for j in range(i + 1, len(x) + 1) if x[i:j] in pieces or j == i + 1)
+    got = list(zip(*(c.tolist() for c in langid.spans(words, PIECES))))
+    assert sorted(got) == want and got == sorted(got, key=lambda r: (r[2], r[0]))
+
+
+def test_a_full_memory_of_words_hands_on_what_is_in_use(monkeypatch):
+    import numpy as np
+
+    pieces, _, _ = langid.vocabulary(PIECES)
+    prob = np.random.default_rng(0).dirichlet(np.ones(len(pieces) + 1), 2).T
+    many = ["the of and to", "the of in a", "the of and on", "", "the of by is it", "a"]
+    want = [langid.Model(PIECES, ["a", "b"], prob).texts([x])[0] for x in many]
+    monkeypatch.setattr(langid, "CACHE_WORDS", 4)
+    asked, words = [], langid.Model.words
+    monkeypatch.setattr(langid.Model, "words", lambda self, new: asked.extend(new) or words(self, new))
+    model = langid.Model(PIECES, ["a", "b"], prob)
+    assert all(np.allclose(model.texts([x])[0], y, rtol=1e-12) for x, y in zip(many, want))
+    assert asked.count("the") == asked.count("of") == 1 and len(model.known) + len(model.before) <= 2 * 5
+
+
 def test_languages_of_held_out_rows(spark, table):
     model = langid.fit(table.filter(~common.held_out("doc_id")), PIECES)
     got = langid.predict(table, model).join(table.select("doc_id", "lang"), "doc_id").filter(common.held_out("doc_id")).collect()
