@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
+from codecs import charmap_decode
 from functools import lru_cache
 
 import numpy as np
@@ -13,11 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokenization import runs
+from .tokenization import byte_chars, runs
 
 CAPACITY = 2048
 #: Matches of the pattern that a worker remembers at least, twice as many at most; at about 200 bytes each.
-KNOWN_PIECES = 150_000
+KNOWN_PIECES = 300_000
 #: Documents and gaps that one task sweeps: some 10 MB. Fewer, of LEAST_ROWS on, while there are less than MANY_RANGES tasks.
 SWEEP_ROWS, LEAST_ROWS, MANY_RANGES = 1 << 17, 1 << 14, 4096
 
@@ -33,12 +35,13 @@ class FileCodec:
 
     def __init__(self, path: str, pattern: str):
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.piece = Tokenizer.from_file(path)
-        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.piece.pre_tokenizer = None  # it gets the characters of the bytes, as a byte-level one would make them
+        self.chars = "".join(c for _, c in sorted(byte_chars()[0].items()))
         self.match = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.is_plain, self.match_plain = re.compile(PLAIN_TEXT).fullmatch, re.compile(PLAIN).findall
         self.known: dict[str, bytes] = {}
@@ -63,8 +66,12 @@ class FileCodec:
         for p in new & self.before.keys():
             self.known[p] = self.before[p]
         rest = list(new.difference(self.known))
-        for p, x in zip(rest, self.piece.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[p] = np.array(x.ids, "<u4").tobytes()
+        if not rest:
+            return
+        # no UTF-8 has the byte 255, so it parts the matches while all are written in characters of bytes at once
+        written = charmap_decode(b"\xff".join(map(str.encode, rest)), "strict", self.chars)[0].split(self.chars[255])
+        for p, x in zip(rest, self.piece.encode_batch_fast(written, add_special_tokens=False)):
+            self.known[p] = struct.pack(f"<{len(ids := x.ids)}I", *ids)
 
 
 @lru_cache(1)

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,34 @@ def test_plain_texts_match_as_the_pattern_says():
             assert codec.match_plain(text) == codec.match(text)
 
 
+def test_ids_of_matches_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    tokenizer, codec = Tokenizer.from_file(PATH), packing.FileCodec(PATH, P.PATTERN)
+    for text in ("".join(map(chr, range(0x300))), " ".join(chr(c) * 3 for c in range(0x2000)), "ÿ\xff þé \x00\x01 \ufdd0 \U0010ffff 東京 😀😀", "a\xadb \x7f\xa0"):
+        for _ in range(2):
+            assert np.frombuffer(codec.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_matches_in_use_are_encoded_once():
+    """290,000 words in turn, twice: a worker's memory holds them."""
+    codec = packing.FileCodec(PATH, P.PATTERN)
+    letters = "abcdefghij"
+    words = [" x" + "".join(letters[int(d)] for d in str(n)) for n in range(290_000)]
+    asked, inner = [], codec.piece
+
+    class Counting:
+        def encode_batch_fast(self, rows, **options):
+            asked.append(len(rows))
+            return inner.encode_batch_fast(rows, **options)
+
+    codec.piece = Counting()
+    for _ in range(2):
+        for i in range(0, len(words), 5_000):
+            codec.encode("".join(words[i : i + 5_000]))
+    assert sum(asked) == len(words)
+
+
 def test_packing_of_nothing(spark):
     assert packing.best_fit(spark.createDataFrame([], "doc_id string, text string"), PATH, P.PATTERN).count() == 0
     common.release(spark)
