@@ -35,6 +35,8 @@ FREQUENT = 500_000
 CHUNK = 750_000
 #: Bytes of an Arrow batch that goes to Python or comes from it: the JVM holds such a batch several times over, outside its heap, for each task.
 BATCH_BYTES, PACK_BYTES = 1 << 20, 256 << 10
+#: Entries in one row of packed columns: each has a gram and a place (12 bytes), and at most a class and a size (16).
+PACK_ENTRIES = PACK_BYTES // 28
 #: Entries of the product in one block of columns, about.
 COLUMN_ENTRIES = 500_000
 #: Documents of a column whose pairs are listed, at most. A frequent n-gram in so many sets is wide without a look at its column.
@@ -100,18 +102,22 @@ def sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def work(batches):
         known, seen = _Words(), set()
         for b in batches:
-            n, cls, grams = [], [], []
-            for text in common.utf8(b.column(1)):
+            n, cls, grams, size, start = [], [], [], 0, 0
+            for i, text in enumerate(common.utf8(b.column(1))):
                 own = shingles(text, known)
                 raw = own.tobytes()
                 key = xxhash.xxh3_64_intdigest(raw) - (1 << 63) if len(own) else None
+                if n and size + len(raw) > BATCH_BYTES:  # short words make sets larger than their texts
+                    yield common.batch_of(out, b.column(0)[start:i], n, pa.array(cls, pa.int64()), pa.array(grams, pa.binary()))
+                    n, cls, grams, size, start = [], [], [], 0, i
                 n.append(len(own))
                 cls.append(key)
                 if len(seen) > 500_000:
                     seen.clear()
                 grams.append(None if key is None or key in seen else raw)
+                size += len(grams[-1] or b"")
                 seen.add(key)
-            yield common.batch_of(out, b.column(0), n, pa.array(cls, pa.int64()), pa.array(grams, pa.binary()))
+            yield common.batch_of(out, b.column(0)[start:], n, pa.array(cls, pa.int64()), pa.array(grams, pa.binary()))
 
     return common.keep(_in_arrow(src, work, schema), "sets", "none")
 
@@ -124,18 +130,19 @@ def frequent(stored: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.nd
 
         def flush():
             grams, n = np.unique(np.concatenate(held), return_counts=True)
-            two = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(grams[two].view(np.int64)), pa.array(n[two])], names=["gram", "n"])
+            grams, n = grams[n > 1].view(np.int64), n[n > 1]
+            for i in range(0, len(grams), BATCH_BYTES // 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + BATCH_BYTES // 16]) for x in (grams, n)], names=["gram", "n"])
 
         for b in batches:
             for raw in b.column(0).to_pylist():
                 held.append(np.frombuffer(raw, np.uint64))
                 size += len(held[-1])
                 if size > CHUNK:
-                    yield flush()
+                    yield from flush()
                     held, size = [], 0
         if held:
-            yield flush()
+            yield from flush()
 
     found = _in_arrow(stored.select("grams").filter("grams is not null"), count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n >= 8").orderBy(F.desc("n"), "gram").limit(most).toPandas()
     grams, n = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
@@ -170,18 +177,19 @@ def columns(stored: DataFrame, hot: tuple[np.ndarray, np.ndarray, np.ndarray], b
             order = np.argsort(block, kind="stable")
             at, ends = np.unique(block[order], return_index=True)
             for k, lo, hi in zip(at.tolist(), ends.tolist(), [*ends[1:].tolist(), len(order)]):
-                own = order[lo:hi]
-                who, place = np.unique(owner[own], return_inverse=True)
-                yield k, gram[own].tobytes(), cls[who].tobytes(), place.astype(np.uint32).tobytes(), n[who].tobytes()
+                for i in range(lo, hi, PACK_ENTRIES):
+                    own = order[i : min(i + PACK_ENTRIES, hi)]
+                    who, place = np.unique(owner[own], return_inverse=True)
+                    yield k, gram[own].tobytes(), cls[who].tobytes(), place.astype(np.uint32).tobytes(), n[who].tobytes()
 
         def packed():
             rows, size = [], 0
             for row in flush():
-                rows.append(row)
-                size += sum(map(len, row[1:]))
-                if size > PACK_BYTES:
+                if rows and size + sum(map(len, row[1:])) > PACK_BYTES:
                     yield rows
                     rows, size = [], 0
+                rows.append(row)
+                size += sum(map(len, row[1:]))
             if rows:
                 yield rows
 
@@ -241,8 +249,9 @@ def shared_columns(packed: DataFrame, blocks: int, narrow: int = NARROW) -> Data
         return pa.RecordBatch.from_arrays([pa.array(a), gone(b, pa.int64()), pa.array(m), gone(n, pa.int64()), gone(shared, pa.int64()), gone(gram, pa.int64())], names=["a", "b", "m", "n", "shared", "gram"])
 
     def in_parts(*columns):
-        for i in range(0, len(columns[0]), 50_000):
-            yield batch(*[None if c is None else c[i : i + 50_000] for c in columns])
+        most = BATCH_BYTES // 64  # six longs and their marks of nulls
+        for i in range(0, len(columns[0]), most):
+            yield batch(*[None if c is None else c[i : i + most] for c in columns])
 
     def flush(block, held):
         if not held:

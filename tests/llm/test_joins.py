@@ -231,6 +231,29 @@ def test_native_plans_run_no_python(spark, small, name):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
 
 
+def test_join_batches_are_bounded(spark, monkeypatch):
+    """Whatever a task of the join sends to the JVM, sets, counts, packed columns and overlaps, it sends in batches of the size named."""
+    import numpy as np
+
+    works, real = [], jaccard._in_arrow
+    monkeypatch.setattr(jaccard, "_in_arrow", lambda df, work, schema: works.append((df, work)) or real(df, work, schema))
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = [" ".join(rng.choice(letters, 4000).tolist()) for _ in range(60)]
+    rows = [(i, texts[i % 60] + f" {i} {i}") for i in range(240)]
+    stored = jaccard.sets(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "doc_id", "text")
+    packed = jaccard.columns(stored, jaccard.frequent(stored), 1)
+    jaccard.shared_columns(packed, 1, narrow=2)
+    assert len(works) == 4
+    monkeypatch.undo()
+    for (df, work), most in zip(works, (jaccard.BATCH_BYTES, jaccard.BATCH_BYTES, jaccard.PACK_BYTES, jaccard.BATCH_BYTES)):
+        given = df.toArrow()
+        sent = list(work(given.to_batches(max_chunksize=512)))
+        assert len(sent) > 1 and max(b.nbytes for b in sent) <= 1.1 * most, (given.num_rows, [b.nbytes for b in sent])
+    got = {r["component_id"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(60))
+
+
 def test_pipeline_stages(spark, small):
     """Each stage against its own brute force on its own input."""
     import corpus_pipeline as cp
